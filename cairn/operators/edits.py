@@ -14,6 +14,7 @@ from cairn import functions as fn
 from cairn.model import DESCRIPTOR, NODE_COLS, PROP_COLS, STRUCTURAL_TYPES, entity_ids
 from cairn.operators.files import rename_everywhere
 from cairn.operators.overlay import KEY
+from cairn.plans.scale import checkpointed
 
 
 def _ops(edits: DataFrame, *names: str) -> DataFrame:
@@ -145,8 +146,9 @@ def retype(nodes: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def apply_edits(nodes: DataFrame, props: DataFrame, roots: DataFrame, edits: DataFrame) -> dict[str, DataFrame]:
+    """All changes of a log. The entity list and the id map are read many times, so they are kept."""
     props = edit_properties(props, edits)
     nodes = retype(nodes, edits)
-    nodes = nodes.unionByName(add_entities(nodes, edits))
-    renamed = rename_ids(nodes, props, roots, edits)
+    nodes = checkpointed(nodes.unionByName(add_entities(nodes, edits)))
+    renamed = rename_everywhere(nodes, props, checkpointed(valid_renames(nodes, roots, edits)))
     return delete_entities(renamed["nodes"], renamed["props"], roots, edits)

@@ -7,6 +7,7 @@ positions from that number, so no list needs a window of its own.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -327,22 +328,32 @@ def rewrite_hash_ids(
 def rename_everywhere(nodes: DataFrame, props: DataFrame, renamed: DataFrame, may_match=None):
     """Apply an id map (graph_id, old, new) to entities and references.
 
-    ``old`` is unique per graph, so each join adds no rows and a hot id can be
-    split. Rows whose column cannot match skip the join's shuffle.
+    ``old`` is unique per graph, so the joins add no rows and a hot id can be
+    split. ``may_match`` tells which ids the map can hold at all: rows without
+    one skip the joins, and cells without one get a scattered key that matches
+    nothing, so that blanks do not gather in one task.
     """
 
+    def wanted(column: str) -> Column:
+        match = F.lit(True) if may_match is None else may_match(F.col(column))
+        return F.coalesce(F.col(column).isNotNull() & match, F.lit(False))
+
     def swap(df: DataFrame, column: str) -> DataFrame:
-        wanted = F.col(column).isNotNull() if may_match is None else F.coalesce(may_match(F.col(column)), F.lit(False))
-        names = renamed.select("graph_id", F.col("old").alias(column), F.col("new").alias("_new"))
-        hit = (
-            df.filter(wanted)
-            .join(names, ["graph_id", column], "left")
+        scattered = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*df.columns), F.lit(4096)))
+        names = renamed.select("graph_id", F.col("old").alias("_key"), F.col("new").alias("_new"))
+        return (
+            df.withColumn("_key", F.when(wanted(column), F.col(column)).otherwise(scattered))
+            .join(names, ["graph_id", "_key"], "left")
             .withColumn(column, F.coalesce("_new", column))
             .select(*df.columns)
         )
-        return hit.unionByName(df.filter(~wanted))
 
-    return {"nodes": swap(nodes, "id"), "props": swap(swap(props, "id"), "ref")}
+    def swap_all(df: DataFrame, *columns: str) -> DataFrame:
+        touched = reduce(Column.__or__, [wanted(c) for c in columns])
+        swapped = reduce(swap, columns, df if may_match is None else df.filter(touched))
+        return swapped if may_match is None else swapped.unionByName(df.filter(~touched))
+
+    return {"nodes": swap_all(nodes, "id"), "props": swap_all(props, "id", "ref")}
 
 
 def assemble_root(
