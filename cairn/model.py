@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,8 +61,15 @@ class Graph:
         )
 
 
+def literal_table(spark: SparkSession, rows: Sequence[Sequence], **columns: str) -> DataFrame:
+    """A small table from configuration, as a local relation whose size the planner knows."""
+    arrow = {"string": pa.string(), "int": pa.int32()}
+    arrays = [pa.array([row[i] for row in rows], arrow[kind]) for i, kind in enumerate(columns.values())]
+    return spark.createDataFrame(pa.table(arrays, names=list(columns)))
+
+
 def builtin_prefixes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(BUILTIN_PREFIXES.items()), "prefix string, uri string")
+    return literal_table(spark, list(BUILTIN_PREFIXES.items()), prefix="string", uri="string")
 
 
 def union_all(tables: Sequence[DataFrame]) -> DataFrame:

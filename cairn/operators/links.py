@@ -147,19 +147,23 @@ def display_names(nodes: DataFrame, props: DataFrame) -> DataFrame:
     )
 
 
-def resolve_names(props: DataFrame, named: DataFrame | None = None) -> DataFrame:
-    """Every value as text, references by the linked entity's trimmed name, else its id.
-
-    ``named`` is where names are looked up, by default ``props`` itself.
-    One row per value, in order of ``pos``: a list of any length stays a set
-    of rows. Literals that name an entity's id are resolved the same way.
-    """
-    names = entity_names(props if named is None else named).select(
+def with_text(props: DataFrame, named: DataFrame) -> DataFrame:
+    """Add each value as ``text``, references by the name ``named`` has for them, else by id."""
+    names = entity_names(named).select(
         "graph_id", F.col("id").alias("target"), fn.trim_all(F.col("name")).alias("linked")
     )
     return (
         props.withColumn("target", F.coalesce("ref", "value"))
         .filter(fn.trim_all(F.col("target")) != "")
         .join(names, ["graph_id", "target"], "left")
-        .select(*KEY, "pos", F.coalesce("linked", fn.trim_all(F.col("target"))).alias("text"))
+        .select(*props.columns, F.coalesce("linked", fn.trim_all(F.col("target"))).alias("text"))
     )
+
+
+def resolve_names(props: DataFrame) -> DataFrame:
+    """Every value as text, references by the linked entity's name, else its id.
+
+    One row per value, in order of ``pos``: a list of any length stays a set
+    of rows. Literals that read as an entity's id are resolved the same way.
+    """
+    return with_text(props, props).select(*KEY, "pos", "text")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn import functions as fn
-from cairn.model import PROP_COLS
-from cairn.operators.links import resolve_names
+from cairn.model import PROP_COLS, literal_table
+from cairn.operators.links import with_text
 from cairn.operators.overlay import KEY
 from cairn.operators.sheets import context_rows
 
@@ -36,60 +36,56 @@ def expanded_copies(props: DataFrame, prefixes: DataFrame) -> DataFrame:
     return copies.join(present, KEY, "left_anti").select(*PROP_COLS)
 
 
-def layout_table(spark, layout: Sequence[dict], prefixes: DataFrame, terms: DataFrame) -> DataFrame:
+def resolve_layout(
+    layout: Sequence[dict], prefixes: Mapping[str, str], terms: Mapping[str, str]
+) -> list[tuple]:
     """Rows (group_no, group, input_no, prop_uri) of a page layout.
 
     ``layout`` is a list of ``{"name", "inputs"}``. Names are full URIs,
-    compact names or plain terms of ``terms`` (term, uri). Names that do not
-    resolve, and groups left empty, drop out; an empty layout is an error.
+    compact names or plain ``terms``. Names that do not resolve, and groups
+    left empty, drop out; an empty layout is an error.
     """
     if not layout:
         raise ValueError("a page layout needs at least one property group")
-    rows = [
-        (g, group["name"], i, name)
+
+    def uri(name):
+        if "://" in name:
+            return name
+        prefix, colon, local = name.partition(":")
+        return prefixes[prefix] + local if colon and prefix in prefixes else terms.get(name)
+
+    return [
+        (g, group["name"], i, uri(name))
         for g, group in enumerate(layout)
         for i, name in enumerate(group["inputs"])
+        if uri(name)
     ]
-    named = spark.createDataFrame(rows, "group_no int, group string, input_no int, name string")
-    return _resolved(named, "name", prefixes, terms).select("group_no", "group", "input_no", "prop_uri")
-
-
-def _resolved(df: DataFrame, column: str, prefixes: DataFrame, terms: DataFrame) -> DataFrame:
-    known = context_rows(prefixes).withColumnRenamed("uri", "base")
-    plain = terms.groupBy(F.col("term").alias(column)).agg(F.min("uri").alias("_plain"))
-    name = F.col(column)
-    full = F.when(name.contains("://"), name).otherwise(
-        F.coalesce(F.concat("base", fn.curie_local(name)), F.col("_plain"))
-    )
-    return (
-        df.withColumn("prefix", fn.curie_prefix(name))
-        .join(known, "prefix", "left")
-        .join(plain, column, "left")
-        .withColumn("prop_uri", full)
-        .filter("prop_uri IS NOT NULL")
-        .drop("prefix", "base", "_plain")
-    )
 
 
 def entity_pages(
-    props: DataFrame, layout: Sequence[dict], prefixes: DataFrame, terms: DataFrame
+    props: DataFrame, layout: Sequence[dict], prefixes: Mapping[str, str], terms: Mapping[str, str]
 ) -> DataFrame:
     """What each entity's page shows, one row per value.
 
     Rows (graph_id, id, group_no, group, input_no, prop_uri, pos, text); order
-    by group_no, input_no, pos. References read as names.
+    by group_no, input_no, pos. References read as names. A property counts in
+    full, compact or plain form; where an entity has several, the full one.
     """
+    rows = resolve_layout(layout, prefixes, terms)
+    uris = sorted({row[3] for row in rows})
+    short = [(f"{p}:{u[len(base):]}", u) for u in uris for p, base in prefixes.items() if u.startswith(base)]
+    short += [(term, u) for term, u in terms.items() if u in uris]
     spark = props.sparkSession
-    table = layout_table(spark, layout, prefixes, terms)
-    # a property and its full-URI twin show once: the full form wins
-    uris = _resolved(props.select("prop").distinct(), "prop", prefixes, terms)
-    laid_out = uris.join(table, "prop_uri")
-    shown = props.join(laid_out.select("prop").distinct(), "prop", "left_semi")
-    texts = resolve_names(shown, props).join(laid_out, "prop")
-    exact = texts.filter("prop = prop_uri").select("graph_id", "id", "prop_uri").distinct()
-    short = texts.filter("prop <> prop_uri").join(exact, ["graph_id", "id", "prop_uri"], "left_anti")
-    cols = ["graph_id", "id", "group_no", "group", "input_no", "prop_uri", "pos", "text"]
-    return texts.filter("prop = prop_uri").select(*cols).unionByName(short.select(*cols))
+    inputs = literal_table(spark, rows, group_no="int", group="string", input_no="int", prop_uri="string")
+    forms = literal_table(spark, short, prop="string", prop_uri="string")
+    full = props.filter(F.col("prop").isin(uris)).withColumn("prop_uri", F.col("prop"))
+    brief = props.filter(F.col("prop").isin([form for form, _ in short])).join(forms, "prop")
+    brief = brief.join(full.select(*KEY).distinct().withColumnRenamed("prop", "prop_uri"), ["graph_id", "id", "prop_uri"], "left_anti")
+    return (
+        with_text(full.unionByName(brief), props)
+        .join(inputs, "prop_uri")
+        .select("graph_id", "id", "group_no", "group", "input_no", "prop_uri", "pos", "text")
+    )
 
 
 def template_refs(config: dict | None) -> list[str]:
@@ -119,7 +115,9 @@ def page_plan(
     ]
     if not template_refs(config):
         kinds = []
-    listed = nodes.sparkSession.createDataFrame(kinds, "rank int, type string, template string")
+    listed = literal_table(
+        nodes.sparkSession, kinds, rank="int", type="string", template="string"
+    )
     own = roots.select("graph_id", F.col("root_id").alias("id"))
     typed = (
         nodes.join(listed, "type")

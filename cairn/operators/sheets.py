@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn import functions as fn
-from cairn.model import BUILTIN_PREFIXES, entity_ids, fact, node_rows, prop_rows, union_all
+from cairn.model import BUILTIN_PREFIXES, entity_ids, fact, literal_table, node_rows, prop_rows, union_all
 from cairn.operators.overlay import KEY, replace_values
 from cairn.operators.terms import CUSTOM_TERMS
 
@@ -29,9 +29,8 @@ def sheet_cells(sheet: DataFrame, mapping: Sequence[dict], typed: bool) -> DataF
     """
     rules = [(i, m) for i, m in enumerate(mapping) if bool(m.get("type")) == typed]
     if not rules:
-        return sheet.sparkSession.createDataFrame(
-            [], "graph_id string, id string, prop string, type string, cell string"
-        )
+        none = dict.fromkeys(["graph_id", "id", "prop", "type", "cell"], "string")
+        return literal_table(sheet.sparkSession, [], **none)
     row_no = F.col("row_no") if "row_no" in sheet.columns else F.lit(0)
     cells = F.array(
         *[

@@ -30,10 +30,9 @@ def build_stats(files: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def character_inventory(texts: DataFrame) -> DataFrame:
-    """Occurrences of each character of ``text``."""
+    """Occurrences of each character of ``text``; line breaks count, pairs stay whole."""
     return (
-        texts.select(F.explode(F.split("text", "")).alias("character"))
-        .filter("character <> ''")
+        texts.select(F.explode(F.regexp_extract_all("text", F.lit("(?s)(.)"), F.lit(1))).alias("character"))
         .groupBy("character")
         .agg(F.count("*").alias("count"))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn import functions as fn
-from cairn.model import builtin_prefixes
+from cairn.model import BUILTIN_PREFIXES, builtin_prefixes
 from cairn.operators import links, places, publish, sheets, terms
 from cairn.operators import filters as flt
 from checks.build import SLUG
@@ -463,10 +463,8 @@ p AS (SELECT *, coalesce(ref, value) AS t FROM rich_props)
 SELECT p.graph_id, p.id, group_no, "group", input_no, prop_uri, pos, coalesce(trim(nm.name), trim(t)) AS text FROM p JOIN lay USING (prop) LEFT JOIN nm ON nm.id = t WHERE trim(t) <> ''""",
 )
 def pages(v):
-    props = v("rich_props")
-    schema = [(t, f"http://schema.org/{t}") for t in ("name", "email", "contentLocation")]
-    known = props.sparkSession.createDataFrame(schema, "term string, uri string")
-    return publish.entity_pages(props, LAYOUT, builtin_prefixes(props.sparkSession), known)
+    known = {t: f"http://schema.org/{t}" for t in ("name", "email", "contentLocation")}
+    return publish.entity_pages(v("rich_props"), LAYOUT, BUILTIN_PREFIXES, known)
 
 
 SITE = {

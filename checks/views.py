@@ -245,6 +245,30 @@ SELECT * FROM (VALUES
   ('Organization', 'name', 'Text', 1, 0), ('Organization', 'license', 'URL', 1, 0),
   ('Organization', 'contentLocation', 'Place', 0, 0), ('Language', 'name', 'Text', 1, 1)
 ) AS t(class, prop, range_type, required, multiple)""",
+    # entities with literals of every scalar range type, well and ill formed
+    "typed_nodes": "SELECT 'g' AS graph_id, concat('#order-', CAST(o_orderkey AS STRING)) AS id, 'CreativeWork' AS type, 0 AS pos FROM orders",
+    "typed_props": """
+SELECT 'g' AS graph_id, concat('#order-', CAST(o_orderkey AS STRING)) AS id, prop, CAST(0 AS BIGINT) AS pos, value, CAST(NULL AS STRING) AS ref FROM (
+SELECT o_orderkey, 'datePublished' AS prop, CASE o_orderkey % 7 WHEN 0 THEN '1996-01-02' WHEN 1 THEN '1996' WHEN 2 THEN '1996-13' WHEN 3 THEN 'yesterday' WHEN 4 THEN '1996-02-30' WHEN 5 THEN '' ELSE '1996-07' END AS value FROM orders
+UNION ALL SELECT o_orderkey, 'size', CASE o_orderkey % 3 WHEN 0 THEN CAST(o_custkey AS STRING) WHEN 1 THEN '1.5' ELSE concat('+', CAST(o_custkey AS STRING), ' ') END FROM orders
+UNION ALL SELECT o_orderkey, 'ratio', CASE o_orderkey % 4 WHEN 0 THEN '1e5' WHEN 1 THEN '.5' WHEN 2 THEN o_orderstatus ELSE '-3.' END FROM orders
+UNION ALL SELECT o_orderkey, 'open', CASE o_orderkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'yes' ELSE 'false' END FROM orders
+UNION ALL SELECT o_orderkey, 'home', CASE o_orderkey % 3 WHEN 0 THEN 'https://example.org/a' WHEN 1 THEN 'not a url' ELSE 'arcp://name,x' END FROM orders
+UNION ALL SELECT o_orderkey, 'made', CASE o_orderkey % 3 WHEN 0 THEN '1996-01-02T10:30:00' WHEN 1 THEN '1996-01-02' ELSE '1996-01-02 25:00' END FROM orders) t""",
+    "typed_rules": """
+SELECT * FROM (VALUES
+  ('CreativeWork', 'datePublished', 'Date', 1, 0), ('CreativeWork', 'size', 'Integer', 0, 0), ('CreativeWork', 'ratio', 'Number', 0, 0),
+  ('CreativeWork', 'open', 'Boolean', 0, 0), ('CreativeWork', 'home', 'URL', 0, 0), ('CreativeWork', 'made', 'DateTime', 0, 0), ('CreativeWork', 'made', 'Person', 0, 0)
+) AS t(class, prop, range_type, required, multiple)""",
+    # a JSON-LD document per customer; roots are named in three ways, some do not parse
+    "json_docs": """
+SELECT concat('k', CAST(c_custkey AS STRING)) AS graph_id, root, c_custkey, c_name, c_nationkey,
+  CASE WHEN c_custkey % 10 = 9 THEN concat('{ not json ', c_name) ELSE concat(
+    '{"@context": ["https://w3id.org/ro/crate/1.2/context", {"x', CAST(c_nationkey AS STRING), '": "https://example.org/', CAST(c_nationkey AS STRING), '#", "bad key": "https://z", "n": 5}], "@graph": [',
+    CASE WHEN c_custkey % 3 = 2 THEN '' ELSE concat('{"@id": "ro-crate-metadata.json", "@type": "CreativeWork", "about": {"@id": "', root, '"}}, ') END,
+    '{"@id": "#person", "@type": "Person", "name": "', c_name, '", "size": ', CAST(c_custkey AS STRING), '}, ',
+    '{"@id": "', root, '", "@type": ["Dataset", "RepositoryCollection"], "name": ["One", "T&wo"], "open": true, "tags": ["a", {"@id": "#person"}, "b"], "none": null, "author": {"@id": "#person", "name": "nested"}}]}') END AS text
+FROM (SELECT *, CASE c_custkey % 3 WHEN 0 THEN './' WHEN 1 THEN concat('arcp://name,k', CAST(c_custkey AS STRING)) ELSE '#set' END AS root FROM customer) c""",
     # prefixed targets and the context rows a sheet declares
     "targets": "SELECT DISTINCT concat(CASE WHEN p_size % 7 = 0 THEN 'custom' WHEN p_size % 7 = 1 THEN 'http' ELSE concat('x', CAST(p_size % 7 AS STRING)) END, CASE WHEN p_size % 7 = 1 THEN '://' ELSE ':' END, p_brand) AS target FROM part",
     "declared": "SELECT concat('x', CAST(r_regionkey AS STRING)) AS prefix, CASE WHEN r_regionkey = 3 THEN 'not a uri' ELSE concat('https://example.org/', r_name, '#') END AS uri FROM region",
