@@ -20,7 +20,8 @@ __all__ = [
     "url_suffix",
 ]
 
-_BLANK = r"[\t-\r\x{FEFF}\p{Z}]"
+# White space of every kind, trimmed alike.
+_BLANK = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # Characters a whole-URI encoder leaves alone though a form
 # encoder escapes them, with the escape.
@@ -47,7 +48,7 @@ _URI_PLAIN = {
 
 def trim_all(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(text, rf"^{_BLANK}+|{_BLANK}+\z", "")
+    return F.trim(text, F.lit(_BLANK))
 
 
 def basename(path: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairn.functions.paths import trim_all
 
 __all__ = [
+    "SECTIONS",
     "caption_half",
     "caption_text",
     "csv_field",

@@ -98,9 +98,8 @@ def caption_lines(blocks: DataFrame) -> DataFrame:
         DOC,
         "pos",
         last={
-            "image": F.when(kind == "image", F.struct(F.col("pos").alias("at"))).when(
-                kind != "caption", F.struct(F.lit(None).cast("int").alias("at"))
-            ),
+            # any other block than a caption ends the run
+            "image": F.when(kind != "caption", F.struct(F.when(kind == "image", F.col("pos")).alias("at"))),
             "half": F.when(kind == "image", F.lit("caption")).when(
                 kind == "caption", fn.caption_half(F.col("text"))
             ),

@@ -130,12 +130,20 @@ def _described(objects: DataFrame, profile: str) -> DataFrame:
     )
 
 
-def _named_groups(files: DataFrame, name: Column, rank: Column | None = None) -> DataFrame:
-    """One row per object: its first file's name for it, and that file's number."""
-    order = F.col("file_no") if rank is None else F.struct(rank, F.col("file_no"))
-    return files.groupBy("graph_id", "object_id").agg(
-        F.min_by(name, order).alias("name"),
-        F.min("file_no").alias("first_no"),
+def _named_groups(files: DataFrame, id: str, name: str, *also: Column) -> DataFrame:
+    """One row per object: its first file's name for it, its first and last file number.
+
+    Names join the keys of a first, hashed aggregation over all files; only
+    the few names of an object are then sorted out.
+    """
+    numbers = [F.min("file_no").alias("first_no"), F.max("file_no").alias("last_no")]
+    per_name = files.groupBy("graph_id", F.col(id).alias("object_id"), F.col(name).alias("name"), *also).agg(
+        *numbers
+    )
+    return per_name.groupBy("graph_id", "object_id", *also).agg(
+        F.min_by("name", "first_no").alias("name"),
+        F.min("first_no").alias("first_no"),
+        F.max("last_no").alias("last_no"),
     )
 
 
@@ -157,9 +165,7 @@ def folder_objects(meta: DataFrame) -> dict[str, DataFrame]:
     ``top_level`` (the root's members). Ids that sanitise alike merge.
     """
     parents = meta.select("graph_id", "id", "file_no", F.col("group_id").alias("parent_id"))
-    objects = _named_groups(
-        meta.withColumn("object_id", F.col("group_id")), F.col("top_level_name")
-    )
+    objects = _named_groups(meta, "group_id", "top_level_name")
     return {
         "nodes": node_rows(objects, F.col("object_id"), OBJECT_TYPE),
         "props": _described(objects, OBJECT_PROFILE).unionByName(_has_part(parents)),
@@ -174,65 +180,58 @@ def folder_collections(meta: DataFrame) -> dict[str, DataFrame]:
     Files directly in a top folder, and a root file whose group also is a
     folder, go to ``<Name>_Files``. Groups without a folder stay objects.
     Child folders that sanitise to one id merge; the first name wins. Returns
-    the same tables as :func:`folder_objects`.
+    the tables of :func:`folder_objects` and ``children``, the objects inside
+    collections.
     """
     in_folder = F.size("folders") > 0
-    foldered = meta.filter(in_folder)
-    loose = meta.filter(~in_folder)
-    collection_ids = foldered.select("graph_id", "group_id").distinct()
-    members = foldered.unionByName(loose.join(collection_ids, ["graph_id", "group_id"], "left_semi"))
-    stand_alone = loose.join(collection_ids, ["graph_id", "group_id"], "left_anti")
-
+    collection_ids = (
+        meta.filter(in_folder).select("graph_id", "group_id").distinct().withColumn("known", F.lit(True))
+    )
+    # only root files have to ask whether their group is a folder
+    loose = meta.filter(~in_folder).join(collection_ids, ["graph_id", "group_id"], "left")
+    flagged = (
+        meta.filter(in_folder)
+        .withColumn("in_collection", F.lit(True))
+        .unionByName(loose.withColumn("in_collection", F.coalesce("known", F.lit(False))).drop("known"))
+    )
     child = F.get("folders", F.lit(1))
     direct = F.size("folders") <= 1
-    files_segment = F.concat(F.substring("group_id", 2, 1 << 30), F.lit("_Files"))
-    placed = members.withColumns(
+    files_segment = F.concat(F.expr("substr(group_id, 2)"), F.lit("_Files"))
+    segment = F.when(direct, files_segment).otherwise(fn.sanitize_segment(child))
+    placed = flagged.withColumns(
         {
-            "is_direct": direct,
-            "object_id": F.concat(
-                "group_id", F.lit("/"), F.when(direct, files_segment).otherwise(fn.sanitize_segment(child))
+            "object_id": F.when(F.col("in_collection"), F.concat("group_id", F.lit("/"), segment)).otherwise(
+                F.col("group_id")
             ),
-            "label": F.when(direct, F.lit(None)).otherwise(child),
+            "label": F.when(~direct, child),
         }
     )
-    collections = _named_groups(
-        members.withColumn("object_id", F.col("group_id")), F.col("top_level_name")
+    groups = _named_groups(placed, "group_id", "top_level_name", F.col("in_collection"))
+    collections = groups.filter("in_collection")
+    singles = groups.filter("NOT in_collection")
+    named = collections.select(
+        "graph_id", F.col("object_id").alias("group_id"), F.col("name").alias("group_name"), "last_no"
     )
-    last_no = members.groupBy("graph_id", F.col("group_id").alias("object_id")).agg(
-        F.max("file_no").alias("last_no")
+    by_label = placed.filter("in_collection").groupBy("graph_id", "group_id", "object_id", "label").agg(
+        F.min("file_no").alias("first_no")
     )
-    collections = collections.join(last_no, ["graph_id", "object_id"])
+    # subfolders come in order of their first file, and name the object first
+    order = F.struct(F.col("label").isNull().alias("is_direct"), "first_no")
     children = (
-        placed.groupBy("graph_id", "group_id", "object_id")
-        .agg(
-            F.min_by("label", F.struct("is_direct", "file_no")).alias("label"),
-            F.min(F.struct("is_direct", "file_no")).alias("first"),
-        )
-        .join(
-            collections.select(
-                "graph_id",
-                F.col("object_id").alias("group_id"),
-                F.col("name").alias("group_name"),
-                "last_no",
-            ),
-            ["graph_id", "group_id"],
-        )
+        by_label.groupBy("graph_id", "group_id", "object_id")
+        .agg(F.min_by("label", order).alias("label"), F.min(order).alias("first"))
+        .join(named, ["graph_id", "group_id"])
         .withColumns(
             {
                 "name": F.coalesce("label", F.concat("group_name", F.lit("_Files"))),
-                # subfolders in order of their first file, the direct files last
+                # the direct files stand last
                 "member_pos": F.when(F.col("first.is_direct"), F.col("last_no") + 1).otherwise(
-                    F.col("first.file_no")
+                    F.col("first.first_no")
                 ),
             }
         )
     )
-    singles = _named_groups(
-        stand_alone.withColumn("object_id", F.col("group_id")), F.col("top_level_name")
-    )
-    parents = placed.select(
-        "graph_id", "id", "file_no", F.col("object_id").alias("parent_id")
-    ).unionByName(stand_alone.select("graph_id", "id", "file_no", F.col("group_id").alias("parent_id")))
+    parents = placed.select("graph_id", "id", "file_no", F.col("object_id").alias("parent_id"))
     membership = prop_rows(
         children, F.col("object_id"), [fact("pcdm:memberOf", ref=F.col("group_id"))]
     ).unionByName(
@@ -260,7 +259,8 @@ def folder_collections(meta: DataFrame) -> dict[str, DataFrame]:
             ]
         ),
         "parents": parents,
-        "top_level": collections.select("graph_id", "object_id", "name", "first_no").unionByName(singles),
+        "top_level": groups,
+        "children": children.select("graph_id", "group_id", "object_id", "name", "member_pos"),
     }
 
 

@@ -30,31 +30,32 @@ def usable_terms(catalog: DataFrame, include_alternates: bool = False) -> DataFr
 def match_terms(texts: DataFrame, catalog: DataFrame) -> DataFrame:
     """Whole-word, case-insensitive hits: rows (graph_id, file_id, code, name).
 
-    ``texts`` is (graph_id, file_id, text). Each word of a text looks up the
-    terms that start with it, an equi join; the words after it, as many as the
-    longest term has, ride along for the rest. No text meets the whole
-    catalogue, and no row carries a whole text.
+    ``texts`` is (graph_id, file_id, text). The distinct word runs of a text,
+    of the lengths that terms have, are made inside its row and looked up by
+    an equi join: no text meets the whole catalogue, and as the runs of one
+    text are distinct, so are the hits.
     """
     terms = (
         catalog.select("code", "name", fn.words(F.col("name")).alias("term_words"))
         .filter(F.size("term_words") > 0)
-        .withColumn("word", F.get("term_words", F.lit(0)))
-    )
-    longest = terms.agg(F.max(F.size("term_words"))).first()[0] or 1
-    spoken = fn.words(F.col("text"))
-    ahead = F.transform("spoken", lambda _, i: F.slice("spoken", i + 1, longest))
-    starts = (
-        texts.select("graph_id", "file_id", spoken.alias("spoken"))
-        .select("graph_id", "file_id", F.explode(ahead).alias("ahead"))
-        .withColumn("word", F.get("ahead", F.lit(0)))
-    )
-    there = F.slice("ahead", F.lit(1), F.size("term_words")) == F.col("term_words")
-    return (
-        starts.join(terms, "word")
-        .filter(there)
-        .select("graph_id", "file_id", "code", "name")
         .distinct()
     )
+    # as many numbers as the longest term has words
+    lengths = sorted(r[0] for r in terms.select(F.size("term_words")).distinct().collect())
+    spoken = F.col("spoken")
+    runs, longer = {1: spoken}, spoken
+    for length in range(2, max(lengths, default=1) + 1):
+        # the last run has no word to follow it and turns null
+        longer = F.zip_with(
+            longer, F.slice(spoken, length, F.size(spoken)), lambda run, word: F.concat(run, F.lit(" "), word)
+        )
+        runs[length] = longer
+    distinct = [F.array_compact(F.array_distinct(runs[n])) for n in lengths or [1]]
+    found = texts.select("graph_id", "file_id", fn.words(F.col("text")).alias("spoken")).select(
+        "graph_id", "file_id", F.explode(F.concat(*distinct)).alias("run")
+    )
+    wanted = terms.select("code", "name", F.array_join("term_words", " ").alias("run"))
+    return found.join(wanted, "run").select("graph_id", "file_id", "code", "name")
 
 
 def link_terms(

@@ -23,15 +23,18 @@ SPEAKER_HEADING = "Speakers:"
 OUTPUT_FOLDER = "./c2c-output/"
 
 
+def _kept_lines(header_rows: int, footer_rows: int) -> Column:
+    raw = F.split(F.col("text"), "\r?\n", -1)
+    return F.slice(raw, header_rows + 1, F.greatest(F.size(raw) - header_rows - footer_rows, F.lit(0)))
+
+
 def normalize_transcript(texts: DataFrame, header_rows: int = 0, footer_rows: int = 0) -> DataFrame:
     """Lines of each text, a tab after every speaker code, without the end marker.
 
     A text is one cell, so its lines are cut and trimmed inside the row.
     """
-    raw = F.split(F.col("text"), "\r?\n", -1)
-    kept = F.slice(raw, header_rows + 1, F.greatest(F.size(raw) - header_rows - footer_rows, F.lit(0)))
     return (
-        texts.select(*DOC, F.posexplode(kept).alias("line_no", "line"))
+        texts.select(*DOC, F.posexplode(_kept_lines(header_rows, footer_rows)).alias("line_no", "line"))
         .filter(fn.trim_all(F.col("line")) != END_MARKER)
         .withColumn("line", F.regexp_replace("line", r"^\s*([A-Z][A-Z0-9_]*):\s*", "$1:\t"))
     )
@@ -85,16 +88,14 @@ def turns(tagged: DataFrame, pos: str = "line_no") -> DataFrame:
         fn.trim_all(line)
     )
     spoken = tagged.withColumns(
-        {
-            "_piece": piece,
-            "_at": F.coalesce("start.at", F.col(pos)),
-            "part": F.col("_seg") - F.coalesce("start.seg", "_seg"),
-        }
+        {"_piece": piece, "_at": F.coalesce("start.at", F.col(pos)), "_from": F.coalesce("start.seg", "_seg")}
     )
     pieces = F.array_sort(F.collect_list(F.when(F.col("_piece") != "", F.struct(F.col(pos).alias("p"), "_piece"))))
     return (
-        spoken.groupBy(*DOC, F.col("_at").alias("at"), "part")
+        # lines are already placed by document and segment: no further shuffle
+        spoken.groupBy(*DOC, "_seg", F.col("_at").alias("at"))
         .agg(
+            (F.col("_seg") - F.min("_from")).alias("part"),
             F.max("start.code").alias("code"),
             F.max("section").alias("section"),
             pieces.alias("pieces"),
@@ -112,8 +113,30 @@ def merge_continuations(
 
 def speakers(tagged: DataFrame, pos: str = "line_no") -> DataFrame:
     """The speaker list of each transcript, first declaration of a code only."""
-    declared = tagged.filter((F.col("block") == "speakers") & fn.speaker_code(F.col("line")).isNotNull())
-    parsed = declared.select(*DOC, pos, F.inline(F.array(fn.parse_speaker_line(F.col("line")))))
+    return _first_declared(tagged.filter(F.col("block") == "speakers"), pos)
+
+
+def listed_speakers(texts: DataFrame, header_rows: int = 0, footer_rows: int = 0) -> DataFrame:
+    """The speaker lists of whole texts, found inside each text's row.
+
+    A list runs from its heading to the next section heading.
+    """
+    trimmed = texts.select(
+        *DOC, F.transform(_kept_lines(header_rows, footer_rows), fn.trim_all).alias("lines")
+    )
+    after = trimmed.filter(F.array_contains("lines", SPEAKER_HEADING)).select(
+        *DOC, F.slice("lines", F.array_position("lines", SPEAKER_HEADING).cast("int") + 1, F.size("lines")).alias("lines")
+    )
+    ends = [F.array_position("lines", heading) for heading in fn.SECTIONS]
+    end = F.least(*[F.nullif(e, F.lit(0)) for e in ends]).cast("int")
+    block = F.coalesce(F.slice("lines", 1, end - 1), "lines")
+    return _first_declared(after.select(*DOC, F.posexplode(block).alias("line_no", "line")), "line_no")
+
+
+def _first_declared(lines: DataFrame, pos: str) -> DataFrame:
+    parsed = lines.filter(fn.speaker_code(F.col("line")).isNotNull()).select(
+        *DOC, pos, F.inline(F.array(fn.parse_speaker_line(F.col("line"))))
+    )
     first = F.min_by(F.struct("label", "affiliation", "speaker_id"), pos).alias("who")
     return parsed.groupBy(*DOC, "code").agg(first).select(*DOC, "code", "who.*")
 
@@ -168,7 +191,7 @@ def speaker_rows(merged: DataFrame, declared: DataFrame) -> DataFrame:
 def transcript_rows(texts: DataFrame, header_rows: int = 0, footer_rows: int = 0) -> dict[str, DataFrame]:
     """From whole texts to ``rows`` and the ``speakers`` they declare."""
     tagged = tag_lines(normalize_transcript(texts, header_rows, footer_rows))
-    declared = speakers(tagged)
+    declared = listed_speakers(texts, header_rows, footer_rows)
     return {"rows": speaker_rows(turns(tagged), declared), "speakers": declared}
 
 

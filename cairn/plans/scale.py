@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEGMENT_ROWS = 1 << 16  # positions per segment of an ordered group
+BROADCAST_ROWS = 100_000  # of narrow rows, a few megabytes
 LIST_ROWS = 10_000  # most values of one list gathered into one output row
 
 
@@ -58,12 +59,18 @@ def number_rows(
         .drop("_size")
     )
     return (
-        placed.join(pieces, [*group, "_piece"])
+        placed.join(broadcast_if_small(pieces), [*group, "_piece"])
         .withColumn(name, F.col("_at") - F.col("_first") + F.col("_before"))
         .drop("_at", "_piece", "_first", "_before")
     )
 
 
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Kept result, to be broadcast if it has few rows; else Spark picks the join."""
+    kept = checkpointed(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 def segment_of(pos: Column) -> Column:
     return F.floor(pos / SEGMENT_ROWS).cast("bigint")
 

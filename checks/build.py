@@ -205,6 +205,27 @@ def collections(v):
     return graph_rows(fs.folder_collections(meta(scan_files(v("order_files")))))
 
 
+@check(
+    "gra_04_lines",
+    "line_files",
+    f"""WITH {meta_sql("line_files")}, {COLLECTIONS}
+SELECT p.graph_id, p.parent AS object_id, g.name AS collection, count(*) AS files, max(kids.member_pos) AS member_pos
+FROM p JOIN g ON g.graph_id = p.graph_id AND g.group_id = p.group_id JOIN kids ON kids.graph_id = p.graph_id AND kids.parent = p.parent GROUP BY p.graph_id, p.parent, g.name""",
+)
+def large_collections(v):
+    """Three top folders hold all files; each order is an object in one of them."""
+    made = fs.folder_collections(meta(v("line_files")))
+    names = made["top_level"].select("graph_id", F.col("object_id").alias("group_id"), F.col("name").alias("collection"))
+    return (
+        made["parents"]
+        .groupBy("graph_id", F.col("parent_id").alias("object_id"))
+        .agg(F.count("*").alias("files"))
+        .join(made["children"], ["graph_id", "object_id"])
+        .join(names, ["graph_id", "group_id"])
+        .select("graph_id", "object_id", "collection", "files", "member_pos")
+    )
+
+
 @check(
     "gra_05",
     "files",

@@ -183,7 +183,7 @@ W = "PARTITION BY graph_id, doc_id ORDER BY pos"
     "doc_01",
     "blocks",
     f"""SELECT graph_id, doc_id, pos, kind, text, CAST(sum(CASE WHEN {OPENS} THEN 1 ELSE 0 END) OVER w AS BIGINT) AS chapter, last_value(CASE WHEN {OPENS} THEN pos END IGNORE NULLS) OVER w AS heading_pos
-FROM (SELECT CAST(pos AS INTEGER) AS pos, * EXCLUDE pos FROM blocks) b SEMI JOIN (SELECT doc_id FROM blocks WHERE kind IN ('h1', 'h2', 'h3')) h USING (doc_id) WINDOW w AS ({W} ROWS UNBOUNDED PRECEDING)""",
+FROM blocks b SEMI JOIN (SELECT doc_id FROM blocks WHERE kind IN ('h1', 'h2', 'h3')) h USING (doc_id) WINDOW w AS ({W} ROWS UNBOUNDED PRECEDING)""",
 )
 def chapters(v):
     return docs.segment_chapters(v("blocks"))

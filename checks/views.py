@@ -13,8 +13,8 @@ TABLES = (
 ).split()
 
 _SPLIT = {
-    "spark": "SELECT {keep}, pe.pos AS {pos}, pe.col AS {line} FROM {table} LATERAL VIEW posexplode(split({text}, '\\n')) pe AS pos, col",
-    "duckdb": "SELECT {keep}, generate_subscripts(string_split({text}, chr(10)), 1) - 1 AS {pos}, unnest(string_split({text}, chr(10))) AS {line} FROM {table}",
+    "spark": "SELECT {keep}, CAST(pe.pos AS BIGINT) AS {pos}, pe.col AS {line} FROM {table} LATERAL VIEW posexplode(split({text}, '\\n')) pe AS pos, col",
+    "duckdb": "SELECT {keep}, CAST(generate_subscripts(string_split({text}, chr(10)), 1) - 1 AS BIGINT) AS {pos}, unnest(string_split({text}, chr(10))) AS {line} FROM {table}",
 }
 
 
