@@ -14,7 +14,7 @@ from cairn import functions as fn
 from cairn.model import DESCRIPTOR, NODE_COLS, PROP_COLS, STRUCTURAL_TYPES, entity_ids
 from cairn.operators.files import rename_everywhere
 from cairn.operators.overlay import KEY
-from cairn.plans.scale import checkpointed
+from cairn.plans.scale import checkpointed, scattered
 
 
 def _ops(edits: DataFrame, *names: str) -> DataFrame:
@@ -124,7 +124,8 @@ def delete_entities(nodes: DataFrame, props: DataFrame, roots: DataFrame, edits:
     return {
         "nodes": nodes.join(gone, ["graph_id", "id"], "left_anti").select(*NODE_COLS),
         "props": props.join(gone, ["graph_id", "id"], "left_anti")
-        .join(gone.withColumnRenamed("id", "ref"), ["graph_id", "ref"], "left_anti")
+        .withColumn("_key", scattered(F.col("ref"), F.col("ref").isNotNull(), *PROP_COLS))
+        .join(gone.withColumnRenamed("id", "_key"), ["graph_id", "_key"], "left_anti")
         .select(*PROP_COLS),
     }
 

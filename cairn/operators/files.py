@@ -27,7 +27,7 @@ from cairn.model import (
     prop_rows,
     union_all,
 )
-from cairn.plans.scale import number_rows
+from cairn.plans.scale import number_rows, scattered
 
 PAIR_LIMIT = 50  # largest group of name-alikes whose members name each other
 
@@ -339,10 +339,9 @@ def rename_everywhere(nodes: DataFrame, props: DataFrame, renamed: DataFrame, ma
         return F.coalesce(F.col(column).isNotNull() & match, F.lit(False))
 
     def swap(df: DataFrame, column: str) -> DataFrame:
-        scattered = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*df.columns), F.lit(4096)))
         names = renamed.select("graph_id", F.col("old").alias("_key"), F.col("new").alias("_new"))
         return (
-            df.withColumn("_key", F.when(wanted(column), F.col(column)).otherwise(scattered))
+            df.withColumn("_key", scattered(F.col(column), wanted(column), *df.columns))
             .join(names, ["graph_id", "_key"], "left")
             .withColumn(column, F.coalesce("_new", column))
             .select(*df.columns)

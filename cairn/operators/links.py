@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairn import functions as fn
 from cairn.model import entity_ids
 from cairn.operators.overlay import KEY
+from cairn.plans.scale import scattered
 
 _CSS_URL = r"""(?i)url\(\s*(['"]?)([^'")]+)\1\s*\)"""
 
@@ -47,24 +48,32 @@ def resolve_media(refs: DataFrame, files: DataFrame) -> DataFrame:
     return refs.join(found, ["graph_id", "ref_id"], "left")
 
 
-def _mapped(refs: DataFrame, raw: str, assets: DataFrame) -> DataFrame:
-    """Add ``key`` and ``mapped`` for a raw reference; null where it is not ours.
+def asset_index(assets: DataFrame) -> DataFrame:
+    """The target behind each key: a path as it reads or, failing that, its decoded form."""
+    path = F.col("path")
+    decoded = fn.normalize_relative_path(path)
+    keys = F.array(
+        F.struct(path.alias("key"), F.lit(0).alias("rank")),
+        F.struct(F.when(fn.encode_uri(decoded) == path, decoded).alias("key"), F.lit(1).alias("rank")),
+    )
+    return (
+        assets.select("target", F.inline(keys))
+        .filter("key IS NOT NULL")
+        .groupBy("key")
+        .agg(F.min(F.struct("rank", "target")).alias("hit"))
+        .select("key", F.col("hit.target").alias("target"))
+    )
 
-    A path is looked up as it reads and, failing that, in its encoded form.
-    """
+
+def _mapped(refs: DataFrame, raw: str, assets: DataFrame) -> DataFrame:
+    """Add ``key`` and ``mapped`` for a raw reference; null where it is not ours."""
     own = F.col(raw).isNotNull() & (F.col(raw) != "") & ~fn.is_absolute_url(F.col(raw))
-    keyed = refs.withColumn(
-        "key", F.when(own, F.nullif(fn.normalize_relative_path(fn.url_base(F.col(raw))), F.lit("")))
-    ).withColumn("coded", F.nullif(fn.encode_uri(F.col("key")), F.col("key")))
-    known = assets.groupBy("path").agg(F.min("target").alias("target"))
-    plain = known.select(F.col("path").alias("key"), F.col("target").alias("_plain"))
-    coded = known.select(F.col("path").alias("coded"), F.col("target").alias("_coded"))
-    target = F.coalesce("_plain", "_coded")
+    path = F.nullif(fn.normalize_relative_path(fn.url_base(F.col(raw))), F.lit(""))
+    keyed = refs.withColumn("key", F.when(own, path))
     return (
-        keyed.join(plain, "key", "left")
-        .join(coded, "coded", "left")
-        .withColumn("mapped", F.concat(target, fn.url_suffix(F.col(raw))))
-        .select(*refs.columns, "key", "mapped")
+        keyed.withColumn("_key", scattered(F.col("key"), F.col("key").isNotNull(), *refs.columns))
+        .join(asset_index(assets).withColumnRenamed("key", "_key"), "_key", "left")
+        .select(*refs.columns, "key", F.concat("target", fn.url_suffix(F.col(raw))).alias("mapped"))
     )
 
 

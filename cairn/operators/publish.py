@@ -32,7 +32,7 @@ def expanded_copies(props: DataFrame, prefixes: DataFrame) -> DataFrame:
         .withColumn("prop", F.concat("base", "local"))
         .select(*PROP_COLS)
     )
-    present = props.filter(F.col("prop").contains("://") | F.col("prop").contains(":")).select(*KEY).distinct()
+    present = props.filter(F.col("prop").rlike("(?i)^(https?:|urn:|arcp:)")).select(*KEY).distinct()
     return copies.join(present, KEY, "left_anti").select(*PROP_COLS)
 
 

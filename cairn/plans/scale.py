@@ -71,6 +71,15 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= rows else kept
 
 
+def scattered(key: Column, wanted: Column, *row: str) -> Column:
+    """``key`` where wanted, else one of many keys that match nothing.
+
+    Rows that have nothing to look up would else meet in one task of a join.
+    """
+    blank = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*row), F.lit(4096)))
+    return F.when(wanted, key).otherwise(blank)
+
+
 def segment_of(pos: Column) -> Column:
     return F.floor(pos / SEGMENT_ROWS).cast("bigint")
 
