@@ -25,16 +25,17 @@ def graph_to_sheet(
 ) -> DataFrame:
     """Entities of a type, wide: graph_id, id, part and a column per property.
 
-    References of ``x`` stand in column ``.x``. Several values form a JSON
-    list; a list whose positions run past ``LIST_ROWS`` goes on in the next
-    ``part``. :func:`cairn.sources.tables.sheets_to_graph` reads it all back.
+    References of ``x`` stand in column ``@x``. Several values form a JSON
+    list, and so does a blank one, to differ from an absent one. A list whose
+    positions run past ``LIST_ROWS`` goes on in the next ``part``.
+    :func:`cairn.sources.tables.sheets_to_graph` reads it all back.
     """
     of_type = nodes.filter(F.col("type") == type).select("graph_id", "id").distinct()
     entries = props.join(of_type, ["graph_id", "id"], "left_semi").select(
         "graph_id",
         "id",
         F.floor(F.col("pos") / LIST_ROWS).cast("bigint").alias("part"),
-        F.when(F.col("ref").isNotNull(), F.concat(F.lit("."), "prop")).otherwise(F.col("prop")).alias("column"),
+        F.when(F.col("ref").isNotNull(), F.concat(F.lit("@"), "prop")).otherwise(F.col("prop")).alias("column"),
         F.struct("pos", F.coalesce("ref", "value").alias("text")).alias("item"),
     )
     names = list(columns) if columns is not None else sheet_columns(entries)
@@ -43,7 +44,7 @@ def graph_to_sheet(
         items = F.collect_list(F.when(F.col("column") == name, F.col("item")))
         texts = F.transform(F.array_sort(items), lambda x: x["text"])
         single = F.get(texts, F.lit(0))
-        plain = (F.size(texts) == 1) & ~single.startswith("[")
+        plain = (F.size(texts) == 1) & ~single.startswith("[") & (single != "")
         return (
             F.when(F.size(texts) == 0, F.lit(None)).when(plain, single).otherwise(F.to_json(texts)).alias(name)
         )
@@ -56,4 +57,4 @@ def graph_to_sheet(
 def write_sheets(nodes: DataFrame, props: DataFrame, types: Sequence[str], path: str, mode="overwrite") -> None:
     for kind in types:
         sheet = graph_to_sheet(nodes, props, kind)
-        sheet.write.mode(mode).csv(f"{path}/type={kind}", header=True, escape='"', emptyValue='""')
+        sheet.write.mode(mode).csv(f"{path}/type={kind}", header=True, escape='"')

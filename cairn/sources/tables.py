@@ -38,7 +38,7 @@ def clean_sheet(sheet: DataFrame, graph_id: Column | str = "graph_id") -> DataFr
 
 
 def read_sheet(spark: SparkSession, path: str, graph_id: str) -> DataFrame:
-    """A CSV file or folder with a header row; an empty cell is null, ``""`` is blank text."""
+    """A CSV file or folder with a header row; an empty cell is null."""
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
     return clean_sheet(raw, F.lit(graph_id))
 
@@ -46,7 +46,7 @@ def read_sheet(spark: SparkSession, path: str, graph_id: str) -> DataFrame:
 def sheets_to_graph(sheets: dict[str, DataFrame], sheet_type: bool = True) -> dict[str, DataFrame]:
     """Per-type sheets (graph_id, id, part?, columns …) to ``nodes`` and ``props``.
 
-    A column ``.x`` holds references of ``x``; a cell that is a JSON list of
+    A column ``@x`` holds references of ``x``; a cell that is a JSON list of
     strings holds several values. Rows of one id are read together, in order
     of ``part``.
     """
@@ -57,8 +57,8 @@ def sheets_to_graph(sheets: dict[str, DataFrame], sheet_type: bool = True) -> di
         cells = F.array(
             *[
                 F.struct(
-                    F.lit(n.removeprefix(".")).alias("prop"),
-                    F.lit(n.startswith(".")).alias("is_ref"),
+                    F.lit(n.removeprefix("@")).alias("prop"),
+                    F.lit(n.startswith("@")).alias("is_ref"),
                     F.col("`" + n + "`").alias("cell"),
                 )
                 for n in names

@@ -137,16 +137,13 @@ def json_lines(v):
     return graph_to_json(v("graph_nodes"), v("rich_props"))
 
 
-PERSON = ["custom:order", "custom:segment", "email", "name"]
-
-
 @check(
     "snk_02",
     "graph_nodes rich_props",
-    """WITH c AS (SELECT id, pos // 10000 AS part, CASE WHEN ref IS NOT NULL THEN '.' || prop ELSE prop END AS col, list(coalesce(ref, value) ORDER BY pos) AS items FROM rich_props WHERE id LIKE '#customer-%' GROUP BY ALL),
-t AS (SELECT id, part, col, CASE WHEN len(items) = 1 AND NOT starts_with(items[1], '[') THEN items[1] ELSE CAST(to_json(items) AS VARCHAR) END AS cell FROM c
+    """WITH c AS (SELECT id, pos // 10000 AS part, CASE WHEN ref IS NOT NULL THEN '@' || prop ELSE prop END AS col, list(coalesce(ref, value) ORDER BY pos) AS items FROM rich_props WHERE id LIKE '#customer-%' GROUP BY ALL),
+t AS (SELECT id, part, col, CASE WHEN len(items) = 1 AND NOT starts_with(items[1], '[') AND items[1] <> '' THEN items[1] ELSE CAST(to_json(items) AS VARCHAR) END AS cell FROM c
   UNION ALL SELECT '#customer-' || c_custkey, 0, '', '' FROM customer)
-SELECT 'g' AS graph_id, id, part, max(cell) FILTER (WHERE col = '.contentLocation') AS ".contentLocation", max(cell) FILTER (WHERE col = '.custom:order') AS ".custom:order",
+SELECT 'g' AS graph_id, id, part, max(cell) FILTER (WHERE col = '@contentLocation') AS "@contentLocation", max(cell) FILTER (WHERE col = '@custom:order') AS "@custom:order",
   max(cell) FILTER (WHERE col = 'custom:segment') AS "custom:segment", max(cell) FILTER (WHERE col = 'email') AS email, max(cell) FILTER (WHERE col = 'name') AS name FROM t GROUP BY id, part""",
 )
 def sheet(v):
