@@ -82,7 +82,9 @@ def possible_duplicates(groups: DataFrame, pair_limit: int = PAIR_LIMIT) -> Data
     """
     small = (
         groups.filter(F.col("group_size") <= pair_limit)
-        .repartition("graph_id", "dup_key")
+        # a shuffle of its own after the join: it leaves the join free to split a
+        # hot name, and is not optimised away as a repartition by the join's keys is
+        .hint("rebalance", "graph_id", "dup_key")
         .groupBy("graph_id", "dup_key")
         .agg(F.collect_list(F.struct("id", F.col("file_no").alias("pos"))).alias("members"))
     )

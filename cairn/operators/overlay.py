@@ -78,13 +78,16 @@ def remap_root_refs(source: DataFrame, target_roots: DataFrame) -> DataFrame:
     Only references to the local root move, and only where the target's root
     has another id.
     """
-    is_member = (F.col("prop") == "memberOf") & (F.col("ref") == LOCAL_ROOT)
-    moves = F.coalesce(is_member & (F.col("root_id") != LOCAL_ROOT), F.lit(False))
-    return source.join(target_roots, "graph_id", "left").select(
+    points_at_root = F.coalesce((F.col("prop") == "memberOf") & (F.col("ref") == LOCAL_ROOT), F.lit(False))
+    moves = F.coalesce(F.col("root_id") != LOCAL_ROOT, F.lit(False))
+    members = source.filter(points_at_root).join(target_roots, "graph_id", "left").select(
         *[c for c in PROP_COLS if c != "ref"],
         F.when(moves, F.col("root_id")).otherwise(F.col("ref")).alias("ref"),
         moves.cast("int").alias("remapped"),
     )
+    return members.unionByName(
+        source.filter(~points_at_root).select(*PROP_COLS, F.lit(0).alias("remapped"))
+    )
 
 
 def _root_members(props: DataFrame, roots: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from cairn.model import PROP_COLS, literal_table
 from cairn.operators.links import with_text
 from cairn.operators.overlay import KEY
 from cairn.operators.sheets import context_rows
+from cairn.plans.scale import broadcast_if_small
 
 
 def expand_properties(props: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -20,7 +21,7 @@ def expand_properties(props: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 
 def expanded_copies(props: DataFrame, prefixes: DataFrame) -> DataFrame:
-    known = context_rows(prefixes).withColumnRenamed("uri", "base")
+    known = broadcast_if_small(context_rows(prefixes).withColumnRenamed("uri", "base"))
     compact = (
         props.filter(~F.col("prop").startswith("@"))
         .withColumn("prefix", fn.curie_prefix(F.col("prop")))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.model import entity_ids, union_all
+from cairn.plans.scale import broadcast_if_small
 
 # References to outside things that no entity describes.
 EXTERNAL_PROPS = ["license", "conformsTo", "encodingFormat"]
@@ -28,7 +29,7 @@ def check_cardinality(nodes: DataFrame, props: DataFrame, rules: DataFrame) -> D
 
     Rows (graph_id, id, class, prop, problem, found).
     """
-    per_prop = (
+    per_prop = broadcast_if_small(
         rules.groupBy("class", "prop")
         .agg(F.max("required").alias("required"), F.max("multiple").alias("multiple"))
         .filter("required = 1 OR multiple = 0")
@@ -92,10 +93,13 @@ def check_ranges(nodes: DataFrame, props: DataFrame, rules: DataFrame) -> DataFr
     and a class if the entity it names has that type. Rows (graph_id, id,
     class, prop, pos, value, ref).
     """
-    allowed = rules.groupBy("class", "prop").agg(F.sort_array(F.collect_set("range_type")).alias("ranges"))
+    allowed = broadcast_if_small(
+        rules.groupBy("class", "prop").agg(F.sort_array(F.collect_set("range_type")).alias("ranges"))
+    )
+    named = broadcast_if_small(rules.select("prop").distinct())
     classes = nodes.select("graph_id", "id", F.col("type").alias("class")).distinct()
     # rules name few properties, so they narrow the values before the big join
-    ruled = props.join(allowed.select("prop").distinct(), "prop", "left_semi")
+    ruled = props.join(named, "prop", "left_semi")
     graded = ruled.join(classes, ["graph_id", "id"]).join(allowed, ["class", "prop"])
     literals = graded.filter("ref IS NULL").filter(
         ~F.exists("ranges", lambda r: _literal_fits(F.col("value"), r))
@@ -123,7 +127,7 @@ def unknown_properties(nodes: DataFrame, props: DataFrame, rules: DataFrame) ->
     vocabulary = entity_ids(nodes.filter(F.col("type").isin(VOCABULARY_TYPES)))
     return (
         props.select("graph_id", "id", "prop")
-        .join(rules.select("prop").distinct(), "prop", "left_anti")
+        .join(broadcast_if_small(rules.select("prop").distinct()), "prop", "left_anti")
         .distinct()
         .join(vocabulary, ["graph_id", "id"], "left_anti")
         .select("graph_id", "id", "prop")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn import functions as fn
 from cairn.model import entity_ids, fact, node_rows, prop_rows, union_all
+from cairn.plans.scale import broadcast_if_small
 
 # Generic words that identify nothing. The first three are fixed values.
 GENERIC_TERMS = ["north", "people", "unknown", "south", "east", "west", "language", "other"]
@@ -55,7 +56,7 @@ def match_terms(texts: DataFrame, catalog: DataFrame) -> DataFrame:
         "graph_id", "file_id", F.explode(F.concat(*distinct)).alias("run")
     )
     wanted = terms.select("code", "name", F.array_join("term_words", " ").alias("run"))
-    return found.join(wanted, "run").select("graph_id", "file_id", "code", "name")
+    return found.join(broadcast_if_small(wanted), "run").select("graph_id", "file_id", "code", "name")
 
 
 def link_terms(

@@ -195,12 +195,20 @@ def transcript_rows(texts: DataFrame, header_rows: int = 0, footer_rows: int = 0
     return {"rows": speaker_rows(turns(tagged), declared), "speakers": declared}
 
 
+def used_codes(rows: DataFrame) -> DataFrame:
+    """Distinct codes of each transcript.
+
+    The shuffle of its own leaves the join that made ``rows`` free to split a
+    speaker who says very much.
+    """
+    return rows.select(*DOC, "code").hint("rebalance", *DOC, "code").distinct()
+
+
 def unresolved_speakers(rows: DataFrame, declared: DataFrame) -> DataFrame:
     """Codes used but not declared, one row each; ``none`` for a transcript without any."""
     missing = (
-        rows.select(*DOC, "code")
-        .distinct()
+        used_codes(rows)
         .join(declared.select(*DOC, "code").distinct(), [*DOC, "code"], "left_anti")
     )
-    clean = rows.select(*DOC).distinct().join(missing.select(*DOC).distinct(), DOC, "left_anti")
+    clean = used_codes(rows).select(*DOC).distinct().join(missing.select(*DOC).distinct(), DOC, "left_anti")
     return missing.unionByName(clean.withColumn("code", F.lit("none")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn import functions as fn
-from cairn.operators.transcripts import DOC
+from cairn.operators.transcripts import DOC, used_codes
 from cairn.plans.scale import segment_of
 
 CSV_HEADER = "speakerID,text,section"
@@ -19,7 +19,7 @@ def transcript_csv(rows: DataFrame) -> DataFrame:
     """
     fields = [fn.csv_field(F.col(c)) for c in ("speaker_id", "text", "section")]
     body = rows.select(*DOC, "at", "part", F.concat_ws(",", *fields).alias("line"))
-    header = rows.select(*DOC).distinct().withColumn("line", F.lit(CSV_HEADER))
+    header = used_codes(rows).select(*DOC).distinct().withColumn("line", F.lit(CSV_HEADER))
     return body.unionByName(header, allowMissingColumns=True)
 
 
@@ -41,7 +41,7 @@ def chat_export(
     Part -1 is the header with its participants; each further part holds the
     turns of one segment: (graph_id, doc_id, part, text).
     """
-    used = rows.select(*DOC, "code").distinct().join(
+    used = used_codes(rows).join(
         declared.select(*DOC, "code", "affiliation"), [*DOC, "code"], "left"
     )
     inside = F.regexp_replace(F.coalesce("affiliation", F.lit("")), r"^\(|\)\z", "")

@@ -128,7 +128,9 @@ def test_a_hot_name_is_split_and_stays_linear(spark, small_partitions):
     )
     groups = fs.duplicate_groups(files)
     assert "skew=true" in final_plan(groups)
-    links = fs.possible_duplicates(groups).cache()
+    linked = fs.possible_duplicates(groups)
+    assert final_plan(linked).split("Initial Plan")[0].count("skew=true") == 2  # pairs and hubs
+    links = linked.cache()
     hub = "#duplicates-same"
     assert links.filter(F.col("ref") == hub).count() == count // 3
     assert links.filter(F.col("id") == hub).count() == count // 3
