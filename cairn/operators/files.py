@@ -406,6 +406,19 @@ def assemble_root(
     return {"nodes": union_all(node_parts), "props": union_all(props)}
 
 
+def declared_definitions(roots: DataFrame, definitions: Sequence[Mapping]) -> dict[str, DataFrame]:
+    """Entities that document the file properties a profile declares.
+
+    Each definition has ``id`` and literal properties such as ``name``.
+    """
+    nodes = [node_rows(roots, F.lit(d["id"]), "rdf:Property") for d in definitions]
+    props = [
+        prop_rows(roots, F.lit(d["id"]), [fact(k, v) for k, v in d.items() if k != "id"])
+        for d in definitions
+    ]
+    return {"nodes": union_all(nodes), "props": union_all(props)}
+
+
 def inherit_license(nodes: DataFrame, props: DataFrame, roots: DataFrame) -> DataFrame:
     """Licence references of the root, copied to its objects and collections."""
     licences = (

@@ -6,10 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
-from cairn.model import DUPLICATE_PROP, Graph, builtin_prefixes, union_all
+from cairn.model import DUPLICATE_PROP, Graph, builtin_prefixes, entity_ids, union_all
 from cairn.operators import edits as ed
 from cairn.operators import files as fs
-from cairn.operators import overlay, quality, sheets
+from cairn.operators import overlay, quality, sheets, terms, transcripts
 
 
 def build_graph(
@@ -20,12 +20,13 @@ def build_graph(
     authored: DataFrame | None = None,
     collections: bool = False,
     structure_from_metadata: bool = False,
-    file_properties: Sequence[str] = (),
+    file_properties: Mapping[str, Mapping] | None = None,
 ) -> Graph:
     """Graphs of all listings in ``files`` (graph_id, file_name, relative_path).
 
     With ``structure_from_metadata`` the folders make no objects and files no
-    parents: a sheet describes them. Structural ids end up under each root.
+    parents: a sheet describes them. ``file_properties`` maps the properties
+    every file gets to their definitions. Structural ids end up under each root.
     """
     meta = fs.file_metadata(fs.order_files(files))
     head = fs.assemble_root(roots, profile, authored)
@@ -40,12 +41,17 @@ def build_graph(
             fs.root_membership(made["top_level"], roots),
             fs.inherit_license(made["nodes"], head["props"], roots),
         ]
+    declared = dict(file_properties or {})
+    if declared:
+        defined = fs.declared_definitions(roots, list(declared.values()))
+        nodes.append(defined["nodes"])
+        props.append(defined["props"])
     links = None
-    if DUPLICATE_PROP in file_properties:
+    if DUPLICATE_PROP in declared:
         groups = fs.duplicate_groups(meta)
         links = fs.possible_duplicates(groups)
         nodes.append(fs.duplicate_hub_nodes(groups))
-    entities = fs.file_entities(meta, parents, file_properties, links)
+    entities = fs.file_entities(meta, parents, list(declared), links)
     nodes.append(entities["nodes"])
     props.append(entities["props"])
     moved = fs.rewrite_hash_ids(union_all(nodes), union_all(props), roots)
@@ -70,6 +76,27 @@ def merge_metadata(graph: Graph, sheet: DataFrame, mapping: Sequence[dict]) -> G
     )
 
 
+def add_terms(
+    graph: Graph, texts: DataFrame, catalog: DataFrame, include_alternates: bool = False
+) -> Graph:
+    """Find catalogue terms in the names of files and link what was found.
+
+    ``texts`` is (graph_id, file_id, text); a term's ``code`` becomes its id.
+    """
+    hits = terms.match_terms(texts, terms.usable_terms(catalog, include_alternates))
+    made = terms.link_terms(graph.nodes, hits.withColumnRenamed("code", "term_id"))
+    return graph.plus(made["nodes"], made["props"])
+
+
+def add_speakers(graph: Graph, texts: DataFrame, header_rows: int = 0, footer_rows: int = 0) -> Graph:
+    """Person entities for the speakers that transcripts list, unless they are there."""
+    people = transcripts.speaker_entities(transcripts.listed_speakers(texts, header_rows, footer_rows))
+    known = entity_ids(graph.nodes)
+    return graph.plus(
+        *[people[t].join(known, ["graph_id", "id"], "left_anti").select(*people[t].columns) for t in ("nodes", "props")]
+    )
+
+
 def edit_graph(graph: Graph, edits: DataFrame) -> Graph:
     return graph.with_(**ed.apply_edits(graph.nodes, graph.props, graph.roots, edits))
 

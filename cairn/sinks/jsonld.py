@@ -12,6 +12,9 @@ from cairn.plans.scale import LIST_ROWS
 # Properties whose values are JSON numbers.
 NUMERIC_PROPS = [".latitude", ".longitude"]
 
+# Fixed value: the context every document starts from.
+CONTEXT = "https://w3id.org/ro/crate/1.2/context"
+
 
 def _json_string(text: Column) -> Column:
     quoted = F.to_json(F.array(text))
@@ -79,6 +82,42 @@ def graph_to_json(
     )
 
 
+def document_lines(nodes: DataFrame, props: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """One JSON-LD document per graph, as lines (graph_id, section, id, part, line).
+
+    In order of section, id and part the lines are the document: its context,
+    an entity per line, and the end. No row holds a whole document.
+    """
+    entities = graph_to_json(nodes, props)
+    first = entities.groupBy("graph_id").agg(F.min(F.struct("id", "part")).alias("at"))
+    first = first.select("graph_id", "at.id", "at.part", F.lit("").alias("comma"))
+    body = entities.join(first, ["graph_id", "id", "part"], "left").select(
+        "graph_id",
+        F.lit(1).alias("section"),
+        "id",
+        "part",
+        F.concat(F.coalesce("comma", F.lit(",")), "json").alias("line"),
+    )
+    # prefixes are declared by hand, so one row holds them
+    terms = prefixes.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("prefix", "uri")))).alias("terms"))
+    context = F.concat(
+        F.lit(f'{{"@context":["{CONTEXT}",'), F.to_json("terms"), F.lit('],"@graph":[')
+    )
+    frame = entities.select("graph_id").distinct()
+    heads = frame.select("graph_id", F.lit(0).alias("section"), terms.select(context).scalar().alias("line"))
+    ends = frame.select("graph_id", F.lit(2).alias("section"), F.lit("]}").alias("line"))
+    return body.unionByName(heads.unionByName(ends), allowMissingColumns=True)
+
+
+def write_documents(
+    nodes: DataFrame, props: DataFrame, prefixes: DataFrame, path: str, mode: str = "overwrite"
+) -> None:
+    """A folder per graph whose part files, in order of name, are its document."""
+    order = ["graph_id", "section", "id", "part"]
+    lines = document_lines(nodes, props, prefixes).repartitionByRange(*order).sortWithinPartitions(*order)
+    lines.select("graph_id", F.col("line").alias("value")).write.mode(mode).partitionBy("graph_id").text(path)
+
+
 def write_graph(nodes: DataFrame, props: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON lines in a folder per graph."""
     lines = graph_to_json(nodes, props).select("graph_id", F.col("json").alias("value"))

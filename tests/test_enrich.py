@@ -2,7 +2,7 @@ import pytest
 
 from cairn.model import BUILTIN_PREFIXES, Graph, builtin_prefixes
 from cairn.operators import filters, links, places, publish, sheets, terms
-from cairn.plans.jobs import merge_metadata
+from cairn.plans.jobs import add_speakers, add_terms, merge_metadata
 
 CATALOG = "code string, name string, is_alternate int"
 
@@ -70,6 +70,17 @@ def test_sheets_merge_by_id(spark, nodes, props, root, sheet, lists, rows):
     assert rows(merged.nodes, "id") == [("#place-brisbane",), ("#place-cairns",), ("d/a.pdf",)]
 
 
+def test_terms_and_speakers_join_a_graph(spark, table, nodes, props, root, lists, rows):
+    graph = Graph(nodes(("a.mp3", "File"), ("#s2", "Person")), props(("#s2", "name", 0, "Known", None)), root("./"), builtin_prefixes(spark))
+    texts = table([("g", "a.mp3", "dyirbal story.mp3")], "graph_id string, file_id string, text string")
+    found = add_terms(graph, texts, table([("L:1", "Dyirbal", 0)], CATALOG))
+    assert lists(found.props)[("a.mp3", "ldac:subjectLanguage")] == [("@", "L:1")]
+    talk = table([("g", "t.docx", "Speakers:\nA: Ann #s1\nB: Bob #s2\nMAIN\nA: hi")], "graph_id string, doc_id string, text string")
+    spoken = add_speakers(graph, talk)
+    assert rows(spoken.nodes, "id") == [("#s1",), ("#s2",), ("a.mp3",)]
+    assert lists(spoken.props)[("#s2", "name")] == ["Known"]
+
+
 def test_custom_properties_get_definitions(table, nodes, props, lists):
     declared = table([("g", "arcp://name,custom/terms#participant", "Participant", "Who takes part")], "graph_id string, id string, name string, description string")
     written = props(("f", "custom:participant", 0, "", None), ("f", "custom:note", 0, "x", None), ("f", "dc:format", 0, "x", None))

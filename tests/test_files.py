@@ -98,7 +98,10 @@ def build(listing, root, **options):
 
 def test_whole_build(listing, root, rows, lists, props):
     name = props(("", "name", 0, "Test", None)).drop("id")
-    declared = ["custom:participant", "custom:possibleDuplicate"]
+    declared = {
+        f"custom:{p}": {"id": f"arcp://name,custom/terms#{p}", "name": p.title(), "description": "d"}
+        for p in ("participant", "possibleDuplicate")
+    }
     graph = build(listing, root, file_properties=declared, authored=name)
     objects = graph.nodes.filter("type = 'RepositoryObject'")
     assert rows(objects, "id") == [
@@ -117,6 +120,7 @@ def test_whole_build(listing, root, rows, lists, props):
     assert said[("D/dict.pdf", "custom:possibleDuplicate")] == [("@", "G/dict copy.pdf")]
     assert ("D/l/words.csv", "custom:possibleDuplicate") not in said
     assert said[("D/dict.pdf", "custom:participant")] == [""]
+    assert said[("arcp://name,custom/terms#participant", "name")] == ["Participant"]
     assert said[("ro-crate-metadata.json", "about")] == [("@", "arcp://name,test")]
     assert said[("ro-crate-metadata.json", "license")] == [("@", "https://example.org/by")]
     counts = {r["type"]: r["count"] for r in stats.type_counts(graph.nodes).collect()}

@@ -111,6 +111,20 @@ def test_long_lists_go_on_in_further_objects(nodes, props, monkeypatch, rows):
     assert {p["@id"] for p in parts} == {"#c"} and "name" in parts[0] and "name" not in parts[1]
 
 
+def test_documents_are_whole(birds, tmp_path, spark, table, lists):
+    twice = {k: df.unionByName(df.withColumn("graph_id", F.lit("h"))) for k, df in birds.items()}
+    json_sink.write_documents(twice["nodes"], twice["props"], builtin_prefixes(spark), str(tmp_path / "d"))
+    for graph in "gh":
+        files = sorted((tmp_path / "d" / f"graph_id={graph}").glob("part-*"))
+        text = "".join(f.read_text() for f in files)
+        document = json.loads(text)
+        assert document["@context"][1]["pcdm"] == "http://pcdm.org/models#"
+        assert len(document["@graph"]) == 4
+        back = read(table, text)
+        assert lists(back["props"]) == lists(birds["props"])
+        assert [r["root_id"] for r in back["roots"].collect()] == ["./"]
+
+
 def test_graphs_survive_json(birds, rows, tmp_path, spark, lists):
     path = str(tmp_path / "graph")
     json_sink.write_graph(birds["nodes"], birds["props"], path)
