@@ -47,36 +47,42 @@ def graph_to_json(
         .when(number, F.col("value"))
         .otherwise(_json_string(F.col("value")))
     )
-    item = F.struct("pos", encoded.alias("json"))
-    part = F.floor(F.col("pos") / LIST_ROWS).cast("bigint").alias("part")
-    lists = (
-        props.groupBy("graph_id", "id", part, "prop")
-        .agg(_list_or_single(_in_order(F.collect_list(item))).alias("list"))
-        .select(
-            "graph_id", "id", "part", F.struct("prop", F.concat(_json_string(F.col("prop")), F.lit(":"), "list").alias("json")).alias("field")
-        )
+    values = props.select(
+        "graph_id",
+        "id",
+        F.floor(F.col("pos") / LIST_ROWS).cast("bigint").alias("part"),
+        _json_string(F.col("prop")).alias("key"),
+        F.struct("pos", encoded.alias("json")).alias("item"),
     )
-    types = (
-        nodes.groupBy("graph_id", "id")
-        .agg(_list_or_single(_in_order(F.collect_list(F.struct("pos", "type", _json_string(F.col("type")).alias("json"))))).alias("types"))
-        .select(
-            "graph_id",
-            "id",
-            F.lit(0).cast("bigint").alias("part"),
-            F.struct(F.lit("").alias("prop"), F.concat(F.lit('"@type":'), "types").alias("json")).alias("field"),
-        )
+    # an entity without a type still is an object
+    types = nodes.select(
+        "graph_id",
+        "id",
+        F.lit(0).cast("bigint").alias("part"),
+        F.lit('"@type"').alias("key"),
+        F.when(
+            F.col("type").isNotNull(),
+            F.struct(F.col("pos").cast("bigint").alias("pos"), _json_string(F.col("type")).alias("json")),
+        ).alias("item"),
     )
-    fields = F.transform(F.array_sort(F.collect_list("field")), lambda x: x["json"])
+    items = _in_order(F.collect_list("item"))
+    said = F.concat("key", F.lit(":"), _list_or_single(items))
     return (
-        types.unionByName(lists)
+        values.unionByName(types)
+        # one shuffle serves both aggregations
+        .repartition("graph_id", "id", "part")
+        .groupBy("graph_id", "id", "part", "key")
+        .agg(F.when(F.size(items) > 0, said).alias("field"))
         .groupBy("graph_id", "id", "part")
-        .agg(fields.alias("fields"))
+        .agg(F.array_sort(F.collect_list("field")).alias("fields"))
         .select(
             "graph_id",
             "id",
             "part",
             F.concat(
-                F.lit('{"@id":'), _json_string(F.col("id")), F.lit(","), F.array_join("fields", ","), F.lit("}")
+                F.lit('{"@id":'),
+                F.array_join(F.concat(F.array(_json_string(F.col("id"))), "fields"), ","),
+                F.lit("}"),
             ).alias("json"),
         )
     )

@@ -56,15 +56,17 @@ def read_entities(entities: DataFrame) -> dict[str, DataFrame]:
         "id IS NOT NULL"
     )
     fields = _fields(identified, "graph_id", "id", "entity_no")
-    values = fields.filter("key <> '@id'").select(
+    values = fields.filter("NOT startswith(key, '@')").select(
         "graph_id", "id", "entity_no", "key", F.posexplode(_items(F.col("field"))).alias("pos", "item")
     )
     text = F.try_variant_get("item", "$", "string")
-    nodes = values.filter("key = '@type'").select(
-        "graph_id", "id", text.alias("type"), "pos", "entity_no"
-    )
+    # an entity without a type has one row, with a null type
+    types = _items(F.try_variant_get("entity", "$['@type']", "variant"))
+    nodes = identified.select(
+        "graph_id", "id", "entity_no", F.posexplode(types).alias("pos", "item")
+    ).select("graph_id", "id", text.alias("type"), "pos", "entity_no")
     ref = F.try_variant_get("item", "$['@id']", "string")
-    props = values.filter("NOT startswith(key, '@')").select(
+    props = values.select(
         "graph_id",
         "id",
         F.col("key").alias("prop"),

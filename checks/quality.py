@@ -125,7 +125,7 @@ def summary(v):
 
 JSON = """ls AS (SELECT id, pos // 10000 AS part, prop, count(*) AS n, string_agg(CASE WHEN ref IS NOT NULL THEN '{"@id":' || to_json(ref) || '}' ELSE to_json(value) END, ',' ORDER BY pos) AS items FROM rich_props GROUP BY ALL),
 fl AS (SELECT id, part, prop, to_json(prop) || ':' || CASE WHEN n = 1 THEN items ELSE '[' || items || ']' END AS field FROM ls
-  UNION ALL SELECT id, 0, '', '"@type":"' || type || '"' FROM graph_nodes)"""
+  UNION ALL SELECT id, 0, '@type', '"@type":"' || type || '"' FROM graph_nodes)"""
 
 
 @check(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cairn.model import Graph, builtin_prefixes
 from cairn.operators import quality as q
+from cairn.operators import stats
 from cairn.plans.jobs import check_graph
 from cairn.sinks import jsonld as json_sink
 from cairn.sinks import sheets as sheet_sink
@@ -193,6 +194,13 @@ def test_finding_the_root(table, entities, root):
     assert [r["root_id"] for r in found] == ([root] if root else [])
 
 
+def test_entities_without_a_type_are_kept(table, rows):
+    graph = read(table, {"@graph": [{"@id": "#x"}, {"@id": "#y", "name": "Y"}]})
+    assert rows(graph["nodes"], "id", "type") == [("#x", None), ("#y", None)]
+    assert [json.loads(r["json"]) for r in json_sink.graph_to_json(graph["nodes"], graph["props"]).orderBy("id").collect()] == [{"@id": "#x"}, {"@id": "#y", "name": "Y"}]
+    assert [tuple(r) for r in stats.type_counts(graph["nodes"]).collect()] == [("(none)", 2)]
+
+
 def test_malformed_documents_give_nothing(table):
     graph = read(table, "{ not json")
     assert graph["nodes"].count() == graph["props"].count() == graph["roots"].count() == 0
