@@ -8,7 +8,7 @@ from cairn.operators import quality as q
 from cairn.sinks.jsonld import graph_to_json
 from cairn.sinks.sheets import graph_to_sheet
 from cairn.sources import jsonld, tables
-from checks.overlay import COLS, graph_roots
+from checks.overlay import graph_roots
 from checks.registry import check, graph_rows
 
 CARD = """pr AS (SELECT class, prop, max(required) AS required, max(multiple) AS multiple FROM rules GROUP BY ALL),

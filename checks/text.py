@@ -235,9 +235,7 @@ l AS (SELECT graph_id, doc_id, ap AS image_pos, half, pos, {CAPTION} AS text FRO
 SELECT graph_id, doc_id, image_pos, half, CAST(0 AS BIGINT) AS part, string_agg(text, ' ' ORDER BY pos) AS text FROM l WHERE text <> '' GROUP BY ALL""",
 )
 def captions(v):
-    # each image stands within a few blocks of its captions, so part is 0 but for a segment border
-    joined = docs.attach_captions(v("blocks"))
-    return joined
+    return docs.attach_captions(v("blocks"))
 
 
 @check("fn_13", "blocks", f"SELECT doc_id, pos, {HALF} AS half, {CAPTION} AS said FROM blocks")
