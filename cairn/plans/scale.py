@@ -8,10 +8,10 @@ over separately.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEGMENT_ROWS = 1 << 16  # positions per segment of an ordered group
@@ -19,18 +19,37 @@ BROADCAST_ROWS = 100_000  # of narrow rows, a few megabytes
 LIST_ROWS = 10_000  # most values of one list gathered into one output row
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder the session names.
+def staging_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables.
+
+    ``spark.checkpoint.dir`` names it. Where that is unset, a folder in the
+    warehouse serves, which every executor of a session can reach as well.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/staging").rstrip("/")
+
 
-    ``spark.checkpoint.dir`` decides. Only a local session, which has no
-    other machine, may fall back to a temporary folder.
+def staged(df: DataFrame) -> DataFrame:
+    """Write once to the shared folder and read back.
+
+    Cuts lineage like a checkpoint, but as Parquet: readers prune columns and
+    know the size. What is not a function of the row (row ids, sampled range
+    borders) is fixed here, so a lost executor cannot change it. The folder
+    goes when the application ends.
     """
+    spark = df.sparkSession
+    folder = f"{staging_folder(spark)}/cairn-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cairn-"))
+        context.setCheckpointDir(staging_folder(df.sparkSession))
     return df.checkpoint()
 
 
