@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import exact_dedup, mixing, simhash
+from cairn.llm import exact_dedup, mixing, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +99,55 @@ def op10_mixing(documents):
 @query("op1_simhash", "documents")
 def op1_simhash(documents):
     return simhash.near_groups(documents)
+
+
+def _secret_sql() -> str:
+    """Spans from the gaps between matches; values counted by owner over the corpus."""
+    patterns = [(kind, pattern.replace("'", "''"), group, least) for kind, pattern, group, least in secrets.BASE + secrets.SHAPES]
+    found = " UNION ALL ".join(
+        f"""SELECT doc_id, source, lang, {n} AS pattern, '{kind}' AS kind, {group} AS grp, {least} AS least, text,
+               regexp_extract_all(text, '{pattern}') AS m, regexp_split_to_array(text, '{pattern}') AS g,
+               {f"regexp_extract_all(text, '{pattern}', {group})" if group else f"regexp_extract_all(text, '{pattern}')"} AS v
+            FROM d WHERE regexp_matches(text, '{pattern}')"""
+        for n, (kind, pattern, group, least) in enumerate(patterns)
+    )
+    return f"""
+    WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents),
+    f AS ({found}),
+    e AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f),
+    p AS (
+      SELECT doc_id, source, lang, kind, least, v[i] AS value,
+             CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))) AS BIGINT) AS "end",
+             length(m[i]) AS n
+      FROM e),
+    c AS (SELECT *, "end" - n AS begin, "end" - length(value) AS value_begin FROM p WHERE length(value) >= least),
+    o AS (SELECT value, count(DISTINCT coalesce(source, chr(1))) AS owners,
+                 count(DISTINCT coalesce(source, chr(1)) || chr(2) || coalesce(lang, chr(1))) AS repositories FROM c GROUP BY value),
+    k AS (
+      SELECT c.*, owners > {secrets.OWNERS} AS copied,
+             owners <= {secrets.OWNERS} AND repositories <= {secrets.REPOSITORIES}
+             AND regexp_matches(value, '[A-Za-z]') AND regexp_matches(value, '[0-9]')
+             AND len(list_distinct(string_split(value, ''))) >= {secrets.DISTINCT} AND (kind <> 'hex' OR length(value) >= 32) AS live
+      FROM c JOIN o USING (value)),
+    s AS (
+      SELECT doc_id, kind, begin, "end", copied, CASE kind WHEN 'assign' THEN 1 WHEN 'access' THEN 2 ELSE 3 END AS o
+      FROM k WHERE kind <> 'shaped'
+      UNION ALL
+      SELECT DISTINCT doc_id, 'live', value_begin, "end", false, 4 FROM k WHERE live),
+    r AS (
+      SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+             count(*) FILTER (WHERE kind = 'hex') AS n_hex, count(*) FILTER (WHERE kind = 'live') AS n_live,
+             count(*) FILTER (WHERE copied) AS n_copied,
+             string_agg(kind || ':' || begin || ':' || "end", ',' ORDER BY begin, o, "end") FILTER (WHERE o < 4) AS base,
+             string_agg(kind || ':' || begin || ':' || "end", ',' ORDER BY begin, o, "end") AS spans
+      FROM s GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN r USING (doc_id)
+    """
+
+
+@query("op6_secrets", "documents", _secret_sql())
+def op6_secrets(documents):
+    return secrets.digest(*secrets.scan_secrets(documents))
