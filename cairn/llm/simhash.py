@@ -193,9 +193,10 @@ def near_in_task(budget: int):
     """Links between the fingerprints of a task's nodes: a spanning forest of them."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches, NODE_ROWS)
-        if not table.num_rows:
+        batches = list(batches)
+        if not sum(batch.num_rows for batch in batches):
             return
+        table = pa.Table.from_batches(batches)
         node, rep = (np.asarray(table.column(c)) for c in ("node", "rep"))
         visits, value = np.asarray(table.column("visits")), np.asarray(table.column("value")).view("uint64")
         below = 64 - TOP_BITS  # above, a node's fingerprints agree and its visitors differ in one bit
