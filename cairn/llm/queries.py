@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import embeddings, exact_dedup, mixing, secrets, simhash
+from cairn.llm import embeddings, exact_dedup, licenses, mixing, pii, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -15,13 +15,13 @@ ORACLES: dict[str, str] = {}
 BATCH_ROWS = 512  # texts per Arrow batch; a worker holds one batch
 
 
-def query(name: str, table: str, sql: str | None = None):
-    """Register a function of one whole table."""
+def query(name: str, tables: str, sql: str | None = None):
+    """Register a function of whole tables."""
 
     def register(build):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-            return build(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            return build(*[spark.read.parquet(f"{sf_dir}/{table}.parquet") for table in tables.split()])
 
         QUERIES[name] = run
         if sql:
@@ -173,3 +173,18 @@ def op6_secrets(documents):
 )
 def op8_embeddings(vectors):
     return embeddings.near_vectors(vectors)
+
+
+@query("op2_toxicity", "documents labels")
+def op2_toxicity(documents, labels):
+    return toxicity.severity(documents, toxicity.fit(documents, labels))
+
+
+@query("op4_licenses", "documents")
+def op4_licenses(documents):
+    return licenses.scan_licenses(documents)
+
+
+@query("op5_pii", "documents")
+def op5_pii(documents):
+    return pii.scan_personal_data(documents)
