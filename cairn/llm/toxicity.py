@@ -1,11 +1,11 @@
 """Severity of toxic text by cumulative-link ordinal regression.
 
-Grades are ordered: 0 clean, 1 toxic in places, 2 toxic throughout. One weight
-per word is shared by all thresholds: P(grade >= k) = sigmoid(w.x - b_k) with
+Grades are ordered: 0 clean, 1 toxic, 2 toxic in many words. One weight per
+feature is shared by all thresholds: P(grade >= k) = sigmoid(w.x - b_k) with
 b_1 < b_2. The expected severity is the sum of these over k.
 
-Features are the words a text holds, each once, out of at most ``FEATURES``
-words that set the grades apart. The regression is fitted on at most
+Features are the words and beginnings of words that a text holds, each once,
+out of at most ``FEATURES`` that set toxic texts apart. The regression is fitted on at most
 ``SAMPLE`` labelled texts, those with the smallest hash of their id; counting
 their words runs in Spark, and only the chosen words of the sample reach the
 driver. Scoring covers every row.
@@ -29,13 +29,14 @@ from pyspark.sql import functions as F
 from cairn.llm.licenses import words_of
 from cairn.plans.scale import staged
 
-SAMPLE = 20_000  # most labelled texts to fit on
+SAMPLE = 12_000  # most labelled texts to fit on
 FEATURES = 2_048  # most words with a weight
 LEAST_TEXTS = 5  # of the sample that must hold a word
 GRADES = 3
-STEPS = 150
-RIDGE = 2.0  # strength of the penalty on weights
-REJECT = 0.5  # P(grade >= 1) from which a text counts as toxic
+STEPS = 400
+RIDGE = 1.0  # strength of the penalty on weights
+REJECT = 0.25  # P(grade >= 1) from which a text counts as toxic
+STEMS = (4, 5, 6)  # letters of the word beginnings that are features as well
 
 
 @dataclass(frozen=True)
@@ -43,40 +44,43 @@ class Model:
     weights: dict[bytes, float]
     thresholds: tuple[float, ...]  # none: nothing was learnt
 
-    def at_least(self, words: set[bytes]) -> np.ndarray:
+    def at_least(self, features: set[bytes]) -> np.ndarray:
         """P(grade >= k) for k = 1, 2 ..."""
         if not self.thresholds:
             return np.zeros(GRADES - 1)
-        logit = sum(self.weights[w] for w in sorted(self.weights.keys() & words))
+        logit = sum(self.weights[w] for w in sorted(self.weights.keys() & features))
         return 1 / (1 + np.exp(np.clip(np.array(self.thresholds) - logit, -50, 50)))
 
 
-def text_words(text: str | None) -> list[bytes]:
-    return words_of((text or "").lower().encode())
+def features_of(text: str | None) -> set[bytes]:
+    """The distinct words of a text and, with ^ ahead, their beginnings; beginnings count characters."""
+    words = set(words_of((text or "").lower().encode()))
+    found = set(words)
+    for word in map(bytes.decode, words):
+        found.update(f"^{word[:n]}".encode() for n in STEMS if len(word) > n)
+    return found
 
 
 def sample_words(docs: DataFrame, labels: DataFrame, id: str, text: str, toxic: str) -> DataFrame:
-    """(doc_id, toxic, n_words, words): the sample with the distinct words of each text."""
+    """(doc_id, toxic, words): the sample with the features of each text."""
     known = labels.select(F.col(id).alias("doc_id"), F.col(toxic).alias("toxic")).dropna()
     sample = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [text_words(t.as_py()) for t in batch.column("text")]
-            counts = pa.array([len(f) for f in found], "int64")
-            distinct = pa.array([sorted(set(f)) for f in found], pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), counts, distinct], ["doc_id", "toxic", "n_words", "words"])
+            found = pa.array([sorted(features_of(t.as_py())) for t in batch.column("text")], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), found], ["doc_id", "toxic", "words"])
 
     texts = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
     return staged(
         texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic", "text").mapInArrow(
-            split, "doc_id bigint, toxic int, n_words bigint, words array<binary>"
+            split, "doc_id bigint, toxic int, words array<binary>"
         )
     )
 
 
 def chosen_words(sample: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[bytes, float]]:
-    """The words that tell most about toxicity, with their log-odds."""
+    """The features that tell most about toxicity, with their log-odds."""
     counts = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(
         F.count_if(F.col("toxic") > 0).alias("bad"), F.count_if(F.col("toxic") <= 0).alias("good")
     )
@@ -86,11 +90,10 @@ def chosen_words(sample: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[by
     return [(bytes(r["word"]), r["odds"]) for r in top.orderBy(F.desc("told"), "word").limit(FEATURES).collect()]
 
 
-def grades(toxic: np.ndarray, marked: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-    """Toxic texts whose share of words that mark toxic texts is above their median are of grade 2."""
-    share = marked / np.maximum(n_words, 1)
-    line = np.median(share[toxic]) if toxic.any() else 0.0
-    return np.where(toxic, 1 + (share > line), 0)
+def grades(toxic: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """Toxic texts with more features that mark toxic texts than their median are of grade 2."""
+    line = np.median(marked[toxic]) if toxic.any() else 0.0
+    return np.where(toxic, 1 + (marked > line), 0)
 
 
 def fit_ordinal(rows: np.ndarray, columns: np.ndarray, grade: np.ndarray, n_features: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,12 +133,12 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     chosen = chosen_words(sample, n_toxic, n_clean)
     known = F.array(*[F.lit(w) for w, _ in chosen]) if chosen else F.array().cast("array<binary>")
     number = {w: i for i, (w, _) in enumerate(chosen)}
-    held = sample.select("doc_id", "toxic", "n_words", F.array_intersect("words", known).alias("words")).orderBy("doc_id").collect()
+    held = sample.select("doc_id", "toxic", F.array_intersect("words", known).alias("words")).orderBy("doc_id").collect()
     rows = np.array([i for i, r in enumerate(held) for _ in r["words"]], dtype="int64")
     columns = np.array([number[bytes(w)] for r in held for w in r["words"]], dtype="int64")
     marks = np.array([odds > 2 for _, odds in chosen] or [False])
     marked = np.bincount(rows, marks[columns], minlength=len(held)) if len(rows) else np.zeros(len(held))
-    grade = grades(np.array([r["toxic"] > 0 for r in held]), marked, np.array([r["n_words"] for r in held]))
+    grade = grades(np.array([r["toxic"] > 0 for r in held]), marked)
     weights, bounds = fit_ordinal(rows, columns, grade, max(1, len(chosen)))
     return Model({w: float(weights[i]) for w, i in number.items()}, tuple(map(float, bounds)))
 
@@ -145,7 +148,7 @@ def severity(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "tex
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            above = [model.at_least(set(text_words(t.as_py()))) for t in batch.column(1)]
+            above = [model.at_least(features_of(t.as_py())) for t in batch.column(1)]
             columns = [
                 pa.array([round(float(a.sum()), 6) for a in above], "float64"),
                 pa.array([int((a >= 0.5).sum()) for a in above], "int32"),
@@ -162,6 +165,6 @@ def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("boolean")
     def toxic(texts):
-        return texts.map(lambda t: bool(model.at_least(set(text_words(t)))[0] >= REJECT))
+        return texts.map(lambda t: bool(model.at_least(features_of(t))[0] >= REJECT))
 
     return docs.filter(~toxic(F.coalesce(text, F.lit(""))))
