@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import embeddings, exact_dedup, licenses, mixing, pii, secrets, simhash, toxicity
+from cairn.llm import embeddings, exact_dedup, html_text, licenses, mixing, pieces, pii, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 BATCH_ROWS = 512  # texts per Arrow batch; a worker holds one batch
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"  # the driver's copy is sent to the executors
 
 
 def query(name: str, tables: str, sql: str | None = None):
@@ -188,3 +189,13 @@ def op4_licenses(documents):
 @query("op5_pii", "documents")
 def op5_pii(documents):
     return pii.scan_personal_data(documents)
+
+
+@query("op3_html_text", "pages")
+def op3_html_text(pages):
+    return html_text.extract(pages)
+
+
+@query("op7_pieces", "documents")
+def op7_pieces(documents):
+    return pieces.encoded(documents, PIECES)
