@@ -46,8 +46,9 @@ def targets(
     """(_source, source_size) with ``target``: weights fill up to ``most`` times the size.
 
     Sources fill in the order of cap / weight. The level at which the water
-    stands is the first one that the source at hand can take whole; what lies
-    below it is full. One row per source, sorted as a whole.
+    stands is the first one that the source at hand can take whole, and of
+    those that later ones could take it is the highest; what lies below it is
+    full. One row per source, sorted as a whole.
     """
     n = F.row_number().over(Window.orderBy(F.col("_source").isNull(), "_source")) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (n % len(weights) + 1).cast("int"))
@@ -61,7 +62,7 @@ def targets(
         sources.withColumns({"_weight": weight, "_cap": cap})
         .withColumn("_level", left / F.sum("_weight").over(after))
         .withColumn("_holds", F.col("_cap") >= F.col("_level") * F.col("_weight"))
-        .withColumn("_level", F.min(F.when(F.col("_holds"), F.col("_level"))).over(whole))
+        .withColumn("_level", F.max(F.when(F.col("_holds"), F.col("_level"))).over(whole))
     )
     return filled.withColumn("target", F.least("_cap", F.col("_weight") * F.col("_level"))).drop(
         "_weight", "_cap", "_holds", "_level"

@@ -16,12 +16,17 @@ BATCH_ROWS = 512  # texts per Arrow batch; a worker holds one batch
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"  # the driver's copy is sent to the executors
 
 
+def bounded(spark: SparkSession) -> None:
+    """Let Arrow batches hold few texts, as one text may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def query(name: str, tables: str, sql: str | None = None):
     """Register a function of whole tables."""
 
     def register(build):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+            bounded(spark)
             return build(*[spark.read.parquet(f"{sf_dir}/{table}.parquet") for table in tables.split()])
 
         QUERIES[name] = run
@@ -77,7 +82,7 @@ def op9_exact_dedup(documents):
       SELECT *, budget - coalesce(sum(2 * source_size) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS rest,
              sum(weight) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS weights
       FROM o),
-    l AS (SELECT min(rest / weights) FILTER (WHERE 2 * source_size >= rest / weights * weight) AS level FROM f),
+    l AS (SELECT max(rest / weights) FILTER (WHERE 2 * source_size >= rest / weights * weight) AS level FROM f),
     t AS (
       SELECT source, source_size, n, least(2.0::DOUBLE * source_size, weight * level) AS target,
              CAST('0x' || substr(md5('0:' || coalesce(source, '') || CASE WHEN source IS NULL THEN ':null' ELSE '' END), 1, 12) AS BIGINT)::DOUBLE

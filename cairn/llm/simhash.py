@@ -11,9 +11,20 @@ The top of the trie cuts the work into tasks: a fingerprint goes to the node
 of its first bits and visits the nodes, with smaller numbers, that differ in
 one of them. A pair that differs there is thus met in one node.
 
+``near_unique`` keeps one document of each group of near-duplicates in the usual
+sense, a Jaccard similarity of their word shingles. Such texts may differ in a
+sixth of their fingerprint bits, so it takes 256 bits and walks 24 tries, each
+with the bits in another order: the first ten bits must agree, further down the
+budget grows with the depth. A pair in a sixth of whose bits the texts differ
+is missed by all tries once in a hundred times, closer ones hardly ever. What the
+tries find is joined to a minimum spanning forest, and the shingles themselves
+decide on each of its edges.
+
 Null texts count as empty; a text without words has fingerprint zero and links
-like any other. Rows that repeat an id count as one document. A null id takes
-part in linking but is never a smallest id.
+like any other. Rows that repeat an id count as one document in
+``near_groups`` and as documents of their own in ``near_unique``, where of rows
+equal in id and text one stays. A null id takes part in linking but is never a
+smallest id.
 """
 
 from __future__ import annotations
@@ -24,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.components import EDGE, components, spanning_forest
@@ -33,6 +44,7 @@ from cairn.plans.scale import staged
 SEED = 42
 TOP_BITS = 12  # of the trie; a pair of nodes below them is one group of a task
 PAIRS = 1 << 19  # node pairs walked at a time
+LEAVES = 64  # pairs of leaves below a pair of nodes that are compared at once
 
 
 def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
@@ -70,21 +82,26 @@ def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return hashes
 
 
+def row_key(id: str, text: str) -> list[Column]:
+    """What tells rows apart: the id, and a hash of the text where ids repeat."""
+    return [F.col(id).cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark")]
+
+
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3, size: int = 1) -> DataFrame:
-    """doc_id and f0, f1 ...: ``size`` times 64 fingerprint bits of each whole text."""
+    """doc_id, mark (a hash of the text) and f0, f1 ...: ``size`` times 64 fingerprint bits of each whole text."""
     names = [f"f{k}" for k in range(size)]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.zeros((batch.num_rows, size), dtype="uint64")
-            for at, value in enumerate(batch.column(1)):
+            for at, value in enumerate(batch.column(2)):
                 hashes = shingle_hashes(value.as_py(), words)
                 rows[at] = [majority(remixed(hashes, k)) for k in range(size)]
             columns = [pa.array(np.ascontiguousarray(rows[:, k]).view("int64")) for k in range(size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "mark", *names])
 
-    picked = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return picked.mapInArrow(made, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
+    picked = docs.select(*row_key(id, text), F.col(text).cast("binary").alias("text"))
+    return picked.mapInArrow(made, "doc_id bigint, mark bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
 # --- the trie ---------------------------------------------------------------
@@ -108,7 +125,7 @@ def trie_pairs(
         same = (pairs[:, 0] == pairs[:, 2]) & (pairs[:, 1] == pairs[:, 3])
         width = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2])
         pairs, same, width = (x[(width > 0) & ~(same & (width == 1))] for x in (pairs, same, width))
-        done = (width <= 4) | (depth == bits)
+        done = (width <= LEAVES) | (depth == bits)
         yield from leaf_pairs(value, pairs[done], same[done], width[done], int(allowed[bits]))
         pairs, same = pairs[~done], same[~done]
         if not len(pairs):
@@ -240,10 +257,135 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     Documents with one fingerprint are one leaf of the trie, under their
     smallest id; leaves are linked, and components of leaves become classes.
     """
-    prints = staged(fingerprints(docs, id, text, words))
+    prints = staged(fingerprints(docs, id, text, words).drop("mark"))
     leaves = staged(prints.groupBy("f0").agg(F.min("doc_id").alias("rep")))
     found = components(near_links(leaves.filter("rep IS NOT NULL"), budget))
     classes = staged(
         leaves.join(found, F.col("rep") == F.col("id"), "left").select("f0", F.coalesce("component", "rep").alias("component_id"))
     )
     return prints.join(classes, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- near-duplicates by similarity of shingles ----------------------------------
+
+SIZE = 4  # times 64 bits
+TOP, TURNS = 10, 6  # bits that must agree; places from which they are taken in each 64 bits
+FAR = 56  # differing bits of 256 beyond which a pair is no candidate: a fifth, and room for chance
+WIDE = [f"f{k}" for k in range(SIZE)]
+
+
+def rotated(value: np.ndarray, by: int) -> np.ndarray:
+    return (value << np.uint64(by)) | (value >> np.uint64(64 - by)) if by else value
+
+
+def to_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each wide fingerprint at its node of each trie."""
+    for batch in batches:
+        for word in range(SIZE):
+            value = np.asarray(batch.column(f"f{word}")).view("uint64")
+            for turn in range(TURNS):
+                top = (rotated(value, TOP * turn) >> np.uint64(64 - TOP)).astype("int32")
+                node = pa.array(top + ((word * TURNS + turn) << TOP), "int32")
+                yield pa.RecordBatch.from_arrays([node, *batch.columns], ["node", *batch.schema.names])
+
+
+def candidates_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, bits): a minimum spanning forest of the close pairs of a task's nodes."""
+    batches = list(batches)
+    if not sum(batch.num_rows for batch in batches):
+        return
+    table = pa.Table.from_batches(batches)
+    node, row = np.asarray(table.column("node")), np.asarray(table.column("row"))
+    prints = np.stack([np.asarray(table.column(c)).view("uint64") for c in WIDE], axis=1)
+    inner = np.zeros(len(node), dtype="uint64")
+    trie = node >> TOP
+    for t in np.unique(trie).tolist():
+        at = trie == t
+        inner[at] = rotated(prints[at, t // TURNS], TOP * (t % TURNS))
+    below = 64 - TOP
+    inner &= np.uint64((1 << below) - 1)
+    order = np.lexsort((inner, node))
+    node, row, prints, inner = node[order], row[order], prints[order], inner[order]
+    segment = np.cumsum(np.concatenate([[True], node[1:] != node[:-1]])) - 1
+    start = [(s, s, 0) for s in range(segment[-1] + 1)]
+    allowed = 3 + np.arange(below + 1) // 4
+    a = b = far = np.zeros(0, dtype="int64")
+
+    def forest(a, b, far):
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        keep = spanning_forest(len(nodes), at[: len(a)], at[len(a) :], far)
+        return a[keep], b[keep], far[keep]
+
+    for i, j in trie_pairs(inner, segment, start, below, allowed):
+        bits = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype="int64")
+        close = bits <= FAR
+        a, b, far = np.concatenate([a, row[i[close]]]), np.concatenate([b, row[j[close]]]), np.concatenate([far, bits[close]])
+        if len(a) > PAIRS:
+            a, b, far = forest(a, b, far)
+    a, b, far = forest(a, b, far)
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(far)], ["a", "b", "bits"])
+
+
+def thinnest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition's candidates those of a minimum spanning forest."""
+    a = b = far = np.zeros(0, dtype="int64")
+    for batch in batches:
+        a, b, far = (np.concatenate([x, np.asarray(batch.column(c))]) for x, c in ((a, "a"), (b, "b"), (far, "bits")))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        keep = spanning_forest(len(nodes), at[: len(a)], at[len(a) :], far)
+        a, b, far = a[keep], b[keep], far[keep]
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def shingle_sets(words: int):
+    """(row, shingles): the distinct 32-bit hashes of a text's word shingles."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words).astype("uint32")).view("int32") for t in batch.column(1)]
+            ends = np.cumsum([0, *map(len, sets)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, "int32"), pa.array(np.concatenate([np.zeros(0, "int32"), *sets])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["row", "shingles"])
+
+    return made
+
+
+def near_unique(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents that stay, with all their columns: of each group the one with the smallest id."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *row_key(id, text))
+    seen = fingerprints(docs, id, text, words=3, size=SIZE)
+    key = ["doc_id", "mark"]
+    prints = staged(
+        seen.groupBy(*key, *WIDE).agg(F.count("*").alias("n")).withColumn("row", F.monotonically_increasing_id())
+    )
+    leaves = staged(prints.groupBy(*WIDE).agg(F.min("row").alias("row"), F.count("*").alias("n")))
+    found = leaves.drop("n").mapInArrow(to_tries, "node int, " + ", ".join(f"{c} bigint" for c in WIDE) + ", row bigint")
+    close = staged(found.repartition("node").mapInArrow(candidates_in_task, "a bigint, b bigint, bits bigint"))
+    alike = leaves.filter("n > 1").withColumnRenamed("row", "a").drop("n").join(prints.withColumnRenamed("row", "b"), WIDE)
+    edges = staged(
+        close.repartition("a").mapInArrow(thinnest, EDGE).distinct().union(alike.filter("a <> b").select("a", "b"))
+    )
+    ends = edges.select(F.col("a").alias("row")).union(edges.select("b")).distinct()
+    involved = staged(prints.join(ends, "row").select("row", *key))
+    texts = met(rows, involved, key).select("row", F.col(f"doc.`{text}`").cast("binary").alias("text"))
+    sets = staged(texts.mapInArrow(shingle_sets(words), "row bigint, shingles array<int>").dropDuplicates(["row"]))
+    first = sets.select(F.col("row").alias("a"), F.col("shingles").alias("of_a"))
+    second = sets.select(F.col("row").alias("b"), F.col("shingles").alias("of_b"))
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    united = F.size("of_a") + F.size("of_b") - common
+    links = edges.join(first, "a").join(second, "b").filter(common >= united * F.lit(similarity)).select("a", "b")
+    classes = staged(components(links).join(involved, F.col("id") == F.col("row")).select("component", "row", *key))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    heads = staged(classes.groupBy("component").agg(F.min(order)["row"].alias("head")))
+    losers = classes.join(heads, "component").filter("row <> head").select(*key, F.lit(False).alias("once"))
+    repeated = prints.filter("n > 1").select(*key, F.lit(True).alias("once"))
+    decided = staged(losers.union(repeated.join(losers.select("doc_id", "mark"), key, "left_anti")))
+    told = met(rows, decided, key, "left")
+    once = told.filter("once").groupBy("mark", "doc_id").agg(F.first("doc").alias("doc"))
+    return told.filter("once IS NULL").select("doc.*").unionByName(once.select("doc.*"))
+
+
+def met(rows: DataFrame, other: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """Join on the key of a row; null ids meet."""
+    other = other.withColumnsRenamed({k: f"{k}_b" for k in key})
+    return rows.join(other, [F.col(k).eqNullSafe(F.col(f"{k}_b")) for k in key], how)
