@@ -122,12 +122,11 @@ class Page:
                 continue
             elif match["end"]:
                 self.close(tag)
+            elif tag in RAW:  # its content is no markup and no text; a block goes on around it
+                end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(source, at)
+                at = end.end() if end else length
             else:
                 self.open(tag, match["rest"])
-                if tag in RAW and not match["rest"].endswith("/"):
-                    end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(source, at)
-                    at = end.end() if end else length
-                    self.close(tag)
         self.flush()
         while len(self.stack) > 1:
             self.pop()

@@ -96,7 +96,7 @@ TEMPLATES = (
     ("mit", "Released under the MIT License", ("mit license",)),
 )
 
-RARE = 6  # words of a template that are indexed, the rarest first
+RARE = 6  # words of a template that are indexed, the rarest first; half of them where that is more
 DRIFT = 3  # words by which postings of one place may disagree
 LEAST = 0.6  # of a template's words must stand in its place
 
@@ -142,10 +142,11 @@ def rare_index(known: list[Template], frequency: dict[bytes, int]) -> Index:
     postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
     needed = []
     for number, template in enumerate(known):
-        rare = sorted(set(template.words), key=lambda w: (frequency.get(w, 0), w))[:RARE]
-        # words that no text holds cannot vote; of the rest, half must
+        different = sorted(set(template.words), key=lambda w: (frequency.get(w, 0), w))
+        rare = different[: max(RARE, len(different) // 2)]
+        # words that no text holds cannot vote; of the rest, a quarter must
         present = [w for w in rare if frequency.get(w, 0)]
-        needed.append(max(2, (len(present) + 1) // 2))
+        needed.append(max(2, len(present) // 4))
         for position, word in enumerate(template.words):
             if word in rare:
                 postings[word].append((number, position))

@@ -100,8 +100,11 @@ FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ٠-٩۰-۹०-९！-～\U0001d7ce-\U0001d7ff]"
 NAME = "(?:" + "|".join(sorted(DIGIT_NAMES, key=len, reverse=True)) + ")"
 AT = re.compile(r"\s*(?:[(\[{<]\s*(?:at|@|arroba)\s*[)\]}>]|(?<=\w)[-_](?:at|AT)[-_](?=\w))\s*", re.IGNORECASE)
 DOT = re.compile(r"\s*(?:[(\[{<]\s*(?:dot|\.|punkt|point|punto)\s*[)\]}>]|(?<=\w)[-_]dot[-_](?=\w))\s*", re.IGNORECASE)
+# Ends of domains without which bare words are no address.
+ENDS = "com|org|net|edu|gov|mil|int|info|biz|io|ai|app|dev|co|eu|de|at|ch|fr|es|it|nl|be|pl|pt|se|no|dk|fi|uk|ie|us|ca|au|nz|jp|cn|in|br|mx|ru|test|example"
 SPOKEN = re.compile(
-    r"(?<![\w.%+-])[A-Za-z0-9._%+-]+(\s+at\s+|\s*@\s*)[A-Za-z0-9-]+((?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*\s+dot\s+[A-Za-z]{2,})(?!\w)",
+    r"(?<![\w.%+-])[A-Za-z0-9._%+-]+(\s+at\s+|\s*@\s*)[A-Za-z0-9-]+"
+    rf"((?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*\s+dot\s+(?:{ENDS}))(?!\w)",
     re.IGNORECASE,
 )
 SPOKEN_TAIL = re.compile(r"\s+dot\s+", re.IGNORECASE)
