@@ -18,8 +18,8 @@ labels every severity is 0. Rows that repeat are scored each for itself.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,38 +29,44 @@ from pyspark.sql import functions as F
 from cairn.llm.licenses import words_of
 from cairn.plans.scale import staged
 
-SAMPLE = 12_000  # most labelled texts to fit on
+SAMPLE = 8_000  # most labelled texts to fit on
 FEATURES = 2_048  # most words with a weight
 LEAST_TEXTS = 5  # of the sample that must hold a word
 GRADES = 3
 STEPS = 400
 RIDGE = 1.0  # strength of the penalty on weights
 REJECT = 0.25  # P(grade >= 1) from which a text counts as toxic
-STEMS = (4, 5, 6)  # letters of the word beginnings that are features as well
+STEMS = (4, 5, 6)  # bytes of the word beginnings that are features as well
+
+
+def features_of(words: Iterable[bytes]) -> set[bytes]:
+    """Distinct words and, with ^ ahead, their beginnings."""
+    found = set(words)
+    found.update([b"^" + word[:n] for word in list(found) for n in STEMS if len(word) > n])
+    return found
+
+
+def text_words(text: str | None) -> set[bytes]:
+    return set(words_of((text or "").lower().encode()))
 
 
-@dataclass(frozen=True)
 class Model:
-    weights: dict[bytes, float]
-    thresholds: tuple[float, ...]  # none: nothing was learnt
+    """Weights of features, and a threshold for each grade from 1; none if nothing was learnt."""
+
+    def __init__(self, weights: dict[bytes, float], thresholds: tuple[float, ...]):
+        self.weights, self.thresholds = weights, thresholds
+        # a word can only matter if a feature begins like it
+        self.heads = frozenset(feature.removeprefix(b"^")[: STEMS[0]] for feature in weights)
 
-    def at_least(self, features: set[bytes]) -> np.ndarray:
+    def at_least(self, text: str | None) -> np.ndarray:
         """P(grade >= k) for k = 1, 2 ..."""
         if not self.thresholds:
             return np.zeros(GRADES - 1)
-        logit = sum(self.weights[w] for w in sorted(self.weights.keys() & features))
+        held = features_of(word for word in text_words(text) if word[: STEMS[0]] in self.heads)
+        logit = sum(self.weights[feature] for feature in sorted(self.weights.keys() & held))
         return 1 / (1 + np.exp(np.clip(np.array(self.thresholds) - logit, -50, 50)))
 
 
-def features_of(text: str | None) -> set[bytes]:
-    """The distinct words of a text and, with ^ ahead, their beginnings; beginnings count characters."""
-    words = set(words_of((text or "").lower().encode()))
-    found = set(words)
-    for word in map(bytes.decode, words):
-        found.update(f"^{word[:n]}".encode() for n in STEMS if len(word) > n)
-    return found
-
-
 def sample_words(docs: DataFrame, labels: DataFrame, id: str, text: str, toxic: str) -> DataFrame:
     """(doc_id, toxic, words): the sample with the features of each text."""
     known = labels.select(F.col(id).alias("doc_id"), F.col(toxic).alias("toxic")).dropna()
@@ -68,7 +74,7 @@ def sample_words(docs: DataFrame, labels: DataFrame, id: str, text: str, toxic:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([sorted(features_of(t.as_py())) for t in batch.column("text")], pa.list_(pa.binary()))
+            found = pa.array([sorted(features_of(text_words(t.as_py()))) for t in batch.column("text")], pa.list_(pa.binary()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), found], ["doc_id", "toxic", "words"])
 
     texts = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
@@ -79,11 +85,21 @@ def sample_words(docs: DataFrame, labels: DataFrame, id: str, text: str, toxic:
     )
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many toxic and clean texts of a task hold each feature."""
+    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    for batch in batches:
+        for toxic, words in zip(batch.column("toxic").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            seen[toxic > 0].update(words)
+    words = list(seen[0].keys() | seen[1].keys())
+    columns = [pa.array(words, "binary"), *(pa.array([seen[k][w] for w in words], "int64") for k in (1, 0))]
+    yield pa.RecordBatch.from_arrays(columns, ["word", "bad", "good"])
+
+
 def chosen_words(sample: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[bytes, float]]:
     """The features that tell most about toxicity, with their log-odds."""
-    counts = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(
-        F.count_if(F.col("toxic") > 0).alias("bad"), F.count_if(F.col("toxic") <= 0).alias("good")
-    )
+    counts = sample.select("toxic", "words").mapInArrow(counted, "word binary, bad bigint, good bigint")
+    counts = counts.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("good") + 0.5) / (n_clean + 1.0))
     told = F.abs(F.col("bad") / n_toxic - F.col("good") / n_clean) * F.abs(odds)
     top = counts.filter(F.col("bad") + F.col("good") >= LEAST_TEXTS).withColumns({"odds": odds, "told": told})
@@ -131,11 +147,17 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     if not n_toxic or not n_clean:
         return Model({}, ())
     chosen = chosen_words(sample, n_toxic, n_clean)
-    known = F.array(*[F.lit(w) for w, _ in chosen]) if chosen else F.array().cast("array<binary>")
     number = {w: i for i, (w, _) in enumerate(chosen)}
-    held = sample.select("doc_id", "toxic", F.array_intersect("words", known).alias("words")).orderBy("doc_id").collect()
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [sorted(number[w] for w in words if w in number) for words in batch.column("words").to_pylist()]
+            columns = [batch.column("doc_id"), batch.column("toxic"), pa.array(held, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "words"])
+
+    held = sample.mapInArrow(numbered, "doc_id bigint, toxic int, words array<int>").orderBy("doc_id").collect()
     rows = np.array([i for i, r in enumerate(held) for _ in r["words"]], dtype="int64")
-    columns = np.array([number[bytes(w)] for r in held for w in r["words"]], dtype="int64")
+    columns = np.array([w for r in held for w in r["words"]], dtype="int64")
     marks = np.array([odds > 2 for _, odds in chosen] or [False])
     marked = np.bincount(rows, marks[columns], minlength=len(held)) if len(rows) else np.zeros(len(held))
     grade = grades(np.array([r["toxic"] > 0 for r in held]), marked)
@@ -148,7 +170,7 @@ def severity(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "tex
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            above = [model.at_least(features_of(t.as_py())) for t in batch.column(1)]
+            above = [model.at_least(t.as_py()) for t in batch.column(1)]
             columns = [
                 pa.array([round(float(a.sum()), 6) for a in above], "float64"),
                 pa.array([int((a >= 0.5).sum()) for a in above], "int32"),
@@ -165,6 +187,6 @@ def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("boolean")
     def toxic(texts):
-        return texts.map(lambda t: bool(model.at_least(features_of(t))[0] >= REJECT))
+        return texts.map(lambda t: bool(model.at_least(t)[0] >= REJECT))
 
     return docs.filter(~toxic(F.coalesce(text, F.lit(""))))
