@@ -8,8 +8,10 @@ needs a column of its own and one job can carry any number of graphs:
            one of ``value`` (a literal) and ``ref`` (an entity id) is set
 ``roots``  graph_id, root_id              one row per graph
 
-``prefixes`` (prefix, uri) is shared by all graphs of a job. ``pos`` orders the
-values of one (entity, property); it is unique there but may have gaps.
+``prefixes`` graph_id, prefix, uri        one row per prefix of a graph
+
+``pos`` orders the values of one (entity, property); it is unique there but may
+have gaps.
 """
 
 from __future__ import annotations
@@ -68,8 +70,10 @@ def literal_table(spark: SparkSession, rows: Sequence[Sequence], **columns: str)
     return spark.createDataFrame(pa.table(arrays, names=list(columns)))
 
 
-def builtin_prefixes(spark: SparkSession) -> DataFrame:
-    return literal_table(spark, list(BUILTIN_PREFIXES.items()), prefix="string", uri="string")
+def builtin_prefixes(graphs: DataFrame) -> DataFrame:
+    """The prefixes that every graph has; ``graphs`` has a row per graph, as ``roots`` do."""
+    known = F.array(*[F.struct(F.lit(p).alias("prefix"), F.lit(u).alias("uri")) for p, u in BUILTIN_PREFIXES.items()])
+    return graphs.select("graph_id").distinct().select("graph_id", F.inline(known))
 
 
 def union_all(tables: Sequence[DataFrame]) -> DataFrame:

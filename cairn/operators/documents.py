@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cairn import functions as fn
 from cairn.model import fact, node_rows, prop_rows, union_all
-from cairn.plans.scale import number_rows, scan, segment_of
+from cairn.plans.scale import number_rows, scan
 
 DOC = ["graph_id", "doc_id"]
 CHAPTER_KINDS = ["h2", "h3"]
@@ -119,18 +119,12 @@ def caption_lines(blocks: DataFrame) -> DataFrame:
 
 
 def attach_captions(blocks: DataFrame) -> DataFrame:
-    """Caption and credit of each image, lines joined: (doc, image_pos, half, part, text).
-
-    A half longer than a segment goes on in the next ``part``.
-    """
-    lines = caption_lines(blocks).withColumn(
-        "part",
-        F.greatest(segment_of(F.col("pos")) - segment_of(F.col("image_pos")), F.lit(0)),
-    )
+    """Caption and credit of each image, lines joined: (doc, image_pos, half, text)."""
+    # the lines between two images of one document
     joined = F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " "
     )
-    return lines.groupBy(*DOC, "image_pos", "half", "part").agg(joined.alias("text"))
+    return caption_lines(blocks).groupBy(*DOC, "image_pos", "half").agg(joined.alias("text"))
 
 
 def exclude_working_docs(files: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from cairn import functions as fn
 from cairn.model import DESCRIPTOR, NODE_COLS, PROP_COLS, STRUCTURAL_TYPES, entity_ids
 from cairn.operators.files import rename_everywhere
 from cairn.operators.overlay import KEY
-from cairn.plans.scale import checkpointed, scattered
+from cairn.plans.scale import scattered, staged
 
 
 def _ops(edits: DataFrame, *names: str) -> DataFrame:
@@ -32,18 +32,27 @@ def last_property_edits(edits: DataFrame) -> DataFrame:
     return own.join(newest, [*KEY, "seq"])
 
 
-def edit_properties(props: DataFrame, edits: DataFrame) -> DataFrame:
-    """Replace all values of a property, or drop it; an empty ``set`` drops too."""
+def edit_properties(nodes: DataFrame, props: DataFrame, edits: DataFrame) -> DataFrame:
+    """Replace all values of a property, or drop it; an empty ``set`` drops too.
+
+    Only entities that exist get values; :func:`edits_of_nothing` has the rest.
+    """
     deciding = last_property_edits(edits)
     pos = F.coalesce("pos", F.lit(0)) if "pos" in edits.columns else F.lit(0)
     written = deciding.filter("op = 'set' AND (value IS NOT NULL OR ref IS NOT NULL)").select(
         "graph_id", "id", "prop", pos.cast("bigint").alias("pos"), "value", "ref"
-    )
+    ).join(entity_ids(nodes), ["graph_id", "id"], "left_semi")
     return props.join(deciding.select(*KEY).distinct(), KEY, "left_anti").unionByName(
         written.select(*props.columns)
     )
 
 
+def edits_of_nothing(nodes: DataFrame, edits: DataFrame) -> DataFrame:
+    """Changes of properties of ids that no entity has, for the report: (graph_id, seq, id, prop)."""
+    asked = _ops(edits, "set", "delete_property").select("graph_id", "seq", "id", "prop")
+    return asked.join(entity_ids(nodes), ["graph_id", "id"], "left_anti").select("graph_id", "seq", "id", "prop")
+
+
 def placeholder_entities(nodes: DataFrame, props: DataFrame) -> DataFrame:
     """A ``Thing`` for every referenced id that no entity has."""
     return (
@@ -147,9 +156,9 @@ def retype(nodes: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def apply_edits(nodes: DataFrame, props: DataFrame, roots: DataFrame, edits: DataFrame) -> dict[str, DataFrame]:
-    """All changes of a log. The entity list and the id map are read many times, so they are kept."""
-    props = edit_properties(props, edits)
+    """All changes of a log. The entity list and the id map are read many times, so they are staged."""
     nodes = retype(nodes, edits)
-    nodes = checkpointed(nodes.unionByName(add_entities(nodes, edits)))
-    renamed = rename_everywhere(nodes, props, checkpointed(valid_renames(nodes, roots, edits)))
+    nodes = staged(nodes.unionByName(add_entities(nodes, edits)))
+    props = edit_properties(nodes, props, edits)
+    renamed = rename_everywhere(nodes, props, staged(valid_renames(nodes, roots, edits)))
     return delete_entities(renamed["nodes"], renamed["props"], roots, edits)

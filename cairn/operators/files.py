@@ -29,8 +29,6 @@ from cairn.model import (
 )
 from cairn.plans.scale import number_rows, scattered
 
-PAIR_LIMIT = 50  # largest group of name-alikes whose members name each other
-
 
 def order_files(files: DataFrame) -> DataFrame:
     """``file_no``: the place of each file in its graph's listing, by path."""
@@ -72,33 +70,19 @@ def duplicate_groups(meta: DataFrame, skip_empty_key: bool = False) -> DataFrame
     return keyed.join(sizes.filter("group_size > 1"), ["graph_id", "dup_key"])
 
 
-def possible_duplicates(groups: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+def duplicate_hub(dup_key: Column) -> Column:
+    return F.concat(F.lit("#duplicates-"), F.translate(dup_key, " ", "-"))
+
+
+def possible_duplicates(groups: DataFrame) -> DataFrame:
     """Links between name-alikes: rows (graph_id, id, pos, ref).
 
-    Groups of up to ``pair_limit`` files name each other directly, both ways.
-    A larger group would need a quadratic number of links. There each file
-    links to one hub, and the hub to every file: a file's duplicates are the
-    hub's files without itself, and nothing is left out.
+    Each file links to the hub of its name and the hub to every file: a file's
+    possible duplicates are the hub's files without itself. Groups of any size
+    say it in two rows per file.
     """
-    small = (
-        groups.filter(F.col("group_size") <= pair_limit)
-        # a shuffle of its own after the join: it leaves the join free to split a
-        # hot name, and is not optimised away as a repartition by the join's keys is
-        .hint("rebalance", "graph_id", "dup_key")
-        .groupBy("graph_id", "dup_key")
-        .agg(F.collect_list(F.struct("id", F.col("file_no").alias("pos"))).alias("members"))
-    )
-    pairs = (
-        small.select("graph_id", "members", F.explode("members").alias("own"))
-        .select(
-            "graph_id",
-            F.col("own.id").alias("id"),
-            F.explode(F.filter("members", lambda m: m["id"] != F.col("own.id"))).alias("other"),
-        )
-        .select("graph_id", "id", F.col("other.pos").alias("pos"), F.col("other.id").alias("ref"))
-    )
     hub = duplicate_hub(F.col("dup_key"))
-    large = groups.filter(F.col("group_size") > pair_limit).select(
+    return groups.select(
         "graph_id",
         F.inline(
             F.array(
@@ -107,16 +91,10 @@ def possible_duplicates(groups: DataFrame, pair_limit: int = PAIR_LIMIT) -> Data
             )
         ),
     )
-    return pairs.unionByName(large)
-
-
-def duplicate_hub(dup_key: Column) -> Column:
-    return F.concat(F.lit("#duplicates-"), F.translate(dup_key, " ", "-"))
 
 
-def duplicate_hub_nodes(groups: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    large = groups.filter(F.col("group_size") > pair_limit).select("graph_id", "dup_key").distinct()
-    return node_rows(large, duplicate_hub(F.col("dup_key")), "Collection")
+def duplicate_hub_nodes(groups: DataFrame) -> DataFrame:
+    return node_rows(groups.select("graph_id", "dup_key").distinct(), duplicate_hub(F.col("dup_key")), "Collection")
 
 
 def _described(objects: DataFrame, profile: str) -> DataFrame:

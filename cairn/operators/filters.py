@@ -37,12 +37,12 @@ def is_structural(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def distinct_types(nodes: DataFrame) -> DataFrame:
-    """Types in use, sorted; the descriptor's do not count."""
+    """Types in use in each graph, sorted; the descriptor's do not count."""
     kind = fn.trim_all(F.col("type"))
     return (
         nodes.filter(F.col("id") != DESCRIPTOR)
-        .select(kind.alias("type"))
+        .select("graph_id", kind.alias("type"))
         .filter("type <> ''")
         .distinct()
-        .orderBy("type")
+        .orderBy("graph_id", "type")
     )

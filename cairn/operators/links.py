@@ -49,7 +49,7 @@ def resolve_media(refs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def asset_index(assets: DataFrame) -> DataFrame:
-    """The target behind each key: a path as it reads or, failing that, its decoded form."""
+    """The target behind each key of a graph: a path as it reads or, failing that, its decoded form."""
     path = F.col("path")
     decoded = fn.normalize_relative_path(path)
     keys = F.array(
@@ -57,11 +57,11 @@ def asset_index(assets: DataFrame) -> DataFrame:
         F.struct(F.when(fn.encode_uri(decoded) == path, decoded).alias("key"), F.lit(1).alias("rank")),
     )
     return (
-        assets.select("target", F.inline(keys))
+        assets.select("graph_id", "target", F.inline(keys))
         .filter("key IS NOT NULL")
-        .groupBy("key")
+        .groupBy("graph_id", "key")
         .agg(F.min(F.struct("rank", "target")).alias("hit"))
-        .select("key", F.col("hit.target").alias("target"))
+        .select("graph_id", "key", F.col("hit.target").alias("target"))
     )
 
 
@@ -72,7 +72,7 @@ def _mapped(refs: DataFrame, raw: str, assets: DataFrame) -> DataFrame:
     keyed = refs.withColumn("key", F.when(own, path))
     return (
         keyed.withColumn("_key", scattered(F.col("key"), F.col("key").isNotNull(), *refs.columns))
-        .join(asset_index(assets).withColumnRenamed("key", "_key"), "_key", "left")
+        .join(asset_index(assets).withColumnRenamed("key", "_key"), ["graph_id", "_key"], "left")
         .select(*refs.columns, "key", F.concat("target", fn.url_suffix(F.col(raw))).alias("mapped"))
     )
 

@@ -12,7 +12,6 @@ from cairn.model import PROP_COLS, literal_table
 from cairn.operators.links import with_text
 from cairn.operators.overlay import KEY
 from cairn.operators.sheets import context_rows
-from cairn.plans.scale import broadcast_if_small
 
 
 def expand_properties(props: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -21,7 +20,7 @@ def expand_properties(props: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 
 def expanded_copies(props: DataFrame, prefixes: DataFrame) -> DataFrame:
-    known = broadcast_if_small(context_rows(prefixes).withColumnRenamed("uri", "base"))
+    known = context_rows(prefixes).withColumnRenamed("uri", "base")
     compact = (
         props.filter(~F.col("prop").startswith("@"))
         .withColumn("prefix", fn.curie_prefix(F.col("prop")))
@@ -29,7 +28,7 @@ def expanded_copies(props: DataFrame, prefixes: DataFrame) -> DataFrame:
         .filter("prefix <> '' AND local <> ''")
     )
     copies = (
-        compact.join(known, "prefix")
+        compact.join(known, ["graph_id", "prefix"])
         .withColumn("prop", F.concat("base", "local"))
         .select(*PROP_COLS)
     )

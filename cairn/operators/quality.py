@@ -1,19 +1,17 @@
 """Checking graphs against a rule table, and for loose ends.
 
-``rules`` is (class, prop, range_type, required, multiple), one row per
-accepted range type. Every check returns one row per finding; checks advise
-and never stop a write.
+``rules`` is (class, prop, range_type, required, multiple, min_instances), one
+row per accepted range type. ``min_instances`` says how many entities of the
+class every graph must have; null, 0 and an absent column ask for none. Every
+check returns one row per finding; checks advise and never stop a write.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.model import entity_ids, union_all
-from cairn.plans.scale import broadcast_if_small
 
 # References to outside things that no entity describes.
 EXTERNAL_PROPS = ["license", "conformsTo", "encodingFormat"]
@@ -21,21 +19,21 @@ EXTERNAL_PROPS = ["license", "conformsTo", "encodingFormat"]
 # Types whose entities define vocabulary.
 VOCABULARY_TYPES = ["rdf:Property", "rdfs:Class"]
 
-MAX_CLASSES = 10_000  # a rule table is written by hand
-
 
 def check_cardinality(nodes: DataFrame, props: DataFrame, rules: DataFrame) -> DataFrame:
     """Required properties that are absent, single ones that have several values.
 
     Rows (graph_id, id, class, prop, problem, found).
     """
-    per_prop = broadcast_if_small(
+    per_prop = (
         rules.groupBy("class", "prop")
         .agg(F.max("required").alias("required"), F.max("multiple").alias("multiple"))
         .filter("required = 1 OR multiple = 0")
     )
     due = nodes.select("graph_id", "id", F.col("type").alias("class")).distinct().join(per_prop, "class")
-    counts = props.groupBy("graph_id", "id", "prop").agg(F.count("*").alias("found"))
+    # rules name few properties, so they narrow the values before they are counted
+    ruled = props.join(per_prop.select("prop").distinct(), "prop", "left_semi")
+    counts = ruled.groupBy("graph_id", "id", "prop").agg(F.count("*").alias("found"))
     checked = due.join(counts, ["graph_id", "id", "prop"], "left").withColumn(
         "found", F.coalesce("found", F.lit(0))
     )
@@ -49,20 +47,23 @@ def check_cardinality(nodes: DataFrame, props: DataFrame, rules: DataFrame) -> D
     )
 
 
-def rule_classes(rules: DataFrame) -> list[str]:
-    found = rules.select("class").distinct().limit(MAX_CLASSES + 1).collect()
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"a rule table has at most {MAX_CLASSES} classes")
-    return sorted(row["class"] for row in found)
+def check_instances(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    """Classes of which a graph has too few entities: (graph_id, class, found, wanted).
 
-
-def check_instances(nodes: DataFrame, classes: Sequence[str]) -> DataFrame:
-    """Classes of which a graph has not even one instance: (graph_id, class)."""
-    wanted = nodes.select("graph_id").distinct().select(
-        "graph_id", F.explode(F.array(*[F.lit(c) for c in classes])).alias("class")
+    Only classes with a minimum are asked of every graph.
+    """
+    least = F.col("min_instances") if "min_instances" in rules.columns else F.lit(0)
+    minimum = rules.groupBy("class").agg(F.max(least).alias("wanted")).filter("wanted > 0")
+    # the classes of a hand-written table, as one value
+    listed = minimum.agg(F.array_sort(F.collect_list(F.struct("class", "wanted"))).alias("listed"))
+    due = nodes.select("graph_id").distinct().select("graph_id", F.inline(listed.scalar()))
+    present = nodes.select("graph_id", "id", F.col("type").alias("class")).distinct()
+    counts = present.groupBy("graph_id", "class").agg(F.count("*").alias("found"))
+    return (
+        due.join(counts, ["graph_id", "class"], "left")
+        .select("graph_id", "class", F.coalesce("found", F.lit(0)).alias("found"), F.col("wanted").cast("bigint").alias("wanted"))
+        .filter("found < wanted")
     )
-    present = nodes.select("graph_id", F.col("type").alias("class")).distinct()
-    return wanted.join(present, ["graph_id", "class"], "left_anti")
 
 
 def _literal_fits(value: Column, range_type: Column) -> Column:
@@ -93,10 +94,8 @@ def check_ranges(nodes: DataFrame, props: DataFrame, rules: DataFrame) -> DataFr
     and a class if the entity it names has that type. Rows (graph_id, id,
     class, prop, pos, value, ref).
     """
-    allowed = broadcast_if_small(
-        rules.groupBy("class", "prop").agg(F.sort_array(F.collect_set("range_type")).alias("ranges"))
-    )
-    named = broadcast_if_small(rules.select("prop").distinct())
+    allowed = rules.groupBy("class", "prop").agg(F.sort_array(F.collect_set("range_type")).alias("ranges"))
+    named = rules.select("prop").distinct()
     classes = nodes.select("graph_id", "id", F.col("type").alias("class")).distinct()
     # rules name few properties, so they narrow the values before the big join
     ruled = props.join(named, "prop", "left_semi")
@@ -127,7 +126,7 @@ def unknown_properties(nodes: DataFrame, props: DataFrame, rules: DataFrame) ->
     vocabulary = entity_ids(nodes.filter(F.col("type").isin(VOCABULARY_TYPES)))
     return (
         props.select("graph_id", "id", "prop")
-        .join(broadcast_if_small(rules.select("prop").distinct()), "prop", "left_anti")
+        .join(rules.select("prop").distinct(), "prop", "left_anti")
         .distinct()
         .join(vocabulary, ["graph_id", "id"], "left_anti")
         .select("graph_id", "id", "prop")
@@ -139,16 +138,17 @@ def root_class(root_types: DataFrame, rules: DataFrame) -> DataFrame:
 
     ``root_types`` is (graph_id, pos, type); rows (graph_id, class, error).
     """
-    classes = rule_classes(rules)
-    known = F.col("type").isin(classes)
+    classes = rules.select(F.col("class").alias("type"), F.lit(True).alias("known")).distinct()
+    listed = rules.agg(F.array_join(F.array_sort(F.collect_set("class")), ", ").alias("listed"))
+    # the types of one root
     named = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "type"))), lambda x: x["type"]), ", ")
-    per_graph = root_types.groupBy("graph_id").agg(
-        F.min_by("type", F.when(known, F.col("pos"))).alias("first"),
-        F.max(known).alias("any_known"),
+    per_graph = root_types.join(classes, "type", "left").groupBy("graph_id").agg(
+        F.min_by("type", F.when(F.col("known"), F.col("pos"))).alias("first"),
+        F.coalesce(F.max("known"), F.lit(False)).alias("any_known"),
         named.alias("named"),
     )
     text = F.concat(
-        F.lit("root types ["), "named", F.lit("] match no class of the rules [" + ", ".join(classes) + "]")
+        F.lit("root types ["), "named", F.lit("] match no class of the rules ["), listed.scalar(), F.lit("]")
     )
     return per_graph.select(
         "graph_id",
@@ -157,9 +157,7 @@ def root_class(root_types: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def quality_report(
-    nodes: DataFrame, props: DataFrame, rules: DataFrame, required_classes: Sequence[str] = ()
-) -> DataFrame:
+def quality_report(nodes: DataFrame, props: DataFrame, rules: DataFrame) -> DataFrame:
     """All findings in one table: (graph_id, severity, check, id, prop, detail)."""
 
     def findings(df, severity, check, id, prop, detail):
@@ -179,11 +177,8 @@ def quality_report(
         findings(check_ranges(nodes, props, rules), "error", "range", id, prop, F.coalesce("value", "ref")),
         findings(dangling_refs(nodes, props), "warning", "dangling", id, prop, F.col("ref")),
         findings(unknown_properties(nodes, props, rules), "warning", "unknown", id, prop, none),
+        findings(check_instances(nodes, rules), "error", "instances", none, none, F.col("class")),
     ]
-    if required_classes:
-        parts.append(
-            findings(check_instances(nodes, required_classes), "error", "instances", none, none, F.col("class"))
-        )
     return union_all(parts)
 
 

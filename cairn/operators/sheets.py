@@ -120,23 +120,29 @@ def unmatched(files: DataFrame, sheet: DataFrame, sample: int) -> DataFrame:
 
 
 def context_rows(cells: DataFrame) -> DataFrame:
-    """Prefix declarations (prefix, uri) with a well-formed prefix and URI."""
+    """Prefixes of each graph (graph_id, prefix, uri) with a well-formed prefix and URI.
+
+    The last declaration holds: the one with the greatest ``pos``, if ``cells``
+    has that column, then the greatest URI.
+    """
+    place = F.col("pos") if "pos" in cells.columns else F.lit(0)
+    prefix, uri = fn.trim_all(F.col("prefix")), fn.trim_all(F.col("uri"))
     return (
-        cells.select(fn.trim_all(F.col("prefix")).alias("prefix"), fn.trim_all(F.col("uri")).alias("uri"))
+        cells.select("graph_id", prefix.alias("prefix"), uri.alias("uri"), place.alias("pos"))
         .filter(F.col("prefix").rlike(r"^[A-Za-z][A-Za-z0-9._-]*\z") & F.col("uri").rlike("(?i)^(https?:|urn:|arcp:)"))
-        .groupBy("prefix")
-        .agg(F.min("uri").alias("uri"))
+        .groupBy("graph_id", "prefix")
+        .agg(F.max(F.struct("pos", "uri"))["uri"].alias("uri"))
     )
 
 
 def discover_prefixes(targets: DataFrame, declared: DataFrame) -> DataFrame:
-    """Prefixes that targets use beyond the built-in ones; ``uri`` is null if undeclared."""
+    """Prefixes that a graph's targets use beyond the built-in ones; ``uri`` is null if undeclared."""
     used = (
-        targets.select(fn.curie_prefix(F.col("target")).alias("prefix"))
+        targets.select("graph_id", fn.curie_prefix(F.col("target")).alias("prefix"))
         .filter((F.col("prefix") != "") & ~F.col("prefix").isin(list(BUILTIN_PREFIXES)))
         .distinct()
     )
-    return used.join(context_rows(declared), "prefix", "left").select("prefix", "uri")
+    return used.join(context_rows(declared), ["graph_id", "prefix"], "left").select("graph_id", "prefix", "uri")
 
 
 def property_definitions(

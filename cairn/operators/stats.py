@@ -11,12 +11,12 @@ UNTYPED = "(none)"
 
 
 def type_counts(nodes: DataFrame) -> DataFrame:
-    """Entities per type, most first; blank and missing types count as ``(none)``."""
+    """Entities of each graph per type, most first; blank and missing types count as ``(none)``."""
     kind = F.coalesce(F.nullif(fn.trim_all(F.col("type")), F.lit("")), F.lit(UNTYPED))
     return (
-        nodes.groupBy(kind.alias("type"))
+        nodes.groupBy("graph_id", kind.alias("type"))
         .agg(F.count("*").alias("count"))
-        .orderBy(F.desc("count"), "type")
+        .orderBy("graph_id", F.desc("count"), "type")
     )
 
 
@@ -30,10 +30,10 @@ def build_stats(files: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def character_inventory(texts: DataFrame) -> DataFrame:
-    """Occurrences of each character of ``text``; line breaks count, pairs stay whole."""
+    """Occurrences of each character in the texts of each graph; line breaks count, pairs stay whole."""
     return (
-        texts.select(F.explode(F.split("text", "")).alias("character"))
+        texts.select("graph_id", F.explode(F.split("text", "")).alias("character"))
         .filter("character <> ''")
-        .groupBy("character")
+        .groupBy("graph_id", "character")
         .agg(F.count("*").alias("count"))
     )

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from cairn import functions as fn
 from cairn.model import entity_ids, fact, node_rows, prop_rows, union_all
-from cairn.plans.scale import broadcast_if_small
 
 # Generic words that identify nothing. The first three are fixed values.
 GENERIC_TERMS = ["north", "people", "unknown", "south", "east", "west", "language", "other"]
@@ -31,32 +30,28 @@ def usable_terms(catalog: DataFrame, include_alternates: bool = False) -> DataFr
 def match_terms(texts: DataFrame, catalog: DataFrame) -> DataFrame:
     """Whole-word, case-insensitive hits: rows (graph_id, file_id, code, name).
 
-    ``texts`` is (graph_id, file_id, text). The distinct word runs of a text,
-    of the lengths that terms have, are made inside its row and looked up by
-    an equi join: no text meets the whole catalogue, and as the runs of one
-    text are distinct, so are the hits.
+    ``texts`` is (graph_id, file_id, text). The distinct words of a text meet
+    the first words of terms by equality; only where a longer term begins is
+    the rest of it looked for in the text. Terms may be of any length.
     """
+    words = fn.words(F.col("name"))
     terms = (
-        catalog.select("code", "name", fn.words(F.col("name")).alias("term_words"))
-        .filter(F.size("term_words") > 0)
+        catalog.select("code", "name", F.get(words, F.lit(0)).alias("word"), F.array_join(words, " ").alias("run"))
+        .filter("run <> ''")
         .distinct()
     )
-    # as many numbers as the longest term has words
-    lengths = sorted(r[0] for r in terms.select(F.size("term_words")).distinct().collect())
-    spoken = F.col("spoken")
-    runs, longer = {1: spoken}, spoken
-    for length in range(2, max(lengths, default=1) + 1):
-        # the last run has no word to follow it and turns null
-        longer = F.zip_with(
-            longer, F.slice(spoken, length, F.size(spoken)), lambda run, word: F.concat(run, F.lit(" "), word)
-        )
-        runs[length] = longer
-    distinct = [F.array_compact(F.array_distinct(runs[n])) for n in lengths or [1]]
-    found = texts.select("graph_id", "file_id", fn.words(F.col("text")).alias("spoken")).select(
-        "graph_id", "file_id", F.explode(F.concat(*distinct)).alias("run")
+    key = ["graph_id", "file_id"]
+    spoken = texts.select(*key, fn.words(F.col("text")).alias("words"))
+    begun = spoken.select(*key, F.explode(F.array_distinct("words")).alias("word")).join(terms, "word")
+    short = begun.filter("run = word").select(*key, "code", "name")
+    lines = spoken.select(*key, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("line"))
+    longer = (
+        begun.filter("run <> word")
+        .join(lines, key)
+        .filter(F.col("line").contains(F.concat(F.lit(" "), "run", F.lit(" "))))
+        .select(*key, "code", "name")
     )
-    wanted = terms.select("code", "name", F.array_join("term_words", " ").alias("run"))
-    return found.join(broadcast_if_small(wanted), "run").select("graph_id", "file_id", "code", "name")
+    return short.union(longer).distinct()
 
 
 def link_terms(

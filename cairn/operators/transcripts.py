@@ -45,16 +45,17 @@ def tag_lines(
 ) -> DataFrame:
     """Give each line its section, its block and the line its turn starts on.
 
-    One pass carries all three. A turn starts at a speaker code, a section
-    heading or a ``Label:`` line; other lines continue the turn above.
+    One pass carries all three. A turn starts at a speaker code or a section
+    heading; other lines continue the turn above. Ahead of the first section
+    a ``Label:`` line is a heading as well, inside of one it is spoken text.
     """
     line = F.col("line")
     marker = fn.section_marker(line) if marker is None else marker
     segment = segment_of(F.col(pos)) if segment is None else segment
-    heading = line.rlike(r"^\s*[A-Z][A-Za-z ]*:") | fn.section_marker(line).isNotNull()
-    starts = fn.speaker_code(line).isNotNull() | heading | marker.isNotNull()
-    here = F.struct(F.col(pos).alias("at"), segment.alias("seg"), fn.speaker_code(line).alias("code"))
-    return scan(
+    label = line.rlike(r"^\s*[A-Z][A-Za-z ]*:")
+    starts = fn.speaker_code(line).isNotNull() | fn.section_marker(line).isNotNull() | marker.isNotNull()
+    here = F.struct(F.col(pos).alias("at"), fn.speaker_code(line).alias("code"))
+    tagged = scan(
         lines,
         DOC,
         pos,
@@ -64,9 +65,12 @@ def tag_lines(
             "block": F.when(fn.trim_all(line) == SPEAKER_HEADING, F.lit("speakers")).when(
                 marker.isNotNull(), F.lit("turns")
             ),
-            "start": F.when(starts, here),
+            "_inside": F.when(starts, here),
+            "_ahead": F.when(starts | label, here),
         },
     )
+    start = F.when(F.col("section").isNull(), F.col("_ahead")).otherwise(F.col("_inside"))
+    return tagged.withColumn("start", start).drop("_inside", "_ahead", "_seg")
 
 
 def assign_sections(
@@ -77,30 +81,26 @@ def assign_sections(
 
 
 def turns(tagged: DataFrame, pos: str = "line_no") -> DataFrame:
-    """Join the lines of each turn with blanks: (doc, at, part, code, section, text).
+    """Join the lines of each turn with blanks: (doc, at, code, section, block, text).
 
-    A turn that runs over a segment border goes on in the next ``part``, so no
-    cell outgrows a segment.
+    A turn is part of one transcript cell and so no longer than that.
     """
     line = F.col("line")
     is_start = F.col("start.at") == F.col(pos)
     piece = F.when(is_start & F.col("start.code").isNotNull(), fn.spoken_text(line)).otherwise(
         fn.trim_all(line)
     )
-    spoken = tagged.withColumns(
-        {"_piece": piece, "_at": F.coalesce("start.at", F.col(pos)), "_from": F.coalesce("start.seg", "_seg")}
-    )
+    spoken = tagged.withColumns({"_piece": piece, "_at": F.coalesce("start.at", F.col(pos))})
     pieces = F.array_sort(F.collect_list(F.when(F.col("_piece") != "", F.struct(F.col(pos).alias("p"), "_piece"))))
     return (
-        # lines are already placed by document and segment: no further shuffle
-        spoken.groupBy(*DOC, "_seg", F.col("_at").alias("at"))
+        spoken.groupBy(*DOC, F.col("_at").alias("at"))
         .agg(
-            (F.col("_seg") - F.min("_from")).alias("part"),
             F.max("start.code").alias("code"),
             F.max("section").alias("section"),
+            F.min_by("block", pos).alias("block"),
             pieces.alias("pieces"),
         )
-        .select(*DOC, "at", "part", "code", "section", F.array_join("pieces._piece", " ").alias("text"))
+        .select(*DOC, "at", "code", "section", "block", F.array_join("pieces._piece", " ").alias("text"))
     )
 
 
@@ -108,7 +108,7 @@ def merge_continuations(
     lines: DataFrame, pos: str = "line_no", segment: Column | None = None, marker: Column | None = None
 ) -> DataFrame:
     merged = turns(tag_lines(lines, pos, segment, marker), pos)
-    return merged.filter("text <> '' OR code IS NOT NULL")
+    return merged.filter("text <> '' OR code IS NOT NULL").drop("block")
 
 
 def speakers(tagged: DataFrame, pos: str = "line_no") -> DataFrame:
@@ -167,17 +167,17 @@ def speaker_entities(declared: DataFrame) -> dict[str, DataFrame]:
 def speaker_rows(merged: DataFrame, declared: DataFrame) -> DataFrame:
     """Turns with their speaker ids; a code nobody declared stands for itself.
 
-    Only turns in a section count. ``doc_id`` is the transcript's path, from
+    The speaker list and what stands before it are no turns; turns outside
+    any section have a null section. ``doc_id`` is the transcript's path, from
     which the ids of its table and object follow.
     """
     stem = fn.strip_ext(F.col("doc_id").cast("string"))
     return (
-        merged.filter("code IS NOT NULL AND section IS NOT NULL")
+        merged.filter("code IS NOT NULL AND (block IS NULL OR block <> 'speakers')")
         .join(declared.select(*DOC, "code", "speaker_id"), [*DOC, "code"], "left")
         .select(
             *DOC,
             "at",
-            "part",
             "code",
             F.coalesce("speaker_id", "code").alias("speaker_id"),
             "text",
@@ -196,12 +196,8 @@ def transcript_rows(texts: DataFrame, header_rows: int = 0, footer_rows: int = 0
 
 
 def used_codes(rows: DataFrame) -> DataFrame:
-    """Distinct codes of each transcript.
-
-    The shuffle of its own leaves the join that made ``rows`` free to split a
-    speaker who says very much.
-    """
-    return rows.select(*DOC, "code").hint("rebalance", *DOC, "code").distinct()
+    """Distinct codes of each transcript, made distinct before they are shuffled."""
+    return rows.select(*DOC, "code").distinct()
 
 
 def unresolved_speakers(rows: DataFrame, declared: DataFrame) -> DataFrame:

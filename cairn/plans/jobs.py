@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from cairn.model import DUPLICATE_PROP, Graph, builtin_prefixes, entity_ids, union_all
+from cairn.model import DUPLICATE_PROP, NODE_COLS, PROP_COLS, Graph, builtin_prefixes, entity_ids, union_all
 from cairn.operators import edits as ed
 from cairn.operators import files as fs
-from cairn.operators import overlay, quality, sheets, terms, transcripts
+from cairn.operators import overlay, places, quality, sheets, terms, transcripts
+from cairn.operators.links import entity_names
 
 
 def build_graph(
@@ -55,37 +57,85 @@ def build_graph(
     nodes.append(entities["nodes"])
     props.append(entities["props"])
     moved = fs.rewrite_hash_ids(union_all(nodes), union_all(props), roots)
-    return Graph(moved["nodes"], moved["props"], roots, builtin_prefixes(files.sparkSession))
+    return Graph(moved["nodes"], moved["props"], roots, builtin_prefixes(roots))
 
 
 def overlay_graph(target: Graph, source: Graph) -> Graph:
-    """Lay an authored graph over a built one, then take its membership."""
+    """Lay an authored graph over a built one, then take its membership.
+
+    What the source says of its own root fills what the target's root lacks.
+    """
     said = overlay.remap_root_refs(source.props, target.roots).drop("remapped")
     nodes = overlay.merge_nodes(target.nodes, source.nodes, source.roots)
     props = overlay.merge_graphs(target.props, said, source.roots)
+    of_root = (
+        overlay.root_properties(said, source.roots)
+        .drop("id")
+        .join(target.roots.withColumnRenamed("root_id", "id"), "graph_id")
+        .select(*PROP_COLS)
+    )
+    props = props.unionByName(overlay.seed_root(props, of_root).select(*PROP_COLS))
     members = overlay.replace_membership(props, source.props, nodes, target.roots, source.roots)
     return target.with_(nodes=nodes, props=members["props"])
 
 
-def merge_metadata(graph: Graph, sheet: DataFrame, mapping: Sequence[dict]) -> Graph:
-    """Merge a metadata sheet and describe the custom properties it brought."""
+def merge_metadata(
+    graph: Graph,
+    sheet: DataFrame,
+    mapping: Sequence[dict],
+    *,
+    gazetteer: DataFrame | None = None,
+    region: str | None = None,
+    declared: DataFrame | None = None,
+) -> Graph:
+    """Merge a metadata sheet and describe the custom properties it brought.
+
+    Entities that the sheet's ``Place`` columns made get a geometry where the
+    ``gazetteer`` knows their name. ``declared`` (graph_id, prefix, uri) are
+    the sheet's context rows: prefixes that the mapping uses join the graph's.
+    """
     merged = sheets.merge_sheet(graph.nodes, graph.props, sheet, mapping)
     defined = sheets.property_definitions(merged["nodes"], merged["written"])
-    return graph.with_(nodes=merged["nodes"], props=merged["props"]).plus(
-        defined["nodes"], defined["props"]
-    )
+    made = graph.with_(nodes=merged["nodes"], props=merged["props"]).plus(defined["nodes"], defined["props"])
+    if gazetteer is not None:
+        placed = merged["minted"].filter("type = 'Place'").select("graph_id", "id")
+        names = entity_names(merged["props"]).join(placed, ["graph_id", "id"], "left_semi")
+        found = places.lookup_places(names.select("graph_id", "name").distinct(), gazetteer, region)
+        geometry = places.attach_geometry(names, found)
+        made = made.plus(geometry["nodes"], geometry["props"])
+    if declared is not None:
+        targets = F.array(*[F.lit(m["target"]) for m in mapping])
+        used = graph.roots.select("graph_id", F.explode(targets).alias("target"))
+        known = graph.prefixes.select("graph_id", "prefix")
+        fresh = sheets.discover_prefixes(used, declared).filter("uri IS NOT NULL")
+        made = made.with_(prefixes=graph.prefixes.unionByName(fresh.join(known, ["graph_id", "prefix"], "left_anti")))
+    return made
 
 
 def add_terms(
-    graph: Graph, texts: DataFrame, catalog: DataFrame, include_alternates: bool = False
+    graph: Graph,
+    texts: DataFrame,
+    catalog: DataFrame,
+    include_alternates: bool = False,
+    geometry: DataFrame | None = None,
 ) -> Graph:
     """Find catalogue terms in the names of files and link what was found.
 
-    ``texts`` is (graph_id, file_id, text); a term's ``code`` becomes its id.
+    ``texts`` is (graph_id, file_id, text); a term's ``code`` becomes its id,
+    under which ``geometry`` (term_id, geo_id, wkt) knows it. Terms that the
+    graph has stay as they are; the links of a file replace those it had.
     """
     hits = terms.match_terms(texts, terms.usable_terms(catalog, include_alternates))
-    made = terms.link_terms(graph.nodes, hits.withColumnRenamed("code", "term_id"))
-    return graph.plus(made["nodes"], made["props"])
+    made = terms.link_terms(graph.nodes, hits.withColumnRenamed("code", "term_id"), geometry)
+    known = entity_ids(graph.nodes)
+    links = made["props"].filter(F.col("prop") == terms.LINK_PROP)
+    said = made["props"].filter(F.col("prop") != terms.LINK_PROP)
+    # of a term the graph has, only a geometry it lacks is new
+    fresh = said.join(known, ["graph_id", "id"], "left_anti").unionByName(
+        overlay.seed_root(graph.props, said.filter("prop = 'geo'").join(known, ["graph_id", "id"], "left_semi")).select(*PROP_COLS)
+    )
+    nodes = made["nodes"].join(known, ["graph_id", "id"], "left_anti").select(*NODE_COLS)
+    return graph.with_(props=overlay.replace_values(graph.props, links.select(*PROP_COLS))).plus(nodes, fresh.select(*PROP_COLS))
 
 
 def add_speakers(graph: Graph, texts: DataFrame, header_rows: int = 0, footer_rows: int = 0) -> Graph:
@@ -103,5 +153,5 @@ def edit_graph(graph: Graph, edits: DataFrame) -> Graph:
 
 def check_graph(graph: Graph, rules: DataFrame) -> DataFrame:
     """Errors and warnings per graph; ``quality.quality_report`` has the findings."""
-    report = quality.quality_report(graph.nodes, graph.props, rules, quality.rule_classes(rules))
+    report = quality.quality_report(graph.nodes, graph.props, rules)
     return quality.quality_summary(report, graph.roots)

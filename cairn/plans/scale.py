@@ -15,8 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEGMENT_ROWS = 1 << 16  # positions per segment of an ordered group
-BROADCAST_ROWS = 100_000  # of narrow rows, a few megabytes
-LIST_ROWS = 10_000  # most values of one list gathered into one output row
 
 
 def staging_folder(spark: SparkSession) -> str:
@@ -45,31 +43,24 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(staging_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def number_rows(
     df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "row_no"
 ) -> DataFrame:
     """Number rows 0, 1, 2 … within each group, without a task per group.
 
     Rows are range-partitioned over (group, order), which also cuts a group
-    that holds most of the data. The sampled borders are fixed by a
-    checkpoint, so a lost executor cannot move a row. A piece's first number
+    that holds most of the data. The numbered rows are staged, so a lost
+    executor cannot move a row over the sampled borders. A piece's first number
     is the size of the group's earlier pieces: at most one row per partition
     and group.
     """
     keys = [*group, *order]
-    placed = checkpointed(
+    placed = staged(
         df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_at", F.monotonically_increasing_id())
-    ).withColumn("_piece", F.shiftright("_at", 33))
+        .withColumn("_piece", F.shiftright("_at", 33))
+    )
     earlier = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     pieces = (
         placed.groupBy(*group, "_piece")
@@ -78,18 +69,12 @@ def number_rows(
         .drop("_size")
     )
     return (
-        placed.join(broadcast_if_small(pieces), [*group, "_piece"])
+        placed.join(pieces, [*group, "_piece"])
         .withColumn(name, F.col("_at") - F.col("_first") + F.col("_before"))
         .drop("_at", "_piece", "_first", "_before")
     )
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Kept result, to be broadcast if it has few rows; else Spark picks the join."""
-    kept = checkpointed(df)
-    return F.broadcast(kept) if kept.count() <= rows else kept
-
-
 def scattered(key: Column, wanted: Column, *row: str) -> Column:
     """``key`` where wanted, else one of many keys that match nothing.
 

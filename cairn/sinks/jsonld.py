@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.plans.scale import LIST_ROWS
-
 # Properties whose values are JSON numbers.
 NUMERIC_PROPS = [".latitude", ".longitude"]
 
@@ -21,25 +19,19 @@ def _json_string(text: Column) -> Column:
     return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
 
 
-def _in_order(items: Column) -> Column:
-    return F.transform(F.array_sort(items), lambda x: x["json"])
-
-
-def _list_or_single(items: Column) -> Column:
-    return F.when(F.size(items) == 1, F.get(items, F.lit(0))).otherwise(
-        F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
-    )
+ORDER = ["graph_id", "id", "rank", "key", "pos"]
 
 
 def graph_to_json(
     nodes: DataFrame, props: DataFrame, numeric_props: Sequence[str] = NUMERIC_PROPS
 ) -> DataFrame:
-    """Rows (graph_id, id, part, json): one JSON object per entity.
+    """One JSON object per entity, as fragments (graph_id, id, rank, key, pos, text).
 
-    Single values stand alone, several form a list in order of ``pos``. A list
-    whose positions run past ``LIST_ROWS`` goes on in further objects with the
-    same ``@id`` (``part`` 1, 2, …), which JSON-LD reads as one entity; no
-    object, and no task, has to hold a list of any length.
+    In order of these columns, the texts of an entity are its object: an
+    opening, a fragment per value, an end. Single values stand alone, several
+    form a list in order of ``pos``. A value's brackets and commas follow from
+    the first and last position of its property, so a list of any length is
+    never gathered in a row or a task.
     """
     number = F.col("prop").isin(list(numeric_props)) & F.col("value").try_cast("double").isNotNull()
     encoded = (
@@ -47,71 +39,53 @@ def graph_to_json(
         .when(number, F.col("value"))
         .otherwise(_json_string(F.col("value")))
     )
-    values = props.select(
-        "graph_id",
-        "id",
-        F.floor(F.col("pos") / LIST_ROWS).cast("bigint").alias("part"),
-        _json_string(F.col("prop")).alias("key"),
-        F.struct("pos", encoded.alias("json")).alias("item"),
+    key = ["graph_id", "id", "key"]
+    types = nodes.filter("type IS NOT NULL").select(
+        "graph_id", "id", F.lit("@type").alias("key"), F.col("pos").cast("bigint").alias("pos"), _json_string(F.col("type")).alias("json")
     )
-    # an entity without a type still is an object
-    types = nodes.select(
+    values = props.select("graph_id", "id", F.col("prop").alias("key"), "pos", encoded.alias("json")).unionByName(types)
+    spans = values.groupBy(*key).agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    several, begins, ends = F.col("first") < F.col("last"), F.col("pos") == F.col("first"), F.col("pos") == F.col("last")
+    opening = F.concat(F.lit(","), _json_string(F.col("key")), F.lit(":"), F.when(several, "[").otherwise(""))
+    said = values.join(spans, key).select(
         "graph_id",
         "id",
-        F.lit(0).cast("bigint").alias("part"),
-        F.lit('"@type"').alias("key"),
-        F.when(
-            F.col("type").isNotNull(),
-            F.struct(F.col("pos").cast("bigint").alias("pos"), _json_string(F.col("type")).alias("json")),
-        ).alias("item"),
+        F.lit(1).alias("rank"),
+        "key",
+        "pos",
+        F.concat(F.when(begins, opening).otherwise(","), "json", F.when(several & ends, "]").otherwise("")).alias("text"),
     )
-    items = _in_order(F.collect_list("item"))
-    said = F.concat("key", F.lit(":"), _list_or_single(items))
-    return (
-        values.unionByName(types)
-        # one shuffle serves both aggregations
-        .repartition("graph_id", "id", "part")
-        .groupBy("graph_id", "id", "part", "key")
-        .agg(F.when(F.size(items) > 0, said).alias("field"))
-        .groupBy("graph_id", "id", "part")
-        .agg(F.array_sort(F.collect_list("field")).alias("fields"))
-        .select(
-            "graph_id",
-            "id",
-            "part",
-            F.concat(
-                F.lit('{"@id":'),
-                F.array_join(F.concat(F.array(_json_string(F.col("id"))), "fields"), ","),
-                F.lit("}"),
-            ).alias("json"),
-        )
+    # an entity without a type, or without an entity row, still is an object
+    ids = nodes.select("graph_id", "id").union(props.select("graph_id", "id")).distinct()
+    frame = F.array(
+        F.struct(F.lit(0).alias("rank"), F.concat(F.lit('{"@id":'), _json_string(F.col("id"))).alias("text")),
+        F.struct(F.lit(2).alias("rank"), F.lit("}").alias("text")),
     )
+    framed = ids.select("graph_id", "id", F.inline(frame))
+    return said.unionByName(framed, allowMissingColumns=True)
 
 
 def document_lines(nodes: DataFrame, props: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """One JSON-LD document per graph, as lines (graph_id, section, id, part, line).
+    """One JSON-LD document per graph, as lines (graph_id, section, id, rank, key, pos, line).
 
-    In order of section, id and part the lines are the document: its context,
-    an entity per line, and the end. No row holds a whole document.
+    In order the lines are the document: its context with the prefixes of the
+    graph, the fragments of its entities, and the end.
     """
     entities = graph_to_json(nodes, props)
-    first = entities.groupBy("graph_id").agg(F.min(F.struct("id", "part")).alias("at"))
-    first = first.select("graph_id", "at.id", "at.part", F.lit("").alias("comma"))
-    body = entities.join(first, ["graph_id", "id", "part"], "left").select(
-        "graph_id",
-        F.lit(1).alias("section"),
-        "id",
-        "part",
-        F.concat(F.coalesce("comma", F.lit(",")), "json").alias("line"),
+    first = entities.filter("rank = 0").groupBy("graph_id").agg(F.min("id").alias("first"))
+    comma = F.when((F.col("rank") == 0) & (F.col("id") > F.col("first")), ",").otherwise("")
+    body = entities.join(first, "graph_id").select(
+        "graph_id", F.lit(1).alias("section"), "id", "rank", "key", "pos", F.concat(comma, "text").alias("line")
+    )
+    # a graph's prefixes are declared by hand, so one row holds them
+    terms = prefixes.groupBy("graph_id").agg(
+        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("prefix", "uri"))))).alias("terms")
     )
-    # prefixes are declared by hand, so one row holds them
-    terms = prefixes.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("prefix", "uri")))).alias("terms"))
     context = F.concat(
-        F.lit(f'{{"@context":["{CONTEXT}",'), F.to_json("terms"), F.lit('],"@graph":[')
+        F.lit(f'{{"@context":["{CONTEXT}"'), F.coalesce(F.concat(F.lit(","), "terms"), F.lit("")), F.lit('],"@graph":[')
     )
-    frame = entities.select("graph_id").distinct()
-    heads = frame.select("graph_id", F.lit(0).alias("section"), terms.select(context).scalar().alias("line"))
-    ends = frame.select("graph_id", F.lit(2).alias("section"), F.lit("]}").alias("line"))
+    heads = first.join(terms, "graph_id", "left").select("graph_id", F.lit(0).alias("section"), context.alias("line"))
+    ends = first.select("graph_id", F.lit(2).alias("section"), F.lit("]}").alias("line"))
     return body.unionByName(heads.unionByName(ends), allowMissingColumns=True)
 
 
@@ -119,12 +93,17 @@ def write_documents(
     nodes: DataFrame, props: DataFrame, prefixes: DataFrame, path: str, mode: str = "overwrite"
 ) -> None:
     """A folder per graph whose part files, in order of name, are its document."""
-    order = ["graph_id", "section", "id", "part"]
+    order = ["graph_id", "section", *ORDER[1:]]
     lines = document_lines(nodes, props, prefixes).repartitionByRange(*order).sortWithinPartitions(*order)
     lines.select("graph_id", F.col("line").alias("value")).write.mode(mode).partitionBy("graph_id").text(path)
 
 
 def write_graph(nodes: DataFrame, props: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """JSON lines in a folder per graph."""
-    lines = graph_to_json(nodes, props).select("graph_id", F.col("json").alias("value"))
-    lines.write.mode(mode).partitionBy("graph_id").text(path)
+    """JSON lines in a folder per graph; the part files, in order of name, hold an entity per line.
+
+    Fragments are set apart by blanks, and only an entity's end breaks the
+    line. A line stands in one file; it is written as it is sorted.
+    """
+    fragments = graph_to_json(nodes, props).repartitionByRange("graph_id", "id").sortWithinPartitions(*ORDER)
+    ended = F.when(F.col("rank") == 2, F.concat("text", F.lit("\n"))).otherwise(F.col("text"))
+    fragments.select("graph_id", ended.alias("value")).write.mode(mode).partitionBy("graph_id").text(path, lineSep=" ")

@@ -2,43 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.plans.scale import LIST_ROWS
 
-MAX_COLUMNS = 2_000  # of one sheet
+def _entries(nodes: DataFrame, props: DataFrame) -> DataFrame:
+    """Values with the type of their entity and the column they stand in."""
+    types = nodes.select("graph_id", "id", "type").distinct()
+    column = F.when(F.col("ref").isNotNull(), F.concat(F.lit("@"), "prop")).otherwise(F.col("prop"))
+    return props.withColumn("column", column).join(types, ["graph_id", "id"])
 
 
-def sheet_columns(entries: DataFrame) -> list[str]:
-    """Column names in use; a sheet is for schemas, not for unbounded keys."""
-    found = entries.select("column").distinct().limit(MAX_COLUMNS + 1).collect()
-    if len(found) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} properties: name the columns to write")
-    return sorted(row["column"] for row in found)
+def sheet_columns(nodes: DataFrame, props: DataFrame) -> DataFrame:
+    """The columns in use of all types at once: (type, column, values)."""
+    return _entries(nodes, props).groupBy("type", "column").agg(F.count("*").alias("values"))
 
 
-def graph_to_sheet(
-    nodes: DataFrame, props: DataFrame, type: str, columns: Sequence[str] | None = None
-) -> DataFrame:
-    """Entities of a type, wide: graph_id, id, part and a column per property.
+def graph_to_sheet(nodes: DataFrame, props: DataFrame, type: str, columns: Sequence[str]) -> DataFrame:
+    """Entities of a type, wide: graph_id, id and the named columns.
 
     References of ``x`` stand in column ``@x``. Several values form a JSON
-    list, and so does a blank one, to differ from an absent one. A list whose
-    positions run past ``LIST_ROWS`` goes on in the next ``part``.
+    list, and so does a blank one, to differ from an absent one. A cell holds
+    the whole list of an entity, as a sheet must; lists too long for a cell
+    are left out of ``columns`` and stay in :func:`other_values`.
     :func:`cairn.sources.tables.sheets_to_graph` reads it all back.
     """
     of_type = nodes.filter(F.col("type") == type).select("graph_id", "id").distinct()
-    entries = props.join(of_type, ["graph_id", "id"], "left_semi").select(
-        "graph_id",
-        "id",
-        F.floor(F.col("pos") / LIST_ROWS).cast("bigint").alias("part"),
-        F.when(F.col("ref").isNotNull(), F.concat(F.lit("@"), "prop")).otherwise(F.col("prop")).alias("column"),
-        F.struct("pos", F.coalesce("ref", "value").alias("text")).alias("item"),
+    entries = (
+        _entries(nodes.filter(F.col("type") == type), props)
+        .filter(F.col("column").isin(list(columns)))
+        .select("graph_id", "id", "column", F.struct("pos", F.coalesce("ref", "value").alias("text")).alias("item"))
     )
-    names = list(columns) if columns is not None else sheet_columns(entries)
 
     def cell(name):
         items = F.collect_list(F.when(F.col("column") == name, F.col("item")))
@@ -49,12 +45,23 @@ def graph_to_sheet(
             F.when(F.size(texts) == 0, F.lit(None)).when(plain, single).otherwise(F.to_json(texts)).alias(name)
         )
 
-    bare = of_type.select("graph_id", "id", F.lit(0).cast("bigint").alias("part"))
-    filled = entries.unionByName(bare, allowMissingColumns=True)
-    return filled.groupBy("graph_id", "id", "part").agg(*[cell(n) for n in names])
+    filled = entries.unionByName(of_type, allowMissingColumns=True)
+    return filled.groupBy("graph_id", "id").agg(*[cell(n) for n in columns])
 
 
-def write_sheets(nodes: DataFrame, props: DataFrame, types: Sequence[str], path: str, mode="overwrite") -> None:
-    for kind in types:
-        sheet = graph_to_sheet(nodes, props, kind)
-        sheet.write.mode(mode).csv(f"{path}/type={kind}", header=True, escape='"')
+def other_values(nodes: DataFrame, props: DataFrame, type: str, columns: Sequence[str]) -> DataFrame:
+    """Values of a type that stand in none of the columns, long: graph_id, id, column, pos, value, ref."""
+    rest = _entries(nodes.filter(F.col("type") == type), props).filter(~F.col("column").isin(list(columns)))
+    return rest.select("graph_id", "id", "column", "pos", "value", "ref")
+
+
+def write_sheets(
+    nodes: DataFrame, props: DataFrame, columns: Mapping[str, Sequence[str]], path: str, mode: str = "overwrite"
+) -> None:
+    """A CSV folder per type with the named columns, and one with all values that no column holds."""
+    known = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(c).alias("column")) for t, names in columns.items() for c in names])
+    for kind, names in columns.items():
+        graph_to_sheet(nodes, props, kind, names).write.mode(mode).csv(f"{path}/type={kind}", header=True, escape='"')
+    rest = _entries(nodes.filter(F.col("type").isin(list(columns))), props)
+    rest = rest.filter(~F.array_contains(known, F.struct("type", "column")))
+    rest.select("graph_id", "id", "type", "column", "pos", "value", "ref").write.mode(mode).csv(f"{path}/others", header=True, escape='"')

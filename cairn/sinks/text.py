@@ -7,67 +7,57 @@ from pyspark.sql import functions as F
 
 from cairn import functions as fn
 from cairn.operators.transcripts import DOC, used_codes
-from cairn.plans.scale import segment_of
 
 CSV_HEADER = "speakerID,text,section"
 
 
 def transcript_csv(rows: DataFrame) -> DataFrame:
-    """The lines of each transcript's table: (doc, at, part, line).
+    """The lines of each transcript's table: (doc, at, line).
 
     ``at`` is null for the header line, which sorts first.
     """
     fields = [fn.csv_field(F.col(c)) for c in ("speaker_id", "text", "section")]
-    body = rows.select(*DOC, "at", "part", F.concat_ws(",", *fields).alias("line"))
+    fields[2] = F.coalesce(fields[2], F.lit(""))  # a turn outside any section
+    body = rows.select(*DOC, "at", F.concat_ws(",", *fields).alias("line"))
     header = used_codes(rows).select(*DOC).distinct().withColumn("line", F.lit(CSV_HEADER))
     return body.unionByName(header, allowMissingColumns=True)
 
 
+def _write(lines: DataFrame, order: list, path: str, mode: str) -> None:
+    placed = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed.select(*DOC, F.col("line").alias("value")).write.mode(mode).partitionBy(*DOC).text(path)
+
+
 def write_transcript_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A folder of CSV files per transcript; a long one is cut, in order."""
-    lines = transcript_csv(rows)
-    placed = lines.repartitionByRange(*DOC, F.asc_nulls_first("at"), "part").sortWithinPartitions(
-        *DOC, F.asc_nulls_first("at"), "part"
-    )
-    out = placed.select(*DOC, F.col("line").alias("value"))
-    out.write.mode(mode).partitionBy(*DOC).text(path)
+    _write(transcript_csv(rows), [*DOC, F.asc_nulls_first("at")], path, mode)
 
 
-def chat_export(
-    rows: DataFrame, declared: DataFrame, language: str, corpus: str, segment=None
-) -> DataFrame:
-    """CHAT text of each transcript, in parts to be put together in order.
+def chat_lines(rows: DataFrame, declared: DataFrame, language: str, corpus: str) -> DataFrame:
+    """CHAT lines of each transcript: (graph_id, doc_id, section, code, at, line).
 
-    Part -1 is the header with its participants; each further part holds the
-    turns of one segment: (graph_id, doc_id, part, text).
+    In order of these columns they are the text: opening lines, participants,
+    an ``@ID`` line per speaker, and a line per turn.
     """
-    used = used_codes(rows).join(
-        declared.select(*DOC, "code", "affiliation"), [*DOC, "code"], "left"
-    )
+    codes = used_codes(rows)
+    used = codes.join(declared.select(*DOC, "code", "affiliation"), [*DOC, "code"], "left")
     inside = F.regexp_replace(F.coalesce("affiliation", F.lit("")), r"^\(|\)\z", "")
-    who = F.array_sort(F.collect_list(F.struct("code", inside.alias("affiliation"))))
-    people = used.groupBy(*DOC).agg(who.alias("who"))
-    role = F.lit(" Participant")
-    ids = F.transform(
-        "who",
-        lambda p: F.concat(
-            F.lit(f"@ID: {language}|{corpus}|"), p["code"], F.lit("|||||Participant||"), p["affiliation"], F.lit("|")
-        ),
+    # the codes of one transcript, a few
+    who = F.array_join(F.transform(F.array_sort(F.collect_list("code")), lambda c: F.concat(c, F.lit(" Participant"))), ", ")
+    opening = F.array(F.lit("@UTF8"), F.lit("@Begin"), F.lit(f"@Languages: {language}"), F.concat(F.lit("@Participants: "), "who"))
+    head = codes.groupBy(*DOC).agg(who.alias("who")).select(*DOC, F.posexplode(opening).alias("section", "line"))
+    ids = used.select(
+        *DOC,
+        F.lit(4).alias("section"),
+        "code",
+        F.concat(F.lit(f"@ID: {language}|{corpus}|"), "code", F.lit("|||||Participant||"), inside, F.lit("|")).alias("line"),
     )
-    head = F.concat_ws(
-        "\n",
-        F.lit("@UTF8"),
-        F.lit("@Begin"),
-        F.lit(f"@Languages: {language}"),
-        F.concat(F.lit("@Participants: "), F.array_join(F.transform("who", lambda p: F.concat(p["code"], role)), ", ")),
-        F.array_join(ids, "\n"),
-    )
-    header = people.select(*DOC, F.lit(-1).cast("bigint").alias("part"), head.alias("text"))
-    segment = segment_of(F.col("at")) if segment is None else segment
     said = F.concat(F.lit("*"), "code", F.lit(": "), "text")
-    turns = rows.withColumns({"_seg": segment, "_said": said})
-    ordered = F.transform(
-        F.array_sort(F.collect_list(F.struct("at", F.col("part").alias("p"), "_said"))), lambda x: x["_said"]
-    )
-    body = turns.groupBy(*DOC, F.col("_seg").alias("segment")).agg(F.array_join(ordered, "\n").alias("text"))
-    return header.unionByName(body.withColumnRenamed("segment", "part"))
+    turns = rows.select(*DOC, F.lit(5).alias("section"), "at", said.alias("line"))
+    return head.unionByName(ids, allowMissingColumns=True).unionByName(turns, allowMissingColumns=True)
+
+
+def write_chat(rows: DataFrame, declared: DataFrame, language: str, corpus: str, path: str, mode: str = "overwrite") -> None:
+    """A folder of CHAT text per transcript; a long one is cut, in order."""
+    order = [*DOC, "section", F.asc_nulls_first("at"), F.asc_nulls_first("code")]
+    _write(chat_lines(rows, declared, language, corpus), order, path, mode)

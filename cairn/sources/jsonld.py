@@ -32,11 +32,39 @@ def _fields(entities: DataFrame, *keep: str) -> DataFrame:
     ).select(*keep, "key", "field")
 
 
+def _part(text: str, field: str, kind: str) -> Column:
+    """One field of a JSON object; the rest is passed over, however long it is."""
+    return F.from_json(text, f"`{field}` {kind}")[field]
+
+
+def _cut(documents: DataFrame) -> DataFrame:
+    """The entities of whole documents as text: graph_id, entity_no, text, entity."""
+    cut = documents.select("graph_id", F.posexplode(_part("text", "@graph", "array<string>")).alias("entity_no", "text"))
+    return cut.withColumn("entity", F.try_parse_json("text"))
+
+
 def document_entities(documents: DataFrame) -> DataFrame:
-    """Entities of whole documents (graph_id, text): graph_id, entity_no, entity."""
-    parsed = documents.select("graph_id", F.try_parse_json("text").alias("doc"))
-    graph = F.try_variant_get("doc", "$['@graph']", "array<variant>")
-    return parsed.select("graph_id", F.posexplode(graph).alias("entity_no", "entity"))
+    """Entities of whole documents (graph_id, text): graph_id, entity_no, entity.
+
+    A document is cut into its entities first and each is parsed for itself,
+    so a document may be larger than one parsed value may be.
+    """
+    return _cut(documents).filter("entity IS NOT NULL").select("graph_id", "entity_no", "entity")
+
+
+def rejected(documents: DataFrame) -> DataFrame:
+    """What of the documents cannot be read: (graph_id, entity_no, reason).
+
+    ``entity_no`` is null where the document as a whole has no readable graph.
+    """
+    whole = documents.filter(_part("text", "@graph", "array<string>").isNull()).select(
+        "graph_id", F.lit(None).cast("int").alias("entity_no"), F.lit("no readable @graph").alias("reason")
+    )
+    without_id = F.try_variant_get("entity", "$['@id']", "string").isNull()
+    reason = F.when(F.col("entity").isNull(), "does not parse").when(without_id, "no @id")
+    return whole.unionByName(
+        _cut(documents).select("graph_id", "entity_no", reason.alias("reason")).filter("reason IS NOT NULL")
+    )
 
 
 def line_entities(lines: DataFrame) -> DataFrame:
@@ -103,27 +131,25 @@ def find_roots(nodes: DataFrame, props: DataFrame) -> DataFrame:
 
 
 def context_prefixes(documents: DataFrame) -> DataFrame:
-    """Prefix declarations of the documents' ``@context`` objects."""
+    """Prefix declarations of the documents' ``@context`` objects; the last object that has one holds."""
     contexts = documents.select(
-        F.lit("").alias("graph_id"),
-        F.explode(_items(F.try_variant_get(F.try_parse_json("text"), "$['@context']", "variant"))).alias("entity"),
+        "graph_id",
+        F.posexplode(_items(F.try_parse_json(_part("text", "@context", "string")))).alias("pos", "entity"),
     ).filter(F.schema_of_variant("entity").startswith("OBJECT"))
-    fields = _fields(contexts, "graph_id")
-    return context_rows(
-        fields.select(F.col("key").alias("prefix"), F.try_variant_get("field", "$", "string").alias("uri")).filter(
-            "uri IS NOT NULL"
-        )
-    )
+    fields = _fields(contexts, "graph_id", "pos")
+    uri = F.try_variant_get("field", "$", "string").alias("uri")
+    return context_rows(fields.select("graph_id", "pos", F.col("key").alias("prefix"), uri).filter("uri IS NOT NULL"))
 
 
 def read_graph(documents: DataFrame) -> dict[str, DataFrame]:
-    """``nodes``, ``props``, ``roots`` and ``prefixes`` of JSON-LD documents."""
+    """``nodes``, ``props``, ``roots`` and ``prefixes`` of JSON-LD documents, and what was ``rejected``."""
     read = read_entities(document_entities(documents))
     return {
         "nodes": read["nodes"].select(*NODE_COLS),
         "props": read["props"],
         "roots": find_roots(read["nodes"], read["props"]),
         "prefixes": context_prefixes(documents),
+        "rejected": rejected(documents),
     }
 
 
@@ -132,7 +158,8 @@ def pick_newest_source(candidates: DataFrame) -> DataFrame:
 
     ``candidates`` is (graph_id, name, last_modified, content). The newest
     wins, the earlier listed name on equal times. If its content does not
-    parse, the newest JSON file that does is taken; if there is none, nothing.
+    hold a readable graph, the newest JSON file that does is taken; if there is
+    none, nothing.
     """
     ranked = candidates.filter(F.col("name").isin(METADATA_FILES)).select(
         "graph_id",
@@ -141,7 +168,7 @@ def pick_newest_source(candidates: DataFrame) -> DataFrame:
         F.struct(
             "last_modified", (-F.array_position(F.lit(METADATA_FILES), F.col("name"))).alias("rank")
         ).alias("order"),
-        F.try_parse_json("content").isNotNull().alias("parses"),
+        _part("content", "@graph", "array<string>").isNotNull().alias("parses"),
     )
     usable_json = (F.col("name") == JSON_FILE) & F.col("parses")
     pick = F.struct("name", "last_modified", "parses")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from cairn import functions as fn
 from cairn.model import NODE_COLS, PROP_COLS, union_all
-from cairn.plans.scale import LIST_ROWS
 
 # Scalar range types, and properties that say how a graph is put
 # together, which no form asks for.
@@ -44,34 +43,34 @@ def read_sheet(spark: SparkSession, path: str, graph_id: str) -> DataFrame:
 
 
 def sheets_to_graph(sheets: dict[str, DataFrame], sheet_type: bool = True) -> dict[str, DataFrame]:
-    """Per-type sheets (graph_id, id, part?, columns …) to ``nodes`` and ``props``.
+    """Per-type sheets (graph_id, id, columns …) to ``nodes`` and ``props``.
 
     A column ``@x`` holds references of ``x``; a cell that is a JSON list of
-    strings holds several values. Rows of one id are read together, in order
-    of ``part``.
+    strings holds several values, and so does a cell of a column ``.x``, by
+    commas and slashes as in a metadata sheet.
     """
     nodes, props = [], []
     for kind, sheet in sheets.items():
-        part = F.col("part") if "part" in sheet.columns else F.lit(0)
-        names = [c for c in sheet.columns if c not in ("graph_id", "id", "part")]
+        names = [c for c in sheet.columns if c not in ("graph_id", "id")]
         cells = F.array(
             *[
                 F.struct(
                     F.lit(n.removeprefix("@")).alias("prop"),
                     F.lit(n.startswith("@")).alias("is_ref"),
+                    F.lit(n.startswith(".")).alias("several"),
                     F.col("`" + n + "`").alias("cell"),
                 )
                 for n in names
             ]
         )
-        long = sheet.select("graph_id", "id", part.alias("part"), F.inline(cells)).filter("cell IS NOT NULL")
+        long = sheet.select("graph_id", "id", F.inline(cells)).filter("cell IS NOT NULL")
         listed = F.when(F.col("cell").startswith("["), F.from_json("cell", "array<string>"))
+        listed = F.coalesce(listed, F.when(F.col("several"), fn.split_values(F.col("cell"))))
         values = long.select(
             "graph_id",
             "id",
             "prop",
             "is_ref",
-            "part",
             F.posexplode(F.coalesce(listed, F.array("cell"))).alias("at", "item"),
         )
         props.append(
@@ -79,7 +78,7 @@ def sheets_to_graph(sheets: dict[str, DataFrame], sheet_type: bool = True) -> di
                 "graph_id",
                 "id",
                 "prop",
-                (F.col("part") * LIST_ROWS + F.col("at")).cast("bigint").alias("pos"),
+                F.col("at").cast("bigint").alias("pos"),
                 F.when(~F.col("is_ref"), F.col("item")).alias("value"),
                 F.when(F.col("is_ref"), F.col("item")).alias("ref"),
             ).select(*PROP_COLS)

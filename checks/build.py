@@ -136,24 +136,22 @@ def described_files(v):
     )
 
 
-@check(
-    "gra_02",
-    "files",
-    f"""WITH {meta_sql("files")}, k AS (SELECT graph_id, id, file_no, {NORMAL.format("file_name")} AS dup_key FROM m)
-SELECT a.graph_id, a.id, b.file_no AS pos, b.id AS ref FROM k a JOIN k b ON a.graph_id = b.graph_id AND a.dup_key = b.dup_key AND a.id <> b.id""",
-)
+def duplicates_sql(files: str) -> str:
+    """Files of one normalised name, each tied to the hub of that name and back."""
+    return f"""{meta_sql(files)}, k AS (SELECT graph_id, id, file_no, {NORMAL.format("file_name")} AS dup_key FROM m),
+l AS (SELECT a.graph_id, a.id, a.file_no, '#duplicates-' || replace(a.dup_key, ' ', '-') AS hub FROM k a
+  WHERE EXISTS (SELECT 1 FROM k b WHERE b.graph_id = a.graph_id AND b.dup_key = a.dup_key AND b.id <> a.id))"""
+
+
+LINKS = "SELECT graph_id, id, CAST(0 AS BIGINT) AS pos, hub AS ref FROM l UNION ALL SELECT graph_id, hub, file_no, id FROM l"
+
+
+@check("gra_02", "files", f"WITH {duplicates_sql('files')} {LINKS}")
 def duplicates(v):
     return fs.possible_duplicates(fs.duplicate_groups(meta(v("files"))))
 
 
-@check(
-    "gra_02_large_groups",
-    "line_files",
-    f"""WITH {meta_sql("line_files")}, k AS (SELECT graph_id, id, file_no, {NORMAL.format("file_name")} AS dup_key, count(*) OVER (PARTITION BY graph_id, dup_key) AS n FROM m),
-h AS (SELECT *, '#duplicates-' || replace(dup_key, ' ', '-') AS hub FROM k WHERE n > 50)
-SELECT graph_id, id, CAST(0 AS BIGINT) AS pos, hub AS ref FROM h UNION ALL SELECT graph_id, hub, file_no, id FROM h
-UNION ALL SELECT a.graph_id, a.id, b.file_no, b.id FROM k a JOIN k b ON a.graph_id = b.graph_id AND a.dup_key = b.dup_key AND a.id <> b.id WHERE a.n <= 50""",
-)
+@check("gra_02_large_groups", "line_files", f"WITH {duplicates_sql('line_files')} {LINKS}")
 def many_duplicates(v):
     return fs.possible_duplicates(fs.duplicate_groups(meta(v("line_files"))))
 
@@ -229,12 +227,12 @@ def large_collections(v):
 @check(
     "gra_05",
     "files",
-    f"""WITH {meta_sql("files")}, k AS (SELECT *, {NORMAL.format("file_name")} AS dup_key FROM m)
+    f"""WITH {duplicates_sql('files')}
 SELECT graph_id, id, '@type' AS prop, CAST(0 AS BIGINT) AS pos, 'File' AS value, NULL::VARCHAR AS ref FROM m
 UNION ALL SELECT graph_id, id, 'name', 0, file_name, NULL FROM m
 UNION ALL SELECT graph_id, id, unnest(['description', 'datePublished', 'contentLocation', 'custom:participant']), 0, '', NULL FROM m
 UNION ALL SELECT graph_id, id, 'isPartOf', 0, NULL, group_id FROM m
-UNION ALL SELECT a.graph_id, a.id, 'custom:possibleDuplicate', b.file_no, NULL, b.id FROM k a JOIN k b ON a.graph_id = b.graph_id AND a.dup_key = b.dup_key AND a.id <> b.id""",
+UNION ALL SELECT graph_id, id, 'custom:possibleDuplicate', pos, NULL, ref FROM ({LINKS}) x""",
 )
 def entities(v):
     listed = meta(v("files"))
@@ -354,17 +352,18 @@ def licences(v):
     "agg_01",
     "files",
     f"""WITH {meta_sql("files")}, n AS (
-  SELECT 'File' AS type FROM m UNION ALL SELECT 'RepositoryObject' FROM (SELECT DISTINCT graph_id, group_id FROM m)
-  UNION ALL SELECT CASE WHEN doc_id % 3 = 0 THEN ' ' WHEN doc_id % 3 = 1 THEN NULL ELSE lang END FROM documents)
-SELECT coalesce(nullif(trim(type), ''), '(none)') AS type, count(*) AS count FROM n GROUP BY 1""",
+  SELECT graph_id, 'File' AS type FROM m UNION ALL SELECT graph_id, 'RepositoryObject' FROM (SELECT DISTINCT graph_id, group_id FROM m)
+  UNION ALL SELECT 'c' || doc_id % 2, CASE WHEN doc_id % 3 = 0 THEN ' ' WHEN doc_id % 3 = 1 THEN NULL ELSE lang END FROM documents)
+SELECT graph_id, coalesce(nullif(trim(type), ''), '(none)') AS type, count(*) AS count FROM n GROUP BY 1, 2""",
 )
 def counted_types(v):
     listed = meta(v("files"))
     made = fs.folder_objects(listed)
     loose = v("documents").select(
+        F.concat(F.lit("c"), F.col("doc_id") % 2).alias("graph_id"),
         F.when(F.col("doc_id") % 3 == 0, " ").when(F.col("doc_id") % 3 == 2, F.col("lang")).alias("type")
     )
-    nodes = made["nodes"].unionByName(fs.file_entities(listed, made["parents"])["nodes"]).select("type")
+    nodes = made["nodes"].unionByName(fs.file_entities(listed, made["parents"])["nodes"]).select("graph_id", "type")
     return stats.type_counts(nodes.unionByName(loose))
 
 

@@ -157,14 +157,14 @@ def matched(v):
 @check(
     "jn_02",
     "titles catalog",
-    f"""WITH {TERM_HITS}, known AS (SELECT DISTINCT file_id FROM titles WHERE file_id NOT LIKE '%7'),
+    f"""WITH {TERM_HITS}, known AS (SELECT DISTINCT graph_id, file_id FROM titles WHERE file_id NOT LIKE '%7'),
 t AS (SELECT graph_id, '#' || code AS tid, min(name) AS name FROM hits GROUP BY ALL)
 SELECT graph_id, tid AS id, '@type' AS prop, CAST(0 AS BIGINT) AS pos, 'Language' AS value, NULL::VARCHAR AS ref FROM t
 UNION ALL SELECT graph_id, tid, 'name', 0, name, NULL FROM t
 UNION ALL SELECT DISTINCT graph_id, 'arcp://name,custom/terms#' || p, '@type', 0, 'rdf:Property', NULL FROM t, (SELECT unnest(['austlangCode', 'iso639-3', 'glottologCode']) AS p) q
 UNION ALL SELECT DISTINCT graph_id, 'arcp://name,custom/terms#' || p, 'name', 0, p, NULL FROM t, (SELECT unnest(['austlangCode', 'iso639-3', 'glottologCode']) AS p) q
 UNION ALL SELECT h.graph_id, file_id, 'ldac:subjectLanguage', row_number() OVER (PARTITION BY h.graph_id, file_id ORDER BY '#' || code) - 1, NULL, '#' || code
-  FROM (SELECT DISTINCT graph_id, file_id, code FROM hits) h SEMI JOIN known USING (file_id)""",
+  FROM (SELECT DISTINCT graph_id, file_id, code FROM hits) h SEMI JOIN known USING (graph_id, file_id)""",
 )
 def linked_terms(v):
     found = hits_of(v).select("graph_id", "file_id", F.concat(F.lit("#"), "code").alias("term_id"), "name")
@@ -324,17 +324,17 @@ def media(v):
     return links.resolve_media(refs, beside)
 
 
-RESOLVED = f"""n AS (SELECT page_id, href, {ABSOLUTE.format('href')} AS ab, {WALK.format(BASE.format('href'))} AS key, substr(href, length({BASE.format('href')}) + 1) AS suffix FROM {{0}}),
-a AS (SELECT path, min(target) AS target FROM assets GROUP BY path)"""
+RESOLVED = f"""n AS (SELECT graph_id, page_id, href, {ABSOLUTE.format('href')} AS ab, {WALK.format(BASE.format('href'))} AS key, substr(href, length({BASE.format('href')}) + 1) AS suffix FROM {{0}}),
+a AS (SELECT graph_id, path, min(target) AS target FROM assets GROUP BY graph_id, path)"""
 
 
 @check(
     "jn_09",
     "link_forms assets",
     f"""WITH {RESOLVED.format('link_forms')}
-SELECT page_id, href, CASE WHEN ab THEN 'absolute' WHEN key = '' THEN 'empty' WHEN lower(key) LIKE '%.html' THEN 'page' WHEN target IS NOT NULL THEN 'mapped' ELSE 'unknown' END AS kind,
+SELECT n.graph_id, page_id, href, CASE WHEN ab THEN 'absolute' WHEN key = '' THEN 'empty' WHEN lower(key) LIKE '%.html' THEN 'page' WHEN target IS NOT NULL THEN 'mapped' ELSE 'unknown' END AS kind,
   CASE WHEN NOT ab AND key <> '' AND lower(key) NOT LIKE '%.html' AND target IS NOT NULL THEN target || suffix ELSE href END AS resolved
-FROM n LEFT JOIN a ON a.path = n.key""",
+FROM n LEFT JOIN a ON a.graph_id = n.graph_id AND a.path = n.key""",
 )
 def resolved_links(v):
     return links.resolve_links(v("link_forms"), v("assets"))
@@ -349,13 +349,13 @@ CSS_PAT = "url\\(''([^'')]+)''\\)"
     f"""WITH t AS (SELECT page_id, regexp_replace(html, 'href="([^"]*)"', 'url(''\\1'')', 'g') AS css FROM pages),
 b AS (SELECT page_id, string_split_regex(css, '{CSS_PAT}') AS between, list_concat(regexp_extract_all(css, '{CSS_PAT}', 1), ['']) AS raws FROM t),
 x AS (SELECT page_id, unnest(between) AS piece, unnest(raws) AS href, unnest(range(len(between))) AS nth, len(between) - 1 AS last FROM b),
-{RESOLVED.format('(SELECT DISTINCT page_id, href FROM x)')}
-SELECT 'g' AS graph_id, x.page_id AS css_id, string_agg(piece || CASE WHEN nth = last THEN '' WHEN target IS NOT NULL AND NOT ab THEN 'url(''' || target || suffix || ''')' ELSE 'url(''' || x.href || ''')' END, '' ORDER BY nth) AS css
-FROM x LEFT JOIN n ON n.page_id = x.page_id AND n.href = x.href LEFT JOIN a ON a.path = n.key GROUP BY x.page_id""",
+{RESOLVED.format("(SELECT DISTINCT concat('g', CAST(page_id % 3 AS VARCHAR)) AS graph_id, page_id, href FROM x)")}
+SELECT n.graph_id, x.page_id AS css_id, string_agg(piece || CASE WHEN nth = last THEN '' WHEN target IS NOT NULL AND NOT ab THEN 'url(''' || target || suffix || ''')' ELSE 'url(''' || x.href || ''')' END, '' ORDER BY nth) AS css
+FROM x LEFT JOIN n ON n.page_id = x.page_id AND n.href = x.href LEFT JOIN a ON a.graph_id = n.graph_id AND a.path = n.key GROUP BY n.graph_id, x.page_id""",
 )
 def style_sheets(v):
     css = v("pages").select(
-        F.lit("g").alias("graph_id"),
+        F.concat(F.lit("g"), F.col("page_id") % 3).alias("graph_id"),
         F.col("page_id").alias("css_id"),
         F.regexp_replace("html", 'href="([^"]*)"', "url( '$1' )").alias("css"),
     )
@@ -367,8 +367,8 @@ def style_sheets(v):
 @check(
     "jn_11",
     "targets declared",
-    f"""WITH used AS (SELECT DISTINCT {PREFIX.format('target')} AS prefix FROM targets)
-SELECT prefix, uri FROM used LEFT JOIN (SELECT prefix, uri FROM declared WHERE regexp_matches(uri, '^https?:')) d USING (prefix)
+    f"""WITH used AS (SELECT DISTINCT graph_id, {PREFIX.format('target')} AS prefix FROM targets)
+SELECT graph_id, prefix, uri FROM used LEFT JOIN (SELECT graph_id, prefix, arg_max(uri, pos) AS uri FROM declared WHERE regexp_matches(uri, '^https?:') GROUP BY ALL) d USING (graph_id, prefix)
 WHERE prefix <> '' AND prefix NOT IN ('ldac', 'pcdm', 'custom', 'AUSTLANG')""",
 )
 def prefixes_used(v):
@@ -380,7 +380,7 @@ def prefixes_used(v):
     "rich_props files sheet_rows",
     """WITH w AS (SELECT DISTINCT graph_id, prop FROM rich_props WHERE prop LIKE 'custom:%' UNION SELECT DISTINCT graph_id, 'custom:q' || quality FROM sheet_rows),
 d AS (SELECT graph_id, 'arcp://name,custom/terms#' || substr(prop, 8) AS id, substr(prop, 8) AS name, NULL::VARCHAR AS description FROM w WHERE prop <> 'custom:segment'
-  UNION ALL SELECT 'g', 'arcp://name,custom/terms#segment', 'Segment', 'Market segment')
+  UNION ALL SELECT DISTINCT graph_id, 'arcp://name,custom/terms#segment', 'Segment', 'Market segment' FROM rich_props)
 SELECT graph_id, id, '@type' AS prop, CAST(0 AS BIGINT) AS pos, 'rdf:Property' AS value, NULL::VARCHAR AS ref FROM d
 UNION ALL SELECT graph_id, id, 'name', 0, name, NULL FROM d UNION ALL SELECT graph_id, id, 'description', 0, description, NULL FROM d WHERE description IS NOT NULL""",
 )
@@ -400,7 +400,7 @@ def definitions(v):
     "jn_13",
     "rich_props",
     f"""WITH {NAMES}, p AS (SELECT *, coalesce(ref, value) AS t FROM rich_props)
-SELECT p.graph_id, p.id, prop, pos, coalesce(trim(nm.name), trim(t)) AS text FROM p LEFT JOIN nm ON nm.id = t WHERE trim(t) <> ''""",
+SELECT p.graph_id, p.id, prop, pos, coalesce(trim(nm.name), trim(t)) AS text FROM p LEFT JOIN nm ON nm.graph_id = p.graph_id AND nm.id = t WHERE trim(t) <> ''""",
 )
 def value_texts(v):
     return links.resolve_names(v("rich_props"))
@@ -427,24 +427,24 @@ def structural(v):
     return flt.is_structural(nodes, graph_roots(v("graph_nodes")).withColumn("root_id", F.lit("#nation-3")))
 
 
-@check("flt_05", "graph_nodes file_nodes", "SELECT DISTINCT type FROM (SELECT type FROM graph_nodes UNION ALL SELECT type FROM file_nodes) x")
+@check("flt_05", "graph_nodes file_nodes", "SELECT DISTINCT graph_id, type FROM (SELECT graph_id, type FROM graph_nodes UNION ALL SELECT graph_id, type FROM file_nodes) x")
 def types_used(v):
     return flt.distinct_types(v("graph_nodes").unionByName(v("file_nodes")))
 
 
 @check(
     "pv_01",
-    "rich_props",
+    "rich_props graph_nodes",
     f"""WITH p AS (SELECT {COLS} FROM rich_props UNION ALL SELECT graph_id, id, 'arcp://name,custom/terms#segment', pos, 'own', ref FROM rich_props WHERE prop = 'custom:segment' AND id LIKE '%5'),
 c AS (SELECT graph_id, id, 'arcp://name,custom/terms#' || substr(prop, 8) AS prop, pos, value, ref FROM p WHERE prop LIKE 'custom:%')
-SELECT {COLS} FROM p UNION ALL SELECT {COLS} FROM c ANTI JOIN p ON p.id = c.id AND p.prop = c.prop""",
+SELECT {COLS} FROM p UNION ALL SELECT {COLS} FROM c ANTI JOIN p ON p.graph_id = c.graph_id AND p.id = c.id AND p.prop = c.prop""",
 )
 def expanded(v):
     own = v("rich_props").filter("prop = 'custom:segment' AND id LIKE '%5'").withColumns(
         {"prop": F.lit("arcp://name,custom/terms#segment"), "value": F.lit("own")}
     )
     props = v("rich_props").unionByName(own)
-    return publish.expand_properties(props, builtin_prefixes(props.sparkSession))
+    return publish.expand_properties(props, builtin_prefixes(v("graph_nodes")))
 
 
 LAYOUT = [
@@ -460,7 +460,7 @@ LAYOUT = [
     f"""WITH {NAMES}, lay(group_no, "group", input_no, prop, prop_uri) AS (VALUES (0, 'About', 0, 'name', 'http://schema.org/name'), (0, 'About', 1, 'email', 'http://schema.org/email'),
   (2, 'More', 0, 'custom:segment', 'arcp://name,custom/terms#segment'), (2, 'More', 1, 'custom:order', 'arcp://name,custom/terms#order'), (2, 'More', 2, 'contentLocation', 'http://schema.org/contentLocation')),
 p AS (SELECT *, coalesce(ref, value) AS t FROM rich_props)
-SELECT p.graph_id, p.id, group_no, "group", input_no, prop_uri, pos, coalesce(trim(nm.name), trim(t)) AS text FROM p JOIN lay USING (prop) LEFT JOIN nm ON nm.id = t WHERE trim(t) <> ''""",
+SELECT p.graph_id, p.id, group_no, "group", input_no, prop_uri, pos, coalesce(trim(nm.name), trim(t)) AS text FROM p JOIN lay USING (prop) LEFT JOIN nm ON nm.graph_id = p.graph_id AND nm.id = t WHERE trim(t) <> ''""",
 )
 def pages(v):
     known = {t: f"http://schema.org/{t}" for t in ("name", "email", "contentLocation")}

@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 
 from cairn.operators import quality as q
 from cairn.sinks.jsonld import graph_to_json
-from cairn.sinks.sheets import graph_to_sheet
+from cairn.sinks.sheets import graph_to_sheet, other_values, sheet_columns
 from cairn.sources import jsonld, tables
 from checks.overlay import graph_roots
 from checks.registry import check, graph_rows
 
 CARD = """pr AS (SELECT class, prop, max(required) AS required, max(multiple) AS multiple FROM rules GROUP BY ALL),
-cnt AS (SELECT id, prop, count(*) AS found FROM rich_props GROUP BY ALL),
+cnt AS (SELECT graph_id, id, prop, count(*) AS found FROM rich_props GROUP BY ALL),
 ck AS (SELECT n.graph_id, n.id, pr.class, pr.prop, coalesce(found, 0) AS found, CASE WHEN required = 1 AND found IS NULL THEN 'missing' WHEN multiple = 0 AND found > 1 THEN 'several' END AS problem
-  FROM graph_nodes n JOIN pr ON pr.class = n.type LEFT JOIN cnt ON cnt.id = n.id AND cnt.prop = pr.prop)"""
+  FROM graph_nodes n JOIN pr ON pr.class = n.type LEFT JOIN cnt ON cnt.graph_id = n.graph_id AND cnt.id = n.id AND cnt.prop = pr.prop)"""
 
 
 @check("val_01", "graph_nodes rich_props rules", f"WITH {CARD} SELECT graph_id, id, class, prop, problem, found FROM ck WHERE problem IS NOT NULL")
@@ -22,15 +22,18 @@ def cardinality(v):
     return q.check_cardinality(v("graph_nodes"), v("rich_props"), v("rules"))
 
 
+FEW = """due AS (SELECT class, max(min_instances) AS wanted FROM {1} GROUP BY class HAVING max(min_instances) > 0),
+few AS (SELECT g.graph_id, class, count(DISTINCT n.id) AS found, CAST(any_value(wanted) AS BIGINT) AS wanted
+  FROM (SELECT DISTINCT graph_id FROM {0}) g CROSS JOIN due LEFT JOIN {0} n ON n.graph_id = g.graph_id AND n.type = class GROUP BY g.graph_id, class HAVING count(DISTINCT n.id) < any_value(wanted))"""
+
+
 @check(
     "val_01_instances",
     "graph_nodes file_nodes rules",
-    """WITH n AS (SELECT graph_id, type FROM graph_nodes UNION ALL SELECT graph_id, type FROM file_nodes)
-SELECT g.graph_id, c.class FROM (SELECT DISTINCT graph_id FROM n) g, (SELECT DISTINCT class FROM rules) c ANTI JOIN n ON n.graph_id = g.graph_id AND n.type = c.class""",
+    f"WITH n0 AS (SELECT graph_id, id, type FROM graph_nodes UNION ALL SELECT graph_id, id, type FROM file_nodes), {FEW.format('n0', 'rules')} SELECT graph_id, class, found, wanted FROM few",
 )
 def instances(v):
-    nodes = v("graph_nodes").unionByName(v("file_nodes"))
-    return q.check_instances(nodes, q.rule_classes(v("rules")))
+    return q.check_instances(v("graph_nodes").unionByName(v("file_nodes")), v("rules"))
 
 
 FITS = """CASE range_type WHEN 'Text' THEN true
@@ -43,7 +46,7 @@ FITS = """CASE range_type WHEN 'Text' THEN true
 RANGES = f"""nn AS (SELECT * FROM graph_nodes UNION ALL SELECT * FROM typed_nodes), pp AS (SELECT * FROM rich_props UNION ALL SELECT * FROM typed_props),
 rr AS (SELECT * FROM rules UNION ALL SELECT * FROM typed_rules),
 gr AS (SELECT p.*, rr.class, bool_or(CASE WHEN p.ref IS NULL THEN {FITS} ELSE (range_type = 'URL' AND regexp_matches(p.ref, '^[A-Za-z][A-Za-z0-9+.-]*:\\S+$')) OR coalesce(t.type = range_type, false) END) AS ok
-  FROM pp p JOIN nn n ON n.id = p.id JOIN rr ON rr.class = n.type AND rr.prop = p.prop LEFT JOIN nn t ON t.id = p.ref GROUP BY ALL),
+  FROM pp p JOIN nn n ON n.graph_id = p.graph_id AND n.id = p.id JOIN rr ON rr.class = n.type AND rr.prop = p.prop LEFT JOIN nn t ON t.graph_id = p.graph_id AND t.id = p.ref GROUP BY ALL),
 bad AS (SELECT graph_id, id, class, prop, pos, value, ref FROM gr WHERE NOT ok)"""
 VIEWS = "graph_nodes rich_props rules typed_nodes typed_props typed_rules"
 
@@ -61,7 +64,7 @@ def ranges(v):
     return q.check_ranges(*everything(v))
 
 
-DANGLING = "SELECT p.graph_id, p.id, prop, ref FROM {1} p ANTI JOIN {0} n ON n.id = p.ref WHERE ref IS NOT NULL AND prop NOT IN ('license', 'conformsTo', 'encodingFormat')"
+DANGLING = "SELECT p.graph_id, p.id, prop, ref FROM {1} p ANTI JOIN {0} n ON n.graph_id = p.graph_id AND n.id = p.ref WHERE ref IS NOT NULL AND prop NOT IN ('license', 'conformsTo', 'encodingFormat')"
 
 
 @check("val_03", "graph_nodes rich_props", DANGLING.format("graph_nodes", "rich_props"))
@@ -97,57 +100,87 @@ def root_classes(v):
 
 
 REPORT = f"""{RANGES}, pr AS (SELECT class, prop, max(required) AS required, max(multiple) AS multiple FROM rr GROUP BY ALL),
-cnt AS (SELECT id, prop, count(*) AS found FROM pp GROUP BY ALL),
+cnt AS (SELECT graph_id, id, prop, count(*) AS found FROM pp GROUP BY ALL),
 ck AS (SELECT n.graph_id, n.id, pr.prop, CASE WHEN required = 1 AND found IS NULL THEN 'missing' WHEN multiple = 0 AND found > 1 THEN 'several' END AS problem
-  FROM nn n JOIN pr ON pr.class = n.type LEFT JOIN cnt ON cnt.id = n.id AND cnt.prop = pr.prop),
+  FROM nn n JOIN pr ON pr.class = n.type LEFT JOIN cnt ON cnt.graph_id = n.graph_id AND cnt.id = n.id AND cnt.prop = pr.prop), {FEW.format('nn', 'rr')},
 rep AS (SELECT graph_id, 'error' AS severity, 'cardinality' AS "check", id, prop, problem AS detail FROM ck WHERE problem IS NOT NULL
   UNION ALL SELECT graph_id, 'error', 'range', id, prop, coalesce(value, ref) FROM bad
   UNION ALL SELECT graph_id, 'warning', 'dangling', id, prop, ref FROM ({DANGLING.format('nn', 'pp')}) d
   UNION ALL SELECT DISTINCT graph_id, 'warning', 'unknown', id, prop, NULL FROM pp ANTI JOIN rr USING (prop)
-  UNION ALL SELECT 'g', 'error', 'instances', NULL, NULL, 'Language')"""
+  UNION ALL SELECT graph_id, 'error', 'instances', NULL, NULL, class FROM few)"""
 
 
 @check("val_06", VIEWS, f"WITH {REPORT} SELECT * FROM rep")
 def report(v):
-    return q.quality_report(*everything(v), ["Language", "Person"])
+    return q.quality_report(*everything(v))
 
 
 @check(
     "val_06_summary",
     VIEWS,
-    f"WITH {REPORT} SELECT 'g' AS graph_id, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, 0 AS passed FROM rep UNION ALL SELECT 'h', 0, 0, 1",
+    f"WITH {REPORT} SELECT graph_id, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, 0 AS passed FROM rep GROUP BY graph_id UNION ALL SELECT DISTINCT 'h' || graph_id, 0, 0, 1 FROM graph_nodes",
 )
 def summary(v):
     roots = graph_roots(v("graph_nodes"))
-    clean = roots.withColumn("graph_id", F.lit("h"))
-    return q.quality_summary(q.quality_report(*everything(v), ["Language"]), roots.unionByName(clean))
+    clean = roots.withColumn("graph_id", F.concat(F.lit("h"), "graph_id"))
+    return q.quality_summary(q.quality_report(*everything(v)), roots.unionByName(clean))
 
 
-JSON = """ls AS (SELECT id, pos // 10000 AS part, prop, count(*) AS n, string_agg(CASE WHEN ref IS NOT NULL THEN '{"@id":' || to_json(ref) || '}' ELSE to_json(value) END, ',' ORDER BY pos) AS items FROM rich_props GROUP BY ALL),
-fl AS (SELECT id, part, prop, to_json(prop) || ':' || CASE WHEN n = 1 THEN items ELSE '[' || items || ']' END AS field FROM ls
-  UNION ALL SELECT id, 0, '@type', '"@type":"' || type || '"' FROM graph_nodes)"""
+#: a value opens its property if it is the first, and closes the list if it is the last of several
+JSON = """vs AS (SELECT graph_id, id, prop AS key, pos, CASE WHEN ref IS NOT NULL THEN '{"@id":' || to_json(ref) || '}' ELSE to_json(value) END AS json FROM rich_props
+  UNION ALL SELECT graph_id, id, '@type', pos, to_json(type) FROM graph_nodes),
+nu AS (SELECT *, count(*) OVER (PARTITION BY graph_id, id, key) AS n, row_number() OVER (PARTITION BY graph_id, id, key ORDER BY pos) AS nth FROM vs),
+en AS (SELECT graph_id, id FROM graph_nodes UNION SELECT graph_id, id FROM rich_props)"""
 
 
 @check(
     "snk_01",
     "graph_nodes rich_props",
-    f"""WITH {JSON} SELECT 'g' AS graph_id, id, part, '{{"@id":' || to_json(id) || ',' || string_agg(field, ',' ORDER BY prop) || '}}' AS json FROM fl GROUP BY id, part""",
+    f"""WITH {JSON}
+SELECT graph_id, id, 0 AS rank, NULL::VARCHAR AS key, NULL::BIGINT AS pos, '{{"@id":' || to_json(id) AS text FROM en
+UNION ALL SELECT graph_id, id, 1, key, pos, ',' || CASE WHEN nth = 1 THEN to_json(key) || ':' ELSE '' END || CASE WHEN nth = 1 AND n > 1 THEN '[' ELSE '' END
+  || json || CASE WHEN nth = n AND n > 1 THEN ']' ELSE '' END FROM nu
+UNION ALL SELECT graph_id, id, 2, NULL, NULL, '}}' FROM en""",
 )
-def json_lines(v):
+def json_fragments(v):
     return graph_to_json(v("graph_nodes"), v("rich_props"))
 
 
+SHEET = ["@contentLocation", "@custom:order", "custom:segment", "email", "name"]
+
+
 @check(
     "snk_02",
     "graph_nodes rich_props",
-    """WITH c AS (SELECT id, pos // 10000 AS part, CASE WHEN ref IS NOT NULL THEN '@' || prop ELSE prop END AS col, list(coalesce(ref, value) ORDER BY pos) AS items FROM rich_props WHERE id LIKE '#customer-%' GROUP BY ALL),
-t AS (SELECT id, part, col, CASE WHEN len(items) = 1 AND NOT starts_with(items[1], '[') AND items[1] <> '' THEN items[1] ELSE CAST(to_json(items) AS VARCHAR) END AS cell FROM c
-  UNION ALL SELECT '#customer-' || c_custkey, 0, '', '' FROM customer)
-SELECT 'g' AS graph_id, id, part, max(cell) FILTER (WHERE col = '@contentLocation') AS "@contentLocation", max(cell) FILTER (WHERE col = '@custom:order') AS "@custom:order",
-  max(cell) FILTER (WHERE col = 'custom:segment') AS "custom:segment", max(cell) FILTER (WHERE col = 'email') AS email, max(cell) FILTER (WHERE col = 'name') AS name FROM t GROUP BY id, part""",
+    """WITH p AS (SELECT graph_id, id FROM graph_nodes WHERE type = 'Person'),
+c AS (SELECT graph_id, id, CASE WHEN ref IS NOT NULL THEN '@' || prop ELSE prop END AS col, list(coalesce(ref, value) ORDER BY pos) AS items FROM rich_props SEMI JOIN p USING (graph_id, id) GROUP BY ALL),
+t AS (SELECT graph_id, id, col, CASE WHEN len(items) = 1 AND NOT starts_with(items[1], '[') AND items[1] <> '' THEN items[1] ELSE CAST(to_json(items) AS VARCHAR) END AS cell FROM c
+  UNION ALL SELECT graph_id, id, '', '' FROM p)
+SELECT graph_id, id, max(cell) FILTER (WHERE col = '@contentLocation') AS "@contentLocation", max(cell) FILTER (WHERE col = '@custom:order') AS "@custom:order",
+  max(cell) FILTER (WHERE col = 'custom:segment') AS "custom:segment", max(cell) FILTER (WHERE col = 'email') AS email, max(cell) FILTER (WHERE col = 'name') AS name FROM t GROUP BY graph_id, id""",
 )
 def sheet(v):
-    return graph_to_sheet(v("graph_nodes"), v("rich_props"), "Person")
+    return graph_to_sheet(v("graph_nodes"), v("rich_props"), "Person", SHEET)
+
+
+@check(
+    "snk_02_columns",
+    "graph_nodes rich_props",
+    """SELECT type, CASE WHEN ref IS NOT NULL THEN '@' || prop ELSE prop END AS "column", count(*) AS "values"
+FROM rich_props p JOIN graph_nodes n USING (graph_id, id) GROUP BY ALL""",
+)
+def columns_in_use(v):
+    return sheet_columns(v("graph_nodes"), v("rich_props"))
+
+
+@check(
+    "snk_02_others",
+    "graph_nodes rich_props",
+    """SELECT graph_id, id, CASE WHEN ref IS NOT NULL THEN '@' || prop ELSE prop END AS "column", p.pos, value, ref FROM rich_props p JOIN graph_nodes n USING (graph_id, id)
+WHERE type = 'Person' AND prop NOT IN ('contentLocation', 'name')""",
+)
+def values_left_out(v):
+    return other_values(v("graph_nodes"), v("rich_props"), "Person", ["@contentLocation", "name"])
 
 
 @check(
@@ -164,6 +197,15 @@ def parsed(v):
     return graph_rows(jsonld.read_graph(v("json_docs")))
 
 
+@check(
+    "src_02_rejected",
+    "json_docs",
+    "SELECT graph_id, CAST(NULL AS INTEGER) AS entity_no, 'no readable @graph' AS reason FROM json_docs WHERE c_custkey % 10 = 9",
+)
+def documents_rejected(v):
+    return jsonld.read_graph(v("json_docs"))["rejected"]
+
+
 @check("src_02_roots", "json_docs", "SELECT graph_id, root AS root_id FROM json_docs WHERE c_custkey % 10 <> 9")
 def roots_found(v):
     return jsonld.read_graph(v("json_docs"))["roots"]
@@ -172,7 +214,7 @@ def roots_found(v):
 @check(
     "src_02_prefixes",
     "json_docs",
-    "SELECT DISTINCT 'x' || c_nationkey AS prefix, 'https://example.org/' || c_nationkey || '#' AS uri FROM json_docs WHERE c_custkey % 10 <> 9",
+    "SELECT graph_id, 'x' || c_nationkey AS prefix, 'https://example.org/' || c_nationkey || '#' AS uri FROM json_docs WHERE c_custkey % 10 <> 9",
 )
 def prefixes_found(v):
     return jsonld.read_graph(v("json_docs"))["prefixes"]
@@ -196,12 +238,17 @@ def sheet_read(v):
 @check(
     "src_04",
     "graph_nodes rich_props",
-    f"""SELECT graph_id, id, '@type' AS prop, CAST(0 AS BIGINT) AS pos, type AS value, NULL::VARCHAR AS ref FROM graph_nodes WHERE type IN ('Person', 'Organization')
-UNION ALL SELECT graph_id, id, prop, (pos // 10000) * 10000 + row_number() OVER (PARTITION BY id, prop, pos // 10000 ORDER BY pos) - 1, value, ref FROM rich_props WHERE id LIKE '#customer-%' OR id LIKE '#supplier-%'""",
+    """SELECT graph_id, id, '@type' AS prop, CAST(0 AS BIGINT) AS pos, type AS value, NULL::VARCHAR AS ref FROM graph_nodes
+UNION ALL SELECT graph_id, id, prop, row_number() OVER (PARTITION BY graph_id, id, prop ORDER BY pos) - 1, value, ref FROM rich_props""",
 )
 def round_trip(v):
-    kinds = ["Person", "Organization"]
-    made = {k: graph_to_sheet(v("graph_nodes"), v("rich_props"), k) for k in kinds}
+    columns = {
+        "Person": SHEET,
+        "Organization": ["@contentLocation", "@license", "name"],
+        "Place": ["@isPartOf", "name"],
+        "RepositoryCollection": ["name"],
+    }
+    made = {k: graph_to_sheet(v("graph_nodes"), v("rich_props"), k, names) for k, names in columns.items()}
     return graph_rows(tables.sheets_to_graph(made))
 
 

@@ -28,16 +28,24 @@ def spoken(line: str) -> str:
 
 
 def turns_sql(table: str) -> str:
-    """Turns of lines (graph_id, doc_id, ord, line, marker) as table ``tn``."""
+    """Turns of lines (graph_id, doc_id, ord, line, marker) as table ``tn``.
+
+    A line with no code joins the turn above; a ``Label:`` line opens a
+    heading only where no section has begun.
+    """
     return f"""tg AS (SELECT *, {code_of('line')} AS code0 FROM {table}),
-ts AS (SELECT *, last_value(marker IGNORE NULLS) OVER w AS section,
-    coalesce(last_value(CASE WHEN code0 IS NOT NULL OR regexp_matches(line, '^\\s*[A-Z][A-Za-z ]*:') OR marker IS NOT NULL THEN ord END IGNORE NULLS) OVER w, ord) AS start
+th AS (SELECT *, last_value(marker IGNORE NULLS) OVER w AS section,
+    last_value(CASE WHEN {trim('line')} = 'Speakers:' THEN 'speakers' WHEN marker IS NOT NULL THEN 'turns' END IGNORE NULLS) OVER w AS block
   FROM tg WINDOW w AS (PARTITION BY graph_id, doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING)),
+ts AS (SELECT *, coalesce(last_value(CASE WHEN code0 IS NOT NULL OR marker IS NOT NULL OR (section IS NULL AND regexp_matches(line, '^\\s*[A-Z][A-Za-z ]*:')) THEN ord END IGNORE NULLS) OVER w, ord) AS start
+  FROM th WINDOW w AS (PARTITION BY graph_id, doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING)),
 tp AS (SELECT *, CASE WHEN ord = start AND code0 IS NOT NULL THEN {spoken('line')} ELSE {trim('line')} END AS piece FROM ts),
-tn AS (SELECT graph_id, doc_id, start, max(CASE WHEN ord = start THEN code0 END) AS code, max(section) AS section,
+tn AS (SELECT graph_id, doc_id, start, max(CASE WHEN ord = start THEN code0 END) AS code, max(section) AS section, arg_min(coalesce(block, ''), ord) AS block,
     coalesce(string_agg(piece, ' ' ORDER BY ord) FILTER (WHERE piece <> ''), '') AS text FROM tp GROUP BY ALL)"""
 
 
+#: turns are what is said with a code, anywhere but in the speaker list
+SAID = "code IS NOT NULL AND block <> 'speakers'"
 CONV = "ln AS (SELECT *, turn * 1000000 + line_no AS ord FROM transcript_lines)"
 
 
@@ -66,11 +74,11 @@ def normalized(v):
 @check(
     "txt_02",
     "transcript_lines",
-    f"WITH {CONV}, {turns_sql('ln')} SELECT graph_id, doc_id, start // 1000000 AS turn, start % 1000000 AS line_no, CAST(0 AS BIGINT) AS part, code, section, text FROM tn WHERE text <> '' OR code IS NOT NULL",
+    f"WITH {CONV}, {turns_sql('ln')} SELECT graph_id, doc_id, start // 1000000 AS turn, start % 1000000 AS line_no, code, section, text FROM tn WHERE text <> '' OR code IS NOT NULL",
 )
 def continued(v):
     merged = ts.merge_continuations(*conversation(v))
-    return merged.select("graph_id", "doc_id", "at.turn", "at.line_no", "part", "code", "section", "text")
+    return merged.select("graph_id", "doc_id", "at.turn", "at.line_no", "code", "section", "text")
 
 
 @check(
@@ -100,22 +108,22 @@ def people(v):
     "txt_05",
     "transcripts",
     f"""WITH {NORMAL}, {turns_sql('ln')}
-SELECT graph_id, doc_id, CAST(start AS INTEGER) AS "at", CAST(0 AS BIGINT) AS part, code,
+SELECT graph_id, doc_id, CAST(start AS INTEGER) AS "at", code,
   CASE WHEN code = 'A' THEN '#spk' || (CAST(regexp_extract(doc_id, 't([0-9]+)', 1) AS BIGINT) % 50) ELSE code END AS speaker_id, text, section,
   './c2c-output/' || regexp_extract(doc_id, '/(.*)\\.docx', 1) || '.csv' AS csv_id, './c2c-output/' || regexp_extract(doc_id, '/(.*)\\.docx', 1) AS object_id
-FROM tn WHERE code IS NOT NULL AND section IS NOT NULL""",
+FROM tn WHERE {SAID}""",
 )
 def rows(v):
     return ts.transcript_rows(v("transcripts"), header_rows=1)["rows"]
 
 
-SPOKEN_ROWS = f"{CONV}, {turns_sql('ln')}, sr AS (SELECT tn.*, coalesce(speaker_id, tn.code) AS speaker, affiliation FROM tn LEFT JOIN declared_speakers d ON d.graph_id = tn.graph_id AND d.doc_id = tn.doc_id AND d.code = tn.code WHERE tn.code IS NOT NULL AND section IS NOT NULL)"
+SPOKEN_ROWS = f"{CONV}, {turns_sql('ln')}, sr AS (SELECT tn.*, coalesce(speaker_id, tn.code) AS speaker, affiliation FROM tn LEFT JOIN declared_speakers d ON d.graph_id = tn.graph_id AND d.doc_id = tn.doc_id AND d.code = tn.code WHERE tn.code IS NOT NULL AND block <> 'speakers')"
 
 
 @check(
     "agg_05",
     "transcript_lines declared_speakers",
-    f"""WITH {CONV}, {turns_sql('ln')}, us AS (SELECT DISTINCT graph_id, doc_id, code FROM tn WHERE code IS NOT NULL AND section IS NOT NULL),
+    f"""WITH {CONV}, {turns_sql('ln')}, us AS (SELECT DISTINCT graph_id, doc_id, code FROM tn WHERE {SAID}),
 mi AS (SELECT * FROM us ANTI JOIN declared_speakers d USING (graph_id, doc_id, code))
 SELECT * FROM mi UNION ALL SELECT graph_id, doc_id, 'none' FROM (SELECT DISTINCT graph_id, doc_id FROM us) x ANTI JOIN mi USING (graph_id, doc_id)""",
 )
@@ -130,27 +138,28 @@ QUOTED = "CASE WHEN regexp_matches({0}, '[\",\\r\\n]') THEN '\"' || replace({0},
     "snk_03",
     "transcript_lines declared_speakers",
     f"""WITH {SPOKEN_ROWS}
-SELECT graph_id, doc_id, start // 1000000 AS turn, start % 1000000 AS line_no, CAST(0 AS BIGINT) AS part,
-  {QUOTED.format('speaker')} || ',' || {QUOTED.format('text')} || ',' || section AS line FROM sr
-UNION ALL SELECT DISTINCT graph_id, doc_id, NULL, NULL, NULL, 'speakerID,text,section' FROM sr""",
+SELECT graph_id, doc_id, start // 1000000 AS turn, start % 1000000 AS line_no,
+  {QUOTED.format('speaker')} || ',' || {QUOTED.format('text')} || ',' || coalesce(section, '') AS line FROM sr
+UNION ALL SELECT DISTINCT graph_id, doc_id, NULL, NULL, 'speakerID,text,section' FROM sr""",
 )
 def csv_lines(v):
     lines = out.transcript_csv(conversation_rows(v))
-    return lines.select("graph_id", "doc_id", "at.turn", "at.line_no", "part", "line")
+    return lines.select("graph_id", "doc_id", "at.turn", "at.line_no", "line")
 
 
 @check(
     "snk_04",
     "transcript_lines declared_speakers",
     f"""WITH {SPOKEN_ROWS},
-wh AS (SELECT DISTINCT graph_id, doc_id, code, coalesce(regexp_replace(affiliation, '^\\(|\\)$', '', 'g'), '') AS affil FROM sr)
-SELECT graph_id, doc_id, CAST(-1 AS BIGINT) AS part, '@UTF8' || chr(10) || '@Begin' || chr(10) || '@Languages: eng' || chr(10) || '@Participants: ' || string_agg(code || ' Participant', ', ' ORDER BY code)
-  || chr(10) || string_agg('@ID: eng|demo|' || code || '|||||Participant||' || affil || '|', chr(10) ORDER BY code) AS text FROM wh GROUP BY graph_id, doc_id
-UNION ALL SELECT graph_id, doc_id, 0, string_agg('*' || code || ': ' || text, chr(10) ORDER BY start) FROM sr GROUP BY graph_id, doc_id""",
+wh AS (SELECT DISTINCT graph_id, doc_id, code, coalesce(regexp_replace(affiliation, '^\\(|\\)$', '', 'g'), '') AS affil FROM sr),
+hd AS (SELECT graph_id, doc_id, ['@UTF8', '@Begin', '@Languages: eng', '@Participants: ' || string_agg(code || ' Participant', ', ' ORDER BY code)] AS ls FROM wh GROUP BY graph_id, doc_id)
+SELECT graph_id, doc_id, CAST(unnest(range(len(ls))) AS INTEGER) AS section, NULL::VARCHAR AS code, NULL AS turn, NULL AS line_no, unnest(ls) AS line FROM hd
+UNION ALL SELECT graph_id, doc_id, 4, code, NULL, NULL, '@ID: eng|demo|' || code || '|||||Participant||' || affil || '|' FROM wh
+UNION ALL SELECT graph_id, doc_id, 5, NULL, start // 1000000, start % 1000000, '*' || code || ': ' || text FROM sr""",
 )
 def chat(v):
-    segment = F.floor(F.col("at.turn") / SEGMENT_ROWS).cast("bigint")
-    return out.chat_export(conversation_rows(v), v("declared_speakers"), "eng", "demo", segment)
+    lines = out.chat_lines(conversation_rows(v), v("declared_speakers"), "eng", "demo")
+    return lines.select("graph_id", "doc_id", "section", "code", "at.turn", "at.line_no", "line")
 
 
 @check(
@@ -169,10 +178,10 @@ def speaker_lines(v):
 @check(
     "agg_04",
     "",
-    "SELECT c AS character, count(*) AS count FROM (SELECT unnest(regexp_extract_all(text, '(?s).')) AS c FROM documents) x GROUP BY c",
+    "SELECT lang AS graph_id, c AS character, count(*) AS count FROM (SELECT lang, unnest(regexp_extract_all(text, '(?s).')) AS c FROM documents) x GROUP BY lang, c",
 )
 def characters(v):
-    return stats.character_inventory(v("documents"))
+    return stats.character_inventory(v("documents").withColumnRenamed("lang", "graph_id"))
 
 
 OPENS = "kind IN ('h2', 'h3')"
@@ -232,7 +241,7 @@ NAMED = "(?i)^\\s*(.+?\\.(?:jpg|jpeg|png|gif|tif|tiff|webp|bmp|mov|mp4))\\b\\s*(
 l AS (SELECT graph_id, doc_id, ap AS image_pos, half, pos, {CAPTION} AS text FROM b WHERE kind = 'caption' AND ak = 'image'
   UNION ALL SELECT graph_id, doc_id, np, 'caption', pos, regexp_extract(text, '{NAMED}', 2) FROM b
     WHERE kind = 'p' AND nk = 'image' AND regexp_matches(text, '{NAMED}') AND NOT regexp_matches(text, '(?i)^\\s*sound file:'))
-SELECT graph_id, doc_id, image_pos, half, CAST(0 AS BIGINT) AS part, string_agg(text, ' ' ORDER BY pos) AS text FROM l WHERE text <> '' GROUP BY ALL""",
+SELECT graph_id, doc_id, image_pos, half, string_agg(text, ' ' ORDER BY pos) AS text FROM l WHERE text <> '' GROUP BY ALL""",
 )
 def captions(v):
     return docs.attach_captions(v("blocks"))

@@ -30,6 +30,13 @@ _WORDS = {
     "spark": "explode(regexp_extract_all(lower({0}), '[a-z]+', 0))",
     "duckdb": "unnest(regexp_extract_all(lower({0}), '[a-z]+', 0))",
 }
+# every two words that stand side by side
+_PAIRS = {
+    "spark": "explode(transform(sequence(1, greatest(size(regexp_extract_all(lower(text), '[a-z]+', 0)) - 1, 1)), "
+    "i -> concat_ws(' ', slice(regexp_extract_all(lower(text), '[a-z]+', 0), i, 2))))",
+    "duckdb": "unnest([array_to_string(w[i:i + 1], ' ') FOR i IN range(1, greatest(len(w) - 1, 1) + 1)])",
+}
+_PAIRED = {"spark": "benchmark", "duckdb": "(SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark) b"}
 _TITLE = {
     "spark": "regexp_extract(html, '<title>([^<]*)</title>', 1)",
     "duckdb": "regexp_extract(html, '<title>([^<]*)</title>', 1)",
@@ -82,37 +89,46 @@ SELECT f.graph_id,
   concat('Mt N', CAST(l.doc_id % 30 AS STRING)) AS location
 FROM labels l JOIN files f ON f.doc_id = l.doc_id""",
     "file_nodes": "SELECT graph_id, relative_path AS id, 'File' AS type, 0 AS pos FROM files",
+    # entities and what is said of them; the same ids stand in several graphs:
+    # shared ones in all three, every fourth other one in two, with other values
+    "entity_rows": """
+SELECT concat('#region-', CAST(r_regionkey AS STRING)) AS id, 'RepositoryCollection' AS type, r_regionkey AS k, 1 AS shared FROM region
+UNION ALL SELECT concat('#nation-', CAST(n_nationkey AS STRING)), 'Place', n_nationkey, 1 FROM nation
+UNION ALL SELECT concat('#supplier-', CAST(s_suppkey AS STRING)), 'Organization', s_suppkey, 0 FROM supplier
+UNION ALL SELECT concat('#customer-', CAST(c_custkey AS STRING)), 'Person', c_custkey, 0 FROM customer""",
+    "entity_facts": """
+SELECT concat('#region-', CAST(r_regionkey AS STRING)) AS id, 'name' AS prop, 0 AS pos, r_name AS value, CAST(NULL AS STRING) AS ref, r_regionkey AS k, 1 AS shared FROM region
+UNION ALL SELECT concat('#nation-', CAST(n_nationkey AS STRING)), 'name', 0, n_name, CAST(NULL AS STRING), n_nationkey, 1 FROM nation
+UNION ALL SELECT concat('#nation-', CAST(n_nationkey AS STRING)), 'isPartOf', 0, CAST(NULL AS STRING), concat('#region-', CAST(n_regionkey AS STRING)), n_nationkey, 1 FROM nation
+UNION ALL SELECT concat('#supplier-', CAST(s_suppkey AS STRING)), 'name', 0, s_name, CAST(NULL AS STRING), s_suppkey, 0 FROM supplier
+UNION ALL SELECT concat('#supplier-', CAST(s_suppkey AS STRING)), 'contentLocation', 0, CAST(NULL AS STRING),
+  concat('#nation-', CAST(CASE WHEN s_suppkey % 17 = 0 THEN s_nationkey + 25 ELSE s_nationkey END AS STRING)), s_suppkey, 0 FROM supplier
+UNION ALL SELECT concat('#supplier-', CAST(s_suppkey AS STRING)), 'license', 0, CAST(NULL AS STRING), 'https://example.org/licence', s_suppkey, 0 FROM supplier
+UNION ALL SELECT concat('#customer-', CAST(c_custkey AS STRING)), 'name', 0, c_name, CAST(NULL AS STRING), c_custkey, 0 FROM customer
+UNION ALL SELECT concat('#customer-', CAST(c_custkey AS STRING)), 'custom:segment', 0, c_mktsegment, CAST(NULL AS STRING), c_custkey, 0 FROM customer
+UNION ALL SELECT concat('#customer-', CAST(c_custkey AS STRING)), 'contentLocation', 0, CAST(NULL AS STRING), concat('#nation-', CAST(c_nationkey AS STRING)), c_custkey, 0 FROM customer""",
     "graph_nodes": """
-SELECT 'g' AS graph_id, id, type, 0 AS pos FROM (
-SELECT concat('#region-', CAST(r_regionkey AS STRING)) AS id, 'RepositoryCollection' AS type FROM region
-UNION ALL SELECT concat('#nation-', CAST(n_nationkey AS STRING)), 'Place' FROM nation
-UNION ALL SELECT concat('#supplier-', CAST(s_suppkey AS STRING)), 'Organization' FROM supplier
-UNION ALL SELECT concat('#customer-', CAST(c_custkey AS STRING)), 'Person' FROM customer) t""",
+SELECT concat('g', CAST((k + nth) % 3 AS STRING)) AS graph_id, id, type, 0 AS pos FROM (
+SELECT 0 AS nth, id, type, k FROM entity_rows UNION ALL SELECT 1, id, type, k FROM entity_rows WHERE shared = 1 OR k % 4 = 0
+UNION ALL SELECT 2, id, type, k FROM entity_rows WHERE shared = 1 ) t""",
     "graph_props": """
-SELECT 'g' AS graph_id, id, prop, CAST(pos AS BIGINT) AS pos, value, ref FROM (
-SELECT concat('#region-', CAST(r_regionkey AS STRING)) AS id, 'name' AS prop, 0 AS pos, r_name AS value, CAST(NULL AS STRING) AS ref FROM region
-UNION ALL SELECT concat('#nation-', CAST(n_nationkey AS STRING)), 'name', 0, n_name, CAST(NULL AS STRING) FROM nation
-UNION ALL SELECT concat('#nation-', CAST(n_nationkey AS STRING)), 'isPartOf', 0, CAST(NULL AS STRING), concat('#region-', CAST(n_regionkey AS STRING)) FROM nation
-UNION ALL SELECT concat('#supplier-', CAST(s_suppkey AS STRING)), 'name', 0, s_name, CAST(NULL AS STRING) FROM supplier
-UNION ALL SELECT concat('#supplier-', CAST(s_suppkey AS STRING)), 'contentLocation', 0, CAST(NULL AS STRING),
-  concat('#nation-', CAST(CASE WHEN s_suppkey % 17 = 0 THEN s_nationkey + 25 ELSE s_nationkey END AS STRING)) FROM supplier
-UNION ALL SELECT concat('#supplier-', CAST(s_suppkey AS STRING)), 'license', 0, CAST(NULL AS STRING), 'https://example.org/licence' FROM supplier
-UNION ALL SELECT concat('#customer-', CAST(c_custkey AS STRING)), 'name', 0, c_name, CAST(NULL AS STRING) FROM customer
-UNION ALL SELECT concat('#customer-', CAST(c_custkey AS STRING)), 'custom:segment', 0, c_mktsegment, CAST(NULL AS STRING) FROM customer
-UNION ALL SELECT concat('#customer-', CAST(c_custkey AS STRING)), 'contentLocation', 0, CAST(NULL AS STRING), concat('#nation-', CAST(c_nationkey AS STRING)) FROM customer) t""",
+SELECT concat('g', CAST((k + nth) % 3 AS STRING)) AS graph_id, id, prop, CAST(pos AS BIGINT) AS pos,
+  CASE WHEN nth > 0 AND value IS NOT NULL THEN concat(value, ' ', CAST(nth AS STRING)) ELSE value END AS value, ref FROM (
+SELECT 0 AS nth, id, prop, pos, value, ref, k FROM entity_facts UNION ALL SELECT 1, id, prop, pos, value, ref, k FROM entity_facts WHERE shared = 1 OR k % 4 = 0
+UNION ALL SELECT 2, id, prop, pos, value, ref, k FROM entity_facts WHERE shared = 1 ) t""",
     # the graph with several, blank and untidy values
     "rich_props": """
 SELECT graph_id, id, prop, pos, value, ref FROM graph_props
-UNION ALL SELECT 'g', concat('#customer-', CAST(o_custkey AS STRING)), 'custom:order', o_orderkey, CAST(NULL AS STRING), concat('#order-', CAST(o_orderkey AS STRING)) FROM orders WHERE o_orderkey % 3 = 0
-UNION ALL SELECT 'g', concat('#customer-', CAST(c_custkey AS STRING)), 'name', CAST(1 AS BIGINT), concat('Also ', c_name), CAST(NULL AS STRING) FROM customer WHERE c_custkey % 6 = 0
-UNION ALL SELECT 'g', concat('#customer-', CAST(c_custkey AS STRING)), 'email', CAST(0 AS BIGINT), CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'a "quoted", mail' END, CAST(NULL AS STRING) FROM customer WHERE c_custkey % 5 = 0""",
+UNION ALL SELECT concat('g', CAST(o_custkey % 3 AS STRING)), concat('#customer-', CAST(o_custkey AS STRING)), 'custom:order', o_orderkey, CAST(NULL AS STRING), concat('#order-', CAST(o_orderkey AS STRING)) FROM orders
+UNION ALL SELECT concat('g', CAST(c_custkey % 3 AS STRING)), concat('#customer-', CAST(c_custkey AS STRING)), 'name', CAST(1 AS BIGINT), concat('Also ', c_name), CAST(NULL AS STRING) FROM customer WHERE c_custkey % 6 = 0
+UNION ALL SELECT concat('g', CAST(c_custkey % 3 AS STRING)), concat('#customer-', CAST(c_custkey AS STRING)), 'email', CAST(0 AS BIGINT), CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'a "quoted", mail' END, CAST(NULL AS STRING) FROM customer WHERE c_custkey % 5 = 0""",
     "overlay_props": """
-SELECT 'g' AS graph_id, id, prop, CAST(pos AS BIGINT) AS pos, value, ref FROM (
-SELECT concat('#customer-', CAST(c_custkey AS STRING)) AS id, 'name' AS prop, 0 AS pos, concat('Authored ', c_name) AS value, CAST(NULL AS STRING) AS ref
+SELECT concat('g', CAST(k % 3 AS STRING)) AS graph_id, id, prop, CAST(pos AS BIGINT) AS pos, value, ref FROM (
+SELECT c_custkey AS k, concat('#customer-', CAST(c_custkey AS STRING)) AS id, 'name' AS prop, 0 AS pos, concat('Authored ', c_name) AS value, CAST(NULL AS STRING) AS ref
 FROM customer WHERE c_custkey % 4 = 0
-UNION ALL SELECT concat('#customer-', CAST(c_custkey AS STRING)), 'memberOf', 0, CAST(NULL AS STRING), './' FROM customer WHERE c_custkey % 4 = 1
-UNION ALL SELECT concat('#extra-', CAST(c_custkey AS STRING)), 'name', 0, c_name, CAST(NULL AS STRING) FROM customer WHERE c_custkey % 50 = 0
-UNION ALL SELECT './', 'name', 0, r_name, CAST(NULL AS STRING) FROM region WHERE r_regionkey = 0) t""",
+UNION ALL SELECT c_custkey, concat('#customer-', CAST(c_custkey AS STRING)), 'memberOf', 0, CAST(NULL AS STRING), './' FROM customer WHERE c_custkey % 4 = 1
+UNION ALL SELECT c_custkey, concat('#extra-', CAST(c_custkey AS STRING)), 'name', 0, c_name, CAST(NULL AS STRING) FROM customer WHERE c_custkey % 50 = 0
+UNION ALL SELECT r_regionkey, './', 'name', 0, r_name, CAST(NULL AS STRING) FROM region WHERE r_regionkey < 3) t""",
     # a collection per nation, whose members are its customers
     "member_props": """
 SELECT concat('n', CAST(c_nationkey AS STRING)) AS graph_id, './' AS id, 'pcdm:hasMember' AS prop, c_custkey AS pos,
@@ -144,14 +160,15 @@ SELECT word AS name, concat('L', CAST(min(item_id) AS STRING), '-', word) AS cod
 FROM (SELECT item_id, {_WORDS[e].format("text")} AS word FROM benchmark) t
 WHERE length(word) >= 3 GROUP BY word
 UNION ALL
-SELECT regexp_extract(text, '^[A-Za-z]+ [A-Za-z]+', 0), concat('P', CAST(item_id AS STRING)), 0 FROM benchmark"""
+SELECT pair, concat('P', CAST(min(item_id) AS STRING), '-', replace(pair, ' ', '-')), 0 FROM (SELECT item_id, {_PAIRS[e]} AS pair FROM {_PAIRED[e]}) t
+GROUP BY pair"""
         for e in _SPLIT
     },
     # page titles and whole benchmark passages, to be searched for terms
     "titles": {
         e: f"""
-SELECT 'g' AS graph_id, CAST(page_id AS STRING) AS file_id, {_TITLE[e]} AS text FROM pages
-UNION ALL SELECT 'g', concat('d', CAST(doc_id AS STRING)), text FROM documents"""
+SELECT concat('g', CAST(page_id % 3 AS STRING)) AS graph_id, CAST(page_id AS STRING) AS file_id, {_TITLE[e]} AS text FROM pages
+UNION ALL SELECT concat('g', CAST(doc_id % 3 AS STRING)), concat('d', CAST(doc_id AS STRING)), text FROM documents"""
         for e in _SPLIT
     },
     "transcript_lines": _per_engine(
@@ -207,7 +224,7 @@ SELECT concat('c', CAST(doc_id % 2 AS STRING)) AS graph_id, concat(lang, ' ', so
        ELSE concat('Doc ', CAST(doc_id AS STRING), '.docx') END AS file_name
 FROM documents""",
     "edits": """
-SELECT 'g' AS graph_id, event_id AS seq,
+SELECT concat('g', CAST(user_id % 3 AS STRING)) AS graph_id, event_id AS seq,
   CASE event_id % 5 WHEN 0 THEN 'set' WHEN 1 THEN 'set' WHEN 2 THEN 'delete_property' WHEN 3 THEN 'rename' ELSE 'delete_entity' END AS op,
   concat('#customer-', CAST(user_id AS STRING)) AS id,
   CASE WHEN event_id % 5 = 3 OR event_id % 5 = 4 THEN CAST(NULL AS STRING) WHEN event_id % 2 = 0 THEN 'name' ELSE 'custom:segment' END AS prop,
@@ -216,7 +233,7 @@ SELECT 'g' AS graph_id, event_id AS seq,
 FROM events""",
     # a second log: links, renames that clash, types, additions
     "more_edits": """
-SELECT 'g' AS graph_id, o_orderkey AS seq,
+SELECT concat('g', CAST(o_custkey % 3 AS STRING)) AS graph_id, o_orderkey AS seq,
   CASE o_orderkey % 6 WHEN 0 THEN 'set' WHEN 1 THEN 'rename' WHEN 2 THEN 'retype' WHEN 3 THEN 'add' WHEN 4 THEN 'delete_property' ELSE 'delete_entity' END AS op,
   CASE WHEN o_orderkey % 6 = 3 THEN concat('#order-', CAST(o_orderkey % 997 AS STRING))
        WHEN o_orderkey % 31 = 5 THEN concat('#region-', CAST(o_orderkey % 5 AS STRING))
@@ -229,26 +246,27 @@ SELECT 'g' AS graph_id, o_orderkey AS seq,
   CASE WHEN o_orderkey % 6 = 0 THEN concat('#order-', CAST(o_orderkey % 1499 AS STRING)) END AS ref
 FROM orders""",
     "page_links": {
-        "spark": "SELECT page_id, url, href FROM pages LATERAL VIEW explode(regexp_extract_all(html, '(?:href|src)=\"([^\"]*)\"', 1)) x AS href",
-        "duckdb": "SELECT page_id, url, unnest(regexp_extract_all(html, '(?:href|src)=\"([^\"]*)\"', 1)) AS href FROM pages",
+        "spark": "SELECT concat('g', CAST(page_id % 3 AS STRING)) AS graph_id, page_id, url, href FROM pages LATERAL VIEW explode(regexp_extract_all(html, '(?:href|src)=\"([^\"]*)\"', 1)) x AS href",
+        "duckdb": "SELECT concat('g', CAST(page_id % 3 AS STRING)) AS graph_id, page_id, url, unnest(regexp_extract_all(html, '(?:href|src)=\"([^\"]*)\"', 1)) AS href FROM pages",
     },
     # the same links in the forms a page may write them
     "link_forms": """
-SELECT page_id, CASE page_id % 6 WHEN 0 THEN href WHEN 1 THEN concat('..', href, '?v=2#top') WHEN 2 THEN concat('https://example.org', href)
+SELECT graph_id, page_id, CASE page_id % 6 WHEN 0 THEN href WHEN 1 THEN concat('..', href, '?v=2#top') WHEN 2 THEN concat('https://example.org', href)
   WHEN 3 THEN concat('./a/../', substring(href, 2), '#x') WHEN 4 THEN concat(href, '.HTML') ELSE concat('#', href) END AS href
 FROM page_links""",
-    "assets": "SELECT name AS path, concat('asset:', code) AS target FROM catalog",
+    # two graphs with the same paths and other targets; the third has none
+    "assets": "SELECT 'g0' AS graph_id, name AS path, concat('asset:', code) AS target FROM catalog UNION ALL SELECT 'g1', name, concat('other:', code) FROM catalog",
     "rules": """
 SELECT * FROM (VALUES
-  ('Person', 'name', 'Text', 1, 0), ('Person', 'contentLocation', 'Place', 1, 0), ('Person', 'email', 'Text', 1, 0),
-  ('Place', 'name', 'Text', 1, 0), ('Place', 'isPartOf', 'RepositoryCollection', 1, 0),
-  ('Organization', 'name', 'Text', 1, 0), ('Organization', 'license', 'URL', 1, 0),
-  ('Organization', 'contentLocation', 'Place', 0, 0), ('Language', 'name', 'Text', 1, 1)
-) AS t(class, prop, range_type, required, multiple)""",
+  ('Person', 'name', 'Text', 1, 0, 1), ('Person', 'contentLocation', 'Place', 1, 0, 1), ('Person', 'email', 'Text', 1, 0, 1),
+  ('Place', 'name', 'Text', 1, 0, 26), ('Place', 'isPartOf', 'RepositoryCollection', 1, 0, 0),
+  ('Organization', 'name', 'Text', 1, 0, 0), ('Organization', 'license', 'URL', 1, 0, 0),
+  ('Organization', 'contentLocation', 'Place', 0, 0, 0), ('Language', 'name', 'Text', 1, 1, 1)
+) AS t(class, prop, range_type, required, multiple, min_instances)""",
     # entities with literals of every scalar range type, well and ill formed
-    "typed_nodes": "SELECT 'g' AS graph_id, concat('#order-', CAST(o_orderkey AS STRING)) AS id, 'CreativeWork' AS type, 0 AS pos FROM orders",
+    "typed_nodes": "SELECT concat('g', CAST(o_orderkey % 3 AS STRING)) AS graph_id, concat('#order-', CAST(o_orderkey AS STRING)) AS id, 'CreativeWork' AS type, 0 AS pos FROM orders",
     "typed_props": """
-SELECT 'g' AS graph_id, concat('#order-', CAST(o_orderkey AS STRING)) AS id, prop, CAST(0 AS BIGINT) AS pos, value, CAST(NULL AS STRING) AS ref FROM (
+SELECT concat('g', CAST(o_orderkey % 3 AS STRING)) AS graph_id, concat('#order-', CAST(o_orderkey AS STRING)) AS id, prop, CAST(0 AS BIGINT) AS pos, value, CAST(NULL AS STRING) AS ref FROM (
 SELECT o_orderkey, 'datePublished' AS prop, CASE o_orderkey % 7 WHEN 0 THEN '1996-01-02' WHEN 1 THEN '1996' WHEN 2 THEN '1996-13' WHEN 3 THEN 'yesterday' WHEN 4 THEN '1996-02-30' WHEN 5 THEN '' ELSE '1996-07' END AS value FROM orders
 UNION ALL SELECT o_orderkey, 'size', CASE o_orderkey % 3 WHEN 0 THEN CAST(o_custkey AS STRING) WHEN 1 THEN '1.5' ELSE concat('+', CAST(o_custkey AS STRING), ' ') END FROM orders
 UNION ALL SELECT o_orderkey, 'ratio', CASE o_orderkey % 4 WHEN 0 THEN '1e5' WHEN 1 THEN '.5' WHEN 2 THEN o_orderstatus ELSE '-3.' END FROM orders
@@ -257,9 +275,9 @@ UNION ALL SELECT o_orderkey, 'home', CASE o_orderkey % 3 WHEN 0 THEN 'https://ex
 UNION ALL SELECT o_orderkey, 'made', CASE o_orderkey % 3 WHEN 0 THEN '1996-01-02T10:30:00' WHEN 1 THEN '1996-01-02' ELSE '1996-01-02 25:00' END FROM orders) t""",
     "typed_rules": """
 SELECT * FROM (VALUES
-  ('CreativeWork', 'datePublished', 'Date', 1, 0), ('CreativeWork', 'size', 'Integer', 0, 0), ('CreativeWork', 'ratio', 'Number', 0, 0),
-  ('CreativeWork', 'open', 'Boolean', 0, 0), ('CreativeWork', 'home', 'URL', 0, 0), ('CreativeWork', 'made', 'DateTime', 0, 0), ('CreativeWork', 'made', 'Person', 0, 0)
-) AS t(class, prop, range_type, required, multiple)""",
+  ('CreativeWork', 'datePublished', 'Date', 1, 0, 0), ('CreativeWork', 'size', 'Integer', 0, 0, 0), ('CreativeWork', 'ratio', 'Number', 0, 0, 0),
+  ('CreativeWork', 'open', 'Boolean', 0, 0, 0), ('CreativeWork', 'home', 'URL', 0, 0, 0), ('CreativeWork', 'made', 'DateTime', 0, 0, 0), ('CreativeWork', 'made', 'Person', 0, 0, 0)
+) AS t(class, prop, range_type, required, multiple, min_instances)""",
     # a JSON-LD document per customer; roots are named in three ways, some do not parse
     "json_docs": """
 SELECT concat('k', CAST(c_custkey AS STRING)) AS graph_id, root, c_custkey, c_name, c_nationkey,
@@ -270,8 +288,11 @@ SELECT concat('k', CAST(c_custkey AS STRING)) AS graph_id, root, c_custkey, c_na
     '{"@id": "', root, '", "@type": ["Dataset", "RepositoryCollection"], "name": ["One", "T&wo"], "open": true, "tags": ["a", {"@id": "#person"}, "b"], "none": null, "author": {"@id": "#person", "name": "nested"}}]}') END AS text
 FROM (SELECT *, CASE c_custkey % 3 WHEN 0 THEN './' WHEN 1 THEN concat('arcp://name,k', CAST(c_custkey AS STRING)) ELSE '#set' END AS root FROM customer) c""",
     # prefixed targets and the context rows a sheet declares
-    "targets": "SELECT DISTINCT concat(CASE WHEN p_size % 7 = 0 THEN 'custom' WHEN p_size % 7 = 1 THEN 'http' ELSE concat('x', CAST(p_size % 7 AS STRING)) END, CASE WHEN p_size % 7 = 1 THEN '://' ELSE ':' END, p_brand) AS target FROM part",
-    "declared": "SELECT concat('x', CAST(r_regionkey AS STRING)) AS prefix, CASE WHEN r_regionkey = 3 THEN 'not a uri' ELSE concat('https://example.org/', r_name, '#') END AS uri FROM region",
+    "targets": "SELECT DISTINCT concat('g', CAST(p_partkey % 3 AS STRING)) AS graph_id, concat(CASE WHEN p_size % 7 = 0 THEN 'custom' WHEN p_size % 7 = 1 THEN 'http' ELSE concat('x', CAST(p_size % 7 AS STRING)) END, CASE WHEN p_size % 7 = 1 THEN '://' ELSE ':' END, p_brand) AS target FROM part",
+    # graphs declare one prefix differently, and twice: the last one holds
+    "declared": """
+SELECT concat('g', CAST(n_nationkey % 2 AS STRING)) AS graph_id, n_nationkey AS pos, concat('x', CAST(n_regionkey AS STRING)) AS prefix,
+  CASE WHEN n_regionkey = 3 THEN 'not a uri' ELSE concat('https://example.org/', n_name, '#') END AS uri FROM nation""",
     # metadata files found in collections; some do not parse
     "candidates": """
 SELECT concat(lang, '/', source, '/', CAST(CAST(floor(doc_id / 30) AS BIGINT) AS STRING)) AS graph_id,

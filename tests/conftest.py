@@ -18,6 +18,7 @@ def spark(tmp_path_factory):
         SparkSession.builder.master("local[4]")
         .appName("cairn-tests")
         .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", tmp_path_factory.mktemp("staging").as_uri())
         .config("spark.ui.enabled", "false")

@@ -59,7 +59,7 @@ def sheet(table):
 
 
 def test_sheets_merge_by_id(spark, nodes, props, root, sheet, lists, rows):
-    graph = Graph(nodes(("d/a.pdf", "File"), ("#place-cairns", "Place")), props(("d/a.pdf", "description", 0, "", None)), root("./"), builtin_prefixes(spark))
+    graph = Graph(nodes(("d/a.pdf", "File"), ("#place-cairns", "Place")), props(("d/a.pdf", "description", 0, "", None)), root("./"), builtin_prefixes(root("./")))
     merged = merge_metadata(graph, sheet, MAPPING)
     said = lists(merged.props)
     assert said[("d/a.pdf", "description")] == ["second"]
@@ -70,8 +70,21 @@ def test_sheets_merge_by_id(spark, nodes, props, root, sheet, lists, rows):
     assert rows(merged.nodes, "id") == [("#place-brisbane",), ("#place-cairns",), ("d/a.pdf",)]
 
 
+def test_a_sheet_brings_places_and_prefixes(table, nodes, props, root, gazetteer, lists, rows):
+    sheet = table([("g", "d/a.pdf", "Brisbane, Nowhere", "text/plain")], "graph_id string, id string, location string, kind string")
+    mapping = [{"source": "location", "target": "contentLocation", "type": "Place"}, {"source": "kind", "target": "dc:format"}]
+    graph = Graph(nodes(("d/a.pdf", "File")), props(("d/a.pdf", "name", 0, "a", None)), root("./"), builtin_prefixes(root("./")))
+    declared = table([("g", "dc", "http://purl.org/dc/"), ("g", "unused", "http://unused")], "graph_id string, prefix string, uri string")
+    merged = merge_metadata(graph, sheet, mapping, gazetteer=gazetteer, declared=declared)
+    said = lists(merged.props)
+    assert said[("#place-brisbane", "geo")] == [("@", "#location-brisbane")] and ("#place-nowhere", "geo") not in said
+    assert said[("#location-brisbane", "asWKT")] == ["POINT(153.0251 -27.4698)"]
+    assert rows(merged.nodes.filter("type = 'Geometry'"), "id") == [("#location-brisbane",)]
+    assert ("g", "dc", "http://purl.org/dc/") in rows(merged.prefixes) and merged.prefixes.filter("prefix = 'unused'").count() == 0
+
+
 def test_terms_and_speakers_join_a_graph(spark, table, nodes, props, root, lists, rows):
-    graph = Graph(nodes(("a.mp3", "File"), ("#s2", "Person")), props(("#s2", "name", 0, "Known", None)), root("./"), builtin_prefixes(spark))
+    graph = Graph(nodes(("a.mp3", "File"), ("#s2", "Person")), props(("#s2", "name", 0, "Known", None)), root("./"), builtin_prefixes(root("./")))
     texts = table([("g", "a.mp3", "dyirbal story.mp3")], "graph_id string, file_id string, text string")
     found = add_terms(graph, texts, table([("L:1", "Dyirbal", 0)], CATALOG))
     assert lists(found.props)[("a.mp3", "ldac:subjectLanguage")] == [("@", "L:1")]
@@ -81,6 +94,31 @@ def test_terms_and_speakers_join_a_graph(spark, table, nodes, props, root, lists
     assert lists(spoken.props)[("#s2", "name")] == ["Known"]
 
 
+def test_terms_a_graph_has_stay_one_entity(table, nodes, props, root, lists, rows):
+    graph = Graph(
+        nodes(("a.mp3", "File"), ("L:1", "Language")),
+        props(("L:1", "name", 0, "Own name", None), ("a.mp3", "ldac:subjectLanguage", 0, None, "L:old"), ("a.mp3", "ldac:subjectLanguage", 1, None, "L:older")),
+        root("./"),
+        builtin_prefixes(root("./")),
+    )
+    texts = table([("g", "a.mp3", "dyirbal and girramay.mp3")], "graph_id string, file_id string, text string")
+    catalog = table([("L:1", "Dyirbal", 0), ("L:2", "Girramay", 0)], CATALOG)
+    shapes = table([("L:1", "#geo-1", "POINT(1 2)"), ("L:2", "#geo-2", "POINT(3 4)")], "term_id string, geo_id string, wkt string")
+    found = add_terms(graph, texts, catalog, geometry=shapes)
+    said = lists(found.props)
+    assert said[("a.mp3", "ldac:subjectLanguage")] == [("@", "L:1"), ("@", "L:2")]
+    assert said[("L:1", "name")] == ["Own name"] and said[("L:2", "name")] == ["Girramay"]
+    assert said[("L:1", "geo")] == [("@", "#geo-1")] and said[("#geo-2", "asWKT")] == ["POINT(3 4)"]
+    assert rows(found.nodes.filter("type = 'Language'"), "id") == [("L:1",), ("L:2",)]
+
+
+def test_long_terms_are_found_whole(table, rows):
+    run = " ".join(f"w{k}" for k in range(300))
+    texts = table([("g", "a", "x " + run + " y"), ("g", "b", run.replace("w7 ", "z ")), ("h", "a", "w0 w1")], "graph_id string, file_id string, text string")
+    catalog = table([("L", run), ("M", "w0 w1"), ("N", "w1 w3")], "code string, name string")
+    assert rows(terms.match_terms(texts, catalog), "graph_id", "file_id", "code") == [("g", "a", "L"), ("g", "a", "M"), ("g", "b", "M"), ("h", "a", "M")]
+
+
 def test_custom_properties_get_definitions(table, nodes, props, lists):
     declared = table([("g", "arcp://name,custom/terms#participant", "Participant", "Who takes part")], "graph_id string, id string, name string, description string")
     written = props(("f", "custom:participant", 0, "", None), ("f", "custom:note", 0, "x", None), ("f", "dc:format", 0, "x", None))
@@ -100,9 +138,18 @@ def test_both_sides_of_a_mismatch_are_reported(nodes, sheet, rows):
 
 
 def test_prefixes_are_looked_for(table, rows):
-    targets = table([("dc:format",), ("custom:x",), ("name",), ("zz:a",), ("https://a.b/c",), ("bad:y",)], "target string")
-    declared = table([("dc", " http://purl.org/dc/ "), ("bad", "no uri"), ("1x", "http://x")], "prefix string, uri string")
-    assert rows(sheets.discover_prefixes(targets, declared), "prefix", "uri") == [("bad", None), ("dc", "http://purl.org/dc/"), ("zz", None)]
+    names = ["dc:format", "custom:x", "name", "zz:a", "https://a.b/c", "bad:y"]
+    targets = table([("g", n) for n in names] + [("h", "dc:format")], "graph_id string, target string")
+    declared = table(
+        [("g", 0, "dc", "http://z"), ("g", 1, "dc", " http://purl.org/dc/ "), ("g", 2, "bad", "no uri"), ("g", 3, "1x", "http://x"), ("h", 0, "dc", "urn:h")],
+        "graph_id string, pos int, prefix string, uri string",
+    )
+    assert rows(sheets.discover_prefixes(targets, declared), "graph_id", "prefix", "uri") == [
+        ("g", "bad", None),
+        ("g", "dc", "http://purl.org/dc/"),  # the last one declared
+        ("g", "zz", None),
+        ("h", "dc", "urn:h"),
+    ]
 
 
 @pytest.fixture
@@ -168,12 +215,14 @@ def test_media_beside_the_document(table, rows):
 
 @pytest.fixture
 def assets(table):
-    return table([("files/images/magpie.jpg", "blob:m"), ("style.css", "blob:s"), ("a%20b.png", "blob:ab"), ("a b.gif", "blob:gif")], "path string, target string")
+    own = [("files/images/magpie.jpg", "blob:m"), ("style.css", "blob:s"), ("a%20b.png", "blob:ab"), ("a b.gif", "blob:gif")]
+    other = [("h", path, "other:" + target) for path, target in own] + [("h", "nope.png", "other:nope")]
+    return table([("g", *row) for row in own] + other, "graph_id string, path string, target string")
 
 
 def test_links_are_classified(table, assets, rows):
     hrefs = ["../files/images/magpie.jpg?v=2#x", "https://x.org/style.css", "#top", "about.HTML#a", "nope.png", "", "a%20b.png", "a b.gif", "/style.css", "//cdn/x"]
-    found = dict((h, (k, r)) for h, k, r in rows(links.resolve_links(table([(h,) for h in hrefs], "href string"), assets), "href", "kind", "resolved"))
+    found = dict((h, (k, r)) for h, k, r in rows(links.resolve_links(table([("g", h) for h in hrefs], "graph_id string, href string"), assets), "href", "kind", "resolved"))
     assert found == {
         "../files/images/magpie.jpg?v=2#x": ("mapped", "blob:m?v=2#x"),
         "https://x.org/style.css": ("absolute", "https://x.org/style.css"),
@@ -221,7 +270,7 @@ def test_entities_are_found(nodes, props, root):
 
 def test_compact_properties_expand(spark, props, lists):
     said = props(("f", "custom:a", 0, "1", None), ("f", "custom:b", 0, "2", None), ("f", "arcp://name,custom/terms#b", 0, "own", None), ("f", "zz:c", 0, "3", None), ("f", "custom:", 0, "4", None))
-    expanded = lists(publish.expand_properties(said, builtin_prefixes(spark)))
+    expanded = lists(publish.expand_properties(said, builtin_prefixes(said)))
     assert expanded[("f", "arcp://name,custom/terms#a")] == ["1"]
     assert expanded[("f", "arcp://name,custom/terms#b")] == ["own"]
     assert len(expanded) == 6

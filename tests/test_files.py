@@ -27,14 +27,19 @@ def test_groups_come_from_folders_or_the_file_name(listing, rows):
     ]
 
 
-def test_duplicates_name_each_other(listing, rows):
+def test_duplicates_meet_in_a_hub(listing, rows):
     groups = fs.duplicate_groups(meta(listing("A/dict.pdf", "B/dict copy.pdf", "A/list.csv", "é.txt", "ü.txt")))
     assert rows(fs.possible_duplicates(groups), "id", "ref") == [
-        ("A/dict.pdf", "B/dict copy.pdf"),
-        ("B/dict copy.pdf", "A/dict.pdf"),
-        ("é.txt", "ü.txt"),  # names without a letter or digit all share the blank key
-        ("ü.txt", "é.txt"),
+        ("#duplicates-", "é.txt"),  # names without a letter or digit all share the blank key
+        ("#duplicates-", "ü.txt"),
+        ("#duplicates-dict", "A/dict.pdf"),
+        ("#duplicates-dict", "B/dict copy.pdf"),
+        ("A/dict.pdf", "#duplicates-dict"),
+        ("B/dict copy.pdf", "#duplicates-dict"),
+        ("é.txt", "#duplicates-"),
+        ("ü.txt", "#duplicates-"),
     ]
+    assert rows(fs.duplicate_hub_nodes(groups), "id", "type") == [("#duplicates-", "Collection"), ("#duplicates-dict", "Collection")]
 
 
 def test_blank_names_can_be_skipped(listing):
@@ -42,21 +47,16 @@ def test_blank_names_can_be_skipped(listing):
     assert fs.duplicate_groups(files, skip_empty_key=True).count() == 0
 
 
-@pytest.mark.parametrize("limit", [1, 3, 100])
-def test_hubs_say_what_pairs_say(listing, limit):
-    """Whatever the limit, each file's duplicates are all others of its name."""
-    paths = [f"{d}/{n}.txt" for d in "abcde" for n in ("one", "one copy", "two", f"solo{d}")]
-    links = fs.possible_duplicates(fs.duplicate_groups(meta(listing(*paths))), limit).collect()
-    members = {}
-    for r in links:
-        members.setdefault(r["id"], set()).add(r["ref"])
-    for path in paths:
-        stem = path.split("/")[1].replace(" copy", "")
-        others = {p for p in paths if p.split("/")[1].replace(" copy", "") == stem} - {path}
-        found = set()
-        for ref in members.get(path, ()):
-            found |= members[ref] if ref.startswith("#") else {ref}
-        assert found - {path} == others
+@pytest.mark.parametrize("size", [2, 3, 120])
+def test_groups_of_any_size_have_one_form(listing, size):
+    """Each file's duplicates are all others of its name, in two links per file."""
+    paths = [f"d{k}/one.txt" for k in range(size)] + ["d0/two.txt", "d1/two copy.txt", "solo.txt"]
+    links = fs.possible_duplicates(fs.duplicate_groups(meta(listing(*paths)))).collect()
+    assert len(links) == 2 * (size + 2)
+    hub = {r["id"]: r["ref"] for r in links if not r["id"].startswith("#")}
+    members = {h: {r["ref"] for r in links if r["id"] == h} for h in hub.values()}
+    assert members[hub["d1/one.txt"]] == set(paths[:size])
+    assert members[hub["d0/two.txt"]] == {"d0/two.txt", "d1/two copy.txt"} and "solo.txt" not in hub
 
 
 def test_object_mode(listing, lists, rows):
@@ -117,7 +117,9 @@ def test_whole_build(listing, root, rows, lists, props):
     ]
     assert said[("arcp://name,test", "name")] == ["Test"]
     assert said[("D/l/words.csv", "isPartOf")] == [("@", "arcp://name,test/D")]
-    assert said[("D/dict.pdf", "custom:possibleDuplicate")] == [("@", "G/dict copy.pdf")]
+    hub = "#duplicates-dict"
+    assert said[("D/dict.pdf", "custom:possibleDuplicate")] == said[("G/dict copy.pdf", "custom:possibleDuplicate")] == [("@", hub)]
+    assert said[(hub, "custom:possibleDuplicate")] == [("@", "D/dict.pdf"), ("@", "G/dict copy.pdf")]
     assert ("D/l/words.csv", "custom:possibleDuplicate") not in said
     assert said[("D/dict.pdf", "custom:participant")] == [""]
     assert said[("arcp://name,custom/terms#participant", "name")] == ["Participant"]

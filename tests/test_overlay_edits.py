@@ -75,23 +75,25 @@ def test_membership_is_replaced_by_usable_members(props, nodes, root, lists, row
 
 
 def test_overlaying_a_graph(spark, props, nodes, root, lists, rows):
-    prefixes = builtin_prefixes(spark)
-    target = Graph(nodes(("arcp://b", "Dataset"), ("#about", "RepositoryObject")), props(("arcp://b", MEMBER, 0, None, "#about")), root("arcp://b"), prefixes)
+    prefixes = builtin_prefixes(root("./"))
+    target = Graph(nodes(("arcp://b", "Dataset"), ("#about", "RepositoryObject")), props(("arcp://b", MEMBER, 0, None, "#about"), ("arcp://b", "name", 0, "Built", None)), root("arcp://b"), prefixes)
     source = Graph(
         nodes(("./", "Dataset"), ("#magpie", "RepositoryObject")),
-        props(("./", MEMBER, 0, None, "#magpie"), ("#magpie", "memberOf", 0, None, "./")),
+        props(("./", MEMBER, 0, None, "#magpie"), ("#magpie", "memberOf", 0, None, "./"), ("./", "name", 0, "Birds", None), ("./", "description", 0, "Seen", None)),
         root("./"),
         prefixes,
     )
     merged = overlay_graph(target, source)
     assert rows(merged.nodes, "id") == [("#about",), ("#magpie",), ("arcp://b",)]
     assert lists(merged.props) == {
+        ("arcp://b", "name"): ["Built"],
+        ("arcp://b", "description"): ["Seen"],
         ("arcp://b", MEMBER): [("@", "#magpie")],
         ("#magpie", "memberOf"): [("@", "arcp://b")],
     }
 
 
-def test_properties_follow_the_last_change(props, log, lists):
+def test_properties_follow_the_last_change(nodes, props, log, lists, rows):
     before = props(("f", "description", 0, "old", None), ("f", "who", 0, "A", None), ("f", "who", 1, "B", None), ("g", "name", 0, "n", None))
     changes = log(
         (1, "set", "f", "description", "first", None),
@@ -99,17 +101,20 @@ def test_properties_follow_the_last_change(props, log, lists):
         (3, "delete_property", "f", "who", None, None),
         (4, "set", "h", "creator", None, "#p"),
         (5, "set", "g", "name", None, None),
+        (6, "set", "nobody", "name", "lost", None),
     )
-    assert lists(ed.edit_properties(before, changes)) == {
+    known = nodes(("f", "File"), ("g", "File"), ("h", "File"))
+    assert rows(ed.edits_of_nothing(known, changes), "seq", "id") == [(6, "nobody")]
+    assert lists(ed.edit_properties(known, before, changes)) == {
         ("f", "description"): ["second"],
         ("h", "creator"): [("@", "#p")],
     }
 
 
-def test_one_change_may_set_several_values(props, table, lists):
+def test_one_change_may_set_several_values(nodes, props, table, lists):
     schema = "graph_id string, seq bigint, op string, id string, prop string, pos int, value string, ref string"
     changes = table([("g", 7, "set", "f", "who", i, v, None) for i, v in enumerate("XYZ")], schema)
-    assert lists(ed.edit_properties(props(("f", "who", 0, "A", None)), changes)) == {("f", "who"): ["X", "Y", "Z"]}
+    assert lists(ed.edit_properties(nodes(("f", "File")), props(("f", "who", 0, "A", None)), changes)) == {("f", "who"): ["X", "Y", "Z"]}
 
 
 def test_additions(nodes, log, props, rows):
@@ -156,7 +161,7 @@ def test_types_are_replaced(nodes, log, rows):
 
 
 def test_a_whole_log(spark, nodes, props, root, log, rows, lists):
-    graph = Graph(nodes(("#p", "Person"), ("./", "Dataset")), props(("#p", "name", 0, "P", None)), root("./"), builtin_prefixes(spark))
+    graph = Graph(nodes(("#p", "Person"), ("./", "Dataset")), props(("#p", "name", 0, "P", None)), root("./"), builtin_prefixes(root("./")))
     edited = edit_graph(
         graph,
         log(

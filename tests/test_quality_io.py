@@ -11,13 +11,13 @@ from cairn.sinks import jsonld as json_sink
 from cairn.sinks import sheets as sheet_sink
 from cairn.sources import jsonld, listing, tables
 
-RULES = "class string, prop string, range_type string, required int, multiple int"
+RULES = "class string, prop string, range_type string, required int, multiple int, min_instances int"
 
 
 @pytest.fixture
 def rules(table):
     return table(
-        [("Person", "name", "Text", 1, 0), ("Person", "home", "Place", 0, 0), ("Person", "home", "URL", 0, 0), ("Person", "born", "Date", 0, 0), ("Place", "name", "Text", 1, 1)],
+        [("Person", "name", "Text", 1, 0, 2), ("Person", "home", "Place", 0, 0, None), ("Person", "home", "URL", 0, 0, 0), ("Person", "born", "Date", 0, 0, 0), ("Place", "name", "Text", 1, 1, 0)],
         RULES,
     )
 
@@ -26,7 +26,8 @@ def test_cardinality(nodes, props, rules, rows):
     said = props(("#a", "name", 0, "x", None), ("#a", "name", 1, "y", None), ("#p", "name", 0, "x", None), ("#p", "name", 1, "y", None))
     found = q.check_cardinality(nodes(("#a", "Person"), ("#b", "Person"), ("#p", "Place")), said, rules)
     assert rows(found, "id", "prop", "problem", "found") == [("#a", "name", "several", 2), ("#b", "name", "missing", 0)]
-    assert rows(q.check_instances(nodes(("#a", "Person")), ["Person", "Place"]), "class") == [("Place",)]
+    assert rows(q.check_instances(nodes(("#a", "Person")), rules), "class", "found", "wanted") == [("Person", 1, 2)]
+    assert q.check_instances(nodes(("#a", "Person")), rules.drop("min_instances")).count() == 0
 
 
 def test_ranges(nodes, props, rules, rows):
@@ -61,11 +62,14 @@ def test_root_class(table, rules, rows):
     ]
 
 
-def test_checking_a_graph(spark, nodes, props, root, rules):
-    good = Graph(nodes(("#a", "Person"), ("#p", "Place")), props(("#a", "name", 0, "A", None), ("#p", "name", 0, "P", None)), root("./"), builtin_prefixes(spark))
+def test_checking_a_graph(nodes, props, root, rules):
+    rules = rules.withColumn("min_instances", F.lit(0))  # a graph need not have every class
+    good = Graph(nodes(("#a", "Person"), ("#p", "File")), props(("#a", "name", 0, "A", None), ("#p", "name", 0, "P", None)), root("./"), builtin_prefixes(root("./")))
     assert tuple(check_graph(good, rules).first()) == ("g", 0, 0, 1)
     bad = good.with_(props=props(("#a", "name", 0, "A", None), ("#a", "odd", 0, None, "#x")))
-    assert tuple(check_graph(bad, rules).first()) == ("g", 1, 2, 0)
+    assert tuple(check_graph(bad, rules).first()) == ("g", 0, 2, 1)
+    strict = rules.withColumn("min_instances", F.when(F.col("class") == "Place", 1))
+    assert tuple(check_graph(bad, strict).first()) == ("g", 1, 2, 0)
 
 
 @pytest.fixture
@@ -87,8 +91,14 @@ def birds(nodes, props):
     }
 
 
-def objects(birds):
-    return [json.loads(r["json"]) for r in json_sink.graph_to_json(birds["nodes"], birds["props"]).orderBy("id", "part").collect()]
+def objects(graph):
+    """The objects that the fragments of a graph make, in order."""
+    made = json_sink.graph_to_json(graph["nodes"], graph["props"]).orderBy(*json_sink.ORDER).collect()
+    text, at, found = "".join(r["text"] for r in made), 0, []
+    while at < len(text):
+        one, at = json.JSONDecoder().raw_decode(text, at)
+        found.append(one)
+    return found
 
 
 def test_json_collapses_single_values(birds):
@@ -103,18 +113,20 @@ def test_json_collapses_single_values(birds):
     assert found["#geo"][".latitude"] == -27.4698
 
 
-def test_long_lists_go_on_in_further_objects(nodes, props, monkeypatch, rows):
-    monkeypatch.setattr(json_sink, "LIST_ROWS", 3)
-    said = props(*[("#c", "hasPart", i, None, f"f{i}") for i in range(8)], ("#c", "name", 0, "C", None))
-    made = json_sink.graph_to_json(nodes(("#c", "RepositoryObject")), said)
-    parts = [json.loads(r["json"]) for r in made.orderBy("part").collect()]
-    assert [len(p["hasPart"]) for p in parts] == [3, 3, 2]
-    assert {p["@id"] for p in parts} == {"#c"} and "name" in parts[0] and "name" not in parts[1]
+def test_long_lists_stay_one_object(nodes, props, lists, table):
+    """Lists of over 10,000 values and positions with gaps, put together from their fragments."""
+    said = props(*[("#c", "hasPart", 3 * i, None, f"f{i}") for i in range(11_000)], ("#c", "name", 0, "C", None), ("#d", "note", 40_000, "x", None))
+    c, d = objects({"nodes": nodes(("#c", "RepositoryObject"), ("#d", "X")), "props": said})
+    assert [p["@id"] for p in c["hasPart"]] == [f"f{i}" for i in range(11_000)]
+    assert c["name"] == "C" and d == {"@id": "#d", "@type": "X", "note": "x"}
+    back = jsonld.read_entities(jsonld.line_entities(table([("g", json.dumps(c)), ("g", json.dumps(d))], "graph_id string, text string")))
+    assert lists(back["props"]) == lists(said)
+    assert back["nodes"].filter("type IS NULL").count() == 0
 
 
 def test_documents_are_whole(birds, tmp_path, spark, table, lists):
     twice = {k: df.unionByName(df.withColumn("graph_id", F.lit("h"))) for k, df in birds.items()}
-    json_sink.write_documents(twice["nodes"], twice["props"], builtin_prefixes(spark), str(tmp_path / "d"))
+    json_sink.write_documents(twice["nodes"], twice["props"], builtin_prefixes(twice["nodes"]), str(tmp_path / "d"))
     for graph in "gh":
         files = sorted((tmp_path / "d" / f"graph_id={graph}").glob("part-*"))
         text = "".join(f.read_text() for f in files)
@@ -137,24 +149,27 @@ def test_graphs_survive_json(birds, rows, tmp_path, spark, lists):
 
 def test_graphs_survive_sheets(birds, rows, tmp_path, spark, lists):
     literal = birds["props"].filter("NOT (prop = 'image' AND ref IS NULL)")
-    kinds = ["Dataset", "RepositoryObject", "Geometry", "Organization"]
-    sheet_sink.write_sheets(birds["nodes"], literal, kinds, str(tmp_path))
-    read = {}
-    for kind in kinds:
-        raw = spark.read.csv(f"{tmp_path}/type={kind}", header=True, multiLine=True, escape='"')
-        read[kind] = raw
+    columns = {}
+    for r in sheet_sink.sheet_columns(birds["nodes"], literal).collect():
+        columns.setdefault(r["type"], []).append(r["column"])
+    left_out = columns["RepositoryObject"].pop()
+    columns = {kind: columns.get(kind, []) for kind in ("Dataset", "RepositoryObject", "Geometry", "Organization")}
+    sheet_sink.write_sheets(birds["nodes"], literal, {k: c for k, c in columns.items() if c}, str(tmp_path))
+    read = {k: spark.read.csv(f"{tmp_path}/type={k}", header=True, multiLine=True, escape='"') for k, c in columns.items() if c}
     back = tables.sheets_to_graph(read)
-    assert rows(back["nodes"], "id", "type") == rows(birds["nodes"], "id", "type")
-    assert lists(back["props"]) == lists(literal)
+    others = spark.read.csv(f"{tmp_path}/others", header=True, multiLine=True, escape='"')
+    assert {r["column"] for r in others.collect()} == {left_out}
+    kept = literal.filter(F.when(F.col("ref").isNotNull(), F.concat(F.lit("@"), "prop")).otherwise(F.col("prop")) != left_out)
+    assert lists(back["props"]) == lists(kept)
 
 
-def test_long_lists_survive_sheets(nodes, props, monkeypatch, lists):
-    monkeypatch.setattr(sheet_sink, "LIST_ROWS", 3)
-    monkeypatch.setattr(tables, "LIST_ROWS", 3)
-    things, said = nodes(("#c", "X")), props(*[("#c", "hasPart", i, None, f"f{i}") for i in range(8)])
-    sheet = sheet_sink.graph_to_sheet(things, said, "X")
-    assert sheet.count() == 3
+def test_long_lists_and_dotted_columns_survive_sheets(nodes, props, lists, table):
+    things, said = nodes(("#c", "X")), props(*[("#c", "hasPart", i, None, f"f{i}") for i in range(11_000)])
+    sheet = sheet_sink.graph_to_sheet(things, said, "X", ["@hasPart"])
+    assert sheet.count() == 1
     assert lists(tables.sheets_to_graph({"X": sheet})["props"]) == lists(said)
+    dotted = table([("g", "#c", "a, b/c"), ("g", "#d", None)], "graph_id string, id string, `.author` string")
+    assert lists(tables.sheets_to_graph({"X": dotted})["props"]) == {("#c", ".author"): ["a", "b", "c"]}
 
 
 DOC = {
@@ -174,7 +189,7 @@ def read(table, document):
 def test_reading_a_document(table, rows, lists):
     graph = read(table, DOC)
     assert rows(graph["roots"], "root_id") == [("arcp://name,birds/root",)]
-    assert rows(graph["prefixes"]) == [("custom", "arcp://name,custom/terms#")]
+    assert rows(graph["prefixes"]) == [("g", "custom", "arcp://name,custom/terms#")]
     said = lists(graph["props"])
     assert said[("arcp://name,birds/root", "author")] == [("@", "#a"), "b"]
     assert said[("arcp://name,birds/root", "n")] == ["3"]
@@ -197,13 +212,29 @@ def test_finding_the_root(table, entities, root):
 def test_entities_without_a_type_are_kept(table, rows):
     graph = read(table, {"@graph": [{"@id": "#x"}, {"@id": "#y", "name": "Y"}]})
     assert rows(graph["nodes"], "id", "type") == [("#x", None), ("#y", None)]
-    assert [json.loads(r["json"]) for r in json_sink.graph_to_json(graph["nodes"], graph["props"]).orderBy("id").collect()] == [{"@id": "#x"}, {"@id": "#y", "name": "Y"}]
-    assert [tuple(r) for r in stats.type_counts(graph["nodes"]).collect()] == [("(none)", 2)]
+    assert objects(graph) == [{"@id": "#x"}, {"@id": "#y", "name": "Y"}]
+    assert [tuple(r) for r in stats.type_counts(graph["nodes"]).collect()] == [("g", "(none)", 2)]
 
 
 def test_malformed_documents_give_nothing(table):
     graph = read(table, "{ not json")
     assert graph["nodes"].count() == graph["props"].count() == graph["roots"].count() == 0
+    assert [tuple(r) for r in graph["rejected"].collect()] == [("g", None, "no readable @graph")]
+
+
+def test_what_cannot_be_read_is_listed(table, rows):
+    graph = read(table, {"@graph": [{"@id": "#a", "name": "A"}, {"name": "no id"}, "text", {"@id": "#b"}]})
+    assert rows(graph["nodes"], "id") == [("#a",), ("#b",)]
+    assert rows(graph["rejected"], "entity_no", "reason") == [(1, "no @id"), (2, "does not parse")]
+
+
+def test_a_large_document_is_read_whole(spark):
+    """Larger than a single parsed value may be."""
+    entity = lambda k: F.concat(F.lit('{"@id":"#'), k, F.lit('","@type":"T","text":"'), F.repeat(F.lit("x"), 100_000), F.lit('"}'))
+    entities = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1_400)), entity), ",")
+    text = F.concat(F.lit('{"@graph":['), entities, F.lit("]}")).alias("text")
+    graph = jsonld.read_graph(spark.range(1).select(F.lit("g").alias("graph_id"), text))
+    assert graph["nodes"].count() == 1_400 and graph["rejected"].count() == 0
 
 
 ADD, XLSX, JSON = jsonld.METADATA_FILES

@@ -63,13 +63,12 @@ def test_blank_keys_are_spread(spark):
     assert keys.filter("NOT startswith(key, '\0')").count() == 0
 
 
-def test_checkpoints_go_where_the_session_says(spark, tmp_path):
-    frame = scale.checkpointed(spark.range(10))
-    assert frame.count() == 10
-    folder = spark.sparkContext.getCheckpointDir()
-    setting = spark.conf.get("spark.checkpoint.dir", None)
-    assert folder is not None
-    assert setting is None or setting in folder
+def test_staged_tables_go_where_the_session_says(spark):
+    kept = scale.staged(spark.range(10).withColumn("at", F.monotonically_increasing_id()))
+    assert kept.count() == 10 and kept.columns == ["id", "at"]
+    folder = scale.staging_folder(spark)
+    assert folder == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    assert all(path.startswith(f"{folder}/cairn-") for path in kept.inputFiles())
 
 
 @pytest.fixture
@@ -128,12 +127,8 @@ def test_a_hot_name_is_split_and_stays_linear(spark, small_partitions):
     )
     groups = fs.duplicate_groups(files)
     assert "skew=true" in final_plan(groups)
-    linked = fs.possible_duplicates(groups)
-    assert final_plan(linked).split("Initial Plan")[0].count("skew=true") == 2  # pairs and hubs
-    links = linked.cache()
+    links = fs.possible_duplicates(groups).cache()
     hub = "#duplicates-same"
     assert links.filter(F.col("ref") == hub).count() == count // 3
     assert links.filter(F.col("id") == hub).count() == count // 3
-    assert links.count() < 6 * count
-    direct = links.filter(~F.col("id").startswith("#") & ~F.col("ref").startswith("#"))
-    assert direct.count() == (count // 6) * 4 * 3  # four files share each other name
+    assert links.count() == 2 * count

@@ -6,25 +6,25 @@ from cairn.operators import transcripts as ts
 from cairn.plans import scale
 from cairn.sinks import text as out
 
-TALK = """Transcript: T1
-Recording date: 2025-01-01
+TALK = """Transcript: Market day
+Recorded by: Ines
 Speakers:
-A: Gareth Evans (Holt, ALP) #speaker01
-B: Sam #speaker02
+A: Mara Lind (Port Guild, Delta) #mara
+B: Oto #oto
 PRELIMINARIES
-A: hello there
-B: hi
-and more of it
+A: good morning
+B: they said
+Listen: come home now
+and wait there
 
-  still B
+  until noon
 MAIN
-A: I am here, "now"
-X: who
+A: Fish, "fresh"
+X: how much
 POSTLIMINARIES
 A:
 END OF TRANSCRIPT"""
 
-
 @pytest.fixture(params=[1 << 16, 4], ids=["whole", "cut"])
 def segments(request, monkeypatch):
     """Once as usual, once with segments of four lines."""
@@ -34,89 +34,94 @@ def segments(request, monkeypatch):
 
 @pytest.fixture
 def texts(table):
-    return table([("g", "talks/demo.docx", TALK), ("g", "talks/plain.docx", "no codes\nat all")], "graph_id string, doc_id string, text string")
+    return table([("g", "talks/demo.docx", TALK), ("g", "talks/plain.docx", "no codes\nat all"), ("g", "talks/bare.docx", "Title: one\nA: first\nmore: of it\nB: second")], "graph_id string, doc_id string, text string")
 
 
 def test_lines_are_normalised(texts, rows):
     lines = [r["line"] for r in ts.normalize_transcript(texts, 1, 1).filter("doc_id LIKE '%demo%'").orderBy("line_no").collect()]
-    assert lines[0] == "Recording date: 2025-01-01"
-    assert "A:\tGareth Evans (Holt, ALP) #speaker01" in lines
+    assert lines[0] == "Recorded by: Ines"
+    assert "A:\tMara Lind (Port Guild, Delta) #mara" in lines
     assert lines[-1] == "A:\t"
     kept = ts.normalize_transcript(texts).filter("line LIKE 'END%'")
     assert kept.count() == 0
 
 
-def whole(df):
-    """Texts put together over their parts, by position."""
-    found = {}
-    for r in df.orderBy("at", "part").collect():
-        found.setdefault(r["at"], []).append((r["code"], r["section"], r["text"]))
-    return [(v[0][0], v[0][1], " ".join(t for _, _, t in v if t)) for _, v in sorted(found.items())]
+def said(df, doc):
+    return [(r["code"], r["section"], r["text"]) for r in df.filter(f"doc_id LIKE '%{doc}%'").orderBy("at").collect()]
 
 
 def test_rows_of_a_transcript(texts, segments):
     made = ts.transcript_rows(texts)
-    demo = made["rows"].filter("doc_id LIKE '%demo%'")
-    turns = [t for t in whole(demo)]
-    assert turns == [
-        ("A", "PRE", "hello there"),
-        ("B", "PRE", "hi and more of it still B"),
-        ("A", "MAIN", 'I am here, "now"'),
-        ("X", "MAIN", "who"),
+    assert said(made["rows"], "demo") == [
+        ("A", "PRE", "good morning"),
+        ("B", "PRE", "they said Listen: come home now and wait there until noon"),
+        ("A", "MAIN", 'Fish, "fresh"'),
+        ("X", "MAIN", "how much"),
         ("A", "POST", ""),
     ]
+    demo = made["rows"].filter("doc_id LIKE '%demo%'")
     ids = {r["code"]: r["speaker_id"] for r in demo.collect() if r["code"]}
-    assert ids == {"A": "#speaker01", "B": "#speaker02", "X": "X"}
+    assert ids == {"A": "#mara", "B": "#oto", "X": "X"}
     first = demo.first()
     assert (first["csv_id"], first["object_id"]) == ("./c2c-output/demo.csv", "./c2c-output/demo")
     assert made["rows"].filter("doc_id LIKE '%plain%'").count() == 0
 
 
+def test_turns_outside_sections_are_kept(texts, segments):
+    """Where no section begins, a line that reads as a label opens a heading."""
+    assert said(ts.transcript_rows(texts)["rows"], "bare") == [("A", None, "first more: of it"), ("B", None, "second")]
+
+
+def test_turns_cross_segment_borders_whole(table, segments):
+    lines = [("g", "d", k, "A: one" if k == 0 else f"w{k}") for k in range(23)] + [("g", "d", 23, "B: two")]
+    merged = ts.merge_continuations(table(lines, "graph_id string, doc_id string, line_no int, line string"))
+    found = [(r["at"], r["code"], r["text"]) for r in merged.orderBy("at").collect()]
+    assert found == [(0, "A", " ".join(["one", *(f"w{k}" for k in range(1, 23))])), (23, "B", "two")]
+
+
 def test_speakers_from_lines_and_texts_agree(texts, rows, segments, lists):
     tagged = ts.tag_lines(ts.normalize_transcript(texts))
     columns = ["doc_id", "code", "label", "affiliation", "speaker_id"]
     expected = [
-        ("talks/demo.docx", "A", "Gareth Evans", "(Holt, ALP)", "#speaker01"),
-        ("talks/demo.docx", "B", "Sam", None, "#speaker02"),
+        ("talks/demo.docx", "A", "Mara Lind", "(Port Guild, Delta)", "#mara"),
+        ("talks/demo.docx", "B", "Oto", None, "#oto"),
     ]
     assert rows(ts.speakers(tagged), *columns) == expected
     assert rows(ts.listed_speakers(texts), *columns) == expected
     people = ts.speaker_entities(ts.speakers(tagged))
-    assert lists(people["props"])[("#speaker01", "affiliation")] == ["(Holt, ALP)"]
-    assert lists(people["props"])[("#speaker01", "identifier")] == ["#speaker01"]
+    assert lists(people["props"])[("#mara", "affiliation")] == ["(Port Guild, Delta)"]
+    assert lists(people["props"])[("#mara", "identifier")] == ["#mara"]
 
 
 def test_unresolved_speakers(texts, rows):
-    made = ts.transcript_rows(texts)
+    made = ts.transcript_rows(texts.filter("doc_id LIKE '%demo%'"))
     assert rows(ts.unresolved_speakers(made["rows"], made["speakers"]), "code") == [("X",)]
     known = made["rows"].filter("code <> 'X'")
     assert rows(ts.unresolved_speakers(known, made["speakers"]), "code") == [("none",)]
 
 
 def test_csv_is_quoted_only_where_needed(texts, tmp_path, spark):
-    made = ts.transcript_rows(texts)["rows"]
+    made = ts.transcript_rows(texts.filter("doc_id LIKE '%demo%'"))["rows"]
     lines = [r["line"] for r in out.transcript_csv(made).orderBy("at").collect()]
     assert lines[0] == "speakerID,text,section"
-    assert "#speaker01,hello there,PRE" in lines
-    assert '#speaker01,"I am here, ""now""",MAIN' in lines
+    assert "#mara,good morning,PRE" in lines
+    assert '#mara,"Fish, ""fresh""",MAIN' in lines
     out.write_transcript_csv(made, str(tmp_path / "csv"))
     read = spark.read.text(str(tmp_path / "csv"))
     assert [r["value"] for r in read.collect()] == lines
 
 
-def test_chat_text(texts, segments):
-    made = ts.transcript_rows(texts)
-    parts = out.chat_export(made["rows"], made["speakers"], "eng", "demo-corpus").orderBy("part").collect()
-    chat = "\n".join(p["text"] for p in parts)
-    assert "@Participants: A Participant, B Participant, X Participant" in chat
-    assert "@ID: eng|demo-corpus|A|||||Participant||Holt, ALP|" in chat
-    if segments > 100:
-        assert chat.splitlines()[-5:] == ["*A: hello there", "*B: hi and more of it still B", '*A: I am here, "now"', "*X: who", "*A: "]
-        assert len(parts) == 2
+def test_chat_text(texts, segments, tmp_path, spark):
+    made = ts.transcript_rows(texts.filter("doc_id LIKE '%demo%'"))
+    out.write_chat(made["rows"], made["speakers"], "eng", "demo-corpus", str(tmp_path / "chat"))
+    chat = [r["value"] for r in spark.read.text(str(tmp_path / "chat")).collect()]
+    assert chat[:4] == ["@UTF8", "@Begin", "@Languages: eng", "@Participants: A Participant, B Participant, X Participant"]
+    assert "@ID: eng|demo-corpus|A|||||Participant||Port Guild, Delta|" in chat
+    assert chat[7:] == ["*A: good morning", "*B: they said Listen: come home now and wait there until noon", '*A: Fish, "fresh"', "*X: how much", "*A: "]
 
 
 def test_characters_stay_whole(table):
-    found = {r["character"]: r["count"] for r in stats.character_inventory(table([("aé😀",), ("a\n",), ("",)], "text string")).collect()}
+    found = {r["character"]: r["count"] for r in stats.character_inventory(table([("g", "aé😀"), ("g", "a\n"), ("g", "")], "graph_id string, text string")).collect()}
     assert found == {"a": 2, "é": 1, "😀": 1, "\n": 1}
 
 
@@ -169,10 +174,8 @@ def test_only_the_first_table_counts(blocks, rows, segments):
 
 
 def test_captions_belong_to_images(blocks, segments):
-    found = {}
-    for r in docs.attach_captions(blocks).orderBy("part").collect():
-        found.setdefault((r["image_pos"], r["half"]), []).append(r["text"])
-    assert {k: " ".join(v) for k, v in found.items()} == {
+    found = {(r["image_pos"], r["half"]): r["text"] for r in docs.attach_captions(blocks).collect()}
+    assert found == {
         (24, "caption"): "dusk A bird in a tree again",
         (24, "credit"): "Jo Smith",
     }
