@@ -16,9 +16,11 @@ sense, a Jaccard similarity of their word shingles. Such texts may differ in a
 sixth of their fingerprint bits, so it takes 256 bits and walks 24 tries, each
 with the bits in another order: the first ten bits must agree, further down the
 budget grows with the depth. A pair in a sixth of whose bits the texts differ
-is missed by all tries once in a hundred times, closer ones hardly ever. What the
-tries find is joined to a minimum spanning forest, and the shingles themselves
-decide on each of its edges.
+is missed by all tries once in a hundred times, closer ones hardly ever. What a
+task finds is thinned to the edges of a few minimum spanning forests, one after
+another, so that a crowd of near-copies costs each of them a few rows. The
+shingles themselves decide on edges: first on one forest, then on all edges
+between documents that this left apart.
 
 Null texts count as empty; a text without words has fingerprint zero and links
 like any other. Rows that repeat an id count as one document in
@@ -270,6 +272,7 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
 
 SIZE = 4  # times 64 bits
 TOP, TURNS = 10, 6  # bits that must agree; places from which they are taken in each 64 bits
+FORESTS = 6  # that a task's candidates are thinned to; groups of seven lose no pair
 FAR = 56  # differing bits of 256 beyond which a pair is no candidate: a fifth, and room for chance
 WIDE = [f"f{k}" for k in range(SIZE)]
 
@@ -289,8 +292,22 @@ def to_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([node, *batch.columns], ["node", *batch.schema.names])
 
 
+def thinned(pairs: np.ndarray, forests: int) -> np.ndarray:
+    """Of distinct pairs (a, b, bits) those of minimum spanning forests, each of what the ones before left."""
+    nodes, at = np.unique(pairs[:, :2], return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    left, kept = np.arange(len(pairs)), []
+    for _ in range(forests):
+        if not len(left):
+            break
+        keep = spanning_forest(len(nodes), a[left], b[left], pairs[left, 2])
+        kept.append(left[keep])
+        left = np.delete(left, keep)
+    return pairs[np.concatenate(kept)] if kept else pairs
+
+
 def candidates_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, bits): a minimum spanning forest of the close pairs of a task's nodes."""
+    """(a, b, bits): spanning forests of the close pairs of a task's nodes."""
     batches = list(batches)
     if not sum(batch.num_rows for batch in batches):
         return
@@ -309,32 +326,26 @@ def candidates_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     segment = np.cumsum(np.concatenate([[True], node[1:] != node[:-1]])) - 1
     start = [(s, s, 0) for s in range(segment[-1] + 1)]
     allowed = 3 + np.arange(below + 1) // 4
-    a = b = far = np.zeros(0, dtype="int64")
-
-    def forest(a, b, far):
-        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        keep = spanning_forest(len(nodes), at[: len(a)], at[len(a) :], far)
-        return a[keep], b[keep], far[keep]
-
+    held, waiting, size = np.zeros((0, 3), dtype="int64"), [], 0
     for i, j in trie_pairs(inner, segment, start, below, allowed):
         bits = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype="int64")
         close = bits <= FAR
-        a, b, far = np.concatenate([a, row[i[close]]]), np.concatenate([b, row[j[close]]]), np.concatenate([far, bits[close]])
-        if len(a) > PAIRS:
-            a, b, far = forest(a, b, far)
-    a, b, far = forest(a, b, far)
-    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(far)], ["a", "b", "bits"])
-
-
-def thinnest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition's candidates those of a minimum spanning forest."""
-    a = b = far = np.zeros(0, dtype="int64")
+        a, b = row[i[close]], row[j[close]]
+        waiting.append(np.stack([np.minimum(a, b), np.maximum(a, b), bits[close]], axis=1))
+        size += len(a)
+        if size > PAIRS:
+            held, waiting, size = thinned(np.unique(np.concatenate([held, *waiting]), axis=0), FORESTS), [], 0
+    held = thinned(np.unique(np.concatenate([held, *waiting]), axis=0), FORESTS)
+    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in held.T], ["a", "b", "bits"])
+
+
+def one_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition's candidates those of one minimum spanning forest."""
+    held = np.zeros((0, 3), dtype="int64")
     for batch in batches:
-        a, b, far = (np.concatenate([x, np.asarray(batch.column(c))]) for x, c in ((a, "a"), (b, "b"), (far, "bits")))
-        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        keep = spanning_forest(len(nodes), at[: len(a)], at[len(a) :], far)
-        a, b, far = a[keep], b[keep], far[keep]
-    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        held = np.concatenate([held, np.stack([np.asarray(c) for c in batch.columns], axis=1)])
+        held = thinned(held, 1)
+    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in held.T], ["a", "b", "bits"])
 
 
 def shingle_sets(words: int):
@@ -360,20 +371,31 @@ def near_unique(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     )
     leaves = staged(prints.groupBy(*WIDE).agg(F.min("row").alias("row"), F.count("*").alias("n")))
     found = leaves.drop("n").mapInArrow(to_tries, "node int, " + ", ".join(f"{c} bigint" for c in WIDE) + ", row bigint")
-    close = staged(found.repartition("node").mapInArrow(candidates_in_task, "a bigint, b bigint, bits bigint"))
-    alike = leaves.filter("n > 1").withColumnRenamed("row", "a").drop("n").join(prints.withColumnRenamed("row", "b"), WIDE)
-    edges = staged(
-        close.repartition("a").mapInArrow(thinnest, EDGE).distinct().union(alike.filter("a <> b").select("a", "b"))
-    )
-    ends = edges.select(F.col("a").alias("row")).union(edges.select("b")).distinct()
+    pair = EDGE + ", bits bigint"
+    close = staged(found.repartition("node").mapInArrow(candidates_in_task, pair).distinct())
+    alike = leaves.filter("n > 1").select(F.col("row").alias("a"), *WIDE).join(prints.withColumnRenamed("row", "b"), WIDE)
+    first = staged(close.repartition("a").mapInArrow(one_forest, pair).select("a", "b").union(alike.filter("a <> b").select("a", "b")))
+    ends = first.select(F.col("a").alias("row")).union(first.select("b")).distinct()
     involved = staged(prints.join(ends, "row").select("row", *key))
     texts = met(rows, involved, key).select("row", F.col(f"doc.`{text}`").cast("binary").alias("text"))
     sets = staged(texts.mapInArrow(shingle_sets(words), "row bigint, shingles array<int>").dropDuplicates(["row"]))
-    first = sets.select(F.col("row").alias("a"), F.col("shingles").alias("of_a"))
-    second = sets.select(F.col("row").alias("b"), F.col("shingles").alias("of_b"))
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    united = F.size("of_a") + F.size("of_b") - common
-    links = edges.join(first, "a").join(second, "b").filter(common >= united * F.lit(similarity)).select("a", "b")
+
+    def verified(edges: DataFrame) -> DataFrame:
+        of_a = sets.select(F.col("row").alias("a"), F.col("shingles").alias("of_a"))
+        of_b = sets.select(F.col("row").alias("b"), F.col("shingles").alias("of_b"))
+        common = F.size(F.array_intersect("of_a", "of_b"))
+        united = F.size("of_a") + F.size("of_b") - common
+        return edges.join(of_a, "a").join(of_b, "b").filter(common >= united * F.lit(similarity)).select("a", "b")
+
+    links = staged(verified(first))
+    parts = staged(components(links))
+
+    def part_of(edges: DataFrame, end: str) -> DataFrame:
+        own = parts.select(F.col("id").alias(end), F.col("component").alias(f"part_{end}"))
+        return edges.join(own, end, "left").withColumn(f"part_{end}", F.coalesce(f"part_{end}", end))
+
+    apart = part_of(part_of(close.select("a", "b"), "a"), "b").filter("part_a <> part_b").select("a", "b")
+    links = links.union(verified(apart.join(first, ["a", "b"], "left_anti")))
     classes = staged(components(links).join(involved, F.col("id") == F.col("row")).select("component", "row", *key))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     heads = staged(classes.groupBy("component").agg(F.min(order)["row"].alias("head")))
