@@ -14,6 +14,19 @@ from cairn.plans.scale import staged
 EDGE = "a bigint, b bigint"
 
 
+def merged(of: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Component labels once the components ``of`` the ends of edges are joined; the smallest label stays."""
+    x, y, parent = of[a], of[b], np.arange(len(of))
+    while (parent[x] != parent[y]).any():
+        low = np.minimum(parent[x], parent[y])
+        np.minimum.at(parent, x, low)
+        np.minimum.at(parent, y, low)
+        parent = parent[parent]
+    while (parent != parent[parent]).any():
+        parent = parent[parent]
+    return parent[of]
+
+
 def spanning_forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
     """Positions of the edges of a minimum spanning forest over nodes 0 to n - 1."""
     order = np.arange(len(a)) if weight is None else np.argsort(weight, kind="stable")
@@ -28,15 +41,7 @@ def spanning_forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray | N
         np.minimum.at(best, of[b[live]], live)
         chosen = np.unique(best[best < len(a)])
         kept.append(chosen)
-        x, y, parent = of[a[chosen]], of[b[chosen]], np.arange(n)
-        while (parent[x] != parent[y]).any():
-            low = np.minimum(parent[x], parent[y])
-            np.minimum.at(parent, x, low)
-            np.minimum.at(parent, y, low)
-            parent = parent[parent]
-        while (parent != parent[parent]).any():
-            parent = parent[parent]
-        of = parent[of]
+        of = merged(of, a[chosen], b[chosen])
     return order[np.concatenate(kept)] if kept else np.zeros(0, dtype="int64")
 
 

@@ -16,11 +16,11 @@ sense, a Jaccard similarity of their word shingles. Such texts may differ in a
 sixth of their fingerprint bits, so it takes 256 bits and walks 24 tries, each
 with the bits in another order: the first ten bits must agree, further down the
 budget grows with the depth. A pair in a sixth of whose bits the texts differ
-is missed by all tries once in a hundred times, closer ones hardly ever. What a
-task finds is thinned to the edges of a few minimum spanning forests, one after
-another, so that a crowd of near-copies costs each of them a few rows. The
-shingles themselves decide on edges: first on one forest, then on all edges
-between documents that this left apart.
+is missed by all tries once in a hundred times, closer ones hardly ever. Of what a
+task finds it keeps each document's nearest few and a minimum spanning forest,
+so that a crowd of near-copies costs each of them a few rows. The shingles
+themselves decide on edges: first on one forest, then on all edges between
+documents that this left apart.
 
 Null texts count as empty; a text without words has fingerprint zero and links
 like any other. Rows that repeat an id count as one document in
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.components import EDGE, components, spanning_forest
+from cairn.llm.components import EDGE, components, merged, spanning_forest
 from cairn.plans.scale import staged
 
 SEED = 42
@@ -272,7 +272,7 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
 
 SIZE = 4  # times 64 bits
 TOP, TURNS = 10, 6  # bits that must agree; places from which they are taken in each 64 bits
-FORESTS = 6  # that a task's candidates are thinned to; groups of seven lose no pair
+NEAREST = 6  # candidates of a document that a task keeps beside a spanning forest; groups of seven lose no pair
 FAR = 56  # differing bits of 256 beyond which a pair is no candidate: a fifth, and room for chance
 WIDE = [f"f{k}" for k in range(SIZE)]
 
@@ -292,22 +292,46 @@ def to_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([node, *batch.columns], ["node", *batch.schema.names])
 
 
-def thinned(pairs: np.ndarray, forests: int) -> np.ndarray:
-    """Of distinct pairs (a, b, bits) those of minimum spanning forests, each of what the ones before left."""
-    nodes, at = np.unique(pairs[:, :2], return_inverse=True)
-    a, b = at.reshape(-1, 2).T
-    left, kept = np.arange(len(pairs)), []
-    for _ in range(forests):
-        if not len(left):
-            break
-        keep = spanning_forest(len(nodes), a[left], b[left], pairs[left, 2])
-        kept.append(left[keep])
-        left = np.delete(left, keep)
-    return pairs[np.concatenate(kept)] if kept else pairs
+class Candidates:
+    """Pairs of n rows, thinned as they come: each row's nearest, and a minimum spanning forest.
+
+    A pair whose rows are connected already and have ``NEAREST`` closer ones
+    each adds nothing, so most pairs of a crowd are dropped at sight.
+    """
+
+    def __init__(self, n: int):
+        self.n, self.size, self.parts = n, 0, []
+        self.worst, self.of = np.full(n, FAR + 1), np.arange(n)
+
+    def add(self, a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> None:
+        new = (bits < np.maximum(self.worst[a], self.worst[b])) | (self.of[a] != self.of[b])
+        new &= (bits <= FAR) & (a != b)
+        a, b, bits = a[new], b[new], bits[new]
+        self.parts.append((np.minimum(a, b), np.maximum(a, b), bits))
+        self.size += len(a)
+        if self.size > PAIRS + (NEAREST + 1) * self.n:
+            self.thin()
+
+    def thin(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, bits = (np.concatenate([p[k] for p in self.parts] or [np.zeros(0, "int64")]) for k in range(3))
+        _, first = np.unique(a * self.n + b, return_index=True)
+        a, b, bits = a[first], b[first], bits[first]
+        forest = spanning_forest(self.n, a, b, bits)
+        row, far, edge = np.concatenate([a, b]), np.concatenate([bits, bits]), np.tile(np.arange(len(a)), 2)
+        order = np.lexsort((far, row))
+        row, far, edge = row[order], far[order], edge[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        self.worst = np.full(self.n, FAR + 1)
+        last = rank == NEAREST - 1
+        self.worst[row[last]] = far[last]
+        self.of = merged(np.arange(self.n), a[forest], b[forest])
+        keep = np.unique(np.concatenate([forest, edge[rank < NEAREST]]))
+        self.parts, self.size = [(a[keep], b[keep], bits[keep])], len(keep)
+        return self.parts[0]
 
 
 def candidates_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, bits): spanning forests of the close pairs of a task's nodes."""
+    """(a, b, bits): the close pairs of a task's nodes, thinned."""
     batches = list(batches)
     if not sum(batch.num_rows for batch in batches):
         return
@@ -326,26 +350,35 @@ def candidates_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     segment = np.cumsum(np.concatenate([[True], node[1:] != node[:-1]])) - 1
     start = [(s, s, 0) for s in range(segment[-1] + 1)]
     allowed = 3 + np.arange(below + 1) // 4
-    held, waiting, size = np.zeros((0, 3), dtype="int64"), [], 0
+    rows, at = np.unique(row, return_inverse=True)  # a row may be at several nodes of the task
+    found = Candidates(len(rows))
+    words = np.ascontiguousarray(prints.T)
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        bits = np.bitwise_count(words[0][i] ^ words[0][j]).astype("int64")
+        for word in words[1:]:
+            bits += np.bitwise_count(word[i] ^ word[j])
+        found.add(at[i], at[j], bits)
+
+    for step in range(1, 2 * NEAREST):  # neighbours in the trie come first: what is not closer adds nothing later
+        i = np.flatnonzero(segment[step:] == segment[:-step])
+        add(i, i + step)
+    found.thin()
     for i, j in trie_pairs(inner, segment, start, below, allowed):
-        bits = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype="int64")
-        close = bits <= FAR
-        a, b = row[i[close]], row[j[close]]
-        waiting.append(np.stack([np.minimum(a, b), np.maximum(a, b), bits[close]], axis=1))
-        size += len(a)
-        if size > PAIRS:
-            held, waiting, size = thinned(np.unique(np.concatenate([held, *waiting]), axis=0), FORESTS), [], 0
-    held = thinned(np.unique(np.concatenate([held, *waiting]), axis=0), FORESTS)
-    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in held.T], ["a", "b", "bits"])
+        add(i, j)
+    a, b, bits = found.thin()
+    yield pa.RecordBatch.from_arrays([pa.array(rows[a]), pa.array(rows[b]), pa.array(bits)], ["a", "b", "bits"])
 
 
 def one_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition's candidates those of one minimum spanning forest."""
-    held = np.zeros((0, 3), dtype="int64")
+    a = b = bits = np.zeros(0, dtype="int64")
     for batch in batches:
-        held = np.concatenate([held, np.stack([np.asarray(c) for c in batch.columns], axis=1)])
-        held = thinned(held, 1)
-    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in held.T], ["a", "b", "bits"])
+        a, b, bits = (np.concatenate([x, np.asarray(c)]) for x, c in zip((a, b, bits), batch.columns, strict=True))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        keep = spanning_forest(len(nodes), at[: len(a)], at[len(a) :], bits)
+        a, b, bits = a[keep], b[keep], bits[keep]
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(bits)], ["a", "b", "bits"])
 
 
 def shingle_sets(words: int):
