@@ -95,6 +95,10 @@ def copies(
         bucket = F.conv(F.substring("_salt", 1, 2), 16, 10).cast("int")  # 256 of them
         return rows.withColumns({"_class": size_class(F.col("_size")), "_bucket": bucket})
 
+    # one text for source, class and bucket, so that nulls meet by equality
+    own = F.concat(F.when(F.col("_source").isNull(), "n").otherwise("s"), F.coalesce("_source", F.lit("")))
+    place = F.concat_ws(":", "_class", "_bucket", own)
+
     small = staged(placed(docs.select(*facts)))
     rows = placed(docs.select(*facts, *whole)) if payload else small
 
@@ -121,12 +125,14 @@ def copies(
         return met.drop(*[f"{k}_b" for k in keys])
 
     starts = buckets.withColumn("_bucket_start", F.coalesce(F.sum("_n").over(in_class), F.lit(0))).drop("_n", "_words")
-    starts = staged(same(same(starts, classes, "_source", "_class"), mixed, "_source"))
-    here = Window.partitionBy("_source", "_class", "_bucket").orderBy("_size", "_salt", "doc_id", *(["_tie"] if payload else []))
+    starts = same(same(starts, classes, "_source", "_class"), mixed, "_source").withColumn("_place", place)
+    starts = staged(starts.drop("_source", "_class", "_bucket"))
+    # the rank and the join use one shuffle; starts grow with the sources, so they are not broadcast
+    here = Window.partitionBy("_place").orderBy("_size", "_salt", "doc_id", *(["_tie"] if payload else []))
     if payload:
         rows = rows.withColumn("_tie", F.xxhash64("doc"))
-    rows = rows.withColumn("_rank", F.row_number().over(here))
-    rows = same(rows, starts, "_source", "_class", "_bucket")
+    rows = rows.withColumn("_place", place).withColumn("_rank", F.row_number().over(here))
+    rows = rows.join(starts.hint("merge"), "_place")
     k = (F.col("_class_start") + F.col("_bucket_start") + F.col("_rank")).cast("double")
 
     def crossed(at: Column) -> Column:
