@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn import functions as fn
@@ -181,3 +181,54 @@ def document_collections(documents: DataFrame, roots: DataFrame) -> dict[str, Da
         ),
     ]
     return {"nodes": union_all(nodes), "props": union_all(props)}
+
+
+def document_entities(documents: DataFrame, blocks: DataFrame) -> dict[str, DataFrame]:
+    """Documents, chapters and media as entities under their topic collections.
+
+    ``documents`` is (graph_id, doc_id, topic, file_name) of the originals. A
+    topic has its documents as members; a document has its chapters as parts,
+    a chapter those nested in it; a chapter, or the document before its first
+    one, has its media. Ids follow from topic, file and position. A document
+    is named by its title, else by its file.
+    """
+    doc_entity = F.concat(
+        F.lit("#"), fn.sanitize_segment(F.col("topic")), F.lit("/"), fn.sanitize_segment(fn.strip_ext(F.col("file_name")))
+    )
+    known = exclude_working_docs(documents).select(
+        *DOC, F.concat(F.lit("#"), fn.sanitize_segment(F.col("topic"))).alias("topic_id"), "file_name", doc_entity.alias("entity"),
+        F.concat(F.lit(SOURCE_FOLDER), "topic", F.lit("/"), "file_name").alias("file_id"),
+    )
+    titles = blocks.filter("kind = 'h1'").groupBy(*DOC).agg(F.min_by("text", "pos").alias("title"))
+    named = known.join(titles, DOC, "left").withColumn("name", F.coalesce("title", fn.strip_ext(F.col("file_name"))))
+
+    def chapter_id(pos: str) -> Column:
+        return F.concat("entity", F.lit("/chapter-"), F.col(pos).cast("string"))
+
+    chapters = nest_sections(blocks).join(known, DOC)
+    above = F.when(F.col("parent_pos").isNotNull(), chapter_id("parent_pos")).otherwise(F.col("entity"))
+    chapters = chapters.withColumns({"id": chapter_id("pos"), "above": above})
+
+    opens = F.col("kind").isin(CHAPTER_KINDS)
+    placed = scan(blocks, DOC, "pos", last={"heading_pos": F.when(opens, F.col("pos"))})
+    images = placed.filter("kind = 'image'").select(*DOC, F.col("pos").alias("image_pos"), "text", "heading_pos").join(known, DOC)
+    above = F.when(F.col("heading_pos").isNotNull(), chapter_id("heading_pos")).otherwise(F.col("entity"))
+    media = images.withColumns({"id": F.concat("entity", F.lit("/media-"), F.col("image_pos").cast("string")), "above": above})
+    said = attach_captions(blocks).join(media.select(*DOC, "image_pos", "id"), [*DOC, "image_pos"])
+
+    id, entity, topic = F.col("id"), F.col("entity"), F.col("topic_id")
+    nodes = [
+        node_rows(named, entity, "RepositoryObject"),
+        node_rows(chapters, id, "RepositoryObject"),
+        node_rows(media, id, "CreativeWork"),
+    ]
+    props = [
+        prop_rows(named, entity, [fact("name", F.col("name")), fact("pcdm:memberOf", ref=topic), fact("isBasedOn", ref=F.col("file_id"))]),
+        prop_rows(named, topic, [fact("pcdm:hasMember", ref=entity, pos=F.col("doc_id"))]),
+        prop_rows(chapters, id, [fact("name", F.col("text")), fact("isPartOf", ref=F.col("above"))]),
+        prop_rows(chapters, F.col("above"), [fact("hasPart", ref=id, pos=F.col("pos"))]),
+        prop_rows(media, id, [fact("name", F.col("text")), fact("isPartOf", ref=F.col("above"))]),
+        prop_rows(media, F.col("above"), [fact("hasPart", ref=id, pos=F.col("image_pos"))]),
+        prop_rows(said, id, [fact(F.col("half"), F.col("text"))]),
+    ]
+    return {"nodes": union_all(nodes), "props": union_all(props)}

@@ -21,6 +21,7 @@ DOC = ["graph_id", "doc_id"]
 END_MARKER = "END OF TRANSCRIPT"
 SPEAKER_HEADING = "Speakers:"
 OUTPUT_FOLDER = "./c2c-output/"
+CSV_FORMAT = "text/csv"
 
 
 def _kept_lines(header_rows: int, footer_rows: int) -> Column:
@@ -208,3 +209,30 @@ def unresolved_speakers(rows: DataFrame, declared: DataFrame) -> DataFrame:
     )
     clean = used_codes(rows).select(*DOC).distinct().join(missing.select(*DOC).distinct(), DOC, "left_anti")
     return missing.unionByName(clean.withColumn("code", F.lit("none")))
+
+
+def transcript_entities(rows: DataFrame) -> dict[str, DataFrame]:
+    """The table and the object of each transcript that has turns, as entities.
+
+    An object has its table as part and names the speakers who have an id, in
+    order of their first turn.
+    """
+    made = rows.select("graph_id", "csv_id", "object_id").distinct()
+    spoken = (
+        rows.filter(F.col("speaker_id").startswith("#"))
+        .groupBy("graph_id", "object_id", "speaker_id")
+        .agg(F.min("at").alias("first"))
+    )
+    table, whole = F.col("csv_id"), F.col("object_id")
+    return {
+        "nodes": node_rows(made, table, "File").unionByName(node_rows(made, whole, "RepositoryObject")),
+        "props": prop_rows(
+            made,
+            table,
+            [fact("name", fn.basename(table)), fact("encodingFormat", CSV_FORMAT), fact("isPartOf", ref=whole)],
+        )
+        .unionByName(prop_rows(made, whole, [fact("name", fn.basename(whole)), fact("hasPart", ref=table)]))
+        .unionByName(
+            prop_rows(spoken, whole, [fact("ldac:speaker", ref=F.col("speaker_id"), pos=F.col("first"))])
+        ),
+    }

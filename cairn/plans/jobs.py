@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cairn.model import DUPLICATE_PROP, NODE_COLS, PROP_COLS, Graph, builtin_prefixes, entity_ids, union_all
 from cairn.operators import edits as ed
 from cairn.operators import files as fs
-from cairn.operators import overlay, places, quality, sheets, terms, transcripts
+from cairn.operators import documents, overlay, places, quality, sheets, terms, transcripts
 from cairn.operators.links import entity_names
 
 
@@ -147,6 +147,25 @@ def add_speakers(graph: Graph, texts: DataFrame, header_rows: int = 0, footer_ro
     )
 
 
+def add_transcripts(graph: Graph, texts: DataFrame, header_rows: int = 0, footer_rows: int = 0) -> Graph:
+    """Speakers, tables and objects of transcripts (graph_id, doc_id, text), unless they are there."""
+    made = transcripts.transcript_rows(texts, header_rows, footer_rows)
+    entities = transcripts.transcript_entities(made["rows"])
+    known = entity_ids(graph.nodes)
+    fresh = {t: entities[t].join(known, ["graph_id", "id"], "left_anti").select(*entities[t].columns) for t in ("nodes", "props")}
+    return add_speakers(graph.plus(fresh["nodes"], fresh["props"]), texts, header_rows, footer_rows)
+
+
+def add_documents(graph: Graph, originals: DataFrame, blocks: DataFrame) -> Graph:
+    """Collections, documents, chapters and media of styled documents.
+
+    ``originals`` is (graph_id, doc_id, topic, file_name).
+    """
+    listed = documents.document_collections(originals, graph.roots)
+    inside = documents.document_entities(originals, blocks)
+    return graph.plus(listed["nodes"], listed["props"]).plus(inside["nodes"], inside["props"])
+
+
 def edit_graph(graph: Graph, edits: DataFrame) -> Graph:
     return graph.with_(**ed.apply_edits(graph.nodes, graph.props, graph.roots, edits))
 

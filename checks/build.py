@@ -185,11 +185,7 @@ c AS (SELECT g.* FROM g SEMI JOIN coll ON coll.graph_id = g.graph_id AND coll.gr
 s AS (SELECT g.* FROM g ANTI JOIN coll ON coll.graph_id = g.graph_id AND coll.group_id = g.group_id)"""
 
 
-@check(
-    "gra_04",
-    "order_files",
-    f"""WITH {KEPT}, {meta_sql("kept")}, {COLLECTIONS}
-SELECT graph_id, group_id AS id, '@type' AS prop, CAST(0 AS BIGINT) AS pos, 'RepositoryCollection' AS value, NULL::VARCHAR AS ref FROM c
+COLLECTION_ROWS = f"""SELECT graph_id, group_id AS id, '@type' AS prop, CAST(0 AS BIGINT) AS pos, 'RepositoryCollection' AS value, NULL::VARCHAR AS ref FROM c
 UNION ALL SELECT graph_id, parent, '@type', 0, 'RepositoryObject', NULL FROM kids
 UNION ALL SELECT graph_id, group_id, '@type', 0, 'RepositoryObject', NULL FROM s
 UNION ALL {described("c", "group_id", "name", "Collection")}
@@ -197,31 +193,18 @@ UNION ALL {described("kids", "parent", "name", "Object")}
 UNION ALL {described("s", "group_id", "name", "Object")}
 UNION ALL SELECT graph_id, parent, 'pcdm:memberOf', 0, NULL, group_id FROM kids
 UNION ALL SELECT graph_id, group_id, 'pcdm:hasMember', member_pos, NULL, parent FROM kids
-UNION ALL SELECT graph_id, parent, 'hasPart', file_no, NULL, id FROM p""",
-)
+UNION ALL SELECT graph_id, parent, 'hasPart', file_no, NULL, id FROM p"""
+
+
+@check("gra_04", "order_files", f"""WITH {KEPT}, {meta_sql("kept")}, {COLLECTIONS} {COLLECTION_ROWS}""")
 def collections(v):
     return graph_rows(fs.folder_collections(meta(scan_files(v("order_files")))))
 
 
-@check(
-    "gra_04_lines",
-    "line_files",
-    f"""WITH {meta_sql("line_files")}, {COLLECTIONS}
-SELECT p.graph_id, p.parent AS object_id, g.name AS collection, count(*) AS files, max(kids.member_pos) AS member_pos
-FROM p JOIN g ON g.graph_id = p.graph_id AND g.group_id = p.group_id JOIN kids ON kids.graph_id = p.graph_id AND kids.parent = p.parent GROUP BY p.graph_id, p.parent, g.name""",
-)
+@check("gra_04_lines", "line_files", f"""WITH {meta_sql("line_files")}, {COLLECTIONS} {COLLECTION_ROWS}""")
 def large_collections(v):
     """Three top folders hold all files; each order is an object in one of them."""
-    made = fs.folder_collections(meta(v("line_files")))
-    names = made["top_level"].select("graph_id", F.col("object_id").alias("group_id"), F.col("name").alias("collection"))
-    return (
-        made["parents"]
-        .groupBy("graph_id", F.col("parent_id").alias("object_id"))
-        .agg(F.count("*").alias("files"))
-        .join(made["children"], ["graph_id", "object_id"])
-        .join(names, ["graph_id", "group_id"])
-        .select("graph_id", "object_id", "collection", "files", "member_pos")
-    )
+    return graph_rows(fs.folder_collections(meta(v("line_files"))))
 
 
 @check(

@@ -117,6 +117,24 @@ def rows(v):
     return ts.transcript_rows(v("transcripts"), header_rows=1)["rows"]
 
 
+@check(
+    "txt_06",
+    "transcripts",
+    f"""WITH {NORMAL}, {turns_sql('ln')},
+r AS (SELECT graph_id, start, code, './c2c-output/' || regexp_extract(doc_id, '/(.*)\\.docx', 1) AS object_id,
+    CASE WHEN code = 'A' THEN '#spk' || (CAST(regexp_extract(doc_id, 't([0-9]+)', 1) AS BIGINT) % 50) END AS speaker FROM tn WHERE {SAID}),
+o AS (SELECT DISTINCT graph_id, object_id, object_id || '.csv' AS csv_id, replace(object_id, './c2c-output/', '') AS name FROM r)
+SELECT graph_id, csv_id AS id, '@type' AS prop, CAST(0 AS BIGINT) AS pos, 'File' AS value, NULL::VARCHAR AS ref FROM o
+UNION ALL SELECT graph_id, object_id, '@type', 0, 'RepositoryObject', NULL FROM o
+UNION ALL SELECT graph_id, csv_id, 'name', 0, name || '.csv', NULL FROM o UNION ALL SELECT graph_id, csv_id, 'encodingFormat', 0, 'text/csv', NULL FROM o
+UNION ALL SELECT graph_id, csv_id, 'isPartOf', 0, NULL, object_id FROM o UNION ALL SELECT graph_id, object_id, 'name', 0, name, NULL FROM o
+UNION ALL SELECT graph_id, object_id, 'hasPart', 0, NULL, csv_id FROM o
+UNION ALL SELECT graph_id, object_id, 'ldac:speaker', min(start), NULL, speaker FROM r WHERE speaker IS NOT NULL GROUP BY graph_id, object_id, speaker""",
+)
+def transcripts_made(v):
+    return graph_rows(ts.transcript_entities(ts.transcript_rows(v("transcripts"), header_rows=1)["rows"]))
+
+
 SPOKEN_ROWS = f"{CONV}, {turns_sql('ln')}, sr AS (SELECT tn.*, coalesce(speaker_id, tn.code) AS speaker, affiliation FROM tn LEFT JOIN declared_speakers d ON d.graph_id = tn.graph_id AND d.doc_id = tn.doc_id AND d.code = tn.code WHERE tn.code IS NOT NULL AND block <> 'speakers')"
 
 
@@ -247,6 +265,41 @@ def captions(v):
     return docs.attach_captions(v("blocks"))
 
 
+@check(
+    "doc_06",
+    "blocks originals",
+    f"""WITH o AS (SELECT 'g' AS graph_id, doc_id, lang || ' ' || source AS topic, 'Doc ' || doc_id || '.docx' AS file_name FROM documents WHERE doc_id % 5 <> 0),
+k AS (SELECT *, '#' || replace(topic, ' ', '_') AS topic_id, '#' || replace(topic, ' ', '_') || '/Doc_' || doc_id AS entity, 'ro-crate-preview_files/' || topic || '/' || file_name AS file_id FROM o),
+t AS (SELECT doc_id, arg_min(text, pos) AS title FROM blocks WHERE kind = 'h1' GROUP BY doc_id),
+b AS (SELECT *, lead(kind) OVER ({W}) AS nk, lead(pos) OVER ({W}) AS np, last_value(CASE WHEN kind = 'h2' THEN pos END IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING) AS h2,
+    last_value(CASE WHEN {OPENS} THEN pos END IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING) AS hp,
+    last_value(CASE WHEN kind <> 'caption' THEN kind END IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING) AS ak, last_value(CASE WHEN kind <> 'caption' THEN pos END IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING) AS ap,
+    last_value(CASE WHEN kind = 'image' THEN 'caption' WHEN kind = 'caption' THEN {HALF} END IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING) AS half FROM blocks),
+l AS (SELECT doc_id, ap AS image_pos, half, pos, {CAPTION} AS text FROM b WHERE kind = 'caption' AND ak = 'image'
+  UNION ALL SELECT doc_id, np, 'caption', pos, regexp_extract(text, '{NAMED}', 2) FROM b
+    WHERE kind = 'p' AND nk = 'image' AND regexp_matches(text, '{NAMED}') AND NOT regexp_matches(text, '(?i)^\\s*sound file:')),
+c AS (SELECT k.*, pos, text, entity || '/chapter-' || pos AS id, CASE WHEN kind = 'h3' AND nk = 'table' AND h2 IS NOT NULL THEN entity || '/chapter-' || h2 ELSE entity END AS above FROM b JOIN k USING (doc_id) WHERE {OPENS}),
+m AS (SELECT k.*, pos, text, entity || '/media-' || pos AS id, CASE WHEN hp IS NOT NULL THEN entity || '/chapter-' || hp ELSE entity END AS above FROM b JOIN k USING (doc_id) WHERE kind = 'image')
+SELECT 'g' AS graph_id, entity AS id, '@type' AS prop, CAST(0 AS BIGINT) AS pos, 'RepositoryObject' AS value, NULL::VARCHAR AS ref FROM k
+UNION ALL SELECT 'g', id, '@type', 0, 'RepositoryObject', NULL FROM c UNION ALL SELECT 'g', id, '@type', 0, 'CreativeWork', NULL FROM m
+UNION ALL SELECT 'g', entity, 'name', 0, coalesce(title, 'Doc ' || k.doc_id), NULL FROM k LEFT JOIN t USING (doc_id)
+UNION ALL SELECT 'g', entity, 'pcdm:memberOf', 0, NULL, topic_id FROM k UNION ALL SELECT 'g', entity, 'isBasedOn', 0, NULL, file_id FROM k
+UNION ALL SELECT 'g', topic_id, 'pcdm:hasMember', doc_id, NULL, entity FROM k
+UNION ALL SELECT 'g', id, 'name', 0, text, NULL FROM c UNION ALL SELECT 'g', id, 'isPartOf', 0, NULL, above FROM c UNION ALL SELECT 'g', above, 'hasPart', pos, NULL, id FROM c
+UNION ALL SELECT 'g', id, 'name', 0, text, NULL FROM m UNION ALL SELECT 'g', id, 'isPartOf', 0, NULL, above FROM m UNION ALL SELECT 'g', above, 'hasPart', pos, NULL, id FROM m
+UNION ALL SELECT 'g', m.id, half, 0, string_agg(l.text, ' ' ORDER BY l.pos), NULL FROM l JOIN m ON m.doc_id = l.doc_id AND m.pos = l.image_pos WHERE l.text <> '' GROUP BY m.id, half""",
+)
+def document_parts(v):
+    named = F.concat(F.lit("Doc "), "doc_id", F.lit(".docx"))
+    originals = v("documents").select(
+        F.lit("g").alias("graph_id"),
+        "doc_id",
+        F.concat_ws(" ", "lang", "source").alias("topic"),
+        F.when(F.col("doc_id") % 5 == 0, "Field Notes.docx").otherwise(named).alias("file_name"),
+    )
+    return graph_rows(docs.document_entities(originals, v("blocks")))
+
+
 @check("fn_13", "blocks", f"SELECT doc_id, pos, {HALF} AS half, {CAPTION} AS said FROM blocks")
 def caption_parts(v):
     text = F.col("text")
