@@ -16,12 +16,13 @@ from cairn.model import fact, node_rows, prop_rows
 _CANDIDATE = ["matched_name", "provider", "match_region", "latitude", "longitude"]
 
 
-def gazetteer_index(gazetteer: DataFrame, region: str | None = None) -> DataFrame:
-    """The best record per search key, so a lookup joins one row per key.
+def gazetteer_index(gazetteer: DataFrame, asked: DataFrame, region: str | None = None) -> DataFrame:
+    """The best record per asked key, so a lookup joins one row per key.
 
     Steps: 0 manual, 1 primary exact, 2 primary prefix, 3 secondary. Every
-    beginning of a primary name is a prefix key of its own; the choice among
-    the records behind a key is made here, before any lookup.
+    beginning of a primary name is a prefix key of its own. Keys that nobody
+    asks for (``asked``: key) are dropped before the records behind a key are
+    compared.
     """
     key = F.lower(fn.trim_all(F.col("name")))
     hit = F.coalesce(F.col("region") == region, F.lit(False)) if region else F.lit(False)
@@ -47,6 +48,7 @@ def gazetteer_index(gazetteer: DataFrame, region: str | None = None) -> DataFram
     )
     return (
         exact.unionByName(prefix)
+        .join(asked.distinct(), "key", "left_semi")
         .groupBy("key")
         .agg(F.min(F.struct("step", "candidate")).alias("best"))
     )
@@ -64,7 +66,7 @@ def lookup_places(names: DataFrame, gazetteer: DataFrame, region: str | None = N
         .select("graph_id", "name", F.posexplode(fn.place_variants(F.col("name"))).alias("spelling", "variant"))
         .select("graph_id", "name", "spelling", F.lower("variant").alias("key"))
     )
-    found = spelled.join(gazetteer_index(gazetteer, region), "key")
+    found = spelled.join(gazetteer_index(gazetteer, spelled.select("key"), region), "key")
     pick = F.min(F.struct("best.step", "spelling", "best.candidate")).alias("won")
     return (
         found.groupBy("graph_id", "name")
