@@ -98,8 +98,12 @@ DIGIT_NAMES = {
 INVISIBLE = re.compile("[­​‌‍⁠﻿]")
 FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ٠-٩۰-۹०-९！-～\U0001d7ce-\U0001d7ff]")
 NAME = "(?:" + "|".join(sorted(DIGIT_NAMES, key=len, reverse=True)) + ")"
-AT = re.compile(r"\s*(?:[(\[{<]\s*(?:at|@|arroba)\s*[)\]}>]|(?<=\w)[-_](?:at|AT)[-_](?=\w))\s*", re.IGNORECASE)
-DOT = re.compile(r"\s*(?:[(\[{<]\s*(?:dot|\.|punkt|point|punto)\s*[)\]}>]|(?<=\w)[-_]dot[-_](?=\w))\s*", re.IGNORECASE)
+AT = re.compile(r"\s*(?:[(\[{<]\s*(?:at|@|arroba)\s*[)\]}>]|(?<=\w)[-_]at[-_](?=\w)|&#64;|&commat;|(?<=\w)%40(?=\w))\s*", re.IGNORECASE)
+DOT = re.compile(r"\s*(?:[(\[{<]\s*(?:dot|\.|punkt|point|punto)\s*[)\]}>]|(?<=\w)[-_]dot[-_](?=\w)|&#46;|&period;)\s*", re.IGNORECASE)
+# letters that pass for digits, in a run that is mostly digits
+PASSING = str.maketrans("OoIl", "0011")
+MIXED = re.compile(r"(?<![A-Za-z0-9])(?:\+|)[0-9OoIl][0-9OoIl .()-]{5,}[0-9OoIl](?![A-Za-z0-9])")
+MIXED_CUE = re.compile(r"[0-9][OoIl]|[OoIl][0-9]|[OoIl][ .-][0-9]")
 # Ends of domains without which bare words are no address.
 ENDS = "com|org|net|edu|gov|mil|int|info|biz|io|ai|app|dev|co|eu|de|at|ch|fr|es|it|nl|be|pl|pt|se|no|dk|fi|uk|ie|us|ca|au|nz|jp|cn|in|br|mx|ru|test|example"
 SPOKEN = re.compile(
@@ -144,6 +148,20 @@ def plain_letters(tape: Tape) -> None:
             return chr(ord(c) - 0xFEE0) if "！" <= c <= "～" else c.translate(LOOKALIKES)
 
         tape.text = FOREIGN.sub(ascii_of, tape.text)
+
+
+def digit_letters(tape: Tape) -> None:
+    """O and l for 0 and 1 where at least two of three characters are digits; one for one."""
+
+    def plain(match: re.Match) -> str:
+        letters = sum(c in "OoIl" for c in match[0])
+        return match[0].translate(PASSING) if 2 * letters <= sum(c.isdigit() for c in match[0]) else match[0]
+
+    tape.text = MIXED.sub(plain, tape.text)
+
+
+def visible(tape: Tape) -> None:
+    """Without characters that show nothing."""
     if INVISIBLE.search(tape.text):
         tape.rewrite([(*m.span(), "") for m in INVISIBLE.finditer(tape.text)])
 
@@ -182,7 +200,7 @@ def digits(tape: Tape) -> None:
 
 #: what ``signs`` rewrites begins with one of these; quick to search for
 BRACKETED = re.compile(r"[(\[{<]\s*(?:at|@|arroba|dot|\.|punkt|point|punto)")
-BARE = ("-at-", "_at_", "-dot-", "_dot_")
+BARE = ("-at-", "_at_", "-dot-", "_dot_", "&#64;", "&commat;", "%40", "&#46;", "&period;")
 
 
 NAMES = frozenset(name.encode() for name in DIGIT_NAMES)
@@ -203,7 +221,7 @@ def has_cue(text: str) -> bool:
     if not text.isascii() and (FOREIGN.search(text) or INVISIBLE.search(text)):
         return True
     low = text.lower()
-    sign = BRACKETED.search(low) or any(bare in low for bare in BARE) or ("dot" in low and re.search(r"\sdot\s", low))
+    sign = MIXED_CUE.search(text) or BRACKETED.search(low) or any(bare in low for bare in BARE) or ("dot" in low and re.search(r"\sdot\s", low))
     return bool(sign) or says_digits(low)
 
 
@@ -212,7 +230,7 @@ def disguised(text: str, plain: list[tuple[int, int, int, str]]) -> list[tuple[i
     if not has_cue(text):
         return []
     tape = Tape(text)
-    for transducer in (plain_letters, signs, digits):
+    for transducer in (plain_letters, visible, digit_letters, signs, digits):
         transducer(tape)
     if tape.text == text:
         return []
