@@ -82,7 +82,9 @@ def copies(
 
     ``payload`` names columns that come along, in a struct ``doc``.
     """
-    salt = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id).cast("string"), F.lit(""))))
+    # rows without an id are told apart by their text, so that they spread as well
+    unnamed = F.concat(F.lit("text:"), F.xxhash64(F.coalesce(text, F.lit(""))).cast("string"))
+    salt = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id).cast("string"), unnamed)))
     facts = [
         F.col(id).alias("doc_id"),
         F.col(source).alias("_source"),
