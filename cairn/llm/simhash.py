@@ -272,7 +272,7 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
 
 SIZE = 4  # times 64 bits
 TOP, TURNS = 10, 6  # bits that must agree; places from which they are taken in each 64 bits
-NEAREST = 6  # candidates of a document that a task keeps beside a spanning forest; groups of seven lose no pair
+NEAREST = 2  # candidates of a document that a task keeps beside a spanning forest; a document is in 24 tries
 FAR = 56  # differing bits of 256 beyond which a pair is no candidate: a fifth, and room for chance
 WIDE = [f"f{k}" for k in range(SIZE)]
 
@@ -360,7 +360,7 @@ def candidates_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             bits += np.bitwise_count(word[i] ^ word[j])
         found.add(at[i], at[j], bits)
 
-    for step in range(1, 2 * NEAREST):  # neighbours in the trie come first: what is not closer adds nothing later
+    for step in range(1, 8):  # neighbours in the trie come first: what is not closer adds nothing later
         i = np.flatnonzero(segment[step:] == segment[:-step])
         add(i, i + step)
     found.thin()
