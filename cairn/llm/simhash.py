@@ -17,7 +17,7 @@ sixth of their fingerprint bits, so it takes 256 bits and walks 24 tries, each
 with the bits in another order: the first ten bits must agree, further down the
 budget grows with the depth. A pair in a sixth of whose bits the texts differ
 is missed by all tries once in a hundred times, closer ones hardly ever. Of what a
-task finds it keeps each document's nearest few and a minimum spanning forest,
+trie finds it keeps each document's nearest two and a minimum spanning forest,
 so that a crowd of near-copies costs each of them a few rows. The shingles
 themselves decide on edges: first on one forest, then on all edges between
 documents that this left apart.
@@ -272,7 +272,7 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
 
 SIZE = 4  # times 64 bits
 TOP, TURNS = 10, 6  # bits that must agree; places from which they are taken in each 64 bits
-NEAREST = 2  # candidates of a document that a task keeps beside a spanning forest; a document is in 24 tries
+NEAREST = 2  # candidates of a document that each of 24 tries keeps beside a spanning forest
 FAR = 56  # differing bits of 256 beyond which a pair is no candidate: a fifth, and room for chance
 WIDE = [f"f{k}" for k in range(SIZE)]
 
@@ -350,15 +350,14 @@ def candidates_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     segment = np.cumsum(np.concatenate([[True], node[1:] != node[:-1]])) - 1
     start = [(s, s, 0) for s in range(segment[-1] + 1)]
     allowed = 3 + np.arange(below + 1) // 4
-    rows, at = np.unique(row, return_inverse=True)  # a row may be at several nodes of the task
-    found = Candidates(len(rows))
+    found = Candidates(len(row))  # by place: what a row keeps of one trie depends on no other
     words = np.ascontiguousarray(prints.T)
 
     def add(i: np.ndarray, j: np.ndarray) -> None:
         bits = np.bitwise_count(words[0][i] ^ words[0][j]).astype("int64")
         for word in words[1:]:
             bits += np.bitwise_count(word[i] ^ word[j])
-        found.add(at[i], at[j], bits)
+        found.add(i, j, bits)
 
     for step in range(1, 8):  # neighbours in the trie come first: what is not closer adds nothing later
         i = np.flatnonzero(segment[step:] == segment[:-step])
@@ -367,7 +366,8 @@ def candidates_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     for i, j in trie_pairs(inner, segment, start, below, allowed):
         add(i, j)
     a, b, bits = found.thin()
-    yield pa.RecordBatch.from_arrays([pa.array(rows[a]), pa.array(rows[b]), pa.array(bits)], ["a", "b", "bits"])
+    a, b = row[a], row[b]
+    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(bits)], ["a", "b", "bits"])
 
 
 def one_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
