@@ -20,7 +20,10 @@ is missed by all tries once in a hundred times, closer ones hardly ever. Of what
 trie finds it keeps each document's nearest two and a minimum spanning forest,
 so that a crowd of near-copies costs each of them a few rows. The shingles
 themselves decide on edges: first on one forest, then on all edges between
-documents that this left apart.
+documents that this left apart. What a trie dropped is still connected by kept
+edges; so where kept edges lead from one group to another, all documents of
+those groups are compared by their shingles, in blocks, and no pair that a trie
+met is lost to the thinning.
 
 Null texts count as empty; a text without words has fingerprint zero and links
 like any other. Rows that repeat an id count as one document in
@@ -274,6 +277,8 @@ SIZE = 4  # times 64 bits
 TOP, TURNS = 10, 6  # bits that must agree; places from which they are taken in each 64 bits
 NEAREST = 2  # candidates of a document that each of 24 tries keeps beside a spanning forest
 FAR = 56  # differing bits of 256 beyond which a pair is no candidate: a fifth, and room for chance
+BLOCK = 512  # documents of a crowd that are compared with as many others at a time
+DENSE = 512  # pairs of a shingle from which a matrix product counts them cheaper than a list
 WIDE = [f"f{k}" for k in range(SIZE)]
 
 
@@ -394,6 +399,87 @@ def shingle_sets(words: int):
     return made
 
 
+def common_counts(row: np.ndarray, token: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many tokens each row of ``left`` shares with each of ``right``; (row, token) are distinct."""
+    n_left, n_right = len(left), len(right)
+    at_left, at_right = np.full(int(row.max(initial=-1)) + 1, -1), np.full(int(row.max(initial=-1)) + 1, -1)
+    at_left[left], at_right[right] = np.arange(n_left), np.arange(n_right)
+    _, token = np.unique(token, return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    row, token = row[order], token[order]
+    here, there = at_left[row] >= 0, at_right[row] >= 0
+    n_tokens = int(token.max(initial=-1)) + 1
+    per_left, per_right = np.bincount(token[here], minlength=n_tokens), np.bincount(token[there], minlength=n_tokens)
+    pairs = per_left * per_right
+    found = np.zeros(n_left * n_right, dtype="int64")
+    first = np.cumsum(per_right) - per_right
+    rows_right = at_right[row[there]]
+    listed = here & (pairs[token] <= DENSE)
+    i, t = at_left[row[listed]], token[listed]
+    total = np.cumsum(per_right[t])
+    begin = 0
+    while begin < len(i):
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + PAIRS, "right")))
+        width = per_right[t[begin:end]]
+        nth = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
+        j = rows_right[np.repeat(first[t[begin:end]], width) + nth]
+        found += np.bincount(np.repeat(i[begin:end], width) * n_right + j, minlength=len(found))
+        begin = end
+    found = found.reshape(n_left, n_right)
+    many = np.flatnonzero(pairs > DENSE)
+    nth_many = np.full(n_tokens, -1)
+    nth_many[many] = np.arange(len(many))
+    column = nth_many[token]
+    for low in range(0, len(many), 8 * BLOCK):
+        part = (column >= low) & (column < low + 8 * BLOCK)
+        x, y = np.zeros((n_left, 8 * BLOCK), "float32"), np.zeros((n_right, 8 * BLOCK), "float32")
+        x[at_left[row[part & here]], column[part & here] - low] = 1
+        y[at_right[row[part & there]], column[part & there] - low] = 1
+        found += np.rint(x @ y.T).astype("int64")
+    return found
+
+
+def crowd_links(similarity: float):
+    """(a, b): a spanning forest of the similar pairs between two blocks of a crowd whose parts differ."""
+
+    def links(table: pa.Table) -> pa.Table:
+        row, part, block = (np.asarray(table.column(c)) for c in ("row", "part", "block"))
+        lists = table.column("shingles").combine_chunks()
+        size = np.asarray(lists.value_lengths()).astype("int64")
+        tokens = np.asarray(lists.flatten())
+        left, right = np.flatnonzero(block == np.asarray(table.column("x"))[0]), np.flatnonzero(block == np.asarray(table.column("y"))[0])
+        common = common_counts(np.repeat(np.arange(len(row)), size), tokens, left, right)
+        united = size[left][:, None] + size[right][None, :] - common
+        i, j = np.nonzero((common >= united * similarity) & (part[left][:, None] != part[right][None, :]))
+        i, j = left[i], right[j]
+        keep = spanning_forest(len(row), i, j)
+        return pa.table([pa.array(row[i[keep]]), pa.array(row[j[keep]])], names=["a", "b"])
+
+    return links
+
+
+def compared(crowds: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect all similar rows of a crowd; ``crowds`` has (row, part, crowd).
+
+    Rows are dealt to blocks, those of a large part to blocks of their own,
+    which need not be compared with one another. A task compares two blocks.
+    """
+    sizes = crowds.groupBy("crowd", "part").agg(F.count("*").alias("n"))
+    own = sizes.withColumn("of", F.when(F.col("n") > BLOCK, F.col("part")).otherwise(F.lit(-1)))
+    counts = staged(own.groupBy("crowd", "of").agg(F.ceil(F.sum("n") / BLOCK).alias("count")))
+    nth = F.pmod(F.xxhash64("row"), F.col("count"))
+    dealt = crowds.join(own.drop("n"), ["crowd", "part"]).join(counts, ["crowd", "of"])
+    dealt = staged(dealt.select("row", "part", "crowd", F.xxhash64("of", nth).alias("block")))
+    blocks = counts.select("crowd", "of", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("count") - 1)).alias("nth"))
+    blocks = blocks.select("crowd", "of", F.xxhash64("of", "nth").alias("block"))
+    others = blocks.select("crowd", F.col("of").alias("of_y"), F.col("block").alias("y"))
+    met_blocks = blocks.withColumnRenamed("block", "x").join(others, "crowd")
+    met_blocks = met_blocks.filter("x <= y AND (of = -1 OR of <> of_y)").select("crowd", "x", "y")
+    ends = met_blocks.withColumn("block", F.explode(F.array_distinct(F.array("x", "y"))))
+    given = dealt.join(sets, "row").join(ends, ["crowd", "block"])
+    return given.select("crowd", "x", "y", "block", "row", "part", "shingles").groupBy("crowd", "x", "y").applyInArrow(crowd_links(similarity), EDGE)
+
+
 def near_unique(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents that stay, with all their columns: of each group the one with the smallest id."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *row_key(id, text))
@@ -427,8 +513,18 @@ def near_unique(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
         own = parts.select(F.col("id").alias(end), F.col("component").alias(f"part_{end}"))
         return edges.join(own, end, "left").withColumn(f"part_{end}", F.coalesce(f"part_{end}", end))
 
-    apart = part_of(part_of(close.select("a", "b"), "a"), "b").filter("part_a <> part_b").select("a", "b")
-    links = links.union(verified(apart.join(first, ["a", "b"], "left_anti")))
+    def apart() -> DataFrame:
+        return part_of(part_of(close.select("a", "b"), "a"), "b").filter("part_a <> part_b")
+
+    links = staged(links.union(verified(apart().select("a", "b").join(first, ["a", "b"], "left_anti"))))
+    parts = staged(components(links))
+    # a pair that was dropped lies in two parts of one crowd, or in one part
+    crowd = staged(components(apart().select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))))
+    crowds = part_of(ends.withColumnRenamed("row", "a"), "a").select(F.col("a").alias("row"), F.col("part_a").alias("part"))
+    crowds = staged(crowds.join(crowd.select(F.col("id").alias("part"), F.col("component").alias("crowd")), "part"))
+    wide = crowds.groupBy("crowd").agg(F.count("*").alias("n")).filter(F.col("n") > NEAREST + 1)  # of fewer none was dropped
+    more = compared(crowds.join(wide.select("crowd"), "crowd"), sets, similarity)
+    links = links.union(more)
     classes = staged(components(links).join(involved, F.col("id") == F.col("row")).select("component", "row", *key))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     heads = staged(classes.groupBy("component").agg(F.min(order)["row"].alias("head")))

@@ -131,3 +131,35 @@ def test_stages_keep_the_columns_of_documents(spark):
         assert stage(spark, empty, SF_DIR).count() == 0, name
         if name != "pieces":
             assert stage(spark, docs, SF_DIR).columns == docs.columns
+
+
+def crowd(seed=3, size=600, planted=40, total=240, template=200):
+    """Texts of one template with words of their own (0.7 to 0.79 alike), and pairs that share some of these (0.8 and more)."""
+    rng = np.random.default_rng(seed)
+    base = [f"t{k}" for k in range(template)]
+    texts = [base + [f"o{n}x{k}" for k in range(total - template - 8)] for n in range(size)]
+    for n in range(planted):
+        own = texts[n][template:]
+        texts.append(base + own[: len(own) // 2] + [f"p{n}x{k}" for k in range(len(own) // 2)])
+    order = rng.permutation(len(texts))
+    return [(int(i), " ".join(texts[i])) for i in order]
+
+
+def test_a_crowd_of_one_template_keeps_one_of_each_pair(spark):
+    rows = crowd()
+    sets = dict((i, shingles(t)) for i, t in rows)
+    assert 0.7 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.8 and not any(alike(sets[0], sets[i]) for i in range(1, 600))
+    assert all(alike(sets[i], sets[600 + i]) for i in range(40))
+    kept = sorted(r.doc_id for r in simhash.near_unique(frame(spark, rows)).collect())
+    assert kept == list(range(600))
+
+
+def test_shared_tokens_are_counted_alike_by_list_and_by_product(monkeypatch):
+    rng = np.random.default_rng(0)
+    cells = rng.random((60, 300)) < rng.random(300) * 0.6
+    row, token = np.nonzero(cells)
+    left, right = np.arange(25), np.arange(20, 60)
+    want = cells[left].astype(int) @ cells[right].T.astype(int)
+    for dense in (0, 40, 10_000):
+        monkeypatch.setattr(simhash, "DENSE", dense)
+        assert (simhash.common_counts(row, token * 7, left, right) == want).all()
