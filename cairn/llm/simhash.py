@@ -12,7 +12,9 @@ of its first bits and visits the nodes, with smaller numbers, that differ in
 one of them. A pair that differs there is thus met in one node.
 
 ``near_unique`` keeps one document of each group of near-duplicates in the usual
-sense, a Jaccard similarity of their word shingles. Such texts may differ in a
+sense, a Jaccard similarity of their word shingles. Texts with one set of shingles are
+one leaf, under one row; leaves may have equal fingerprints. Texts that are
+similar may differ in a
 sixth of their fingerprint bits, so it takes 256 bits and walks 24 tries, each
 with the bits in another order: the first ten bits must agree, further down the
 budget grows with the depth. A pair in a sixth of whose bits the texts differ
@@ -92,17 +94,22 @@ def row_key(id: str, text: str) -> list[Column]:
     return [F.col(id).cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark")]
 
 
-def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3, size: int = 1) -> DataFrame:
-    """doc_id, mark (a hash of the text) and f0, f1 ...: ``size`` times 64 fingerprint bits of each whole text."""
-    names = [f"f{k}" for k in range(size)]
+def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3, size: int = 1, same: int = 0) -> DataFrame:
+    """doc_id, mark (a hash of the text) and f0, f1 ...: ``size`` times 64 fingerprint bits of each whole text.
+
+    With ``same`` also a hash of the set of its shingles of that many words.
+    """
+    names = [f"f{k}" for k in range(size)] + ["same"] * bool(same)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.zeros((batch.num_rows, size), dtype="uint64")
+            rows = np.zeros((batch.num_rows, len(names)), dtype="uint64")
             for at, value in enumerate(batch.column(2)):
                 hashes = shingle_hashes(value.as_py(), words)
-                rows[at] = [majority(remixed(hashes, k)) for k in range(size)]
-            columns = [pa.array(np.ascontiguousarray(rows[:, k]).view("int64")) for k in range(size)]
+                rows[at, :size] = [majority(remixed(hashes, k)) for k in range(size)]
+                if same:
+                    rows[at, size] = xxhash.xxh64_intdigest(np.unique(shingle_hashes(value.as_py(), same)).tobytes(), SEED)
+            columns = [pa.array(np.ascontiguousarray(rows[:, k]).view("int64")) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "mark", *names])
 
     picked = docs.select(*row_key(id, text), F.col(text).cast("binary").alias("text"))
@@ -483,17 +490,19 @@ def compared(crowds: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def near_unique(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents that stay, with all their columns: of each group the one with the smallest id."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *row_key(id, text))
-    seen = fingerprints(docs, id, text, words=3, size=SIZE)
+    seen = fingerprints(docs, id, text, words=3, size=SIZE, same=words)
     key = ["doc_id", "mark"]
     prints = staged(
-        seen.groupBy(*key, *WIDE).agg(F.count("*").alias("n")).withColumn("row", F.monotonically_increasing_id())
+        seen.groupBy(*key, *WIDE, "same").agg(F.count("*").alias("n")).withColumn("row", F.monotonically_increasing_id())
     )
-    leaves = staged(prints.groupBy(*WIDE).agg(F.min("row").alias("row"), F.count("*").alias("n")))
-    found = leaves.drop("n").mapInArrow(to_tries, "node int, " + ", ".join(f"{c} bigint" for c in WIDE) + ", row bigint")
+    # rows of one set of shingles are as similar to all others: one of them stands for all
+    leaves = staged(prints.groupBy(*WIDE, "same").agg(F.min("row").alias("row"), F.count("*").alias("n")))
+    found = leaves.drop("n", "same").mapInArrow(to_tries, "node int, " + ", ".join(f"{c} bigint" for c in WIDE) + ", row bigint")
     pair = EDGE + ", bits bigint"
     close = staged(found.repartition("node").mapInArrow(candidates_in_task, pair).distinct())
-    alike = leaves.filter("n > 1").select(F.col("row").alias("a"), *WIDE).join(prints.withColumnRenamed("row", "b"), WIDE)
-    first = staged(close.repartition("a").mapInArrow(one_forest, pair).select("a", "b").union(alike.filter("a <> b").select("a", "b")))
+    alike = leaves.filter("n > 1").select(F.col("row").alias("a"), *WIDE, "same").join(prints.withColumnRenamed("row", "b"), [*WIDE, "same"])
+    alike = staged(alike.filter("a <> b").select("a", "b"))
+    first = staged(close.repartition("a").mapInArrow(one_forest, pair).select("a", "b"))
     ends = first.select(F.col("a").alias("row")).union(first.select("b")).distinct()
     involved = staged(prints.join(ends, "row").select("row", *key))
     texts = met(rows, involved, key).select("row", F.col(f"doc.`{text}`").cast("binary").alias("text"))
@@ -506,7 +515,7 @@ def near_unique(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
         united = F.size("of_a") + F.size("of_b") - common
         return edges.join(of_a, "a").join(of_b, "b").filter(common >= united * F.lit(similarity)).select("a", "b")
 
-    links = staged(verified(first))
+    links = staged(verified(first).union(alike))
     parts = staged(components(links))
 
     def part_of(edges: DataFrame, end: str) -> DataFrame:
@@ -525,7 +534,7 @@ def near_unique(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     wide = crowds.groupBy("crowd").agg(F.count("*").alias("n")).filter(F.col("n") > NEAREST + 1)  # of fewer none was dropped
     more = compared(crowds.join(wide.select("crowd"), "crowd"), sets, similarity)
     links = links.union(more)
-    classes = staged(components(links).join(involved, F.col("id") == F.col("row")).select("component", "row", *key))
+    classes = staged(components(links).join(prints, F.col("id") == F.col("row")).select("component", "row", *key))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     heads = staged(classes.groupBy("component").agg(F.min(order)["row"].alias("head")))
     losers = classes.join(heads, "component").filter("row <> head").select(*key, F.lit(False).alias("once"))

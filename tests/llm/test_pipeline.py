@@ -163,3 +163,14 @@ def test_shared_tokens_are_counted_alike_by_list_and_by_product(monkeypatch):
     for dense in (0, 40, 10_000):
         monkeypatch.setattr(simhash, "DENSE", dense)
         assert (simhash.common_counts(row, token * 7, left, right) == want).all()
+
+
+def test_texts_that_one_shingle_rules(spark):
+    """Whatever else these texts hold, over half of their runs of three words is one run."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for n in range(12):
+        words = [f"r{n}x{k}" for k in range(60)]
+        for copy in (words, edited(rng, words, 0.01)):
+            rows.append((len(rows), " ".join(copy + ["0"] * 200)))
+    assert sorted(r.doc_id for r in simhash.near_unique(frame(spark, rows)).collect()) == plain_groups(rows) == list(range(0, 24, 2))
