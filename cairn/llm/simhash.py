@@ -15,7 +15,8 @@ one of them. A pair that differs there is thus met in one node.
 sense, a Jaccard similarity of their word shingles. Texts with one set of shingles are
 one leaf, under one row; leaves may have equal fingerprints. Texts that are
 similar may differ in a
-sixth of their fingerprint bits, so it takes 256 bits and walks 24 tries, each
+sixth of their fingerprint bits, which are those of the distinct shingles that
+also decide, so it takes 256 bits and walks 24 tries, each
 with the bits in another order: the first ten bits must agree, further down the
 budget grows with the depth. A pair in a sixth of whose bits the texts differ
 is missed by all tries once in a hundred times, closer ones hardly ever. Of what a
@@ -94,21 +95,22 @@ def row_key(id: str, text: str) -> list[Column]:
     return [F.col(id).cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark")]
 
 
-def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3, size: int = 1, same: int = 0) -> DataFrame:
+def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3, size: int = 1, distinct: bool = False) -> DataFrame:
     """doc_id, mark (a hash of the text) and f0, f1 ...: ``size`` times 64 fingerprint bits of each whole text.
 
-    With ``same`` also a hash of the set of its shingles of that many words.
+    With ``distinct`` each shingle counts once, and ``same`` is a hash of their set.
     """
-    names = [f"f{k}" for k in range(size)] + ["same"] * bool(same)
+    names = [f"f{k}" for k in range(size)] + ["same"] * distinct
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.zeros((batch.num_rows, len(names)), dtype="uint64")
             for at, value in enumerate(batch.column(2)):
                 hashes = shingle_hashes(value.as_py(), words)
+                if distinct:
+                    hashes = np.unique(hashes)
+                    rows[at, size] = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
                 rows[at, :size] = [majority(remixed(hashes, k)) for k in range(size)]
-                if same:
-                    rows[at, size] = xxhash.xxh64_intdigest(np.unique(shingle_hashes(value.as_py(), same)).tobytes(), SEED)
             columns = [pa.array(np.ascontiguousarray(rows[:, k]).view("int64")) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "mark", *names])
 
@@ -490,7 +492,7 @@ def compared(crowds: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def near_unique(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents that stay, with all their columns: of each group the one with the smallest id."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *row_key(id, text))
-    seen = fingerprints(docs, id, text, words=3, size=SIZE, same=words)
+    seen = fingerprints(docs, id, text, words, SIZE, distinct=True)
     key = ["doc_id", "mark"]
     prints = staged(
         seen.groupBy(*key, *WIDE, "same").agg(F.count("*").alias("n")).withColumn("row", F.monotonically_increasing_id())

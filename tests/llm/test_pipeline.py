@@ -174,3 +174,12 @@ def test_texts_that_one_shingle_rules(spark):
         for copy in (words, edited(rng, words, 0.01)):
             rows.append((len(rows), " ".join(copy + ["0"] * 200)))
     assert sorted(r.doc_id for r in simhash.near_unique(frame(spark, rows)).collect()) == plain_groups(rows) == list(range(0, 24, 2))
+
+
+def test_a_line_that_stands_many_times_counts_once(spark):
+    rows = []
+    for n in range(8):
+        words = [f"l{n}x{k}" for k in range(400)]
+        line = [f"line{n}x{k}" for k in range(8)]
+        rows += [(2 * n, " ".join(words + line)), (2 * n + 1, " ".join(words + line * 50))]
+    assert sorted(r.doc_id for r in simhash.near_unique(frame(spark, rows)).collect()) == plain_groups(rows) == list(range(0, 16, 2))
