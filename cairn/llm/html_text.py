@@ -10,9 +10,12 @@ A node whose presentations and contents are of low importance is noise and is
 removed with all below it from the pages of that host.
 
 Hosts with few pages tell nothing, and menus may vary as well. So what HTML and
-usual class names say comes first: ``nav``, ``footer``, ``form`` ... and classes
-like ``ad`` or ``cookie`` are noise anywhere; where a page has an ``article`` or
-``main``, only what is in it counts, and plain text elements in it always stay.
+usual class names say comes first: ``nav``, ``footer``, ``form`` ... are noise
+anywhere. Classes like ``ad`` or ``cookie`` are noise as whole names, but not on
+headings and paragraphs, nor where the element holds most of the page's text and
+no ``article`` or ``main`` stands outside such elements.
+Where ``article`` and ``main`` hold most of the text outside noise, only what is in
+them counts, and plain text elements in them always stay.
 
 Blocks are joined by newlines; within one, character references are decoded
 and white space becomes one blank. Null html gives an empty text; a null url is
@@ -50,7 +53,8 @@ INLINE = frozenset(
     "strike strong sub sup time tt u var wbr br".split()
 )
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt figcaption td th tr tbody thead table ul ol dl".split())
-# Parts of class names and ids that mark boilerplate.
+PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split())  # no name makes these noise
+# Class names and ids that mark boilerplate, and words that may stand beside them in one name.
 NOISE_NAMES = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert "
     "popup modal overlay newsletter subscribe signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar side "
@@ -58,6 +62,11 @@ NOISE_NAMES = frozenset(
     "toolbar widget pagination pager copyright disclaimer paywall".split()
 )
 
+BOX_NAMES = frozenset(
+    "bar box block list links link wrap wrapper container area section panel group inner outer top bottom left right site "
+    "global primary secondary buttons button icons icon unit slot form content".split()
+)
+
 MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>",
@@ -76,20 +85,27 @@ class Element:
     container: bool  # may be removed for its importance
     children: list[str] = field(default_factory=list)
     texts: list[str] = field(default_factory=list)
+    suspects: tuple[Element, ...] = ()  # elements from the top to here whose names mark boilerplate
+    held: int = 0  # characters in a suspect
+
 
+def marks_noise(name: str) -> bool:
+    """Whether all words of a class name or id mark boilerplate or its box."""
+    words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+    return not NOISE_NAMES.isdisjoint(words) and all(w in NOISE_NAMES or w in BOX_NAMES for w in words)
 
-def names_of(rest: str) -> tuple[str, bool]:
-    """(class and id in order, whether a name marks boilerplate or the element is hidden)."""
-    found, noise = [], False
+
+def names_of(rest: str) -> tuple[str, bool, bool]:
+    """(class and id in order, whether a name marks boilerplate, whether the element is hidden)."""
+    found, marked, hidden = [], False, False
     for match in NAMED.finditer(rest):
         name, value = match[1].lower(), (match[2] or "").strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            noise = True
+            hidden = True
         elif name in ("class", "id", "role"):
             found.append(value)
-            words = set(re.split(r"[^a-z0-9]+", value))
-            noise |= not NOISE_NAMES.isdisjoint(words) or value in ("complementary", "contentinfo", "search")
-    return " ".join(found), noise
+            marked |= any(map(marks_noise, value.split())) or value in ("complementary", "contentinfo", "search")
+    return " ".join(found), marked, hidden
 
 
 def hashed(*parts: object) -> int:
@@ -102,7 +118,8 @@ class Page:
     def __init__(self, source: str):
         self.blocks: list[tuple[str, bool, tuple[int, ...]]] = []  # text, in an article, containers around it
         self.nodes: list[Element] = []
-        self.text: list[str] = []
+        self.read_blocks: list[tuple[list, bool, list[Element]]] = []
+        self.text: list[tuple[str, tuple[Element, ...]]] = []
         self.stack = [Element("", 0, False, False, False)]
         self.has_article = False
         self.read(source)
@@ -130,27 +147,46 @@ class Page:
         self.flush()
         while len(self.stack) > 1:
             self.pop()
+        self.judge()
 
     def characters(self, text: str) -> None:
         if text and not self.stack[-1].noise:
-            self.text.append(text)
+            self.text.append((text, self.stack[-1].suspects))
 
     def flush(self) -> None:
         """End a block."""
         if self.text:
-            text = SPACE.sub(" ", html.unescape("".join(self.text))).strip()
+            self.read_blocks.append((self.text, self.stack[-1].content, [e for e in self.stack if e.container]))
             self.text = []
+
+    def judge(self) -> None:
+        """Suspects are noise; the blocks are what else there is.
+
+        A suspect that holds over half of the text is spared, unless an
+        article that is not in a suspect shows where the text is.
+        """
+        total, shown = 0, False
+        for pieces, content, _ in self.read_blocks:
+            for text, suspects in pieces:
+                size = len("".join(text.split()))
+                total += size
+                shown |= content and size > 0 and not suspects
+                for element in suspects:
+                    element.held += size
+        for pieces, content, containers in self.read_blocks:
+            kept = [text for text, suspects in pieces if not any(shown or 2 * e.held <= total for e in suspects)]
+            text = SPACE.sub(" ", html.unescape("".join(kept))).strip()
             if text:
-                around = tuple(e.path for e in self.stack if e.container)
-                self.blocks.append((text, self.stack[-1].content, around))
-                for element in self.stack:
-                    if element.container:
-                        element.texts.append(text)
+                self.blocks.append((text, content, tuple(e.path for e in containers)))
+                for element in containers:
+                    element.texts.append(text)
+        within = sum(len(text) for text, content, _ in self.blocks if content)
+        self.has_article = within > 0 and 2 * within >= sum(len(text) for text, _, _ in self.blocks)
 
     def open(self, tag: str, rest: str) -> None:
         if tag in INLINE and tag != "a":
             if tag in ("br", "wbr", "img"):
-                self.text += [" "] if tag == "br" and self.text else []
+                self.text += [(" ", self.stack[-1].suspects)] if tag == "br" and self.text else []
                 return
         if tag not in INLINE:
             self.flush()
@@ -159,18 +195,19 @@ class Page:
             if tag not in INLINE and self.stack[-1].tag == "p":
                 self.pop()
         parent = self.stack[-1]
-        names, marked = names_of(rest) if rest else ("", False)
+        names, marked, hidden = names_of(rest) if rest else ("", False, False)
         parent.children.append(tag)
         if tag in VOID:
             return
         content = tag in CONTENT_TAGS or parent.content
-        noise = parent.noise or tag in NOISE_TAGS or (marked and tag not in ("html", "body"))
-        if tag in CONTENT_TAGS and not noise:
-            self.has_article = True
+        noise = parent.noise or tag in NOISE_TAGS or (hidden and tag not in ("html", "body"))
         judged = tag not in INLINE and tag not in TEXT_TAGS and tag not in CONTENT_TAGS and tag not in ("html", "body")
         judged = judged and not noise
         path = hashed(parent.path, tag, names) if judged else parent.path
         element = Element(tag, path, noise, content and not noise, judged)
+        element.suspects = parent.suspects
+        if marked and not noise and tag not in PROSE_TAGS and tag not in ("html", "body"):
+            element.suspects += (element,)
         self.stack.append(element)
         if element.container:
             self.nodes.append(element)
@@ -192,7 +229,7 @@ class Page:
         self.stack.pop()
 
     def main_blocks(self) -> list[tuple[str, tuple[int, ...]]]:
-        """Blocks of the article, or of the page if it has none, with the judged nodes around them."""
+        """Blocks of the article, or of the page if it has none with most of the text, with the judged nodes around them."""
         return [(text, around) for text, content, around in self.blocks if content or not self.has_article]
 
     def main_nodes(self) -> list[Element]:

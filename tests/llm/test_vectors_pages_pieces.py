@@ -103,6 +103,26 @@ def test_main_text(spark, source, text):
     assert "\n".join(t for t, _ in page.main_blocks()) == text
 
 
+LONG = "Words of the article that go on for a while. " * 3
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        (f"<div class='content with-sidebar'><p>{LONG}</p></div>", LONG.strip()),
+        (f"<main class=no-sidebar><p>{LONG}</p></main><div class=sidebar>no</div>", LONG.strip()),
+        (f"<div class='post comments-closed'><p>{LONG}</p><div class='comments'>no</div></div>", LONG.strip()),
+        (f"<article><p>{LONG}</p><h2 id=side-effects>Side effects</h2><section id=related-work><p>Before</p></section><p class=notice-period>A month<p class=side>B</article>", f"{LONG.strip()}\nSide effects\nBefore\nA month\nB"),
+        (f"<div class=sidebar><p>{LONG}</p></div><div class=ad>no</div>", LONG.strip()),
+        (f"<div><p>{LONG}</p></div><article><p>Teaser</p></article>", f"{LONG.strip()}\nTeaser"),
+        (f"<article><p>{LONG} <span class=ad>no</span>end</p></article><p>outside</p>", f"{LONG}end"),
+        (f"<p>{LONG}</p><div hidden>{LONG * 3}</div>", LONG.strip()),
+    ],
+)
+def test_names_and_article_tags_are_evidence(source, text):
+    assert "\n".join(t for t, _ in html_text.Page(source).main_blocks()) == text
+
+
 def test_the_tree_of_a_host_removes_what_repeats(spark):
     pages = [
         (i, f"https://h.example/{i}", f"<body><div class=top>Same words on every page</div><div class=story><p>Story {i} begins.</p><p>It ends {i * i}.</p></div><div class=end>The same end</div></body>")
