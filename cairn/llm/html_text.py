@@ -7,7 +7,8 @@ have a node, its presentations (the sequences of its children) and its contents
 (the texts below it) have an importance: the entropy of the presentations, and
 for each content 1 less the entropy of the pages it stands in, both to base m.
 A node whose presentations and contents are of low importance is noise and is
-removed with all below it from the pages of that host.
+removed with all below it from the pages of that host, but not from a page that
+has a content of its own there: near copies of an article share most of it.
 
 Hosts with few pages tell nothing, and menus may vary as well. So what HTML and
 usual class names say comes first: ``nav``, ``footer``, ``form`` ... are noise
@@ -271,7 +272,7 @@ def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def low_nodes(pages: DataFrame) -> DataFrame:
-    """(host, node) of the merged trees whose importance is low.
+    """(host, page, node) of the merged trees whose importance is low and in which the page has no content of its own.
 
     A frequent item is counted before it is shuffled; a host of any size is
     spread over its nodes and their items. The importance of presentations is
@@ -284,7 +285,7 @@ def low_nodes(pages: DataFrame) -> DataFrame:
     held = (
         found.select("host", "node", "page", F.explode("contents").alias("content"))
         .groupBy("host", "node", "content")
-        .agg(F.count_distinct("page").alias("n"))
+        .agg(F.count_distinct("page").alias("n"), F.min("page").alias("page"))
     )
     # with N = sum n, the entropy is log N - sum n log n / N
     presentations = shown.groupBy("host", "node").agg(
@@ -295,23 +296,25 @@ def low_nodes(pages: DataFrame) -> DataFrame:
     judged = sizes.join(presentations, ["host", "node"]).join(contents, ["host", "node"])
     base = F.log("m")
     importance = F.greatest(F.col("spread") / base, 1 - F.col("shared") / base)
-    return judged.filter(importance <= LOW).select("host", "node")
+    low = staged(judged.filter(importance <= LOW).select("host", "node"))
+    own = held.filter("n = 1").join(low, ["host", "node"], "left_semi").select("host", "page", "node").distinct()
+    return found.join(low, ["host", "node"], "left_semi").select("host", "page", "node").distinct().join(own, ["host", "page", "node"], "left_anti")
 
 
 def extract(pages: DataFrame, id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
-    Pages are parsed once. Low nodes are listed per host and joined to the
-    parsed pages; a host that has none loses nothing.
+    Pages are parsed once. Low nodes are listed per page and joined to the
+    parsed pages; a page that has none loses nothing.
     """
     picked = pages.select(F.col(id).cast("bigint").alias("page_id"), F.col(url).alias("url"), F.col(source).alias("html"))
     rows = staged(picked.mapInArrow(parsed, PARSED))
-    low = staged(low_nodes(rows).groupBy("host").agg(F.array_sort(F.collect_set("node")).alias("low")))
+    low = staged(low_nodes(rows).groupBy("host", "page").agg(F.array_sort(F.collect_set("node")).alias("low")))
     kept = F.filter("blocks", lambda block: F.col("low").isNull() | ~F.arrays_overlap(block["around"], F.col("low")))
     text = F.array_join(F.transform(kept, lambda block: block["text"]), "\n")
     return (
-        rows.select("page_id", "url", "host", "blocks")
-        .join(low, "host", "left")
+        rows.select("page_id", "url", "host", "page", "blocks")
+        .join(low, ["host", "page"], "left")
         .select("page_id", "url", text.alias("text"))
         .withColumn("n_chars", F.char_length("text").cast("bigint"))
     )

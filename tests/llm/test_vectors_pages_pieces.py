@@ -139,6 +139,14 @@ def test_copies_of_an_article_stay(spark):
     assert set(texts(spark, [(i, f"//h.example/{i}", page) for i in range(9)]).values()) == {"One story."}
 
 
+def test_near_copies_of_an_article_stay(spark):
+    shared = [f"Paragraph {k} of the story." for k in range(11)]
+    menu = "<div class=top>Same words on every page</div>"
+    pages = [[*shared[:5], f"Only here: {i}.", *shared[5:]] for i in range(9)]
+    rows = [(i, f"//n.example/{i}", f"<body>{menu}<div class=body>{''.join(f'<p>{t}</p>' for t in page)}</div></body>") for i, page in enumerate(pages)]
+    assert texts(spark, rows) == {i: "\n".join(page) for i, page in enumerate(pages)}
+
+
 def test_given_pages_lose_nothing_of_their_article(spark):
     path = "/root/testdata/sf0.001/pages.parquet"
     if not os.path.exists(path):
