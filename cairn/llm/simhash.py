@@ -268,15 +268,15 @@ def near_links(prints: DataFrame, budget: int = 3) -> DataFrame:
 def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3, budget: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document.
 
-    Documents with one fingerprint are one leaf of the trie, under their
-    smallest id; leaves are linked, and components of leaves become classes.
+    Documents with one fingerprint are one leaf of the trie; leaves are linked by
+    their fingerprints, and components of leaves become classes under the smallest
+    id that is not null.
     """
     prints = staged(fingerprints(docs, id, text, words).drop("mark"))
-    leaves = staged(prints.groupBy("f0").agg(F.min("doc_id").alias("rep")))
-    found = components(near_links(leaves.filter("rep IS NOT NULL"), budget))
-    classes = staged(
-        leaves.join(found, F.col("rep") == F.col("id"), "left").select("f0", F.coalesce("component", "rep").alias("component_id"))
-    )
+    leaves = staged(prints.groupBy("f0").agg(F.min("doc_id").alias("lowest")))
+    found = components(near_links(leaves.select(F.col("f0").alias("rep"), "f0"), budget))
+    linked = staged(leaves.join(found, F.col("f0") == F.col("id"), "left").select("f0", F.coalesce("component", "f0").alias("class"), "lowest"))
+    classes = staged(linked.join(linked.groupBy("class").agg(F.min("lowest").alias("component_id")), "class").select("f0", "component_id"))
     return prints.join(classes, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 

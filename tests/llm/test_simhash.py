@@ -64,6 +64,15 @@ def test_null_ids_take_part_but_lead_no_group(spark):
     assert found == sorted([(None, 7), (7, 7), (None, None)], key=str)
 
 
+def test_a_null_id_joins_others_by_a_near_fingerprint(spark, monkeypatch):
+    far, hidden = 0b1111, 0b11
+    prints = [(7, 0), (None, hidden), (9, far), (None, -1), (12, 1 << 40 | 1 << 50 | 1 << 60 | 1 << 30)]
+    given = spark.createDataFrame([(i, 0, f) for i, f in prints], "doc_id bigint, mark bigint, f0 bigint")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *rest: given)
+    found = {r.fingerprint: (r.doc_id, r.component_id) for r in simhash.near_groups(given).collect()}
+    assert [found[f"{p % (1 << 64):016x}"] for _, p in prints] == [(7, 7), (None, 7), (9, 7), (None, None), (12, 12)]
+
+
 def test_empty_table(spark):
     assert simhash.near_groups(spark.createDataFrame([], SCHEMA)).collect() == []
 
