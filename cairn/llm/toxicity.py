@@ -12,7 +12,8 @@ driver. Scoring covers every row.
 
 A null or empty text has no words and takes the severity of no evidence.
 Labels that are null count as missing; of several labels of one id the highest
-holds; labels without a text are left out. Without toxic or without clean
+holds, and of several texts of one id the smallest is fitted on; labels without a
+text are left out. Without toxic or without clean
 labels every severity is 0. Rows that repeat are scored each for itself.
 """
 
@@ -78,6 +79,7 @@ def sample_words(docs: DataFrame, labels: DataFrame, id: str, text: str, toxic:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), found], ["doc_id", "toxic", "words"])
 
     texts = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     return staged(
         texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic", "text").mapInArrow(
             split, "doc_id bigint, toxic int, words array<binary>"

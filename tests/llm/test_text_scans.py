@@ -224,3 +224,10 @@ def test_toxicity_without_labels(spark):
         found = toxicity.severity(docs, toxicity.fit(docs, labels)).collect()
         assert [(r.severity, r.toxic) for r in found] == [(0.0, False)] * 2
     assert toxicity.severity(docs.limit(0), toxicity.fit(docs.limit(0), none)).collect() == []
+
+
+def test_the_sample_has_one_text_of_each_id(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, "other"), (3, None), (3, "b")], "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id bigint, toxic int")
+    found = toxicity.sample_words(docs, labels, "doc_id", "text", "toxic").collect()
+    assert sorted((r.doc_id, b"0" in r.words) for r in found) == [(1, True), (2, False), (3, False)]
