@@ -18,13 +18,18 @@ SEGMENT_ROWS = 1 << 16  # positions per segment of an ordered group
 
 
 def staging_folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
+    """The shared folder for intermediate tables, which ``spark.checkpoint.dir`` names.
 
-    ``spark.checkpoint.dir`` names it. Where that is unset, a folder in the
-    warehouse serves, which every executor of a session can reach as well.
+    Where that is unset, a folder in the warehouse serves on a single machine.
+    On a cluster the warehouse may be local to each machine, so it is refused.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/staging").rstrip("/")
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/staging"
+    return folder.rstrip("/")
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -38,9 +43,30 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = f"{staging_folder(spark)}/cairn-{uuid.uuid4().hex}"
     df.write.parquet(folder)
+    _goes_at_exit(spark, folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def staged_by(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
+    """Like ``staged``, but bucketed: joins and groups on ``keys`` need no shuffle of this table.
+
+    The table stands in the catalogue only while it is read back; the plan of
+    the result keeps its buckets.
+    """
+    spark = df.sparkSession
+    name = f"cairn_{uuid.uuid4().hex}"
+    folder = f"{staging_folder(spark)}/{name}"
+    df.write.format("parquet").bucketBy(buckets, *keys).option("path", folder).saveAsTable(name)
+    _goes_at_exit(spark, folder)
+    table = spark.table(name)
+    table.schema  # resolved before the name goes; the files of a table with a path stay
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+def _goes_at_exit(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(folder)
 
 
 def number_rows(
