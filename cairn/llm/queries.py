@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import embeddings, exact_dedup, html_text, licenses, mixing, pieces, pii, secrets, simhash, toxicity
+from cairn.llm import embeddings, exact_dedup, html_text, licenses, mixing, negatives, pieces, pii, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -204,3 +204,30 @@ def op3_html_text(pages):
 @query("op7_pieces", "documents")
 def op7_pieces(documents):
     return pieces.encoded(documents, PIECES)
+
+
+@query(
+    "op11_hard_negatives",
+    "embeddings",
+    """
+    WITH v AS (
+      SELECT vec_id, min({'l': CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END::BIGINT,
+                          'e': list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE)))}) AS r
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      GROUP BY vec_id),
+    s AS (
+      SELECT a.vec_id AS a, b.vec_id AS b, a.r.l = b.r.l AS same, CAST(list_inner_product(a.r.e, b.r.e) AS BIGINT) AS s
+      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM s WHERE same),
+    n AS (
+      SELECT p.a, p.b, p.s AS ps, s.b AS n, s.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS k
+      FROM p JOIN s ON p.a = s.a AND p.k <= 5 AND NOT s.same AND 50 * p.s <= 100 * s.s AND 100 * s.s <= 95 * p.s)
+    SELECT a AS anchor_id, b AS positive_id, CAST(k AS INT) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score
+    FROM n WHERE k <= 3
+    """,
+)
+def op11_hard_negatives(vectors):
+    relabel = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0, relabel=relabel)
