@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import embeddings, exact_dedup, html_text, licenses, mixing, negatives, pieces, pii, secrets, simhash, toxicity
+from cairn.llm import embeddings, exact_dedup, html_text, lexical, licenses, mixing, negatives, pieces, pii, repeats, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -231,3 +231,53 @@ def op7_pieces(documents):
 def op11_hard_negatives(vectors):
     relabel = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0, relabel=relabel)
+
+
+@query(
+    "op12_lexical_search",
+    "documents benchmark",
+    r"""
+    WITH t AS (
+      SELECT *, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+      FROM (SELECT doc_id, text, row_number() OVER () AS r FROM documents)),
+    q AS (
+      SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+      FROM benchmark),
+    p AS (SELECT r, doc_id, term, count(*) AS tf FROM t GROUP BY r, doc_id, term),
+    n AS (SELECT r, sum(tf)::BIGINT AS n FROM p GROUP BY r),
+    s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM n),
+    m AS (SELECT r, 10 + (90 * n * docs) // total AS m, docs FROM n, s),
+    w AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+    i AS (
+      SELECT item_id, r, doc_id,
+             CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * m)) AS impact
+      FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (r)),
+    c AS (SELECT item_id, doc_id, r, sum(impact)::BIGINT AS score FROM i WHERE doc_id IS NOT NULL GROUP BY item_id, doc_id, r HAVING sum(impact) > 0),
+    k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM c)
+    SELECT item_id, CAST(k AS INT) AS rank, doc_id, score FROM k WHERE k <= 10
+    """,
+)
+def op12_lexical_search(documents, benchmark):
+    return lexical.search(documents, benchmark)
+
+
+@query(
+    "op13_substring_dedup",
+    "documents",
+    r"""
+    WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id, text) AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    p AS (SELECT r, w, unnest(range(1, len(w) - 18)) AS i FROM d),
+    g AS (SELECT r, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY r, i) AS k FROM p),
+    x AS (SELECT DISTINCT r, unnest(range(i, i + 20)) AS i FROM g WHERE k > 1),
+    c AS (SELECT r, list(i) AS gone FROM x GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+           sha256(array_to_string(CASE WHEN gone IS NULL THEN w
+             ELSE list_transform(list_filter(range(1, len(w) + 1), lambda j: NOT list_contains(gone, j)), lambda j: w[j]) END, ' ')) AS kept_sha256
+    FROM d LEFT JOIN c USING (r)
+    """,
+)
+def op13_substring_dedup(documents):
+    kept = repeats.without_repeats(documents)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
