@@ -40,7 +40,8 @@ from pyspark.sql import functions as F
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
-KEPT_WORDS = 1 << 19  # words whose pieces a worker remembers
+KEPT_WORDS = 1 << 17  # words whose pieces a worker remembers
+SLICE = 50_000  # characters that one suffix array indexes, or one word; an edge takes about 100 bytes, a character has several
 
 # --- the model file -----------------------------------------------------------
 
@@ -216,6 +217,13 @@ class Model:
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of words, one word after another, and how many each has; all characters are pieces."""
+        part = np.cumsum([len(w) + 1 for w in words]) // SLICE
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(words)]
+        found = [self.encode_slice(words[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return np.concatenate([f for f, _ in found]), np.concatenate([n for _, n in found])
+
+    def encode_slice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same by one suffix array."""
         line = self.line_of(words)
         sizes = np.array([len(w) for w in words])
         starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])

@@ -13,12 +13,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 BATCH_ROWS = 512  # texts per Arrow batch; a worker holds one batch
+BATCH_BYTES = 1 << 24  # and bytes, where texts are long
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"  # the driver's copy is sent to the executors
 
 
 def bounded(spark: SparkSession) -> None:
-    """Let Arrow batches hold few texts, as one text may be long."""
+    """Let Arrow batches hold few texts, and fewer where they are long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def query(name: str, tables: str, sql: str | None = None):
