@@ -32,6 +32,13 @@ def staging_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one, not made yet; it goes when the application ends."""
+    folder = f"{staging_folder(spark)}/cairn-{uuid.uuid4().hex}"
+    _goes_at_exit(spark, folder)
+    return folder
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write once to the shared folder and read back.
 
@@ -41,9 +48,8 @@ def staged(df: DataFrame) -> DataFrame:
     goes when the application ends.
     """
     spark = df.sparkSession
-    folder = f"{staging_folder(spark)}/cairn-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark)
     df.write.parquet(folder)
-    _goes_at_exit(spark, folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 

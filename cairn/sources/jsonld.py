@@ -52,14 +52,19 @@ def document_entities(documents: DataFrame) -> DataFrame:
     return _cut(documents).filter("entity IS NOT NULL").select("graph_id", "entity_no", "entity")
 
 
+def without_graph(documents: DataFrame) -> DataFrame:
+    """Documents that as a whole have no readable graph, like ``rejected``."""
+    return documents.filter(_part("text", "@graph", "array<string>").isNull()).select(
+        "graph_id", F.lit(None).cast("int").alias("entity_no"), F.lit("no readable @graph").alias("reason")
+    )
+
+
 def rejected(documents: DataFrame) -> DataFrame:
     """What of the documents cannot be read: (graph_id, entity_no, reason).
 
     ``entity_no`` is null where the document as a whole has no readable graph.
     """
-    whole = documents.filter(_part("text", "@graph", "array<string>").isNull()).select(
-        "graph_id", F.lit(None).cast("int").alias("entity_no"), F.lit("no readable @graph").alias("reason")
-    )
+    whole = without_graph(documents)
     without_id = F.try_variant_get("entity", "$['@id']", "string").isNull()
     reason = F.when(F.col("entity").isNull(), "does not parse").when(without_id, "no @id")
     return whole.unionByName(

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 from cairn.operators import quality as q
 from cairn.sinks.jsonld import graph_to_json
 from cairn.sinks.sheets import graph_to_sheet, other_values, sheet_columns
+from cairn.model import Graph, builtin_prefixes
+from cairn.plans.scale import scratch_folder
+from cairn.sinks.jsonld import write_documents
+from cairn.sinks.store import load_graphs, save_graphs
 from cairn.sources import jsonld, tables
+from cairn.sources.large_json import read_graph_files
 from checks.overlay import graph_roots
 from checks.registry import check, graph_rows
 
@@ -252,6 +257,33 @@ def round_trip(v):
     return graph_rows(tables.sheets_to_graph(made))
 
 
+ALL_ROWS = """SELECT graph_id, id, '@type' AS prop, CAST(0 AS BIGINT) AS pos, type AS value, NULL::VARCHAR AS ref FROM graph_nodes
+UNION ALL SELECT graph_id, id, prop, row_number() OVER (PARTITION BY graph_id, id, prop ORDER BY pos) - 1, value, ref FROM rich_props"""
+
+
+@check("src_02_files", "graph_nodes rich_props", ALL_ROWS)
+def read_by_byte_range(v):
+    """Graphs written as documents of several files each, and read in byte ranges."""
+    nodes, props = v("graph_nodes"), v("rich_props")
+    folder = scratch_folder(nodes.sparkSession)
+    write_documents(nodes, props, builtin_prefixes(nodes), folder)
+    name = F.regexp_extract("document", "/graph_id=([^/]*)$", 1)
+    return graph_rows(read_graph_files(nodes.sparkSession, f"{folder}/graph_id=*", name, folders=True))
+
+
+@check("snk_01_store", "graph_nodes rich_props", ALL_ROWS)
+def saved_and_loaded(v):
+    """A save of all graphs, one of them with other values, and a save of that one over it."""
+    nodes, props = v("graph_nodes"), v("rich_props")
+    spark, folder = nodes.sparkSession, scratch_folder(nodes.sparkSession)
+    one = nodes.agg(F.min("graph_id").alias("graph_id"))
+    other = F.when(F.col("graph_id") == nodes.agg(F.min("graph_id")).first()[0], F.upper("value")).otherwise(F.col("value"))
+    save_graphs(Graph(nodes, props.withColumn("value", other), None, builtin_prefixes(nodes)), folder)
+    save_graphs(Graph(nodes, props, None, builtin_prefixes(nodes)), folder, only=one)
+    read = load_graphs(spark, folder)
+    return graph_rows({"nodes": read.nodes, "props": read.props})
+
+
 @check(
     "src_05",
     "candidates",
