@@ -30,6 +30,9 @@ from cairn.model import (
 from cairn.plans.scale import number_rows, scattered
 
 
+LINK_BLOCK = 1024  # files of a block of name-alikes
+
+
 def order_files(files: DataFrame) -> DataFrame:
     """``file_no``: the place of each file in its graph's listing, by path."""
     return number_rows(files, ["graph_id"], ["relative_path"], "file_no")
@@ -93,6 +96,31 @@ def possible_duplicates(groups: DataFrame) -> DataFrame:
     )
 
 
+def duplicate_links(groups: DataFrame) -> DataFrame:
+    """Links from each file to each of its name-alikes: rows (graph_id, id, pos, ref).
+
+    A group of n files has n (n - 1) of them, so hubs are the default and this
+    is for those who need the files named. A group is cut into blocks of
+    ``LINK_BLOCK`` files; every pair of blocks is a key of its own, at which
+    each pair of files meets once and gives both links. So no task has more
+    than a block's pairs at a time, whatever the size of the group.
+    """
+    group = ["graph_id", "dup_key"]
+    placed = number_rows(groups, group, ["file_no"], "place").select(
+        *group, "id", "file_no", "place", F.floor(F.col("place") / LINK_BLOCK).cast("bigint").alias("block"), F.floor((F.col("group_size") - 1) / LINK_BLOCK).cast("bigint").alias("last")
+    )
+    lower = placed.select("*", F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"))
+    upper = placed.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), "block")).alias("i"), F.col("block").alias("j"))
+    pair = [*group, "i", "j"]
+    names = ["id", "file_no", "place"]
+    met = lower.select(*pair, *[F.col(n).alias(f"a_{n}") for n in names]).join(upper.select(*pair, *[F.col(n).alias(f"b_{n}") for n in names]), pair)
+    both = F.array(
+        F.struct(F.col("a_id").alias("id"), F.col("b_file_no").alias("pos"), F.col("b_id").alias("ref")),
+        F.struct(F.col("b_id").alias("id"), F.col("a_file_no").alias("pos"), F.col("a_id").alias("ref")),
+    )
+    return met.filter("a_place < b_place").select("graph_id", F.inline(both))
+
+
 def duplicate_hub_nodes(groups: DataFrame) -> DataFrame:
     return node_rows(groups.select("graph_id", "dup_key").distinct(), duplicate_hub(F.col("dup_key")), "Collection")
 

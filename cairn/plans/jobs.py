@@ -23,12 +23,15 @@ def build_graph(
     collections: bool = False,
     structure_from_metadata: bool = False,
     file_properties: Mapping[str, Mapping] | None = None,
+    duplicates_as_files: bool = False,
 ) -> Graph:
     """Graphs of all listings in ``files`` (graph_id, file_name, relative_path).
 
     With ``structure_from_metadata`` the folders make no objects and files no
     parents: a sheet describes them. ``file_properties`` maps the properties
-    every file gets to their definitions. Structural ids end up under each root.
+    every file gets to their definitions. Name-alikes share a hub, or, with
+    ``duplicates_as_files``, each names all others. Structural ids end up under
+    each root.
     """
     meta = fs.file_metadata(fs.order_files(files))
     head = fs.assemble_root(roots, profile, authored)
@@ -51,8 +54,9 @@ def build_graph(
     links = None
     if DUPLICATE_PROP in declared:
         groups = fs.duplicate_groups(meta)
-        links = fs.possible_duplicates(groups)
-        nodes.append(fs.duplicate_hub_nodes(groups))
+        links = fs.duplicate_links(groups) if duplicates_as_files else fs.possible_duplicates(groups)
+        if not duplicates_as_files:
+            nodes.append(fs.duplicate_hub_nodes(groups))
     entities = fs.file_entities(meta, parents, list(declared), links)
     nodes.append(entities["nodes"])
     props.append(entities["props"])

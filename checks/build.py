@@ -139,8 +139,8 @@ def described_files(v):
 def duplicates_sql(files: str) -> str:
     """Files of one normalised name, each tied to the hub of that name and back."""
     return f"""{meta_sql(files)}, k AS (SELECT graph_id, id, file_no, {NORMAL.format("file_name")} AS dup_key FROM m),
-l AS (SELECT a.graph_id, a.id, a.file_no, '#duplicates-' || replace(a.dup_key, ' ', '-') AS hub FROM k a
-  WHERE EXISTS (SELECT 1 FROM k b WHERE b.graph_id = a.graph_id AND b.dup_key = a.dup_key AND b.id <> a.id))"""
+n AS (SELECT *, count(*) OVER (PARTITION BY graph_id, dup_key) AS alike FROM k),
+l AS (SELECT graph_id, id, file_no, '#duplicates-' || replace(dup_key, ' ', '-') AS hub FROM n WHERE alike > 1)"""
 
 
 LINKS = "SELECT graph_id, id, CAST(0 AS BIGINT) AS pos, hub AS ref FROM l UNION ALL SELECT graph_id, hub, file_no, id FROM l"
@@ -156,6 +156,15 @@ def many_duplicates(v):
     return fs.possible_duplicates(fs.duplicate_groups(meta(v("line_files"))))
 
 
+@check(
+    "gra_02_links",
+    "files",
+    f"WITH {duplicates_sql('files')} SELECT a.graph_id, a.id, b.file_no AS pos, b.id AS ref FROM k a JOIN k b ON a.graph_id = b.graph_id AND a.dup_key = b.dup_key AND a.id <> b.id",
+)
+def duplicate_files(v):
+    return fs.duplicate_links(fs.duplicate_groups(meta(v("files"))))
+
+
 GROUPS = "g AS (SELECT graph_id, group_id, arg_min(top, file_no) AS name, min(file_no) AS first_no, max(file_no) AS last_no FROM {0} GROUP BY ALL)"
 
 

@@ -27,6 +27,26 @@ def test_groups_come_from_folders_or_the_file_name(listing, rows):
     ]
 
 
+@pytest.mark.parametrize("block", [1024, 7, 1])
+def test_duplicates_as_files(listing, rows, monkeypatch, block):
+    """Every file names all others of its name, in whatever blocks they meet."""
+    monkeypatch.setattr(fs, "LINK_BLOCK", block)
+    paths = [f"d{k % 5}/Song ({k}).mp3" for k in range(30)] + ["A/list.csv", "B/list copy.csv", "é.txt", "ü.txt", "alone.txt"]
+    files = meta(listing(*paths))
+    numbers = {r["id"]: r["file_no"] for r in files.collect()}
+    alike = [paths[:30], paths[30:32], paths[32:34]]
+    expected = sorted((a, numbers[b], b) for names in alike for a in names for b in names if a != b)
+    assert sorted(rows(fs.duplicate_links(fs.duplicate_groups(files)), "id", "pos", "ref")) == expected
+
+
+def test_a_graph_with_duplicates_as_files_has_no_hubs(listing, root, rows):
+    declared = {"custom:possibleDuplicate": {"id": "arcp://name,custom/terms#possibleDuplicate", "name": "possibleDuplicate"}}
+    made = build_graph(listing("D/a.txt", "D/a copy.txt"), root("./"), PROFILE, file_properties=declared, duplicates_as_files=True)
+    found = made.props.filter("prop = 'custom:possibleDuplicate'")
+    assert rows(found, "id", "ref") == [("D/a copy.txt", "D/a.txt"), ("D/a.txt", "D/a copy.txt")]
+    assert made.nodes.filter("id LIKE '%#duplicates%' OR type = 'Collection'").count() == 0
+
+
 def test_duplicates_meet_in_a_hub(listing, rows):
     groups = fs.duplicate_groups(meta(listing("A/dict.pdf", "B/dict copy.pdf", "A/list.csv", "é.txt", "ü.txt")))
     assert rows(fs.possible_duplicates(groups), "id", "ref") == [
