@@ -70,8 +70,20 @@ def words(text: Column) -> Column:
 
 
 def number_text(number: Column) -> Column:
-    """Shortest decimal text of a double, without an exponent or ``.0``."""
-    plain = number.cast("string")
-    small = F.regexp_replace(number.cast("decimal(38,20)").cast("string"), r"0+\z", "")
-    text = F.when((number != 0) & (F.abs(number) < 1e-3), small).otherwise(plain)
-    return F.regexp_replace(text, r"\.0?\z", "")
+    """Shortest decimal text of a double, without an exponent or ``.0``.
+
+    The digits are those of the shortest text that names the double; where
+    that has an exponent, the point is moved by as many places.
+    """
+    text = number.cast("string")
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    digits = F.regexp_replace(F.regexp_extract(text, r"^-?([\d.]+)", 1), r"\.", "")
+    point = F.length(F.regexp_extract(text, r"^-?(\d+)", 1)) + F.regexp_extract(text, r"E(-?\d+)$", 1).cast("int")
+    size = F.length(digits)
+    moved = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(point >= size, F.concat(digits, F.repeat(F.lit("0"), point - size)))
+        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, size)))
+    )
+    plain = F.when(text.contains("E"), F.concat(sign, moved)).otherwise(text)
+    return F.when(plain.contains("."), F.regexp_replace(plain, r"\.?0*\z", "")).otherwise(plain)

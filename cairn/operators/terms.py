@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn import functions as fn
@@ -11,6 +11,7 @@ from cairn.model import entity_ids, fact, node_rows, prop_rows, union_all
 # Generic words that identify nothing. The first three are fixed values.
 GENERIC_TERMS = ["north", "people", "unknown", "south", "east", "west", "language", "other"]
 SHORTEST_TERM = 4
+RUN = 3  # words of a term that are looked up at once
 
 LINK_PROP = "ldac:subjectLanguage"
 
@@ -30,28 +31,41 @@ def usable_terms(catalog: DataFrame, include_alternates: bool = False) -> DataFr
 def match_terms(texts: DataFrame, catalog: DataFrame) -> DataFrame:
     """Whole-word, case-insensitive hits: rows (graph_id, file_id, code, name).
 
-    ``texts`` is (graph_id, file_id, text). The distinct words of a text meet
-    the first words of terms by equality; only where a longer term begins is
-    the rest of it looked for in the text. Terms may be of any length.
+    ``texts`` is (graph_id, file_id, text). The distinct runs of up to
+    ``RUN`` words of a text meet the terms' beginnings of as many words by
+    equality; only runs as long as some term's are made. That settles all terms
+    but those with more words: the ones whose beginning a text has are
+    gathered, no more than the catalogue holds, and the text is joined once to
+    look for the rest of each. Terms may be of any length.
     """
     words = fn.words(F.col("name"))
     terms = (
-        catalog.select("code", "name", F.get(words, F.lit(0)).alias("word"), F.array_join(words, " ").alias("run"))
-        .filter("run <> ''")
+        catalog.select("code", "name", words.alias("words"))
+        .filter("size(words) > 0")
+        .select("code", "name", F.least(F.size("words"), F.lit(RUN)).alias("n"), F.array_join(F.slice("words", 1, RUN), " ").alias("run"), F.array_join("words", " ").alias("term"))
         .distinct()
     )
     key = ["graph_id", "file_id"]
-    spoken = texts.select(*key, fn.words(F.col("text")).alias("words"))
-    begun = spoken.select(*key, F.explode(F.array_distinct("words")).alias("word")).join(terms, "word")
-    short = begun.filter("run = word").select(*key, "code", "name")
-    lines = spoken.select(*key, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("line"))
-    longer = (
-        begun.filter("run <> word")
-        .join(lines, key)
-        .filter(F.col("line").contains(F.concat(F.lit(" "), "run", F.lit(" "))))
-        .select(*key, "code", "name")
-    )
-    return short.union(longer).distinct()
+    sizes = [r["n"] for r in terms.select("n").distinct().collect()]  # RUN rows at most
+    runs = F.flatten(F.array(*[F.array_distinct(_runs(F.col("words"), n)) for n in sizes])) if sizes else F.array().cast("array<string>")
+    spoken = texts.select(*key, fn.words(F.col("text")).alias("words")).select(*key, F.explode(runs).alias("run"))
+    begun = spoken.join(terms.drop("n"), "run")
+    whole = begun.filter("run = term").select(*key, "code", "name")
+    if RUN not in sizes:
+        return whole.distinct()
+    longer = begun.filter("run <> term").groupBy(*key).agg(F.collect_set(F.struct("code", "name", "term")).alias("terms"))
+    line = F.concat(F.lit(" "), F.array_join(fn.words(F.col("text")), " "), F.lit(" ")).alias("line")
+    here = F.filter("terms", lambda t: F.col("line").contains(F.concat(F.lit(" "), t["term"], F.lit(" "))))
+    rest = texts.select(*key, line).join(longer, key).select(*key, F.inline(here)).select(*key, "code", "name")
+    return whole.union(rest).distinct()
+
+
+def _runs(words: Column, n: int) -> Column:
+    """All runs of ``n`` words; none if there are fewer."""
+    if n == 1:
+        return words
+    ends = F.sequence(F.lit(n), F.size(words))
+    return F.when(F.size(words) >= n, F.transform(ends, lambda end: F.array_join(F.slice(words, end - n + 1, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
 
 def link_terms(

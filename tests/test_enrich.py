@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 
 from cairn.model import BUILTIN_PREFIXES, Graph, builtin_prefixes
@@ -297,3 +300,18 @@ def test_page_templates(nodes, root, rows):
     with pytest.raises(ValueError, match="u.html"):
         publish.page_plan(things, root("./"), SITE, ["t.html"])
     assert publish.page_plan(things, root("./"), {**SITE, "multipage": False}, []).count() == 0
+
+
+def test_terms_of_any_length_equal_a_plain_search(table, rows):
+    """Runs of one to three words are looked up whole, longer terms by their beginning."""
+    draw = random.Random(5)
+    said = [" ".join(draw.choice("ab c d Ä".split()) for _ in range(draw.randint(0, 30))) for _ in range(40)] + [None, "", "-"]
+    names = [" ".join(draw.choice("ab c d Ä".split()) for _ in range(n)) for n in (1, 1, 2, 2, 3, 3, 4, 4, 5, 7) for _ in range(4)] + ["", "D-ab"]
+    texts = table([("g", str(k), t) for k, t in enumerate(said)], "graph_id string, file_id string, text string")
+    catalog = table([(f"c{k}", n) for k, n in enumerate(names)], "code string, name string")
+    plain = lambda t: " " + " ".join(w for w in re.split(r"[^0-9a-zä]+", (t or "").lower()) if w) + " "
+    expected = {("g", str(k), f"c{j}", n) for k, t in enumerate(said) for j, n in enumerate(names) if plain(n).strip() and plain(n) in plain(t)}
+    for picked in (names, names[:8]):  # the second has no long terms
+        some = catalog.filter(catalog.name.isin(picked))
+        assert rows(terms.match_terms(texts, some)) == sorted(e for e in expected if e[3] in picked)
+    assert rows(terms.match_terms(texts, catalog.limit(0))) == []

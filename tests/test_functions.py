@@ -124,3 +124,11 @@ def test_captions(apply):
     assert apply(fn.caption_half, "photo: b") == "credit"
     assert apply(fn.caption_half, "a photo: b") is None
     assert apply(fn.caption_text, " Photo:  J. Smith ") == "J. Smith"
+
+
+def test_numbers_have_no_exponent(table):
+    numbers = [12345678.9, 1e21, 1e-21, 1.23456789e-15, -1.5e7, 100.0, -27.5, 0.0, 1e7, 123456789.0, 5e-324, 0.001, -0.00012, 1.7976931348623157e308]
+    found = [r["t"] for r in table([(x,) for x in numbers], "x double").select(fn.number_text(F.col("x")).alias("t")).collect()]
+    assert all("E" not in t and not t.endswith(".0") for t in found)
+    assert [float(t) for t in found] == numbers
+    assert found[:7] == ["12345678.9", "1" + "0" * 21, "0." + "0" * 20 + "1", "0." + "0" * 14 + "123456789", "-15000000", "100", "-27.5"]
