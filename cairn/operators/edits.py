@@ -1,8 +1,8 @@
 """A change log applied to a whole graph at once.
 
 ``edits`` (graph_id, seq, op, id, prop, value, ref) holds one requested change
-per row. Kinds of change are applied in the order: properties, types, new
-entities, renames, deletions.
+per row. Kinds of change are applied in the order: types, new entities,
+properties, renames, deletions.
 """
 
 from __future__ import annotations

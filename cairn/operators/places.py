@@ -13,16 +13,18 @@ from pyspark.sql import functions as F
 from cairn import functions as fn
 from cairn.model import fact, node_rows, prop_rows
 
+HEAD = 3  # characters by which names meet those that are asked for
 _CANDIDATE = ["matched_name", "provider", "match_region", "latitude", "longitude"]
 
 
 def gazetteer_index(gazetteer: DataFrame, asked: DataFrame, region: str | None = None) -> DataFrame:
     """The best record per asked key, so a lookup joins one row per key.
 
-    Steps: 0 manual, 1 primary exact, 2 primary prefix, 3 secondary. Every
-    beginning of a primary name is a prefix key of its own. Keys that nobody
-    asks for (``asked``: key) are dropped before the records behind a key are
-    compared.
+    Steps: 0 manual, 1 primary exact, 2 primary prefix, 3 secondary. The
+    beginnings of a primary name are prefix keys, but only those as long as a
+    key that is asked for (``asked``: key) and begins with the same ``HEAD``
+    characters. Keys that nobody asks for are dropped before the records behind
+    a key are compared.
     """
     key = F.lower(fn.trim_all(F.col("name")))
     hit = F.coalesce(F.col("region") == region, F.lit(False)) if region else F.lit(False)
@@ -40,15 +42,19 @@ def gazetteer_index(gazetteer: DataFrame, asked: DataFrame, region: str | None =
         F.when(F.col("priority") == 0, 0).when(F.col("priority") == 1, 1).otherwise(3).alias("step"),
         "candidate",
     )
-    lengths = F.sequence(F.lit(1), F.length("key") - 1)
+    wanted = asked.distinct()
+    lengths = wanted.groupBy(F.substring("key", 1, HEAD).alias("head")).agg(F.collect_set(F.length("key")).alias("lengths"))
+    heads = F.array_distinct(F.array(*[F.substring("key", 1, n) for n in range(1, HEAD + 1)]))
     prefix = (
         rows.filter("priority = 1 AND length(key) > 1")
-        .select(F.explode(lengths).alias("n"), "key", "candidate")
+        .select(F.explode(heads).alias("head"), "key", "candidate")
+        .join(lengths, "head")
+        .select(F.explode(F.filter("lengths", lambda n: n < F.length("key"))).alias("n"), "key", "candidate")
         .select(F.expr("substr(key, 1, n)").alias("key"), F.lit(2).alias("step"), "candidate")
     )
     return (
         exact.unionByName(prefix)
-        .join(asked.distinct(), "key", "left_semi")
+        .join(wanted, "key", "left_semi")
         .groupBy("key")
         .agg(F.min(F.struct("step", "candidate")).alias("best"))
     )

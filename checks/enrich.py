@@ -295,8 +295,8 @@ def merge_counts(v):
 # references of documents to media beside them, in other spellings
 MEDIA = """media AS (SELECT graph_id, file_name, regexp_replace(relative_path, '[^/]*$', '') || 'media/' || file_name AS id, doc_id FROM files),
 refs AS (SELECT graph_id, doc_id AS ref_id, regexp_replace(relative_path, '/?[^/]*$', '') AS folder,
-  CASE WHEN doc_id % 5 = 0 THEN 'nowhere.png' WHEN doc_id % 2 = 0 THEN upper(file_name) ELSE lower(regexp_replace(file_name, '\\.[^.]*$', '')) || CASE WHEN doc_id % 3 = 0 THEN '.jpg' ELSE '' END END AS name
-  FROM files WHERE doc_id % 4 <> 3)"""
+  CASE WHEN doc_id % 5 = 0 THEN 'nowhere.png' WHEN doc_id % 4 = 3 THEN ' ' || file_name || '  ' WHEN doc_id % 2 = 0 THEN upper(file_name) ELSE lower(regexp_replace(file_name, '\\.[^.]*$', '')) || CASE WHEN doc_id % 3 = 0 THEN '.jpg' ELSE '' END END AS name
+  FROM files)"""
 
 
 @check(
@@ -317,10 +317,11 @@ def media(v):
         "graph_id",
         F.concat_ws("/", F.nullif(folder, F.lit("")), F.lit("media"), "file_name").alias("id"),
     )
-    said = F.when(key % 5 == 0, "nowhere.png").when(key % 2 == 0, F.upper(name)).otherwise(
+    padded = F.concat(F.lit(" "), name, F.lit("  "))
+    said = F.when(key % 5 == 0, "nowhere.png").when(key % 4 == 3, padded).when(key % 2 == 0, F.upper(name)).otherwise(
         F.concat(F.lower(fn.strip_ext(name)), F.when(key % 3 == 0, ".jpg").otherwise(""))
     )
-    refs = files.filter(key % 4 != 3).select("graph_id", key.alias("ref_id"), folder.alias("folder"), said.alias("name"))
+    refs = files.select("graph_id", key.alias("ref_id"), folder.alias("folder"), said.alias("name"))
     return links.resolve_media(refs, beside)
 
 
