@@ -65,12 +65,12 @@ NOISE_NAMES = frozenset(
 
 BOX_NAMES = frozenset(
     "bar box block list links link wrap wrapper container area section panel group inner outer top bottom left right site "
-    "global primary secondary buttons button icons icon unit slot form content".split()
+    "global primary secondary buttons button icons icon unit slot form content main user users reader readers visitor".split()
 )
 
 MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>",
+    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>",  # a value is quoted right behind its =
     re.DOTALL,
 )
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
@@ -127,11 +127,15 @@ class Page:
 
     def read(self, source: str) -> None:
         at, length = 0, len(source)
-        while at < length:
-            match = MARK.search(source, at)
-            self.characters(source[at : match.start() if match else length])
+        last = source.rfind(">") + 1  # a tag that begins behind it has no end, and is text
+        while at < last:
+            match = MARK.search(source, at, last)
+            self.characters(source[at : match.start() if match else last])
             if match is None:
+                at = last
                 break
+            if match.end() == last and source.startswith("<!", match.start()):
+                match = MARK.match(source, match.start())  # it may go on to the end of the page
             at = match.end()
             tag = (match["tag"] or "").lower()
             if match["cdata"]:
@@ -145,6 +149,8 @@ class Page:
                 at = end.end() if end else length
             else:
                 self.open(tag, match["rest"])
+        if at < length:
+            self.characters(source[at:].partition("<!")[0])
         self.flush()
         while len(self.stack) > 1:
             self.pop()
@@ -201,13 +207,13 @@ class Page:
         if tag in VOID:
             return
         content = tag in CONTENT_TAGS or parent.content
-        noise = parent.noise or tag in NOISE_TAGS or (hidden and tag not in ("html", "body"))
+        noise = parent.noise or (tag in NOISE_TAGS and tag != "form") or (hidden and tag not in ("html", "body"))
         judged = tag not in INLINE and tag not in TEXT_TAGS and tag not in CONTENT_TAGS and tag not in ("html", "body")
         judged = judged and not noise
         path = hashed(parent.path, tag, names) if judged else parent.path
         element = Element(tag, path, noise, content and not noise, judged)
         element.suspects = parent.suspects
-        if marked and not noise and tag not in PROSE_TAGS and tag not in ("html", "body"):
+        if (marked or tag == "form") and not noise and tag not in PROSE_TAGS and tag not in ("html", "body"):
             element.suspects += (element,)
         self.stack.append(element)
         if element.container:

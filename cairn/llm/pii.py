@@ -96,10 +96,10 @@ DIGIT_NAMES = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 INVISIBLE = re.compile("[­​‌‍⁠﻿]")
-FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ٠-٩۰-۹०-९！-～\U0001d7ce-\U0001d7ff]")
+FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ٠-٩۰-۹०-९！-～\u2100-\u214fⓐ-ⓩⒶ-Ⓩ\U0001d400-\U0001d7ff]")
 NAME = "(?:" + "|".join(sorted(DIGIT_NAMES, key=len, reverse=True)) + ")"
-AT = re.compile(r"\s*(?:[(\[{<]\s*(?:at|@|arroba)\s*[)\]}>]|(?<=\w)[-_]at[-_](?=\w)|&#64;|&commat;|(?<=\w)%40(?=\w))\s*", re.IGNORECASE)
-DOT = re.compile(r"\s*(?:[(\[{<]\s*(?:dot|\.|punkt|point|punto)\s*[)\]}>]|(?<=\w)[-_]dot[-_](?=\w)|&#46;|&period;)\s*", re.IGNORECASE)
+AT = re.compile(r"(?:[(\[{<]\s*(?:at|@|arroba)\s*[)\]}>]|(?<=\w)[-_]at[-_](?=\w)|&#64;|&commat;|(?<=\w)%40(?=\w))", re.IGNORECASE)
+DOT = re.compile(r"(?:[(\[{<]\s*(?:dot|\.|punkt|point|punto)\s*[)\]}>]|(?<=\w)[-_]dot[-_](?=\w)|&#46;|&period;)", re.IGNORECASE)
 # letters that pass for digits, in a run that is mostly digits
 PASSING = str.maketrans("OoIl", "0011")
 MIXED = re.compile(r"(?<![A-Za-z0-9])(?:\+|)[0-9OoIl][0-9OoIl .()-]{5,}[0-9OoIl](?![A-Za-z0-9])")
@@ -138,14 +138,15 @@ class Tape:
 
 
 def plain_letters(tape: Tape) -> None:
-    """Look-alikes, full-width forms and digits of other scripts; one character for one."""
+    """Look-alikes, other forms of ASCII letters and digits of other scripts; one character for one."""
     if FOREIGN.search(tape.text):
         def ascii_of(match: re.Match) -> str:
             c = match[0]
             digit = unicodedata.digit(c, None)
             if digit is not None:
                 return str(digit)
-            return chr(ord(c) - 0xFEE0) if "！" <= c <= "～" else c.translate(LOOKALIKES)
+            form = unicodedata.normalize("NFKC", c)  # full-width, mathematical, circled
+            return form if len(form) == 1 and form.isascii() else c.translate(LOOKALIKES)
 
         tape.text = FOREIGN.sub(ascii_of, tape.text)
 
@@ -166,10 +167,23 @@ def visible(tape: Tape) -> None:
         tape.rewrite([(*m.span(), "") for m in INVISIBLE.finditer(tape.text)])
 
 
+def with_blanks(pattern: re.Pattern, text: str) -> Iterator[Span]:
+    """Matches with the white space around them; it is found from the match, so that runs of it are read once."""
+    last = 0
+    for match in pattern.finditer(text):
+        a, b = match.span()
+        while a > last and text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and text[b].isspace():
+            b += 1
+        yield a, b
+        last = b
+
+
 def signs(tape: Tape) -> None:
     """``(at)``, ``[dot]`` and, in a whole address, the bare words."""
     for pattern, sign in ((AT, "@"), (DOT, ".")):
-        if edits := [(*m.span(), sign) for m in pattern.finditer(tape.text)]:
+        if edits := [(a, b, sign) for a, b in with_blanks(pattern, tape.text)]:
             tape.rewrite(edits)
     edits = []
     for match in SPOKEN.finditer(tape.text):

@@ -231,3 +231,25 @@ def test_the_sample_has_one_text_of_each_id(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id bigint, toxic int")
     found = toxicity.sample_words(docs, labels, "doc_id", "text", "toxic").collect()
     assert sorted((r.doc_id, b"0" in r.words) for r in found) == [(1, True), (2, False), (3, False)]
+
+
+def test_runs_of_blanks_are_read_once():
+    import time
+
+    from cairn.llm import pii
+
+    began = time.perf_counter()
+    tape = pii.Tape("а" + " " * 1_000_000 + "(at)" + " " * 100_000 + "b")
+    pii.plain_letters(tape)
+    pii.signs(tape)
+    assert tape.text == "a@b" and tape.begin[1] == 1 and tape.end[1] == 1_100_005
+    assert time.perf_counter() - began < 5
+
+
+def test_letters_of_other_forms():
+    from cairn.llm import pii
+
+    for shown in ("𝗷𝗮𝗻𝗲@example.com", "ｊａｎｅ＠ｅｘａｍｐｌｅ．ｃｏｍ", "ⓙⓐⓝⓔ@example.com", "𝕛𝒶𝓃𝑒@example.com"):
+        tape = pii.Tape(shown)
+        pii.plain_letters(tape)
+        assert tape.text == "jane@example.com" and len(tape.begin) == len(shown)

@@ -224,3 +224,35 @@ def test_unigram_models():
     texts = ["".join(rng.choice(list("abcd "), int(rng.integers(1, 40)))) for _ in range(300)]
     ids, counts = model.encode(texts)
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == library.encode(texts)
+
+
+def page_text(source):
+    from cairn.llm.html_text import Page
+
+    return "\n".join(text for text, _ in Page(source).main_blocks())
+
+
+def test_apostrophes_in_unquoted_attributes():
+    assert page_text("<article><p title=don't>Hello world. It's here.</p><p>More</p></article>") == "Hello world. It's here.\nMore"
+    assert page_text("<article><p title = 'a > b' x=\"c>\">One</p></article>") == "One"
+
+
+def test_a_form_around_the_page_is_no_form():
+    assert page_text("<form id=aspnetForm><div><p>The text of the page, which is long.</p></div><input value=x></form>") == "The text of the page, which is long."
+    assert page_text("<article><p>The text of the page, which is long.</p><form>Write to us</form></article>") == "The text of the page, which is long."
+
+
+def test_comments_beside_a_short_article():
+    remarks = "".join(f"<p>Remark number {k} is longer than the article.</p>" for k in range(9))
+    assert page_text(f"<article><p>Short.</p></article><section class=user-comments>{remarks}</section>") == "Short."
+    assert page_text(f"<nav class=x>a</nav><div class='main-navigation-links'>b</div><article><p>Short.</p></article><div class=reader-comments>{remarks}</div>") == "Short."
+
+
+def test_tags_without_an_end_are_read_once():
+    import time
+
+    began = time.perf_counter()
+    assert page_text("<p>text</p>" + "<a " * 350_000).startswith("text\n<a <a")
+    assert page_text("<p>a</p><!-- b <i> <a " + "x" * 10) == "a"
+    assert page_text("<p>a</p>b <!-- c") == "a\nb"
+    assert time.perf_counter() - began < 5
