@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
-KEPT_WORDS = 1 << 17  # words whose pieces a worker remembers
-SLICE = 50_000  # characters that one suffix array indexes, or one word; an edge takes about 100 bytes, a character has several
+KEPT_WORDS = 1 << 19  # words whose pieces a worker remembers
+SLICE = 200_000  # characters that one suffix array indexes, or one word; an edge takes about 100 bytes, a character has several
 
 # --- the model file -----------------------------------------------------------
 
