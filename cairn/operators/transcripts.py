@@ -37,10 +37,29 @@ def normalize_transcript(texts: DataFrame, header_rows: int = 0, footer_rows: in
     return (
         texts.select(*DOC, F.posexplode(_kept_lines(header_rows, footer_rows)).alias("line_no", "line"))
         .filter(fn.trim_all(F.col("line")) != END_MARKER)
-        .withColumn("line", F.regexp_replace("line", r"^\s*([A-Z][A-Z0-9_]*):\s*", "$1:\t"))
+        .withColumn("line", _with_tab(F.col("line")))
     )
 
 
+def normalize_lines(lines: DataFrame, header_rows: int = 0, footer_rows: int = 0) -> DataFrame:
+    """``normalize_transcript`` for transcripts that come as rows: (graph_id, doc_id, line_no, line).
+
+    ``line_no`` counts from 0 without gaps, as ``sources.lines.read_lines``
+    gives it; the result counts behind the header.
+    """
+    ends = lines.groupBy(*DOC).agg((F.max("line_no") + 1 - footer_rows).alias("_end"))
+    kept = lines.join(ends, DOC).filter((F.col("line_no") >= header_rows) & (F.col("line_no") < F.col("_end")))
+    return (
+        kept.filter(fn.trim_all(F.col("line")) != END_MARKER)
+        .withColumns({"line": _with_tab(F.col("line")), "line_no": F.col("line_no") - header_rows})
+        .select(*DOC, "line_no", "line")
+    )
+
+
+def _with_tab(line: Column) -> Column:
+    return F.regexp_replace(line, r"^\s*([A-Z][A-Z0-9_]*):\s*", "$1:\t")
+
+
 def tag_lines(
     lines: DataFrame, pos: str = "line_no", segment: Column | None = None, marker: Column | None = None
 ) -> DataFrame:
@@ -196,6 +215,16 @@ def transcript_rows(texts: DataFrame, header_rows: int = 0, footer_rows: int = 0
     return {"rows": speaker_rows(turns(tagged), declared), "speakers": declared}
 
 
+def transcript_rows_of_lines(lines: DataFrame, header_rows: int = 0, footer_rows: int = 0) -> dict[str, DataFrame]:
+    """``transcript_rows`` for transcripts that come as rows of lines, however many those are.
+
+    A turn is still one value; a transcript is not.
+    """
+    tagged = tag_lines(normalize_lines(lines, header_rows, footer_rows))
+    declared = speakers(tagged)
+    return {"rows": speaker_rows(turns(tagged), declared), "speakers": declared}
+
+
 def used_codes(rows: DataFrame) -> DataFrame:
     """Distinct codes of each transcript, made distinct before they are shuffled."""
     return rows.select(*DOC, "code").distinct()
