@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.model import entity_ids, union_all
+from cairn.plans.scale import scattered, staged
 
 # References to outside things that no entity describes.
 EXTERNAL_PROPS = ["license", "conformsTo", "encodingFormat"]
@@ -19,21 +20,30 @@ EXTERNAL_PROPS = ["license", "conformsTo", "encodingFormat"]
 # Types whose entities define vocabulary.
 VOCABULARY_TYPES = ["rdf:Property", "rdfs:Class"]
 
+PIECE = 4096  # values of one property that the report judges in one row
+
 
 def check_cardinality(nodes: DataFrame, props: DataFrame, rules: DataFrame) -> DataFrame:
     """Required properties that are absent, single ones that have several values.
 
     Rows (graph_id, id, class, prop, problem, found).
     """
-    per_prop = (
+    # rules name few properties, so they narrow the values before they are counted
+    ruled = props.join(_bounds(rules).select("prop").distinct(), "prop", "left_semi")
+    return _wrong_counts(nodes, rules, ruled.groupBy("graph_id", "id", "prop").agg(F.count("*").alias("found")))
+
+
+def _bounds(rules: DataFrame) -> DataFrame:
+    """The rules that bound the number of values: class, prop, required, multiple."""
+    return (
         rules.groupBy("class", "prop")
         .agg(F.max("required").alias("required"), F.max("multiple").alias("multiple"))
         .filter("required = 1 OR multiple = 0")
     )
-    due = nodes.select("graph_id", "id", F.col("type").alias("class")).distinct().join(per_prop, "class")
-    # rules name few properties, so they narrow the values before they are counted
-    ruled = props.join(per_prop.select("prop").distinct(), "prop", "left_semi")
-    counts = ruled.groupBy("graph_id", "id", "prop").agg(F.count("*").alias("found"))
+
+
+def _wrong_counts(nodes: DataFrame, rules: DataFrame, counts: DataFrame) -> DataFrame:
+    due = nodes.select("graph_id", "id", F.col("type").alias("class")).distinct().join(_bounds(rules), "class")
     checked = due.join(counts, ["graph_id", "id", "prop"], "left").withColumn(
         "found", F.coalesce("found", F.lit(0))
     )
@@ -100,18 +110,22 @@ def check_ranges(nodes: DataFrame, props: DataFrame, rules: DataFrame) -> DataFr
     # rules name few properties, so they narrow the values before the big join
     ruled = props.join(named, "prop", "left_semi")
     graded = ruled.join(classes, ["graph_id", "id"]).join(allowed, ["class", "prop"])
-    literals = graded.filter("ref IS NULL").filter(
-        ~F.exists("ranges", lambda r: _literal_fits(F.col("value"), r))
-    )
+    literals = graded.filter("ref IS NULL").filter(~_fits_literal(F.col("ranges")))
     targets = nodes.groupBy("graph_id", F.col("id").alias("ref")).agg(
         F.collect_set("type").alias("types")  # types of one entity
     )
     refs = graded.filter("ref IS NOT NULL").join(targets, ["graph_id", "ref"], "left")
-    fits = (F.array_contains("ranges", "URL") & _is_url(F.col("ref"))) | F.coalesce(
-        F.arrays_overlap("ranges", "types"), F.lit(False)
-    )
     cols = ["graph_id", "id", "class", "prop", "pos", "value", "ref"]
-    return literals.select(*cols).unionByName(refs.filter(~fits).select(*cols))
+    return literals.select(*cols).unionByName(refs.filter(~_fits_ref(F.col("ranges"), F.col("types"))).select(*cols))
+
+
+def _fits_literal(ranges: Column) -> Column:
+    return F.exists(ranges, lambda r: _literal_fits(F.col("value"), r))
+
+
+def _fits_ref(ranges: Column, types: Column) -> Column:
+    reads_as_one = F.array_contains(ranges, "URL") & _is_url(F.col("ref"))
+    return reads_as_one | F.coalesce(F.arrays_overlap(ranges, types), F.lit(False))
 
 
 def dangling_refs(nodes: DataFrame, props: DataFrame) -> DataFrame:
@@ -157,8 +171,63 @@ def root_class(root_types: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
+def judged(nodes: DataFrame, props: DataFrame, rules: DataFrame) -> DataFrame:
+    """What one pass over the values tells: graph_id, id, prop, found, unknown, findings.
+
+    The rules are compiled to a map per property, from class to accepted
+    ranges, so a value meets them, the types of its entity and those of what it
+    names in one row each. Properties are judged in pieces of ``PIECE`` positions;
+    a piece lists its own findings, so no row holds those of a long list.
+    """
+    ranges = rules.groupBy("prop", "class").agg(F.sort_array(F.collect_set("range_type")).alias("ranges"))
+    # the classes of a hand-written table
+    entry = F.when(F.col("class").isNotNull(), F.struct("class", "ranges"))
+    compiled = ranges.groupBy("prop").agg(F.map_from_entries(F.collect_list(entry)).alias("ruled"))
+    types = nodes.groupBy("graph_id", "id").agg(F.collect_set("type").alias("types"))  # types of one entity
+    targets = types.select("graph_id", F.col("id").alias("_target"), F.col("types").alias("target"))
+    met = (
+        props.join(compiled, "prop", "left")
+        .join(types, ["graph_id", "id"], "left")
+        .withColumn("_target", scattered(F.col("ref"), F.col("ref").isNotNull(), "id", "prop", "pos"))
+        .join(targets, ["graph_id", "_target"], "left")
+    )
+
+    def misfit(kind):
+        wanted = F.col("ruled")[kind]
+        fits = F.when(F.col("ref").isNull(), _fits_literal(wanted)).otherwise(_fits_ref(wanted, F.col("target")))
+        return F.coalesce(wanted.isNotNull() & ~fits, F.lit(False))
+
+    def finding(severity, check, detail):
+        return F.struct(F.lit(severity).alias("severity"), F.lit(check).alias("check"), detail.alias("detail"))
+
+    misfits = F.transform(F.filter("types", misfit), lambda _: finding("error", "range", F.coalesce("value", "ref")))
+    loose = F.col("ref").isNotNull() & ~F.col("prop").isin(EXTERNAL_PROPS) & F.col("target").isNull()
+    no_finding = F.slice(F.array(finding("", "", F.lit("").cast("string"))), 1, 0)
+    findings = F.concat(
+        F.coalesce(misfits, no_finding), F.when(loose, F.array(finding("warning", "dangling", F.col("ref")))).otherwise(no_finding)
+    )
+    vocabulary = F.coalesce(F.arrays_overlap("types", F.array(*map(F.lit, VOCABULARY_TYPES))), F.lit(False))
+    return (
+        met.withColumn("findings", findings)
+        .groupBy("graph_id", "id", "prop", F.floor(F.col("pos") / PIECE).alias("piece"))
+        .agg(
+            F.count("*").alias("found"),
+            F.bool_and(F.col("ruled").isNull() & ~vocabulary).alias("unknown"),
+            F.flatten(F.collect_list(F.when(F.size("findings") > 0, F.col("findings")))).alias("findings"),
+        )
+        .drop("piece")
+    )
+
+
 def quality_report(nodes: DataFrame, props: DataFrame, rules: DataFrame) -> DataFrame:
-    """All findings in one table: (graph_id, severity, check, id, prop, detail)."""
+    """All findings in one table: (graph_id, severity, check, id, prop, detail).
+
+    The values are read once; what they tell is staged, a row per property of
+    an entity (and per ``PIECE`` values), and serves all checks.
+    """
+    told = staged(judged(nodes, props, rules))
+    counts = told.groupBy("graph_id", "id", "prop").agg(F.sum("found").alias("found"))
+    unknown = told.filter("unknown").select("graph_id", "id", "prop").distinct()
 
     def findings(df, severity, check, id, prop, detail):
         return df.select(
@@ -172,11 +241,11 @@ def quality_report(nodes: DataFrame, props: DataFrame, rules: DataFrame) -> Data
 
     none = F.lit(None).cast("string")
     id, prop = F.col("id"), F.col("prop")
+    of_values = told.select("graph_id", "id", "prop", F.inline("findings"))
     parts = [
-        findings(check_cardinality(nodes, props, rules), "error", "cardinality", id, prop, F.col("problem")),
-        findings(check_ranges(nodes, props, rules), "error", "range", id, prop, F.coalesce("value", "ref")),
-        findings(dangling_refs(nodes, props), "warning", "dangling", id, prop, F.col("ref")),
-        findings(unknown_properties(nodes, props, rules), "warning", "unknown", id, prop, none),
+        of_values.select("graph_id", "severity", "check", "id", "prop", "detail"),
+        findings(_wrong_counts(nodes, rules, counts), "error", "cardinality", id, prop, F.col("problem")),
+        findings(unknown, "warning", "unknown", id, prop, none),
         findings(check_instances(nodes, rules), "error", "instances", none, none, F.col("class")),
     ]
     return union_all(parts)

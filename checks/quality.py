@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators import quality as q
 from cairn.sinks.jsonld import graph_to_json
-from cairn.sinks.sheets import graph_to_sheet, other_values, sheet_columns
+from cairn.sinks.sheets import column_sizes, graph_to_sheet, other_values, sheet_columns
 from cairn.model import Graph, builtin_prefixes
 from cairn.plans.scale import scratch_folder
 from cairn.sinks.jsonld import write_documents
@@ -178,6 +178,17 @@ def columns_in_use(v):
     return sheet_columns(v("graph_nodes"), v("rich_props"))
 
 
+@check(
+    "snk_02_sizes",
+    "graph_nodes rich_props",
+    """WITH e AS (SELECT type, CASE WHEN ref IS NOT NULL THEN '@' || prop ELSE prop END AS "column", count(*) AS n, sum(length(coalesce(ref, value))) AS c
+FROM rich_props p JOIN graph_nodes n USING (graph_id, id) GROUP BY type, "column", graph_id, id)
+SELECT type, "column", count(*) AS entities, max(n) AS longest, CAST(max(coalesce(c, 0)) AS BIGINT) AS characters FROM e GROUP BY ALL""",
+)
+def sizes_of_columns(v):
+    return column_sizes(v("graph_nodes"), v("rich_props"))
+
+
 @check(
     "snk_02_others",
     "graph_nodes rich_props",

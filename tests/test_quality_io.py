@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from cairn.sinks import jsonld as json_sink
 from cairn.sinks import sheets as sheet_sink
 from cairn.sources import jsonld, listing, tables
 
+NODES = "graph_id string, id string, type string, pos int"
+PROPS = "graph_id string, id string, prop string, pos bigint, value string, ref string"
 RULES = "class string, prop string, range_type string, required int, multiple int, min_instances int"
 
 
@@ -54,6 +57,38 @@ def test_loose_ends(nodes, props, rules, rows):
     assert ("custom:sentance",) in unknown and ("rdfs:label",) not in unknown and ("name",) not in unknown
 
 
+def test_the_report_in_one_pass_finds_what_the_checks_find(table, rules, rows, monkeypatch):
+    """Random graphs, also with pieces of two values, against each check by itself."""
+    rng = random.Random(5)
+    kinds, names = ["Person", "Place", "rdf:Property", "Odd", None], ["name", "home", "born", "license", "own", None]
+    values = ["x", "2001-02-03", "https://example.org/y", "", None]
+    things = [(g, f"#{i}", rng.choice(kinds), k) for g in "gh" for i in range(30) for k in range(rng.randint(0, 3))]
+    said = [
+        (g, f"#{i}", p, k, *((None, f"#{rng.randint(0, 40)}") if rng.random() < 0.5 else (rng.choice(values), None)))
+        for g in "gh" for i in range(35) for p in rng.sample(names, 3) for k in range(rng.randint(1, 5))
+    ]
+    ruled = rules.union(table([(None, "own", "Text", 1, 0, None), ("Odd", "name", None, 0, 0, 1)], RULES))
+    nodes, props = table(things, NODES), table(said, PROPS)
+    monkeypatch.setattr(q, "PIECE", 2)
+
+    def picked(df, check, *columns):
+        return rows(df.select("graph_id", F.lit(check).alias("check"), *columns))
+
+    none, whole = F.lit(None).cast("string"), q.quality_report(nodes, props, ruled).drop("severity")
+    wanted = {
+        "cardinality": picked(q.check_cardinality(nodes, props, ruled), "cardinality", "id", "prop", "problem"),
+        "range": picked(q.check_ranges(nodes, props, ruled), "range", "id", "prop", F.coalesce("value", "ref")),
+        "dangling": picked(q.dangling_refs(nodes, props), "dangling", "id", "prop", "ref"),
+        "unknown": picked(q.unknown_properties(nodes, props, ruled), "unknown", "id", "prop", none),
+        "instances": picked(q.check_instances(nodes, ruled), "instances", none, none, "class"),
+    }
+    for check, found in wanted.items():
+        assert rows(whole.filter(F.col("check") == check)) == found, check
+    assert all(len(wanted[c]) > 3 for c in ("cardinality", "range", "dangling", "unknown"))
+    plan = q.judged(nodes, props, ruled)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("value#") and plan.count("LogicalRDD [graph_id#") == 3  # props once, types of entities and of targets
+
+
 def test_root_class(table, rules, rows):
     types = table([("a", 0, "Dataset"), ("a", 1, "Place"), ("a", 2, "Person"), ("b", 0, "Dataset")], "graph_id string, pos int, type string")
     assert rows(q.root_class(types, rules)) == [
@@ -257,6 +292,16 @@ def test_the_newest_source_is_picked(table, candidates, picked):
     assert [r["name"] for r in jsonld.pick_newest_source(frame).collect()] == ([picked] if picked else [])
 
 
+def test_columns_that_fit_a_cell(nodes, props, rows):
+    said = props(*[("#a", "note", k, "x" * 10, None) for k in range(50)], ("#a", "name", 0, "A", None), ("#b", "name", 0, None, "#a"), ("#b", "note", 0, None, None))
+    sizes = sheet_sink.column_sizes(nodes(("#a", "Person"), ("#b", "Person"), ("#b", "Place")), said)
+    assert rows(sizes, "type", "column", "entities", "longest", "characters") == [
+        ("Person", "@name", 1, 1, 2), ("Person", "name", 1, 1, 1), ("Person", "note", 2, 50, 500), ("Place", "@name", 1, 1, 2), ("Place", "note", 1, 1, 0),
+    ]
+    assert sheet_sink.fitting_columns(sizes, cell=600) == {"Person": ["@name", "name"], "Place": ["@name", "note"]}
+    assert sheet_sink.fitting_columns(sizes)["Person"] == ["@name", "name", "note"]
+
+
 def test_scanning(table, rows):
     paths = ["a/b.txt", ".git/x", "a/.b/c", "a/~$d.docx", "ro-crate-metadata.json", "x/ro-crate-preview_html/y", "_u.txt", "config.json", "a/config.json.txt", "c2c-output/z.csv"]
     kept = listing.scan_files(table([(p,) for p in paths], "relative_path string"))
