@@ -109,8 +109,8 @@ def places(cosine: float, whole: bool):
     return placed
 
 
-def links_in_cell(points, block, visits, same_chunk, first, second, cosine) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Verified pairs of ``first`` x ``second`` that this block is the first to find."""
+def links_in_cell(plain, points, block, visits, same_chunk, first, second, cosine) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of ``first`` x ``second`` that this block is the first to find, verified on the vectors as they were before the rotation."""
     dimensions = points.shape[1]
     parts = blocks(dimensions)
     here = parts[block]
@@ -131,7 +131,7 @@ def links_in_cell(points, block, visits, same_chunk, first, second, cosine) -> I
             p, q = p[near], q[near]
             for c in range(0, len(p), 1 << 16):
                 u, v = p[c : c + (1 << 16)], q[c : c + (1 << 16)]
-                good = (points[u] * points[v]).sum(axis=1) >= cosine
+                good = (plain[u] * plain[v]).sum(axis=1) >= cosine
                 u, v = u[good], v[good]
                 gap = (points[u] - points[v]) ** 2
                 good = gap[:, here].sum(axis=1) <= limit
@@ -161,11 +161,12 @@ def linked(cosine: float):
             _, block, _, i, j = keys[:, lo]
             dimensions = int(block) // 1000
             raw = b"".join(table.column("vector").slice(lo, hi - lo).to_pylist())
-            points = units(np.frombuffer(raw, dtype="<f8").reshape(-1, dimensions)) @ rotation(dimensions)
+            plain = units(np.frombuffer(raw, dtype="<f8").reshape(-1, dimensions))
+            points = plain @ rotation(dimensions)
             first, second = np.flatnonzero(chunk[lo:hi] == i), np.flatnonzero(chunk[lo:hi] == j)
             a = b = np.zeros(0, dtype="int64")
             degree = np.zeros(hi - lo, dtype="int64")
-            for u, v in links_in_cell(points, int(block) % 1000, visits[lo:hi], i == j, first, second, cosine):
+            for u, v in links_in_cell(plain, points, int(block) % 1000, visits[lo:hi], i == j, first, second, cosine):
                 np.add.at(degree, u, n[lo:hi][v])
                 np.add.at(degree, v, n[lo:hi][u])
                 a, b = np.concatenate([a, u]), np.concatenate([b, v])

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.llm.rows import row_hash
 from cairn.plans.scale import staged
 
 HEAVY = 1024  # counters of a summary, and most digests that are broadcast
@@ -108,7 +109,7 @@ def drop_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     small = staged(docs.select(*facts(id, text), F.lit(0).alias("none")))
     winners = heavy_winners(small.select("digest", rank("none")))
     whole = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64("*").alias("tie"), *facts(id, text)
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_hash(docs).alias("tie"), *facts(id, text)
     ).select("doc", "digest", rank("tie"))
     split = whole.join(F.broadcast(winners), "digest", "left")
     ahead = F.col("rank").dropFields("tie").eqNullSafe(F.col("winner").dropFields("tie"))

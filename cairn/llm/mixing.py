@@ -21,6 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.llm.rows import row_hash
 from cairn.plans.scale import staged
 
 WEIGHTS = (5, 2, 1)  # by the order of sources, again and again
@@ -132,7 +133,7 @@ def copies(
     # the rank and the join use one shuffle; starts grow with the sources, so they are not broadcast
     here = Window.partitionBy("_place").orderBy("_size", "_salt", "doc_id", *(["_tie"] if payload else []))
     if payload:
-        rows = rows.withColumn("_tie", F.xxhash64("doc"))
+        rows = rows.withColumn("_tie", row_hash(rows, "doc"))
     rows = rows.withColumn("_place", place).withColumn("_rank", F.row_number().over(here))
     rows = rows.join(starts.hint("merge"), "_place")
     k = (F.col("_class_start") + F.col("_bucket_start") + F.col("_rank")).cast("double")

@@ -67,3 +67,10 @@ def test_summary_never_loses_a_frequent_digest(monkeypatch):
     assert len(held) <= 5
     for digest, n in counts.items():
         assert n - 4000 / 6 <= held.get(digest, 0) <= n
+
+
+def test_columns_that_spark_does_not_hash(spark):
+    given = spark.createDataFrame([(1, "a b", {"k": 1}, [{"x": "y"}]), (1, "ab", {"k": 2}, None), (2, "c", None, [None])], "doc_id bigint, text string, more map<string,int>, lists array<map<string,string>>")
+    kept = exact_dedup.drop_copies(given)
+    assert kept.schema == given.schema
+    assert sorted((r.doc_id, r.text, r.more) for r in kept.collect()) == [(1, "a b", {"k": 1}), (2, "c", None)]

@@ -78,3 +78,11 @@ def test_empty_table_and_empty_texts(spark):
     assert mixing.copies(spark.createDataFrame([], SCHEMA)).collect() == []
     found = mixing.copies(spark.createDataFrame([(1, None, None, "", 0, ""), (2, " ", "s", "", 0, "")], SCHEMA)).collect()
     assert [(r.size, r.target, r.copies) for r in found] == [(0, 0.0, 0)] * 2
+
+
+def test_columns_that_spark_does_not_hash(spark):
+    rows = [(i % 3, "a b", "s", {"k": i}, {"in": {"k": i}}) for i in range(40)]
+    given = spark.createDataFrame(rows, "doc_id bigint, text string, source string, more map<string,int>, `deep.er` map<string,map<string,int>>")
+    found = mixing.mix(given)
+    assert found.schema == given.schema
+    assert Counter(r.more["k"] for r in found.collect()).total() == 60
