@@ -79,6 +79,8 @@ class Model:
     merges: bool  # BPE rather than unigram
     dummy_prefix: bool = True
     words: dict[str, int] = field(default_factory=dict)  # words met before, numbered
+    kept_words: int = KEPT_WORDS
+    slice_chars: int = SLICE
 
     def __post_init__(self):
         self.forget()
@@ -217,7 +219,7 @@ class Model:
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of words, one word after another, and how many each has; all characters are pieces."""
-        part = np.cumsum([len(w) + 1 for w in words]) // SLICE
+        part = np.cumsum([len(w) + 1 for w in words]) // self.slice_chars
         cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(words)]
         found = [self.encode_slice(words[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return np.concatenate([f for f, _ in found]), np.concatenate([n for _, n in found])
@@ -320,7 +322,7 @@ class Model:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids per text)."""
-        if len(self.words) > KEPT_WORDS:
+        if len(self.words) > self.kept_words:
             self.forget()
         words, before = self.words, len(self.words)
         uses, counts = [], []
@@ -403,12 +405,18 @@ def ship(docs: DataFrame, path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
 
-def encoded(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids, n_tokens and ``exact``: whether decoding the ids gives the text back."""
+def encoded(
+    docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", kept_words: int = KEPT_WORDS, slice_chars: int = SLICE
+) -> DataFrame:
+    """doc_id, ids, n_tokens and ``exact``: whether decoding the ids gives the text back.
+
+    ``kept_words`` and ``slice_chars`` trade a worker's memory for time; the pieces are the same.
+    """
     name = ship(docs, path)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped_model(name)
+        model.kept_words, model.slice_chars = kept_words, slice_chars
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids, counts = model.encode(texts)

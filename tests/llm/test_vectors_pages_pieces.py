@@ -185,6 +185,8 @@ def test_pieces_equal_the_library_and_round_trip(spark):
         assert found[i].n_tokens == len(found[i].ids)
         assert back[i] == (text or "").replace("▁", " ") and found[i].exact == ("▁" not in (text or ""))
     assert pieces.encoded(docs.limit(0), PIECES).collect() == []
+    little = pieces.encoded(docs, PIECES, kept_words=3, slice_chars=7)  # less memory, the same pieces
+    assert sorted(map(str, little.collect())) == sorted(map(str, coded.collect()))
 
 
 def test_decoding_any_ids(spark):
