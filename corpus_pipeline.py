@@ -44,7 +44,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens and whether the ids decode to the text."""
     bounded(spark)
-    return pieces.encoded(docs, PIECES)
+    # workers and heap have grown in the stages before, so less is held here than by the operator alone
+    return pieces.encoded(docs, PIECES, kept_words=1 << 17, slice_chars=50_000)
 
 
 STAGES = [
