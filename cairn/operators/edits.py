@@ -14,7 +14,7 @@ from cairn import functions as fn
 from cairn.model import DESCRIPTOR, NODE_COLS, PROP_COLS, STRUCTURAL_TYPES, entity_ids
 from cairn.operators.files import rename_everywhere
 from cairn.operators.overlay import KEY
-from cairn.plans.scale import scattered, staged
+from cairn.plans.scale import lacking, scattered, staged
 
 
 def _ops(edits: DataFrame, *names: str) -> DataFrame:
@@ -42,9 +42,7 @@ def edit_properties(nodes: DataFrame, props: DataFrame, edits: DataFrame) -> Dat
     written = deciding.filter("op = 'set' AND (value IS NOT NULL OR ref IS NOT NULL)").select(
         "graph_id", "id", "prop", pos.cast("bigint").alias("pos"), "value", "ref"
     ).join(entity_ids(nodes), ["graph_id", "id"], "left_semi")
-    return props.join(deciding.select(*KEY).distinct(), KEY, "left_anti").unionByName(
-        written.select(*props.columns)
-    )
+    return lacking(props, deciding, KEY).unionByName(written.select(*props.columns))
 
 
 def edits_of_nothing(nodes: DataFrame, edits: DataFrame) -> DataFrame:
@@ -76,6 +74,9 @@ def add_entities(nodes: DataFrame, edits: DataFrame) -> DataFrame:
     )
     return (
         typed.unionByName(named)
+        # hashed first, as text that is picked by order makes an aggregation sort its rows
+        .groupBy("graph_id", "id", "type")
+        .agg(F.min("seq").alias("seq"))
         .groupBy("graph_id", "id")
         # an explicit type beats the placeholder, the first one given wins
         .agg(F.min_by("type", F.struct(F.col("seq").isNull(), F.col("seq"))).alias("type"))
@@ -130,34 +131,37 @@ def delete_entities(nodes: DataFrame, props: DataFrame, roots: DataFrame, edits:
         .distinct()
         .join(roots.select("graph_id", F.col("root_id").alias("id")), ["graph_id", "id"], "left_anti")
     )
+    key = ["graph_id", "id"]
+    named = lacking(props, gone, key).withColumn("_key", scattered(F.col("ref"), F.col("ref").isNotNull(), *PROP_COLS))
     return {
-        "nodes": nodes.join(gone, ["graph_id", "id"], "left_anti").select(*NODE_COLS),
-        "props": props.join(gone, ["graph_id", "id"], "left_anti")
-        .withColumn("_key", scattered(F.col("ref"), F.col("ref").isNotNull(), *PROP_COLS))
-        .join(gone.withColumnRenamed("id", "_key"), ["graph_id", "_key"], "left_anti")
-        .select(*PROP_COLS),
+        "nodes": lacking(nodes, gone, key).select(*NODE_COLS),
+        "props": lacking(named, gone.withColumnRenamed("id", "_key"), ["graph_id", "_key"]).select(*PROP_COLS),
     }
 
 
 def retype(nodes: DataFrame, edits: DataFrame) -> DataFrame:
-    """Replace the types of existing entities by a comma-separated list; the newest wins."""
+    """Replace the types of existing entities by a comma-separated list; the newest wins.
+
+    The newest change of each list is found by a hashed aggregation, so only
+    the different lists of an entity are sorted.
+    """
+    types = F.array_distinct(fn.split_values(F.col("value"), ","))
     newest = (
         _ops(edits, "retype")
-        .withColumn("types", F.array_distinct(fn.split_values(F.col("value"), ",")))
-        .filter(F.size("types") > 0)
+        .filter(F.size(types) > 0)
+        .groupBy("graph_id", "id", "value")
+        .agg(F.max("seq").alias("seq"))
         .groupBy("graph_id", "id")
-        .agg(F.max_by("types", "seq").alias("types"))
+        .agg(F.max_by("value", "seq").alias("value"))
         .join(entity_ids(nodes), ["graph_id", "id"], "left_semi")
     )
-    fresh = newest.select("graph_id", "id", F.posexplode("types").alias("pos", "type"))
-    return nodes.join(newest.select("graph_id", "id"), ["graph_id", "id"], "left_anti").unionByName(
-        fresh.select(*nodes.columns)
-    )
+    fresh = newest.select("graph_id", "id", F.posexplode(types).alias("pos", "type"))
+    return lacking(nodes, newest, ["graph_id", "id"]).unionByName(fresh.select(*nodes.columns))
 
 
 def apply_edits(nodes: DataFrame, props: DataFrame, roots: DataFrame, edits: DataFrame) -> dict[str, DataFrame]:
     """All changes of a log. The entity list and the id map are read many times, so they are staged."""
-    nodes = retype(nodes, edits)
+    nodes = staged(retype(nodes, edits))
     nodes = staged(nodes.unionByName(add_entities(nodes, edits)))
     props = edit_properties(nodes, props, edits)
     renamed = rename_everywhere(nodes, props, staged(valid_renames(nodes, roots, edits)))

@@ -116,6 +116,17 @@ def scattered(key: Column, wanted: Column, *row: str) -> Column:
     return F.when(wanted, key).otherwise(blank)
 
 
+def lacking(df: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` whose keys ``known`` has not.
+
+    An outer join with a mark. The optimiser moves an anti join below unions, so
+    a table made of many parts would meet ``known`` once per part, and one task
+    would sort ``known`` as many times.
+    """
+    mark = known.select(*keys).distinct().withColumn("_known", F.lit(True))
+    return df.join(mark, list(keys), "left").filter("_known IS NULL").select(*df.columns)
+
+
 def segment_of(pos: Column) -> Column:
     return F.floor(pos / SEGMENT_ROWS).cast("bigint")
 

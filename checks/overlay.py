@@ -223,6 +223,7 @@ rt AS (SELECT n.graph_id, n.id, n.type, n.pos FROM {nodes} n ANTI JOIN ty1 ON ty
     "graph_nodes edits more_edits",
     f"""WITH logs AS (SELECT graph_id, seq, op, id, value FROM more_edits UNION ALL SELECT graph_id, seq, 'retype', id, value FROM edits WHERE op = 'set' AND value IS NOT NULL),
 {retyped('graph_nodes', 'logs')} SELECT graph_id, id, type, pos FROM rt""",
+    once="graph_nodes",
 )
 def types_edited(v):
     more = v("edits").filter("op = 'set'").withColumn("op", F.lit("retype"))
@@ -239,6 +240,7 @@ an AS (SELECT graph_id, id, type, pos FROM rt UNION ALL SELECT graph_id, id, coa
   FROM ad ANTI JOIN rt USING (graph_id, id) GROUP BY graph_id, id),
 ep AS ({EDITED.format('an', 'linked')}),
 {renames('an', 'more_edits')}, {renamed('an', 'ep')}, {deleted('nn', 'pp', 'more_edits')} {AS_ROWS.format('dn', 'dp')}""",
+    once="graph_nodes",
 )
 def log_applied(v):
     nodes = v("graph_nodes")

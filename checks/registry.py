@@ -7,18 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.plans.scale import staged
 from checks.views import oracle, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def check(name: str, views: str, sql: str):
-    """Register a query, given a function from a view lookup to a DataFrame."""
+def check(name: str, views: str, sql: str, once: str = ""):
+    """Register a query, given a function from a view lookup to a DataFrame.
+
+    ``once`` names views that the query reads several times and that are costly
+    to make: their rows are staged at the first lookup.
+    """
 
     def register(build):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(lambda v: view(spark, sf_dir, v))
+            made: dict[str, DataFrame] = {}
+
+            def look(v: str) -> DataFrame:
+                if v not in once.split():
+                    return view(spark, sf_dir, v)
+                if v not in made:
+                    made[v] = staged(view(spark, sf_dir, v))
+                return made[v]
+
+            return build(look)
 
         QUERIES[name] = run
         ORACLES[name] = oracle(views, sql)
