@@ -27,7 +27,7 @@ from cairn.model import (
     prop_rows,
     union_all,
 )
-from cairn.plans.scale import number_rows, scattered
+from cairn.plans.scale import number_rows, scattered, staged
 
 
 LINK_BLOCK = 1024  # files of a block of name-alikes
@@ -142,9 +142,11 @@ def _named_groups(files: DataFrame, id: str, name: str, *also: Column) -> DataFr
     """One row per object: its first file's name for it, its first and last file number.
 
     Names join the keys of a first, hashed aggregation over all files; only
-    the few names of an object are then sorted out.
+    the few names of an object are then sorted out. ``files`` may hold a row
+    per file, or per several files with their ``first_no`` and ``last_no``.
     """
-    numbers = [F.min("file_no").alias("first_no"), F.max("file_no").alias("last_no")]
+    first, last = ("first_no", "last_no") if "first_no" in files.columns else ("file_no", "file_no")
+    numbers = [F.min(first).alias("first_no"), F.max(last).alias("last_no")]
     per_name = files.groupBy("graph_id", F.col(id).alias("object_id"), F.col(name).alias("name"), *also).agg(
         *numbers
     )
@@ -189,43 +191,53 @@ def folder_collections(meta: DataFrame) -> dict[str, DataFrame]:
     folder, go to ``<Name>_Files``. Groups without a folder stay objects.
     Child folders that sanitise to one id merge; the first name wins. Returns
     the tables of :func:`folder_objects` and ``children``, the objects inside
-    collections.
+    collections. What a file says of its place is read several times, so it is
+    staged, as are the groups and objects found by one aggregation.
     """
-    in_folder = F.size("folders") > 0
+    child = F.get("folders", F.lit(1))
+    direct = F.size("folders") <= 1
+    files_segment = F.concat(F.expr("substr(group_id, 2)"), F.lit("_Files"))
+    segment = F.when(direct, files_segment).otherwise(fn.sanitize_segment(child))
+    told = staged(
+        meta.select(
+            "graph_id",
+            "id",
+            "file_no",
+            "group_id",
+            "top_level_name",
+            (F.size("folders") > 0).alias("in_folder"),
+            F.concat("group_id", F.lit("/"), segment).alias("inner_id"),
+            F.when(~direct, child).alias("label"),
+        )
+    )
     collection_ids = (
-        meta.filter(in_folder).select("graph_id", "group_id").distinct().withColumn("known", F.lit(True))
+        told.filter("in_folder").select("graph_id", "group_id").distinct().withColumn("known", F.lit(True))
     )
     # only root files have to ask whether their group is a folder
-    loose = meta.filter(~in_folder).join(collection_ids, ["graph_id", "group_id"], "left")
+    loose = told.filter("NOT in_folder").join(collection_ids, ["graph_id", "group_id"], "left")
     flagged = (
-        meta.filter(in_folder)
+        told.filter("in_folder")
         .withColumn("in_collection", F.lit(True))
         .unionByName(loose.withColumn("in_collection", F.coalesce("known", F.lit(False))).drop("known"))
     )
-    child = F.get("folders", F.lit(1))
-    direct = F.size("folders") <= 1
-    files_segment = F.concat(F.expr("substr(group_id, 2)"), F.lit("_Files"))
-    segment = F.when(direct, files_segment).otherwise(fn.sanitize_segment(child))
-    placed = flagged.withColumns(
-        {
-            "object_id": F.when(F.col("in_collection"), F.concat("group_id", F.lit("/"), segment)).otherwise(
-                F.col("group_id")
-            ),
-            "label": F.when(~direct, child),
-        }
+    placed = flagged.withColumn("object_id", F.when(F.col("in_collection"), F.col("inner_id")).otherwise(F.col("group_id")))
+    per_label = staged(
+        placed.groupBy("graph_id", "group_id", "top_level_name", "in_collection", "object_id", "label").agg(
+            F.min("file_no").alias("first_no"), F.max("file_no").alias("last_no")
+        )
     )
-    groups = _named_groups(placed, "group_id", "top_level_name", F.col("in_collection"))
+    groups = staged(_named_groups(per_label, "group_id", "top_level_name", F.col("in_collection")))
     collections = groups.filter("in_collection")
     singles = groups.filter("NOT in_collection")
     named = collections.select(
         "graph_id", F.col("object_id").alias("group_id"), F.col("name").alias("group_name"), "last_no"
     )
-    by_label = placed.filter("in_collection").groupBy("graph_id", "group_id", "object_id", "label").agg(
-        F.min("file_no").alias("first_no")
+    by_label = per_label.filter("in_collection").groupBy("graph_id", "group_id", "object_id", "label").agg(
+        F.min("first_no").alias("first_no")
     )
     # subfolders come in order of their first file, and name the object first
     order = F.struct(F.col("label").isNull().alias("is_direct"), "first_no")
-    children = (
+    children = staged(
         by_label.groupBy("graph_id", "group_id", "object_id")
         .agg(F.min_by("label", order).alias("label"), F.min(order).alias("first"))
         .join(named, ["graph_id", "group_id"])

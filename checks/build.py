@@ -210,7 +210,7 @@ def collections(v):
     return graph_rows(fs.folder_collections(meta(scan_files(v("order_files")))))
 
 
-@check("gra_04_lines", "line_files", f"""WITH {meta_sql("line_files")}, {COLLECTIONS} {COLLECTION_ROWS}""")
+@check("gra_04_lines", "line_files", f"""WITH {meta_sql("line_files")}, {COLLECTIONS} {COLLECTION_ROWS}""", once="line_files")
 def large_collections(v):
     """Three top folders hold all files; each order is an object in one of them."""
     return graph_rows(fs.folder_collections(meta(v("line_files"))))
