@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.model import NODE_COLS, PROP_COLS, Graph
-from cairn.plans.scale import scan
+from cairn.plans.scale import scan, staged
 from cairn.sinks.jsonld import _json_string, document_lines
 from cairn.sources.jsonld import context_prefixes, find_roots
 
@@ -80,7 +80,8 @@ def save_graphs(graph: Graph, path: str, only: DataFrame | None = None) -> int:
         wanted = only.select("graph_id").distinct()
         nodes, props, prefixes = (t.join(wanted, "graph_id", "left_semi") for t in (nodes, props, prefixes))
     order = ["graph_id", "section", "id", "rank", "key", "pos"]
-    lines = indented(document_lines(nodes, props, prefixes)).repartitionByRange(*order).sortWithinPartitions(*order)
+    # made once: ranges are sampled before the rows are dealt out
+    lines = staged(indented(document_lines(nodes, props, prefixes))).repartitionByRange(*order).sortWithinPartitions(*order)
     folder = f"data-{uuid.uuid4().hex}"
     lines.select("graph_id", F.col("line").alias("value")).write.partitionBy("graph_id").text(f"{path}/{folder}")
     rows = _written(spark, path, folder)
@@ -142,21 +143,22 @@ def load_graphs(spark: SparkSession, path: str, only: DataFrame | None = None) -
     )
     lines = lines.select("graph_id", "place", kind.alias("kind"), said.alias("said"))
     key = F.regexp_extract("said", r'^,("(?:[^"\\]|\\.)*"):', 1)
-    named = lines.select(
+    # lines are read for each carried value and for each part of the graph, so what they say is staged
+    named = staged(lines.select(
         "*",
         F.when(F.col("kind") == "entity", F.get_json_object(F.concat(F.ltrim(F.col("said"), F.lit(",")), F.lit("}")), "$['@id']")).alias("its_id"),
         F.when(F.col("kind") == "property", key).alias("its_key"),
         F.col("kind").isin("property", "value").cast("int").alias("one"),
-    )
+    ))
     segment = F.struct("place.part_no", "place.start")
-    held = scan(
+    held = staged(scan(
         named, ["graph_id"], "place", segment, last={"id": F.col("its_id"), "key": F.col("its_key")}, total={"n": F.col("one")}
-    ).drop("_seg")
+    ).select("graph_id", "place", "kind", "said", "id", "key", "n"))
     first = F.when(F.col("kind") == "property", F.col("n"))
     held = scan(held, ["graph_id"], "place", segment, last={"first": first}).filter("kind IN ('property', 'value')")
     json = F.when(F.col("kind") == "property", F.expr("substring(said, length(key) + 3)")).otherwise(F.expr("substring(said, 2)"))
     json = F.regexp_replace(F.regexp_replace(json, r"^\[", ""), r"\]$", "")
-    values = held.select("graph_id", "id", _string(F.col("key")).alias("prop"), (F.col("n") - F.col("first")).alias("pos"), json.alias("json"))
+    values = staged(held.select("graph_id", "id", _string(F.col("key")).alias("prop"), (F.col("n") - F.col("first")).alias("pos"), json.alias("json")))
     ref = F.when(F.col("json").startswith("{"), F.get_json_object("json", "$['@id']"))
     text = F.when(F.col("json").startswith('"'), _string(F.col("json"))).when(ref.isNull(), F.col("json"))
     types = values.filter("prop = '@type'").select("graph_id", "id", text.alias("type"), F.col("pos").cast("int"))
@@ -164,6 +166,6 @@ def load_graphs(spark: SparkSession, path: str, only: DataFrame | None = None) -
     entities = named.filter("its_id IS NOT NULL").select("graph_id", F.col("its_id").alias("id"), "place")
     untyped = entities.join(types.select("graph_id", "id").distinct(), ["graph_id", "id"], "left_anti")
     nodes = types.unionByName(untyped.select("graph_id", "id", F.lit(None).cast("string").alias("type"), F.lit(0).alias("pos")))
-    heads = lines.filter("kind = 'head'").select("graph_id", F.concat("said", F.lit("]}")).alias("text"))
+    heads = named.filter("kind = 'head'").select("graph_id", F.concat("said", F.lit("]}")).alias("text"))
     placed = nodes.join(entities.select("graph_id", "id", F.col("place").alias("entity_no")), ["graph_id", "id"])
     return Graph(nodes.select(*NODE_COLS), props.select(*PROP_COLS), find_roots(placed, props), context_prefixes(heads))

@@ -115,7 +115,7 @@ rep AS (SELECT graph_id, 'error' AS severity, 'cardinality' AS "check", id, prop
   UNION ALL SELECT graph_id, 'error', 'instances', NULL, NULL, class FROM few)"""
 
 
-@check("val_06", VIEWS, f"WITH {REPORT} SELECT * FROM rep")
+@check("val_06", VIEWS, f"WITH {REPORT} SELECT * FROM rep", once="graph_nodes rich_props")
 def report(v):
     return q.quality_report(*everything(v))
 
@@ -124,6 +124,7 @@ def report(v):
     "val_06_summary",
     VIEWS,
     f"WITH {REPORT} SELECT graph_id, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, 0 AS passed FROM rep GROUP BY graph_id UNION ALL SELECT DISTINCT 'h' || graph_id, 0, 0, 1 FROM graph_nodes",
+    once="graph_nodes rich_props",
 )
 def summary(v):
     roots = graph_roots(v("graph_nodes"))
@@ -282,7 +283,7 @@ def read_by_byte_range(v):
     return graph_rows(read_graph_files(nodes.sparkSession, f"{folder}/graph_id=*", name, folders=True))
 
 
-@check("snk_01_store", "graph_nodes rich_props", ALL_ROWS)
+@check("snk_01_store", "graph_nodes rich_props", ALL_ROWS, once="graph_nodes rich_props")
 def saved_and_loaded(v):
     """A save of all graphs, one of them with other values, and a save of that one over it."""
     nodes, props = v("graph_nodes"), v("rich_props")
