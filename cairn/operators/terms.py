@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn import functions as fn
 from cairn.model import entity_ids, fact, node_rows, prop_rows, union_all
+from cairn.plans.scale import staged
 
 # Generic words that identify nothing. The first three are fixed values.
 GENERIC_TERMS = ["north", "people", "unknown", "south", "east", "west", "language", "other"]
@@ -74,8 +75,10 @@ def link_terms(
     """Term entities, links from the files that exist, and the distinct term count.
 
     ``hits`` is (graph_id, file_id, term_id, name), ``geometry`` (term_id,
-    geo_id, wkt). Property definitions come only to graphs with a term.
+    geo_id, wkt). Property definitions come only to graphs with a term. The
+    hits are read by each part of the result, so they are staged.
     """
+    hits = staged(hits)
     terms = hits.groupBy("graph_id", "term_id").agg(F.min("name").alias("name"))
     found = hits.select("graph_id", F.col("file_id").alias("id"), "term_id").distinct()
     linked = found.join(entity_ids(nodes), ["graph_id", "id"], "left_semi")
