@@ -26,10 +26,11 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import islice
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -78,7 +79,7 @@ class Model:
     kinds: np.ndarray
     merges: bool  # BPE rather than unigram
     dummy_prefix: bool = True
-    words: dict[str, int] = field(default_factory=dict)  # words met before, numbered
+    words: dict[str, int] = field(init=False)  # words met before; looking a new one up numbers it
     kept_words: int = KEPT_WORDS
     slice_chars: int = SLICE
 
@@ -103,7 +104,7 @@ class Model:
 
     def forget(self) -> None:
         """Start anew with the pieces of words met before: word k has ``sizes[k]`` of the pieces in ``flat``."""
-        self.words.clear()
+        self.words = defaultdict(count().__next__)
         self.flat, self.sizes = np.zeros(0, dtype="int32"), np.zeros(0, dtype="int64")
 
     # how pieces come about
@@ -329,7 +330,7 @@ class Model:
         for text in texts:
             line = ((BLANK if self.dummy_prefix else "") + text.replace(" ", BLANK)) if text else ""
             found = self.unit.findall(line)
-            uses += [words.setdefault(u, len(words)) for u in found]
+            uses.extend(map(words.__getitem__, found))
             counts.append(len(found))
         if len(words) > before:
             self.learn(list(islice(words, before, None)))
